@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, mixing, quality, sharding
+from palimpsest.llm import decontaminate, minhash, mixing, quality, sharding
 from palimpsest.llm.storage import Scratch, table
 
 STAGES = [
     ("quality", quality.stage),
-    #ND
+    ("near_dedup", minhash.stage),
     ("decontaminate", decontaminate.stage),
     ("mix", mixing.stage),
     ("shard", sharding.stage),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, mixing, quality, sharding, toxicity, url_filter
+from . import archive, decontaminate, minhash, mixing, quality, repeats, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_minhash": minhash.op5_minhash,
+        "op6_repeats": repeats.op6_repeats,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_archive": archive.op9_archive,
@@ -24,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.ORACLE,
+        "op5_minhash": minhash.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
         "op9_archive": archive.ORACLE,
