@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, minhash, mixing, quality, repeats, sharding, toxicity, url_filter
+from . import archive, decontaminate, minhash, mixing, pivots, quality, repeats, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pivots": pivots.op1_pivots,
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
         "op4_toxicity": toxicity.op4_toxicity,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_pivots": pivots.ORACLE,
         "op2_sharding": sharding.ORACLE,
         "op5_minhash": minhash.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
