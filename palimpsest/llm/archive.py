@@ -35,9 +35,11 @@ DICT_MAGIC, PAD_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 SEPARATOR = struct.pack("<II", PAD_MAGIC, 0)
 LEVEL = 3
 #: Bounds of the sample that the dictionary is trained on, and of the dictionary.
-SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 512, 4096, 32 << 10
+SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 256, 2048, 16 << 10
 #: Lines of an archive file: the dictionary and this number of records less one.
 FILE_FRAMES = 1024
+#: Bytes given to the decoder at a time, and decoded bytes gathered for a batch.
+STEP_BYTES, BATCH_BYTES = 8 << 10, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -139,15 +141,18 @@ def read_archive(data: bytes):
             if at > len(data):
                 raise ArchiveError("a skippable frame is cut off")
         elif magic == FRAME_MAGIC:
-            frame = decoder.decompressobj()
+            frame, parts = decoder.decompressobj(), []
             try:
-                out = frame.decompress(view[at:])
+                while not frame.eof and at < len(data):  # small steps: what a step leaves unused is copied
+                    step = view[at : at + STEP_BYTES]
+                    parts.append(frame.decompress(step))
+                    at += len(step)
             except zstandard.ZstdError as e:
                 raise ArchiveError(str(e)) from e
             if not frame.eof:
                 raise ArchiveError("a frame is cut off")
-            at = len(data) - len(frame.unused_data)
-            yield out
+            at -= len(frame.unused_data)
+            yield b"".join(parts)
         else:
             raise ArchiveError(f"unknown magic {magic:#x}")
 
@@ -178,7 +183,7 @@ def _frames(raw: bytes):
                 out.append(packer.compress(record_bytes(page_id, url, payload, payload_digest(payload), refers)))
                 n += 1
                 held += len(out[-1])
-                if held > 16 << 20:
+                if held > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
@@ -198,36 +203,45 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     frames.write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", FILE_FRAMES).option("compression", "none").text(path)
 
 
-def _records(batches):
-    names = ["record_id", "type", "refers_to", "payload_bytes", "payload_digest", "url", "payload"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+def _records(with_payload: bool):
+    names = ["record_id", "type", "refers_to", "payload_bytes", "payload_digest", "url", *["payload"] * with_payload]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * with_payload]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names)
 
-    for files in batches:
-        for k in range(files.num_rows):
-            rows, held = [], 0
-            for data in read_archive(files.column(0)[k].as_py()):
-                rows.append(parse_record(data))
-                held += len(data)
-                if held > 16 << 20:
-                    yield batch(rows)
-                    rows, held = [], 0
-            yield batch(rows)
+    def run(batches):
+        for files in batches:
+            for k in range(files.num_rows):
+                rows, held = [], 0
+                for data in read_archive(files.column(0)[k].as_py()):
+                    record = parse_record(data)
+                    held += 256
+                    if with_payload:
+                        held += len(data)
+                    else:
+                        del record["payload"]
+                    rows.append(record)
+                    if held > BATCH_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
+                yield batch(rows)
+
+    return run
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Validated records of the archives below path; payload is null in revisits."""
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """Validated records of the archives below path; payload (if asked for) is null in revisits."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(_records, "record_id string, type string, refers_to string, payload_bytes long, payload_digest string, url string, payload binary")
+    schema = "record_id string, type string, refers_to string, payload_bytes long, payload_digest string, url string"
+    return files.mapInArrow(_records(with_payload), schema + ", payload binary" * with_payload)
 
 
 def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "archive").path("warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1), F.lit("")).cast("long")
-    return read_archives(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    return read_archives(spark, path, with_payload=False).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
 
 
 ORACLE = """
