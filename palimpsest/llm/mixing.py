@@ -154,10 +154,10 @@ def mix_sizes(sizes: DataFrame, cycle: tuple[float, ...] = WEIGHTS, cap: float =
     while True:
         last = nodes <= 1
         made = scratch.keep(rows.groupBy("source", "node").applyInPandas(_node(seed, level, last), schema), f"level{level}")
-        done.append(made.where("NOT isnan(extra)") if not last else made)
+        done.append(made.where("extra IS NOT NULL") if not last else made)
         if last:
             break
-        rows = made.where("isnan(extra)").drop("extra").withColumn("node", F.floor(F.col("node") / fan_in))
+        rows = made.where("extra IS NULL").drop("extra").withColumn("node", F.floor(F.col("node") / fan_in))
         nodes, level = -(-nodes // fan_in), level + 1
     out = done[0]
     for more in done[1:]:
@@ -166,23 +166,22 @@ def mix_sizes(sizes: DataFrame, cycle: tuple[float, ...] = WEIGHTS, cap: float =
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    plan = mix_sizes(word_counts(docs), **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    sized = _with_size(docs, docs.columns.index("text"))
-    met = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    """The rows of docs (doc_id, source, text, ...), each as often as the mix takes it."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), "text")
+    plan = mix_sizes(word_counts(docs), **options).where("copies > 0").select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_of"), F.col("size").alias("plan_words"), "copies")
+    met = _with_size(rows).join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & F.col("of").eqNullSafe(F.col("plan_of")) & (F.col("words") == F.col("plan_words")))
+    return met.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
-def _with_size(docs: DataFrame, at: int) -> DataFrame:
-    names = [*docs.columns, "__words"]
+def _with_size(rows: DataFrame) -> DataFrame:
+    """rows with words in place of the last column, a text."""
 
     def count(batches):
         for batch in batches:
-            n = pa.array([len(t.split()) if t else 0 for t in utf8(batch.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, n], names)
+            n = pa.array([len(t.split()) if t else 0 for t in utf8(batch.column(batch.num_columns - 1))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], [*batch.schema.names[:-1], "words"])
 
-    schema = docs.select("*", F.lit(0).cast("long").alias("__words")).schema
-    return docs.mapInArrow(count, schema)
+    return rows.mapInArrow(count, rows.drop("text").select("*", F.lit(0).cast("long").alias("words")).schema)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
