@@ -51,13 +51,24 @@ def _leaves(cells: DataFrame, depth: int, floor: int, limit: int) -> DataFrame:
     return cells.select("cell").join(best, "cell", "left")
 
 
-def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES, _key: Column | None = None, _level: int = 0) -> DataFrame:
-    """docs with shard (its bits, after a level number for renumbered rows), shard_depth, shard_bytes, shard_docs."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "sharding")
-    key = hash_key(F.col(id_col)) if _key is None else _key
+def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
+    """docs with shard (its bits, after a level number for renumbered rows), shard_depth, shard_bytes, shard_docs.
+
+    Columns of docs that have these names are replaced.
+    """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    keyed = scratch.keep(docs.select(key.alias("key"), size.alias("bytes")).groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("docs"), F.max("bytes").alias("largest")), "keys")
+    kept = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), hash_key(F.col(id_col)).alias("key"), size.alias("size"))
+    return _assign(rows, limit_bytes, 0).select("row.*", *ADDED)
+
+
+ADDED = ("shard", "shard_depth", "shard_bytes", "shard_docs")
+
+
+def _assign(rows: DataFrame, limit_bytes: int, level: int) -> DataFrame:
+    """rows (row, key, size) with the columns of ADDED."""
+    scratch = Scratch(rows.sparkSession, "sharding")
+    keyed = scratch.keep(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("docs")), "keys")
     total = keyed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     depth = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit_bytes)))) + SLACK_BITS)
     floor, rounds, todo = 0, [], keyed
@@ -66,29 +77,28 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         leaves = scratch.keep(_leaves(cells, depth, floor, limit_bytes), f"depth{depth}")
         rounds.append((depth, leaves.where("d IS NOT NULL")))
         over = leaves.where("d IS NULL").select("cell")
-        if depth == BITS or over.isEmpty():
+        done = over.isEmpty()
+        if done or depth == BITS:
             break
         todo = todo.join(over, _cell(F.col("key"), depth) == F.col("cell"), "left_semi")
         floor, depth = depth + 1, min(BITS, depth + ROUND_BITS)
-    out = docs.withColumn("__key", key)
-    shard = [F.lit(None).cast("string")], [F.lit(None).cast("int")], [F.lit(None).cast("long")], [F.lit(None).cast("long")]
+    out, found = rows, []
     for k, (at, leaves) in enumerate(rounds):
-        named = leaves.select(F.col("cell").alias(f"__cell{k}"), F.struct("d", "prefix", "shard_bytes", "shard_docs").alias(f"__leaf{k}"))
-        out = out.join(named, _cell(F.col("__key"), at) == F.col(f"__cell{k}"), "left")
-        leaf = F.col(f"__leaf{k}")
-        bits = F.when(leaf["d"].isNotNull(), F.when(leaf["d"] == 0, F.lit("")).otherwise(F.lpad(F.conv(leaf["prefix"].cast("string"), 10, 2), leaf["d"], F.lit("0"))))
-        for cols, value in zip(shard, (F.concat(F.lit(f"{_level}:"), bits), leaf["d"], leaf["shard_bytes"], leaf["shard_docs"])):
-            cols.append(value)
-    names = ("shard", "shard_depth", "shard_bytes", "shard_docs")
-    placed = out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.coalesce(*cols).alias(n) for n, cols in zip(names, shard)])
-    if over.isEmpty():
+        named = leaves.select(F.col("cell").alias(f"cell{k}"), F.struct("d", "prefix", "shard_bytes", "shard_docs").alias(f"leaf{k}"))
+        out = out.join(named, _cell(F.col("key"), at) == F.col(f"cell{k}"), "left").drop(f"cell{k}")
+        found.append(F.col(f"leaf{k}"))
+    leaf = F.coalesce(*found)
+    bits = F.when(leaf["d"] == 0, F.lit("")).otherwise(F.lpad(F.conv(leaf["prefix"].cast("string"), 10, 2), leaf["d"], F.lit("0")))
+    name = F.when(leaf["d"].isNotNull(), F.concat(F.lit(f"{level}:"), bits))
+    placed = out.select("row", "key", "size", name.alias("shard"), leaf["d"].alias("shard_depth"), leaf["shard_bytes"].alias("shard_bytes"), leaf["shard_docs"].alias("shard_docs"))
+    if done:
         return placed
-    single = placed.where("shard IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if _level:  # numbered rows: each is alone under its key
-        last = single.select("*", F.concat(F.lit(f"{_level}:"), F.lpad(F.conv(key.cast("string"), 10, 2), BITS, "0")).alias("shard"), F.lit(BITS).alias("shard_depth"), size.alias("shard_bytes"), F.lit(1).cast("long").alias("shard_docs"))
+    single = placed.where("shard IS NULL").select("row", "key", "size")
+    if level:  # numbered rows: each is alone under its key
+        last = single.select("*", F.concat(F.lit(f"{level}:"), F.lpad(F.conv(F.col("key").cast("string"), 10, 2), BITS, "0")).alias("shard"), F.lit(BITS).alias("shard_depth"), F.col("size").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_docs"))
         return placed.where("shard IS NOT NULL").unionByName(last)
-    numbered = scratch.keep(single.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    again = assign_shards(numbered, "__row", text_col, limit_bytes, _level=1).drop("__row")
+    numbered = scratch.keep(single.select("row", "size", F.monotonically_increasing_id().alias("number")), "numbered")
+    again = _assign(numbered.select("row", hash_key(F.col("number")).alias("key"), "size"), limit_bytes, 1)
     return placed.where("shard IS NOT NULL").unionByName(again)
 
 
@@ -99,8 +109,10 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return assign_shards(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard", "shard_depth", "shard_bytes", "shard_docs")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = sized.select(F.struct("doc_id", "n_bytes").alias("row"), hash_key(F.col("doc_id")).alias("key"), F.col("n_bytes").alias("size"))
+    return _assign(rows, LIMIT_BYTES, 0).select("row.doc_id", "row.n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
