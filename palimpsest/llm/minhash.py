@@ -1,12 +1,12 @@
 """MinHash near-duplicates: banded candidates, odd sketches, exact confirmation.
 
 A document's set is that of its five-word shingles. Documents with equal sets are
-one class, which its smallest doc_id stands for. Each class has SAMPLES MinHash
-samples. The first BANDS * ROWS of them make band keys. All of them are folded
-into an odd sketch: a bitmap of the parities of the (sample number, value) pairs
-that hash to each bit. The population count of the XOR of two sketches tells the
-number of samples that differ, and so the similarity, most precisely where it is
-high.
+one class, which its smallest doc_id stands for. MinHash samples of each class
+make its band keys. Classes that share a bucket get SAMPLES samples in all, which
+are folded into an odd sketch: a bitmap of the parities of the (sample number,
+value) pairs that hash to each bit. The population count of the XOR of two
+sketches tells the number of samples that differ, and so the similarity, most
+precisely where it is high.
 
 Candidates are taken in two steps, so that a bucket never yields all of its
 pairs. First every member of a bucket meets the bucket's smallest member, and the
@@ -36,10 +36,10 @@ from .textkit import WordHashes, mix, shingle_set, utf8
 WIDTH = 5
 #: A link: SHARE times the union is at most 100 times the intersection.
 SHARE = 85
-BANDS, ROWS, SAMPLES = 20, 5, 200
-SKETCH_BITS = 1024
-#: Odd-sketch estimates below the threshold by more than this are no candidates: over four standard deviations.
-MARGIN = 0.11
+BANDS, ROWS, SAMPLES = 20, 5, 800
+SKETCH_BITS = 2048
+#: Odd-sketch estimates below the threshold by more than this are no candidates: about four standard deviations.
+MARGIN = 0.05
 #: Members of a bucket that are compared with one another at a time.
 BLOCK = 192
 STAGE_SHARE = 80
@@ -50,13 +50,14 @@ _ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:,
 _NUMBER = (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)) + np.uint64(1)
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """SAMPLES MinHash values (32 bits each) of a set of 64-bit hashes."""
+def samples(shingles: np.ndarray, n: int = SAMPLES) -> np.ndarray:
+    """The first n MinHash values (32 bits each) of a set of 64-bit hashes."""
     low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(low), 512):
-        h = low[None, a : a + 512] * _MULTIPLY
-        h += _ADD
+    least = np.full(n, 0xFFFFFFFF, np.uint32)
+    step = max(1, (1 << 17) // n)
+    for a in range(0, len(low), step):
+        h = low[None, a : a + step] * _MULTIPLY[:n]
+        h += _ADD[:n]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
@@ -93,23 +94,13 @@ def _describe(batches):
         ids = batch.column(0)
         texts = utf8(batch.column(1))
         for start in range(0, len(texts), 2048):
-            n, key, bands, odd = [], [], [], []
+            n, key, bands = [], [], []
             for text in texts[start : start + 2048]:
                 s = shingle_set(text, WIDTH, cache)
                 n.append(len(s))
-                if len(s):
-                    least = samples(s)
-                    key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append(band_keys(least).view(np.int64))
-                    odd.append(odd_sketch(least).tobytes())
-                else:
-                    key.append(None)
-                    bands.append(None)
-                    odd.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, 2048), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "odd"],
-            )
+                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                bands.append(band_keys(samples(s, BANDS * ROWS)).view(np.int64) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([ids.slice(start, 2048), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
 
 def _sets(batches):
@@ -117,8 +108,12 @@ def _sets(batches):
     for batch in batches:
         ids, texts = batch.column(0), utf8(batch.column(1))
         for start in range(0, len(texts), 512):
-            out = [shingle_set(t, WIDTH, cache).tobytes() for t in texts[start : start + 512]]
-            yield pa.RecordBatch.from_arrays([ids.slice(start, 512), pa.array(out, pa.binary())], ["id", "shingles"])
+            sets = [shingle_set(t, WIDTH, cache) for t in texts[start : start + 512]]
+            least = [samples(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(start, 512), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([band_keys(x).view(np.int64) for x in least], pa.list_(pa.int64())), pa.array([odd_sketch(x).tobytes() for x in least], pa.binary())],
+                ["id", "shingles", "bands", "odd"],
+            )
 
 
 def _confirm(share: int):
@@ -168,17 +163,12 @@ def _within_block(share: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, share: int, scratch: Scratch, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, share: int, scratch: Scratch, name: str) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
-    texts = docs.join(needed, F.col("doc_id") == F.col("need"), "left_semi").select("doc_id", "text")
-    sets = scratch.keep(texts.mapInArrow(_sets, "id long, shingles binary"), f"sets-{name}")
     left = sets.select(F.col("id").alias("ia"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("ib"), F.col("shingles").alias("sb"))
     met = pairs.join(left, F.col("a") == F.col("ia")).select("a", "b", "sa").join(right, F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
-    links = scratch.keep(met.mapInArrow(_confirm(share), "a long, b long"), f"links-{name}")
-    scratch.drop(sets)
-    return links
+    return scratch.keep(met.mapInArrow(_confirm(share), "a long, b long"), f"links-{name}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, block: int = BLOCK) -> DataFrame:
@@ -186,17 +176,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = scratch.keep(docs.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd binary"), "described")
+    described = scratch.keep(docs.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "described")
     classes = scratch.keep(
-        described.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "odd")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.bands", "m.odd"),
+        described.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.bands"),
         "classes",
     )
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
     members = scratch.keep(members.join(shared, "bucket").select("bucket", "rep", "lead", "n"), "members")
 
+    # texts are shuffled whatever the number of members, so that cost grows as the input does
+    needed = members.select(F.col("rep").alias("need")).distinct().hint("merge")
+    texts = docs.join(needed, F.col("doc_id") == F.col("need"), "left_semi")
+    sets = scratch.keep(texts.mapInArrow(_sets, "id long, shingles binary, bands array<long>, odd binary"), "sets")
+
     star = scratch.keep(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    links = _confirmed(star, docs, share, scratch, "star")
+    links = _confirmed(star, sets, share, scratch, "star")
     names = connected_components(links, scratch)
 
     named = members.join(names, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
@@ -206,10 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = named.join(mixed, "bucket").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.select("bucket", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("bucket", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") == F.col("other")).alias("diagonal"))
-    sketched = dealt.join(classes.select(F.col("rep").alias("r"), "bands", "odd"), F.col("rep") == F.col("r")).drop("r")
+    sketched = dealt.join(sets.select(F.col("id").alias("r"), "bands", "odd"), F.col("rep") == F.col("r")).drop("r")
     pairs = scratch.keep(sketched.groupBy("bucket", "low", "high").applyInArrow(_within_block(share), "a long, b long").distinct(), "pairs")
-    more = _confirmed(pairs, docs, share, scratch, "blocks")
-    scratch.drop(members, star, named)
+    more = _confirmed(pairs, sets, share, scratch, "blocks")
+    scratch.drop(members, star, named, sets)
 
     names = connected_components(links.unionByName(more), scratch)
     scratch.drop(links, more, pairs)
@@ -225,8 +220,9 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (similarity 0.8 or more), that of the smallest doc_id."""
-    found = near_duplicates(docs.select("doc_id", "text"), share=STAGE_SHARE).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    found = near_duplicates(docs.select("doc_id", "text"), share=STAGE_SHARE).where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(found, F.col("id") == F.col("dropped"), "left_anti").select("row.*")
 
 
 ORACLE = """
