@@ -16,18 +16,33 @@ def read_markdown(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES)
     """relative_path, content (text), content_hash, byte_size of the Markdown files below a folder.
 
     Files over max_bytes raise, as do files that aren't UTF-8. Spark lists and
-    reads the folder, so any file system that it reaches will do.
+    reads the folder, so any file system that it reaches will do. Its reader passes
+    over empty files; they are added from the listing. Links are followed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM]*").load(folder)
     root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?(?=/)", ""), "^" + _quoted(root) + "/", "")
-    named = files.select(path.alias("relative_path"), "content", F.col("length").alias("byte_size")).where(F.lower("relative_path").rlike(r"\.(md|markdown)$"))
+    named = files.select(path.alias("relative_path"), "content", F.col("length").alias("byte_size"))
+    empty = [(p.removeprefix(root + "/"), bytearray(), 0) for p in _empty_files(spark, folder)]
+    named = named.unionByName(spark.createDataFrame(empty, "relative_path string, content binary, byte_size long")).where(F.lower("relative_path").rlike(r"\.(md|markdown)$"))
     parts = F.split("relative_path", "/")
     kept = named.where(~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in IGNORED])))
     kept = kept.where(F.assert_true(F.col("byte_size") <= max_bytes, "a document is too large").isNull())
     return kept.select("relative_path", F.validate_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"), "byte_size")
 
 
+def _empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the empty files below a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        if not status.getLen():
+            out.append(status.getPath().toUri().getPath())
+    return out
+
+
 def _quoted(path: str) -> str:
     return "\\Q" + path + "\\E"
 
