@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import candidate_rank, project_name
 from .pending import first_n
+from .retrieval import in_blocks
 
 
 def rank_projects(queries: DataFrame, projects: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, rank, id, name of the best projects (id, name, aliases) for each name asked for.
 
-    Every name asked for meets every project: a stated query set against all rows.
+    Every name asked for meets every project: a stated query set against all rows,
+    in blocks of names small enough to broadcast.
     """
     known = projects.where(F.length(F.trim("name")) > 0).select("id", "name", project_name(F.col("name")).alias("norm"), F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: project_name(a)), lambda a: a != "").alias("alias_norms"))
     asked = queries.select("query_id", project_name(F.col("name")).alias("asked")).where("asked <> ''")
-    met = known.join(F.broadcast(asked)).withColumn("match", candidate_rank(F.col("asked"), F.col("norm"), F.col("alias_norms"))).where("match IS NOT NULL")
-    return first_n(met.select("query_id", "match", "norm", "id", "name"), ["query_id"], ["match", "norm", "id"], limit).select("query_id", "match", "id", "name", "rank")
+
+    def answer(part: DataFrame) -> DataFrame:
+        met = known.join(F.broadcast(part)).withColumn("match", candidate_rank(F.col("asked"), F.col("norm"), F.col("alias_norms"))).where("match IS NOT NULL")
+        return first_n(met.select("query_id", "match", "norm", "id", "name"), ["query_id"], ["match", "norm", "id"], limit).select("query_id", "match", "id", "name", "rank")
+
+    return in_blocks(asked, answer)
 
 
 def listed_projects(projects: DataFrame, scope: str | None = None) -> DataFrame:

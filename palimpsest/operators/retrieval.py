@@ -1,15 +1,20 @@
 """Search over index points: filters, routing, dense, sparse and fused retrieval, reranking, recall.
 
 All operators take a table of requests (query_id, ...), so that many queries run
-as one plan. The requests are the small side; it is broadcast only where its size
-is known to be small (Spark's own threshold decides), and ranking per query is a
-window that Spark limits before the shuffle.
+as one plan. Where every request meets every row, requests are taken in blocks of
+a fixed size. Ranking per query is a window that Spark limits before the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..functions import scalars
@@ -20,6 +25,8 @@ RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
 TOP_K, CANDIDATES = 8, 20
 MAX_ATTEMPTS = 3
+#: Queries that a task holds at a time.
+QUERY_BLOCK = 2048
 
 
 def visible(points: DataFrame, project: Column | None = None) -> DataFrame:
@@ -69,15 +76,67 @@ def natural_mode(sources: Column) -> Column:
     return F.when(F.size(sources) != 1, "hybrid").when(sources[0].isin(schemas.VECTOR_SOURCES), "vector").otherwise("bm25")
 
 
-def dense_topk(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank: exact cosine of `vector` with every point's `dense`, best k.
-
-    Every query meets every point: this is the stated query set against all rows.
-    Each task keeps its best k of a query before anything is shuffled.
+def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], key: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """Union of answer(part) over parts of queries of about `block` rows, so that what a task holds of them is bounded."""
+    parts = max(1, -(-queries.count() // block))
+    if parts == 1:
+        return answer(queries)
+    out = None
+    for k in range(parts):
+        part = answer(queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _nearest(ids: list, matrix: np.ndarray, k: int, schema: pa.Schema):
+    """mapInArrow function: the best k points of each query within a batch."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [i for i, v in enumerate(batch.column(1)) if v.is_valid and len(v) == matrix.shape[1] and not v.values.null_count]
+            if not keep or not ids:
+                continue
+            point_ids = batch.column(0).take(pa.array(keep))
+            x = np.stack([batch.column(1)[i].values.to_numpy(zero_copy_only=False) for i in keep]).astype(np.float64)
+            norms = np.sqrt((x * x).sum(1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = np.round(matrix @ (x / norms[:, None]).T, 12)
+            order = np.array(pc.rank(point_ids, tiebreaker="first"))
+            picked, at, value = [], [], []
+            for q in range(len(ids)):
+                row = scores[q]
+                near = np.flatnonzero(np.isfinite(row))
+                if len(near) > k:
+                    near = near[row[near] >= np.partition(row[near], -k)[-k]]
+                near = near[np.lexsort((order[near], -row[near]))][:k]
+                picked += [ids[q]] * len(near)
+                at.append(near)
+                value.append(row[near])
+            yield pa.RecordBatch.from_arrays([pa.array(picked, schema.field(0).type), point_ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(value))], schema.names)
+
+    return run
+
+
+def dense_topk(queries: DataFrame, points: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, score, rank: exact cosine of `vector` with every point's `dense`, best k; zero vectors match nothing.
+
+    A stated query set against all rows, in blocks of queries: a task holds a block
+    as a matrix, multiplies it with each batch of points and gives the batch's best
+    k, so the rows shuffled are k for each query and batch. Scores have 12 decimals.
     """
-    met = points.select("id", "dense").join(F.broadcast(queries.select("query_id", "vector")))
-    scored = met.select("query_id", "id", scalars.cosine("vector", "dense").alias("score")).where("score IS NOT NULL")
-    return first_n(scored, ["query_id"], [F.desc("score"), "id"], k)
+    out_type = points.select(F.lit(0).alias("query_id"), "id").schema
+    schema = queries.select("query_id").schema.add(out_type["id"]).add("score", "double")
+
+    def answer(part: DataFrame) -> DataFrame:
+        rows = part.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("v")).where("size(v) > 0").collect()
+        width = max([len(r["v"]) for r in rows], default=1)
+        usable = [r for r in rows if len(r["v"]) == width and None not in r["v"] and any(r["v"])]
+        matrix = np.array([r["v"] for r in usable]).reshape(-1, width)
+        matrix = matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))
+        found = points.select("id", "dense").mapInArrow(_nearest([r["query_id"] for r in usable], matrix, k, to_arrow_schema(schema)), schema)
+        return first_n(found, ["query_id"], [F.desc("score"), "id"], k)
+
+    return in_blocks(queries, answer, block=block)
 
 
 def postings(points: DataFrame, text: str = "content") -> DataFrame:

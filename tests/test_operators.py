@@ -303,3 +303,12 @@ def test_feedback(spark):
     choices = [("a", 0, "Project", "Other options"), ("a", 1, "Other options", "Recall memory"), ("b", 0, "Project", "Other options"), ("c", 0, "Project", "x"), ("d", 0, "y", "Cancel"), ("d", 1, "Other options", "Recall memory")]
     got = agent.feedback_phase(spark.createDataFrame(choices, "run_id string, position int, header string, option string"))
     assert rows(got) == [("a", "generic_recall"), ("b", "other_pending"), ("c", None), ("d", "cancelled")]
+
+
+def test_dense_search_in_blocks(spark):
+    vectors = spark.createDataFrame([(k, [float(k % 5), 1.0, float(k % 3)]) for k in range(40)] + [(90, None), (91, [0.0, 0.0, 0.0]), (92, [1.0])], "id int, dense array<float>")
+    queries = spark.createDataFrame([(k, [float(k), 1.0, 0.5]) for k in range(7)] + [(8, None), (9, [0.0, 0.0, 0.0])], "query_id int, vector array<double>")
+    whole, parts = retrieval.dense_topk(queries, vectors, 6), retrieval.dense_topk(queries, vectors.repartition(7), 6, block=2)
+    assert rows(whole) == rows(parts) and whole.count() == 42
+    first = whole.where("query_id = 0").orderBy("rank").collect()
+    assert [r.id for r in first[:5]] == [10, 25, 0, 15, 30] and first[2].score == first[4].score
