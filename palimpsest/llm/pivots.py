@@ -1,6 +1,7 @@
 """Embedding near-duplicates with a pivot-permutation index.
 
-Reference points (pivots) are vectors of the table, chosen by hash. A vector is
+Reference points (pivots) are vectors of the table, chosen by hash and apart from
+one another. A vector is
 described by its PREFIX nearest pivots in order. Inverted lists lead from each
 pivot to the vectors that have it among them. Two vectors are candidates if they
 share at least MIN_SHARED pivots; they meet in the list of the first pivot they
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import Scratch
+from .storage import Scratch, table
 
 THRESHOLD = 0.95
 PREFIX, MIN_SHARED = 8, 2
 #: The number of pivots is PIVOT_RATE times the root of the number of vectors, within these bounds.
 PIVOT_RATE, PIVOTS_LEAST, PIVOTS_MOST = 3.0, 64, 4096
+#: Pivots are taken from so many times as many vectors, with cosines below APART.
+PIVOT_OFFER, APART = 2, 0.75
 BLOCK = 256
 
 
@@ -50,6 +53,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def apart(offered: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` of the vectors offered that are not within APART of one taken before.
+
+    A dense group so has one pivot. Several would be ordered by chance within the group.
+    """
+    taken = np.empty((most, offered.shape[1]))
+    n = 0
+    for x in offered:
+        if n < most and (n == 0 or (taken[:n] @ x).max() < APART):
+            taken[n] = x
+            n += 1
+    return taken[:n]
+
+
 def _classes(batches):
     """vec_id, embedding -> vec_id, width, vec (bytes) and key of usable vectors, nulls for others."""
     for batch in batches:
@@ -157,8 +174,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     linking = rows.where((F.col("width") == width) & F.col("vec_id").isNotNull())
     classes = scratch.keep(linking.groupBy("vec_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "classes")
     n = classes.count()
-    chosen = classes.select("vec_key", "vec").orderBy("vec_key").limit(pivots or pivot_count(n)).collect()
-    points = unit(np.stack([np.frombuffer(r["vec"], np.float32 if len(r["vec"]) == 4 * width else np.float64) for r in chosen]))
+    most = pivots or pivot_count(n)
+    offered = classes.select("vec_key", "vec").orderBy("vec_key").limit(PIVOT_OFFER * most).collect()
+    points = apart(unit(np.stack([np.frombuffer(r["vec"], np.float32 if len(r["vec"]) == 4 * width else np.float64) for r in offered])), most)
     indexed = classes.select("rep", "vec", "weight").mapInArrow(_nearest(points, prefix), "rep long, vec binary, weight long, nearest array<int>")
     indexed = scratch.keep(indexed, "indexed")
     lists = indexed.select(F.explode("nearest").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select(F.col("pivot").alias("p"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
@@ -182,7 +200,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 
 def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 ORACLE = """
