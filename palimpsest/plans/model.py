@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CATEGORY_TYPES, L2_CATEGORIES
+from ..shipping import ship
 
 NOW, CURSOR_AT = "TIMESTAMP '2024-01-29 12:00:00'", "TIMESTAMP '2024-01-29 00:00:00'"
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -107,6 +108,7 @@ class Catalog(dict):
     def add(self, name: str, sql: str | None = None):
         def put(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
                 return build(lambda table: view(spark, sf_dir, table))
 
             self[name] = Query(run, None if sql is None else oracle(sql))
