@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, table
 from .textkit import utf8
 
 WIDTH = 13
@@ -177,15 +177,15 @@ def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = search_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = search_benchmark(docs, table(spark, sf_dir, "benchmark"))
     return judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated."""
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("words_text"))
-    found = search_benchmark(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col="words_text")
+    found = search_benchmark(plain, table(spark, sf_dir, "benchmark"), text_col="words_text")
     return judge(found).where(~F.col("contaminated")).select("row.*")
 
 

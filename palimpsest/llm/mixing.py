@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, table
 from .textkit import utf8
 
 CAP = 3.0
@@ -185,7 +185,7 @@ def _with_size(rows: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mix_sizes(word_counts(docs))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("row")).drop("row")
 

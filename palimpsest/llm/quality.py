@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import fold, sample_ids
+from .storage import table
 from .textkit import utf8
 
 FOLDS, HELD_OUT = 5, 0
@@ -182,13 +183,13 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text", threshold
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    model = train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("scored_text"))
     return score(kept, model, "scored_text").where("predicted = 1").select("row.*")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """Folder named by spark.checkpoint.dir; where that is unset (tests), a folder of our own is set."""
@@ -26,6 +28,7 @@ class Scratch:
     """A private folder below the shared root, for the tables one operator writes on its way."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -55,4 +58,6 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder; the package's code goes to the executors before it is read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
