@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, table
 from .textkit import utf8
 
 DICT_MAGIC, PAD_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
@@ -157,10 +157,14 @@ def read_archive(data: bytes):
             raise ArchiveError(f"unknown magic {magic:#x}")
 
 
-def train_dictionary(pages: DataFrame, payload_col: str = "html") -> bytes:
-    """Dictionary from at most SAMPLE_ROWS payloads, of each at most SAMPLE_BYTES; empty if they are too few."""
-    rows = pages.where(F.length(payload_col) > 0).select(F.xxhash64(payload_col).alias("h"), F.substring(payload_col, 1, SAMPLE_BYTES).alias("p")).distinct().orderBy("h", "p").limit(SAMPLE_ROWS).collect()
-    samples = [r["p"].encode() for r in rows]
+def train_dictionary(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> bytes:
+    """Dictionary from at most SAMPLE_ROWS payloads, of each at most SAMPLE_BYTES; empty if they are too few.
+
+    Rows are chosen by a hash of the id, so that tasks send ids alone to be ranked.
+    """
+    ids = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chosen"), F.xxhash64(id_col).alias("h")).orderBy("h", "chosen").limit(SAMPLE_ROWS).select("chosen").distinct()
+    texts = pages.join(F.broadcast(ids), F.col(id_col) == F.col("chosen"), "left_semi").select(F.substring(payload_col, 1, SAMPLE_BYTES).alias("p")).where("length(p) > 0")
+    samples = sorted(r["p"].encode() for r in texts.distinct().limit(SAMPLE_ROWS).collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -193,7 +197,7 @@ def _frames(raw: bytes):
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> None:
     """Write a record for each row of pages to .warc.zst-format files below path."""
-    raw = train_dictionary(pages, payload_col)
+    raw = train_dictionary(pages, id_col, payload_col)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     keyed = slim.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     firsts = keyed.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -239,7 +243,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "archive").path("warc")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    write_archives(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1), F.lit("")).cast("long")
     return read_archives(spark, path, with_payload=False).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
 
