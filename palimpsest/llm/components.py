@@ -20,25 +20,25 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Self-loops and repeated edges are fine; null ends are ignored. No edges: no rows.
     """
-    edges = scratch.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = scratch.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", small=True)
     names = None
     while not edges.isEmpty():
         both = edges.select(F.col("b").alias("v"), F.col("a").alias("u")).unionByName(edges.select(F.col("a").alias("v"), F.col("b").alias("u")))
         hooks = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p"))
-        hooks = scratch.keep(hooks, "hooks")
+        hooks = scratch.keep(hooks, "hooks", small=True)
         up = hooks.select(F.col("v").alias("w"), F.col("p").alias("q"))
         once = hooks.join(up, F.col("p") == F.col("w")).select("v", F.col("q").alias("p"))
-        jumped = scratch.keep(once, "once")
+        jumped = scratch.keep(once, "once", small=True)
         up = jumped.select(F.col("v").alias("w"), F.col("p").alias("q"))
-        parents = scratch.keep(jumped.join(up, F.col("p") == F.col("w")).select("v", F.col("q").alias("p")), "parents")
+        parents = scratch.keep(jumped.join(up, F.col("p") == F.col("w")).select("v", F.col("q").alias("p")), "parents", small=True)
         if names is None:
             moved = parents.select(F.col("v").alias("id"), F.col("p").alias("component"))
         else:
             moved = names.join(parents, F.col("component") == F.col("v"), "left").select("id", F.coalesce("p", "component").alias("component"))
-        old_names, names = names, scratch.keep(moved, "names")
+        old_names, names = names, scratch.keep(moved, "names", small=True)
         at_a = edges.join(parents.select(F.col("v").alias("va"), F.col("p").alias("pa")), F.col("a") == F.col("va")).select("pa", "b")
         at_b = at_a.join(parents.select(F.col("v").alias("vb"), F.col("p").alias("pb")), F.col("b") == F.col("vb")).where("pa <> pb")
-        old_edges, edges = edges, scratch.keep(at_b.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        old_edges, edges = edges, scratch.keep(at_b.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges", small=True)
         scratch.drop(old_edges, hooks, jumped, parents)
         if old_names is not None:
             scratch.drop(old_names)

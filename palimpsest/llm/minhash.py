@@ -168,7 +168,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int, scratch: Scratch,
     left = sets.select(F.col("id").alias("ia"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("ib"), F.col("shingles").alias("sb"))
     met = pairs.join(left, F.col("a") == F.col("ia")).select("a", "b", "sa").join(right, F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
-    return scratch.keep(met.mapInArrow(_confirm(share), "a long, b long"), f"links-{name}")
+    return scratch.keep(met.mapInArrow(_confirm(share), "a long, b long"), f"links-{name}", small=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, block: int = BLOCK) -> DataFrame:
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.join(needed, F.col("doc_id") == F.col("need"), "left_semi")
     sets = scratch.keep(texts.mapInArrow(_sets, "id long, shingles binary, bands array<long>, odd binary"), "sets")
 
-    star = scratch.keep(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    star = scratch.keep(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star", small=True)
     links = _confirmed(star, sets, share, scratch, "star")
     names = connected_components(links, scratch)
 
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.select("bucket", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("bucket", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") == F.col("other")).alias("diagonal"))
     sketched = dealt.join(sets.select(F.col("id").alias("r"), "bands", "odd"), F.col("rep") == F.col("r")).drop("r")
-    pairs = scratch.keep(sketched.groupBy("bucket", "low", "high").applyInArrow(_within_block(share), "a long, b long").distinct(), "pairs")
+    pairs = scratch.keep(sketched.groupBy("bucket", "low", "high").applyInArrow(_within_block(share), "a long, b long").distinct(), "pairs", small=True)
     more = _confirmed(pairs, sets, share, scratch, "blocks")
     scratch.drop(members, star, named, sets)
 

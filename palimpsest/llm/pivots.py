@@ -184,7 +184,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("rep", "vec", "weight", "nearest", "pivot", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") == F.col("other")).alias("diagonal"))
-    found = scratch.keep(dealt.groupBy("pivot", "low", "high").applyInArrow(_compare(width, threshold, min_shared), "id long, linked long, other long"), "found")
+    found = scratch.keep(dealt.groupBy("pivot", "low", "high").applyInArrow(_compare(width, threshold, min_shared), "id long, linked long, other long"), "found", small=True)
     counts = found.where("other IS NULL").groupBy("id").agg(F.sum("linked").alias("linked"))
     names = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     named = (

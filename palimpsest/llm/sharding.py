@@ -74,7 +74,7 @@ def _assign(rows: DataFrame, limit_bytes: int, level: int) -> DataFrame:
     floor, rounds, todo = 0, [], keyed
     while True:
         cells = todo.groupBy(_cell(F.col("key"), depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
-        leaves = scratch.keep(_leaves(cells, depth, floor, limit_bytes), f"depth{depth}")
+        leaves = scratch.keep(_leaves(cells, depth, floor, limit_bytes), f"depth{depth}", small=True)
         rounds.append((depth, leaves.where("d IS NOT NULL")))
         over = leaves.where("d IS NULL").select("cell")
         done = over.isEmpty()

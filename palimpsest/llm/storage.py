@@ -37,9 +37,15 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and return the table read back; the lineage ends there."""
+    def keep(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Write df as Parquet and return the table read back; the lineage ends there.
+
+        small: of few bytes beside the input (ids, links, counts); it is written in
+        as many files as there are cores, not one for each shuffle partition.
+        """
         path = self.path(name)
+        if small:
+            df = df.coalesce(max(2, self.spark.sparkContext.defaultParallelism))
         df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._palimpsest_path = path
