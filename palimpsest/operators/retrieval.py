@@ -139,21 +139,30 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int, block: int = QUERY
     return in_blocks(queries, answer, block=block)
 
 
-def postings(points: DataFrame, text: str = "content") -> DataFrame:
-    """id, term, tf, length of each distinct term of a point."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))
-    listed = points.select("id", terms.alias("terms")).select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+def _term_list(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+
+
+def postings(points: DataFrame, text: str = "content", terms: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, length of each distinct term of a point; of the terms given only, which are dropped before the shuffle."""
+    listed = points.select("id", _term_list(text).alias("terms")).select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    if terms is not None:
+        listed = listed.join(terms.select(F.col("term").alias("asked")).distinct(), F.col("term") == F.col("asked"), "left_semi")
     return listed.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25_weights(posts: DataFrame, k1: float = BM25_K1, b: float = BM25_B, idf: bool = False) -> DataFrame:
-    """id, term, weight by Robertson's formula; without idf the weight is the saturated term frequency."""
-    stats = posts.select("id", "length").distinct().agg(F.avg("length").alias("mean_length"), F.count("*").alias("n"))
-    out = posts.join(F.broadcast(stats))
+def bm25_weights(points: DataFrame, terms: DataFrame | None = None, text: str = "content", k1: float = BM25_K1, b: float = BM25_B, idf: bool = False) -> DataFrame:
+    """id, term, weight by Robertson's formula; without idf the weight is the saturated term frequency.
+
+    Lengths are averaged over all points with a term, whatever terms are asked for.
+    """
+    size = points.select(F.size(_term_list(text)).alias("length")).where("length > 0")
+    stats = size.agg(F.avg("length").alias("mean_length"), F.count("*").alias("n"))
+    posts = postings(points, text, terms)
+    out = posts.join(F.broadcast(stats))  # one row
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     if idf:
-        df = posts.groupBy("term").agg(F.count("*").alias("df"))
-        out = out.join(df, "term")
+        out = out.join(posts.groupBy("term").agg(F.count("*").alias("df")), "term")
         weight *= F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return out.select("id", "term", weight.alias("weight"))
 
@@ -228,15 +237,16 @@ def search(queries: DataFrame, points: DataFrame, mode: str, k: int = TOP_K, wei
     dense = dense_topk(queries, points, k) if mode != "bm25" else None
     if mode == "vector":
         return dense
-    sparse = sparse_topk(query_weights(queries), bm25_weights(postings(points)) if weights is None else weights, k)
+    asked = query_weights(queries)
+    sparse = sparse_topk(asked, bm25_weights(points, asked) if weights is None else weights, k)
     return sparse if mode == "bm25" else fuse(dense, sparse, k=k)
 
 
-def recall(queries: DataFrame, points: DataFrame, mode: str = "hybrid", k: int = TOP_K, least: float | None = None) -> DataFrame:
-    """Search, rerank and threshold; k is the pool before reranking."""
+def recall(queries: DataFrame, points: DataFrame, mode: str = "hybrid", k: int = TOP_K, least: float | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """Search, rerank and threshold; k is the pool before reranking. weights: a stored table of bm25_weights."""
     if k <= 0:
         raise ValueError("k must be positive")
-    found = search(queries, points, mode, k)
+    found = search(queries, points, mode, k, weights)
     content = points.select("id", "source_table", "title", "content")
     return above(keyword_rerank(found.join(content, "id"), queries), least)
 

@@ -75,8 +75,8 @@ _BM25 = f"""posts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_
 
 @add("sparse_topk", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 8")
 def sparse_topk(t):
-    weights = retrieval.bm25_weights(retrieval.postings(t("points")))
-    return retrieval.sparse_topk(retrieval.query_weights(t("queries")), weights, retrieval.TOP_K).withColumn("score", F.round("score", 6))
+    asked = retrieval.query_weights(t("queries"))
+    return retrieval.sparse_topk(asked, retrieval.bm25_weights(t("points"), asked), retrieval.TOP_K).withColumn("score", F.round("score", 6))
 
 
 def _hybrid(t):

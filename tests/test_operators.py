@@ -1,6 +1,7 @@
 """Operators on hand-made rows; the queries' SQL covers the driver's tables."""
 
 import datetime as dt
+import math
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -312,3 +313,14 @@ def test_dense_search_in_blocks(spark):
     assert rows(whole) == rows(parts) and whole.count() == 42
     first = whole.where("query_id = 0").orderBy("rank").collect()
     assert [r.id for r in first[:5]] == [10, 25, 0, 15, 30] and first[2].score == first[4].score
+
+
+def test_bm25(spark):
+    points = spark.createDataFrame([(1, "aa aa bb"), (2, "aa cc"), (3, "!")], "id int, content string")
+    asked = spark.createDataFrame([("aa",)], "term string")
+    tf = lambda n, size: n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / 2.5))
+    whole = {(r.id, r.term): r.weight for r in retrieval.bm25_weights(points).collect()}
+    assert whole == pytest.approx({(1, "aa"): tf(2, 3), (1, "bb"): tf(1, 3), (2, "aa"): tf(1, 2), (2, "cc"): tf(1, 2)})
+    some = {(r.id, r.term): r.weight for r in retrieval.bm25_weights(points, asked, idf=True).collect()}
+    rare = math.log1p(0.5 / 2.5)
+    assert some == pytest.approx({(1, "aa"): tf(2, 3) * rare, (2, "aa"): tf(1, 2) * rare})
