@@ -58,21 +58,29 @@ def recent_scene(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("scope").agg(F.max_by("scene_name", F.struct("created_at", "id")).alias("scene_name"))
 
 
-def after_cursor(turns: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Turns beyond their session's cursor, all where there is none."""
+def _beyond_cursor(turns: DataFrame, cursors: DataFrame) -> DataFrame:
+    """turns with is_new: beyond the cursor of the session, or of a session without one."""
     at = cursors.select(*[F.col(k).alias(f"c_{k}") for k in SESSION], "cursor_at", "cursor_id")
     met = turns.join(at, (F.col("session_id") == F.col("c_session_id")) & (F.col("scope") == F.col("c_scope")), "left")
     beyond = F.struct(F.col("created_at").alias("t"), F.col("id").alias("i")) > F.struct(F.col("cursor_at").alias("t"), F.col("cursor_id").alias("i"))
-    return met.where(F.col("c_session_id").isNull() | beyond).drop("c_session_id", "c_scope", "cursor_at", "cursor_id")
+    return met.withColumn("is_new", F.col("c_session_id").isNull() | beyond).drop("c_session_id", "c_scope", "cursor_at", "cursor_id")
+
+
+def after_cursor(turns: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Turns beyond their session's cursor, all where there is none."""
+    return _beyond_cursor(turns, cursors).where("is_new").drop("is_new")
+
 
+def session_status(turns: DataFrame, covered: DataFrame, cursors: DataFrame, now: Column, minutes: int = IDLE_MINUTES, cap: int = TURN_CAP) -> DataFrame:
+    """Trigger status of every session: inactivity and volume, each only where there are new turns.
 
-def session_status(turns: DataFrame, uncovered: DataFrame, cursors: DataFrame, now: Column, minutes: int = IDLE_MINUTES, cap: int = TURN_CAP) -> DataFrame:
-    """Trigger status of every session: inactivity and volume, each only where there are new turns."""
-    seen = turns.groupBy(*SESSION).agg(F.max("created_at").alias("last_turn_at"))
-    pending = uncovered.groupBy(*SESSION).agg(F.count("*").alias("pending"))
-    new = after_cursor(uncovered, cursors).groupBy(*SESSION).agg(F.lit(True).alias("has_new"))
-    out = seen.join(pending, SESSION, "left").join(new, SESSION, "left")
-    out = out.withColumn("pending", F.coalesce("pending", F.lit(0))).withColumn("has_new", F.coalesce("has_new", F.lit(False)))
+    covered has the ids of turns that are done. Turns are read once: marked by two
+    left joins, then aggregated by session.
+    """
+    marks = covered.select(F.col("id").alias("done_id")).distinct()
+    marked = _beyond_cursor(turns.join(marks, F.col("id") == F.col("done_id"), "left"), cursors)
+    open_ = F.col("done_id").isNull()
+    out = marked.groupBy(*SESSION).agg(F.max("created_at").alias("last_turn_at"), F.count_if(open_).alias("pending"), F.coalesce(F.bool_or(open_ & F.col("is_new")), F.lit(False)).alias("has_new"))
     inactivity = F.col("has_new") & (F.col("pending") > 0) & elapsed(now, F.col("last_turn_at"), minutes)
     volume = F.col("has_new") & (F.col("pending") >= cap)
     return out.withColumn("inactivity", inactivity).withColumn("volume", volume).withColumn("due", inactivity | volume)

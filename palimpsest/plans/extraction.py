@@ -27,8 +27,7 @@ _AFTER = f"SELECT u.* FROM {_UNCOVERED} u LEFT JOIN cursors k ON u.session_id =
     LEFT JOIN (SELECT DISTINCT session_id, scope FROM ({_AFTER})) n ON s.session_id = n.session_id AND s.scope = n.scope""",
 )
 def pending_trigger_status(t):
-    turns = t("turns")
-    out = pending.session_status(turns, pending.uncovered_turns(turns, t("coverage")), t("cursors"), F.expr(model.NOW), IDLE, CAP)
+    out = pending.session_status(t("turns"), t("coverage"), t("cursors"), F.expr(model.NOW), IDLE, CAP)
     return out.select("session_id", "scope", model.stamp("last_turn_at").alias("last_turn_text"), "pending", "has_new", "inactivity", "volume", "due")
 
 

@@ -30,7 +30,8 @@ def test_triggers(spark):
     turns = [(k, "idle", "s", ago(16)) for k in range(2)] + [(100 + k, "full", "s", T0) for k in range(20)] + [(200 + k, "old", "s", ago(16)) for k in range(20)] + [(300, "fresh", "s", ago(14)), (400, "edge", "s", ago(15))]
     turns = spark.createDataFrame(turns, TURN)
     cursors = spark.createDataFrame([("old", "s", ago(16), 219)], "session_id string, scope string, cursor_at timestamp, cursor_id long")
-    out = pending.session_status(turns, turns, cursors, F.lit(T0))
+    none = spark.createDataFrame([], "id long")
+    out = pending.session_status(turns, none, cursors, F.lit(T0))
     assert rows(out, "session_id", "pending", "inactivity", "volume", "due") == [("edge", 1, True, False, True), ("fresh", 1, False, False, False), ("full", 20, False, True, True), ("idle", 2, True, False, True), ("old", 20, False, False, False)]
 
 
