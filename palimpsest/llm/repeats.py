@@ -18,7 +18,8 @@ Ranks grow by doubling, and positions leave as soon as they are unique:
 A map task sends a run that it holds twice only once, and runs of a leader with
 over BATCH_CLASSES different surroundings past the sort of leaders, with one
 marker row. Leaders of over GROUP_CLASSES surroundings have their windows ranked
-as rows of their own, the others in groups. Names have 64 bits.
+as rows of their own (a task sends the first of a rank only), the others in
+groups. Names have 64 bits.
 
 Defined results: a null text is empty. Rows with a null id are left whole and are
 no source. Rows with one id and one text are one document; one id is taken to
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, table
 from .textkit import mix, utf8
 
 LENGTH = 100
@@ -44,6 +45,8 @@ SEED = 40
 BATCH_CLASSES, GROUP_CLASSES = 16, 64
 #: Bytes of a text that are named at a time.
 PIECE = 1 << 20
+#: Runs and windows that a task gathers before it sends them, and rows that it sends at a time.
+RUNS_AT_ONCE, WINDOWS_AT_ONCE, ROWS_AT_ONCE = 1_500_000, 500_000, 32_768
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = mix(np.arange(1, 257, dtype=U) * U(0x632BE59BD9B4E019))
@@ -166,6 +169,11 @@ def _batch_rows(doc, lead, run, first, last):
     )
 
 
+def _slices(batch: pa.RecordBatch):
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _find_runs(batches):
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), utf8(batch.column(1))
@@ -176,18 +184,18 @@ def _find_runs(batches):
         found, held = [], 0
 
         def rows(found):
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _batch_rows(*(np.concatenate(x) for x in zip(*found)))], _COLUMNS)
+            return _slices(pa.RecordBatch.from_arrays([pa.array(x) for x in _batch_rows(*(np.concatenate(x) for x in zip(*found)))], _COLUMNS))
 
         for i in sorted(seen.values()):
             for at, data in pieces(texts[i]):
                 lead, run, first, last = runs(data)
                 found.append((np.full(len(lead), ids[i], np.int64), lead, run, first + at, last + at))
                 held += len(lead)
-            if held > 3_000_000:
-                yield rows(found)
+            if held > RUNS_AT_ONCE:
+                yield from rows(found)
                 found, held = [], 0
         if found:
-            yield rows(found)
+            yield from rows(found)
 
 
 def _rank_leaders(batches):
@@ -250,18 +258,49 @@ def _rank_leaders(batches):
         yield out([d for d, _ in held], [p for _, p in held], [key] * len(held), [IN_GROUP] * len(held))
 
 
+def _later(rank: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows: a mask of those that are not the first of their rank, and the index of the first of each rank."""
+    order = np.lexsort((start, doc, rank))
+    r, d, s = rank[order], doc[order], start[order]
+    head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    own = np.repeat(head, np.diff(np.append(head, len(r))))
+    later = np.zeros(len(rank), bool)
+    later[order] = (d != d[own]) | (s != s[own])
+    return later, order[head]
+
+
+def _window_spans(later: np.ndarray, row: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """doc and packed span of each row of neighbouring windows that are later; row: the run that a window is of."""
+    at = np.flatnonzero(later)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])]))
+    tail = np.append(head[1:] - 1, len(at) - 1)
+    s = start[at[head]]
+    return doc[at[head]], _pack(s, start[at[tail]] - s + LENGTH)
+
+
 def _cut_windows(batches):
-    """doc, text, wanted (pos, key, kind) -> key, doc, pos, bytes: of a run for groups, or the windows with their rank as key."""
+    """doc, text, wanted (pos, key, kind) -> kind, key, doc, pos, cut.
+
+    IN_GROUP: a run of the leader `key` and its bytes. AS_ROWS: a window, its rank
+    as key, if it is the first of its rank in the batch. SPAN: of the others.
+    """
+    names = ["kind", "key", "doc", "pos", "cut"]
 
-    def out(rows):
-        key, doc, pos, cut = zip(*rows) if rows else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(cut, pa.binary())], ["key", "doc", "pos", "cut"])
+    def out(kind, key, doc, pos, cut=None):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.nulls(len(doc), pa.binary()) if cut is None else pa.array(cut, pa.binary())], names)
 
-    def ranks(key, doc, pos):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos), pa.nulls(len(key), pa.binary())], ["key", "doc", "pos", "cut"])
+    def loose_rows(loose):
+        rank, doc, start = (np.concatenate(x) for x in zip(*loose))
+        row = np.repeat(np.arange(len(loose)), [len(x[0]) for x in loose])
+        later, first = _later(rank, doc, start)
+        yield from _slices(out(AS_ROWS, rank[first], doc[first], start[first]))
+        d, p = _window_spans(later, row, doc, start)
+        yield from _slices(out(SPAN, np.zeros(len(d), np.int64), d, p))
 
     for batch in batches:
-        rows, held, loose = [], 0, []
+        rows, held, loose, n = [], 0, [], 0
         for doc, text, wanted in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2)):
             for w in wanted.as_py():
                 start, more = w["pos"] & 0xFFFFFFFF, w["pos"] >> 32
@@ -272,15 +311,17 @@ def _cut_windows(batches):
                 else:
                     r = window_ranks(np.frombuffer(cut, np.uint8)).view(np.int64)
                     loose.append((r, np.full(len(r), doc, np.int64), start + np.arange(len(r))))
-                    held += 24 * len(r)
+                    n += len(r)
             if held > 8 << 20:
-                yield out(rows)
-                if loose:
-                    yield ranks(*(np.concatenate(x) for x in zip(*loose)))
-                rows, held, loose = [], 0, []
-        yield out(rows)
+                yield out(IN_GROUP, *zip(*rows))
+                rows, held = [], 0
+            if n > WINDOWS_AT_ONCE:
+                yield from loose_rows(loose)
+                loose, n = [], 0
+        if rows:
+            yield out(IN_GROUP, *zip(*rows))
         if loose:
-            yield ranks(*(np.concatenate(x) for x in zip(*loose)))
+            yield from loose_rows(loose)
 
 
 def _rank_groups(batches):
@@ -295,20 +336,9 @@ def _rank_groups(batches):
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         rank = window_ranks(data)[offset[row] + step]
         start = (pos & 0xFFFFFFFF)[row] + step
-        order = np.lexsort((start, doc[row], rank))
-        r, d, s = rank[order], doc[row][order], start[order]
-        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        own = np.repeat(head, np.diff(np.append(head, len(r))))  # the first of each rank
-        later = np.zeros(len(row), bool)
-        later[order] = (d != d[own]) | (s != s[own])
-        at = np.flatnonzero(later)
-        if not len(at):
-            return None
-        # neighbouring windows of one run make one span
-        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])])
-        head, tail = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])
-        s = start[at[head]]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[at[head]]]), pa.array(_pack(s, start[at[tail]] - s + LENGTH))], ["doc", "pos"])
+        later, _ = _later(rank, doc[row], start)
+        d, p = _window_spans(later, row, doc[row], start)
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], ["doc", "pos"]) if len(d) else None
 
     rest: list = [[], [], [], []]
     for batch in batches:
@@ -373,13 +403,14 @@ def find_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     _free(spark)
     wanted = ranked.where(f"kind <> {SPAN}").groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("pos", "key", "kind")).alias("wanted"))
     cut = docs.join(wanted, F.col("doc") == F.col("d")).select("doc", "text", "wanted")
-    windows = scratch.keep(cut.mapInArrow(_cut_windows, "key long, doc long, pos long, cut binary"), "windows")
+    windows = scratch.keep(cut.mapInArrow(_cut_windows, "kind int, key long, doc long, pos long, cut binary"), "windows")
     _free(spark)
-    grouped = windows.where("cut IS NOT NULL").repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_rank_groups, "doc long, pos long")
-    loose = windows.where("cut IS NULL").select("key", "doc", "pos")
+    grouped = windows.where(f"kind = {IN_GROUP}").select("key", "doc", "pos", "cut").repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_rank_groups, "doc long, pos long")
+    loose = windows.where(f"kind = {AS_ROWS}").select("key", "doc", "pos")
     first = loose.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "first")
     later = loose.join(first, F.col("key") == F.col("k")).where(F.struct("doc", "pos") != F.col("first")).select("doc", F.col("pos").bitwiseOR(F.lit(LENGTH << 32)).alias("pos"))
-    spans = ranked.where(f"kind = {SPAN}").select("doc", "pos").unionByName(grouped).unionByName(later)
+    known = ranked.where(f"kind = {SPAN}").select("doc", "pos").unionByName(windows.where(f"kind = {SPAN}").select("doc", "pos"))
+    spans = known.unionByName(grouped).unionByName(later)
     spans = scratch.keep(spans.groupBy("doc").agg(F.collect_set("pos").alias("spans")), "spans")
     scratch.drop(ranked, windows)
     return spans
@@ -422,4 +453,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
