@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Name space of UUIDs of URLs (RFC 9562).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+# What ids of captured events and derived sessions start with.
+EVENT_PREFIX, SESSION_PREFIX, MESSAGE_PREFIX = "agno:", "agno-session:", "agno-message-"
 HEADING = r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 #: Signs of a transient overload in an error text.
@@ -68,7 +70,7 @@ def strip_fence(text: Column) -> Column:
 
 def event_key(run_id: Column, suffix: Column) -> Column:
     """Event id of a run; null without a run id."""
-    return F.when(F.length(run_id) > 0, F.concat(F.lit("agno:"), run_id, F.lit(":"), suffix))
+    return F.when(F.length(run_id) > 0, F.concat(F.lit(EVENT_PREFIX), run_id, F.lit(":"), suffix))
 
 
 def uuid5(text: Column, namespace: str = URL_NAMESPACE) -> Column:
@@ -80,7 +82,7 @@ def uuid5(text: Column, namespace: str = URL_NAMESPACE) -> Column:
 
 def session_uuid(session: Column) -> Column:
     """A session's UUID: its own if it is one, else derived from its text."""
-    return F.when(session.rlike(UUID), F.lower(session)).otherwise(uuid5(F.concat(F.lit("agno-session:"), session)))
+    return F.when(session.rlike(UUID), F.lower(session)).otherwise(uuid5(F.concat(F.lit(SESSION_PREFIX), session)))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, event_key, find_issue_key, serialized
+from ..functions.text import MESSAGE_PREFIX, blank_to_null, event_key, find_issue_key, serialized
 
 #: Words that lead a message to a workflow, in order of precedence.
 INTENTS = [
@@ -40,7 +40,7 @@ def run_events(runs: DataFrame) -> DataFrame:
     end = F.struct(F.col("m").alias("m"), F.lit(1 << 30).alias("c"))
     texts = event(assistant, end, "assistant", serialized(F.col("message.content")), none, none, F.concat(F.lit("message:"), number, F.lit(":content"))).where("content IS NOT NULL")
     suffix = F.concat(F.lit("message:"), number, F.lit(":tool-result"))
-    call_id = F.coalesce(blank_to_null(F.col("message.tool_call_id")), event_key(F.col("run_id"), suffix), F.concat(F.lit("agno-message-"), number, F.lit("-tool-result")))
+    call_id = F.coalesce(blank_to_null(F.col("message.tool_call_id")), event_key(F.col("run_id"), suffix), F.concat(F.lit(MESSAGE_PREFIX), number, F.lit("-tool-result")))
     results = event(tool, end, "tool", serialized(F.col("message.content")), blank_to_null(F.col("message.tool_name")), call_id, suffix).where("content IS NOT NULL")
     silent = runs.where(~F.exists(F.coalesce("messages", F.array().cast(MESSAGES)), lambda m: (m["role"] == "assistant") & serialized(m["content"]).isNotNull()))
     closing = event(silent, F.struct(F.lit(1 << 30).alias("m"), F.lit(0).alias("c")), "assistant", serialized(F.col("content")), none, none, F.lit("assistant")).where("content IS NOT NULL")

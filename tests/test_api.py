@@ -14,25 +14,25 @@ T0 = dt.datetime(2024, 1, 1)
 
 def test_memory(spark, tmp_path):
     def encoder(texts):  # local, so that it is sent by value
-        words = ["qdrant", "postgres", "spark"]
+        words = ["quartz", "postgres", "spark"]
         return [[float(t.lower().count(w)) + 0.01 for w in words] for t in texts]
 
     memory = Memory(spark, f"file://{tmp_path}/m", encoder, 3)
-    said = spark.createDataFrame([("s", "Qdrant holds the vectors", "fact"), ("s", "Postgres holds the rows", "decision"), ("t", "Spark runs the plans", "fact")], "scope string, statement string, category string")
+    said = spark.createDataFrame([("s", "Quartz holds the vectors", "fact"), ("s", "Postgres holds the rows", "decision"), ("t", "Spark runs the plans", "fact")], "scope string, statement string, category string")
     written = memory.remember(said).collect()
     assert len(written) == 3 and len({r.id for r in written}) == 3
     ids = {r.statement.split()[0]: r.id for r in written}
-    asked = spark.createDataFrame([(0, "where are qdrant vectors"), (1, "postgres rows")], "query_id int, query string")
+    asked = spark.createDataFrame([(0, "where are quartz vectors"), (1, "postgres rows")], "query_id int, query string")
     got = memory.recall(asked, sources=["atoms"], scope="s", least=0.3).collect()
-    assert {(r.query_id, r.id) for r in got} == {(0, ids["Qdrant"]), (1, ids["Postgres"])}
-    assert {(r.query_id, r.id) for r in memory.search_candidates(asked, k=1, sources=["atoms"], mode="bm25").collect()} == {(0, ids["Qdrant"]), (1, ids["Postgres"])}
+    assert {(r.query_id, r.id) for r in got} == {(0, ids["Quartz"]), (1, ids["Postgres"])}
+    assert {(r.query_id, r.id) for r in memory.search_candidates(asked, k=1, sources=["atoms"], mode="bm25").collect()} == {(0, ids["Quartz"]), (1, ids["Postgres"])}
     memory.update(spark.createDataFrame([(ids["Postgres"], "DuckDB holds the rows")], "id string, statement string"))
     fetched = memory.fetch(spark.createDataFrame([(i,) for i in ids.values()], "id string")).collect()
-    assert {r.content for r in fetched} == {"Qdrant holds the vectors", "DuckDB holds the rows", "Spark runs the plans"}
-    gone = memory.forget(spark.createDataFrame([(ids["Qdrant"],), ("none",)], "id string")).collect()
-    assert {(r.id, r.found) for r in gone} == {(ids["Qdrant"], True), ("none", False)}
+    assert {r.content for r in fetched} == {"Quartz holds the vectors", "DuckDB holds the rows", "Spark runs the plans"}
+    gone = memory.forget(spark.createDataFrame([(ids["Quartz"],), ("none",)], "id string")).collect()
+    assert {(r.id, r.found) for r in gone} == {(ids["Quartz"], True), ("none", False)}
     assert memory.recall(asked, sources=["atoms"], scope="s", least=0.4).where("query_id = 0").count() == 0
-    assert memory.fetch(spark.createDataFrame([(ids["Qdrant"],)], "id string")).count() == 0
+    assert memory.fetch(spark.createDataFrame([(ids["Quartz"],)], "id string")).count() == 0
     with pytest.raises(Exception, match="category"):
         memory.remember(said.withColumn("category", F.lit("x")))
     with pytest.raises(ValueError):

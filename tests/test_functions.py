@@ -14,7 +14,7 @@ def one(spark, column, **values):
     return row.select(column.alias("out")).first().out
 
 
-@pytest.mark.parametrize("value, want", [("Qdrant, the DB_2 a! é1", ["qdrant", "the", "db_2"]), ("", []), ("Étion", ["tion"])])
+@pytest.mark.parametrize("value, want", [("Quartz, the DB_2 a! é1", ["quartz", "the", "db_2"]), ("", []), ("Étion", ["tion"])])
 def test_tokens(spark, value, want):
     assert one(spark, text.tokens(F.col("t")), t=value) == want
 

@@ -115,7 +115,7 @@ POINT = "id int, scope string, source_table string, title string, content string
 
 @pytest.fixture
 def points(spark):
-    data = [(1, "s", "atoms", None, "Qdrant retrieval index", None, None, None, [1.0, 0.0]), (2, "s", "docs", "T", "Postgres tables", None, False, False, [0.0, 1.0]), (3, "s", "docs", "P", "Qdrant project", 7, False, False, [1.0, 0.1]), (4, "s", "atoms", None, "Qdrant gone", None, True, None, [1.0, 0.0]), (5, "s", "atoms", None, "Qdrant old", None, None, True, [1.0, 0.0])]
+    data = [(1, "s", "atoms", None, "Quartz retrieval index", None, None, None, [1.0, 0.0]), (2, "s", "docs", "T", "Postgres tables", None, False, False, [0.0, 1.0]), (3, "s", "docs", "P", "Quartz project", 7, False, False, [1.0, 0.1]), (4, "s", "atoms", None, "Quartz gone", None, True, None, [1.0, 0.0]), (5, "s", "atoms", None, "Quartz old", None, None, True, [1.0, 0.0])]
     return spark.createDataFrame(data, POINT)
 
 
@@ -127,7 +127,7 @@ def test_project_isolation(points):
 
 @pytest.mark.parametrize("mode, first", [("vector", 2), ("bm25", 1), ("hybrid", 1)])
 def test_modes(spark, points, mode, first):
-    queries = spark.createDataFrame([(0, "qdrant retrieval", [0.2, 1.0])], "query_id int, query string, vector array<double>")
+    queries = spark.createDataFrame([(0, "quartz retrieval", [0.2, 1.0])], "query_id int, query string, vector array<double>")
     got = retrieval.search(queries, retrieval.visible(points), mode, 5).orderBy("rank").collect()
     assert got[0].id == first
     with pytest.raises(ValueError):
@@ -136,7 +136,7 @@ def test_modes(spark, points, mode, first):
 
 def test_threshold_after_reranking(spark, points):
     pool = points.where("id = 1").select(F.lit(0).alias("query_id"), "id", "content", F.lit(0.99).alias("score"))
-    for query, kept in (("Postgres", 0), ("Qdrant", 1)):
+    for query, kept in (("Postgres", 0), ("Quartz", 1)):
         queries = spark.createDataFrame([(0, query)], "query_id int, query string")
         assert retrieval.above(retrieval.keyword_rerank(pool, queries), 0.5).count() == kept
     with pytest.raises(ValueError):
