@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_pivots": pivots.ORACLE,
         "op2_sharding": sharding.ORACLE,
         "op5_minhash": minhash.ORACLE,
+        "op6_repeats": repeats.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
         "op9_archive": archive.ORACLE,

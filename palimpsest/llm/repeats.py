@@ -122,6 +122,10 @@ def pieces(text: bytes):
 _COLUMNS = ["key", "kind", "run", "doc", "pos"]
 
 
+#: Tasks that cut windows, for each core of the cluster, at most.
+TASKS_PER_CORE = 4
+
+
 def _pack(start: np.ndarray, more: np.ndarray) -> np.ndarray:
     return start.astype(np.int64) | (more.astype(np.int64) << 32)
 
@@ -403,6 +407,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     _free(spark)
     wanted = ranked.where(f"kind <> {SPAN}").groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("pos", "key", "kind")).alias("wanted"))
     cut = docs.join(wanted, F.col("doc") == F.col("d")).select("doc", "text", "wanted")
+    # fewer tasks than shuffle partitions where these are many: a task sends each rank once
+    cut = cut.coalesce(TASKS_PER_CORE * max(2, spark.sparkContext.defaultParallelism))
     windows = scratch.keep(cut.mapInArrow(_cut_windows, "kind int, key long, doc long, pos long, cut binary"), "windows")
     _free(spark)
     grouped = windows.where(f"kind = {IN_GROUP}").select("key", "doc", "pos", "cut").repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_rank_groups, "doc long, pos long")
@@ -411,7 +417,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     later = loose.join(first, F.col("key") == F.col("k")).where(F.struct("doc", "pos") != F.col("first")).select("doc", F.col("pos").bitwiseOR(F.lit(LENGTH << 32)).alias("pos"))
     known = ranked.where(f"kind = {SPAN}").select("doc", "pos").unionByName(windows.where(f"kind = {SPAN}").select("doc", "pos"))
     spans = known.unionByName(grouped).unionByName(later)
-    spans = scratch.keep(spans.groupBy("doc").agg(F.collect_set("pos").alias("spans")), "spans")
+    spans = scratch.keep(spans.groupBy("doc").agg(F.collect_set("pos").alias("spans")), "spans", small=True)
     scratch.drop(ranked, windows)
     return spans
 
@@ -438,8 +444,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = find_repeats(known, scratch)
     _free(spark)
     cut = known.join(spans.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "text", "spans")
-    done = scratch.keep(cut.mapInArrow(_cut_out, "doc long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc"]), "done")
-    scratch.drop(spans)
+    done = cut.mapInArrow(_cut_out, "doc long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc"])
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     whole = copy & (F.col("n_bytes") >= LENGTH)
     out = rows.join(firsts, F.col("text_key") == F.col("k"), "left").join(done, F.col("doc_id") == F.col("doc"), "left")
@@ -454,3 +459,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, c, h[800 * c + 1 : 800 * c + 998] AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 800 + 1)) AS c FROM d)),
+w AS (SELECT doc_id, 400 * c + q AS p, md5_number(part[2 * q + 1 : 2 * q + 200]) AS k FROM (SELECT doc_id, c, part, unnest(range(0, greatest(0, length(part) // 2 - 99))) AS q FROM b)),
+f AS (SELECT k, min(doc_id * 1000000000 + p) AS first FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, p FROM w JOIN f USING (k) WHERE doc_id * 1000000000 + p <> first),
+g AS (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS n FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, g),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(h[2 * x + 1 : 2 * y], '' ORDER BY x) AS kept FROM (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT doc_id, last, length(h) // 2 FROM t JOIN d USING (doc_id)) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
