@@ -122,8 +122,8 @@ def pieces(text: bytes):
 _COLUMNS = ["key", "kind", "run", "doc", "pos"]
 
 
-#: Tasks that cut windows, for each core of the cluster, at most.
-TASKS_PER_CORE = 4
+#: Tasks that cut windows: so many for each core, or more where a task would get more bytes of text.
+TASKS_PER_CORE, TASK_BYTES = 4, 64 << 20
 
 
 def _pack(start: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -395,8 +395,8 @@ def _free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, spans: packed spans (start | length << 32) to remove, of documents (doc, text) that have any.
+def find_repeats(docs: DataFrame, scratch: Scratch, n_bytes: int) -> DataFrame:
+    """doc, spans: packed spans (start | length << 32) to remove, of documents (doc, text; n_bytes in all) that have any.
 
     Documents equal to one of a smaller id may be missing.
     """
@@ -408,7 +408,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = ranked.where(f"kind <> {SPAN}").groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("pos", "key", "kind")).alias("wanted"))
     cut = docs.join(wanted, F.col("doc") == F.col("d")).select("doc", "text", "wanted")
     # fewer tasks than shuffle partitions where these are many: a task sends each rank once
-    cut = cut.coalesce(TASKS_PER_CORE * max(2, spark.sparkContext.defaultParallelism))
+    cut = cut.coalesce(max(TASKS_PER_CORE * max(2, spark.sparkContext.defaultParallelism), -(-n_bytes // TASK_BYTES)))
     windows = scratch.keep(cut.mapInArrow(_cut_windows, "kind int, key long, doc long, pos long, cut binary"), "windows")
     _free(spark)
     grouped = windows.where(f"kind = {IN_GROUP}").select("key", "doc", "pos", "cut").repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_rank_groups, "doc long, pos long")
@@ -441,7 +441,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = scratch.keep(docs.mapInArrow(_digests, "doc_id long, n_bytes long, text_key binary, sha string"), "rows")
     firsts = rows.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("k"), "first")
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    spans = find_repeats(known, scratch)
+    spans = find_repeats(known, scratch, rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     _free(spark)
     cut = known.join(spans.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "text", "spans")
     done = cut.mapInArrow(_cut_out, "doc long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc"])
