@@ -173,7 +173,7 @@ def pooled_sparse(t):
     SELECT query_id, c.id, source_table, title, content, score FROM c JOIN (SELECT 'atoms' AS t, id, NULL AS title, statement AS content FROM act UNION ALL SELECT category, id, title, summary FROM l2_rows) x ON x.t = c.source_table AND x.id = c.id""")
 def hydrated_results(t):
     table = F.when(F.col("event_id") % 2 == 0, "atoms").otherwise("tasks")
-    c = t("events").where("event_id < 1000").select(F.col("event_id").alias("query_id"), (F.col("event_id") * 3).alias("id"), table.alias("source_table"), F.col("value").alias("score"))
+    c = t("events").select(F.col("event_id").alias("query_id"), (F.col("event_id") * 3).alias("id"), table.alias("source_table"), F.col("value").alias("score"))
     return provenance.hydrate(c, t("atoms"), t("l2_rows"), t("entities")).select("query_id", "id", "source_table", "title", "content", "score")
 
 
