@@ -136,7 +136,7 @@ def evaluate(text: bytes | None, acceptor: InsultAcceptor) -> np.ndarray:
     if not text:
         return np.zeros(FEATURES)
     lowered = text.decode("utf-8", "replace").lower()
-    if _ODD_SIGNS.search(lowered):
+    if _NOT_PLAIN.search(lowered):
         words = set(words_of(lowered))
     else:
         words = {w.decode("utf-8", "replace") for w in set(lowered.encode().translate(_LETTERS).split())}
@@ -145,8 +145,8 @@ def evaluate(text: bytes | None, acceptor: InsultAcceptor) -> np.ndarray:
     return compose(_TOKEN.findall(lowered), acceptor)
 
 
-#: Signs beyond ASCII that part words; without them, words part at ASCII signs alone.
-_ODD_SIGNS = re.compile("[\u0080-\u00bf\u00d7\u00f7\u02b0-\u036f\u2000-\u2bff\u3000-\u303f\ufe00-\uffff\U0001f000-\U0001faff]")
+#: The apostrophe, which may stand in a word, and all beyond ASCII but Latin letters; without them, words part at ASCII signs alone.
+_NOT_PLAIN = re.compile("[^\x00-\x26\x28-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]")
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _HARM_SET = frozenset(HARMS)
 
