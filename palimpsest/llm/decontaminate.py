@@ -12,9 +12,10 @@ The benchmark is a stated query set: it is dealt into chunks of at most
 is what the executors hold at a time.
 
 Defined results: a null or empty text has no words, is not hit and not
-contaminated. Items without words, or with a null id, have no windows. Repeated
-items with one id count once in n_items. Repeated documents each get a row;
-extra columns are ignored.
+contaminated. Items without words have no windows. The windows of an item with a
+null id hit words as others do; only the list of ids and n_items leave it out.
+Repeated items with one id count once in n_items. Repeated documents each get a
+row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,14 +88,14 @@ class Benchmark:
         by_length: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for item_id, text in items:
             words = words_of(text)
-            if item_id is None or not words:
+            if not words:
                 continue
-            k = numbered.setdefault(str(item_id), len(numbered))
+            k = None if item_id is None else numbered.setdefault(str(item_id), len(numbered))
             seq = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
             m = min(width, len(seq))
             for s in range(len(seq) - m + 1):
                 owners = by_length.setdefault(m, {}).setdefault(seq[s : s + m], [])
-                if k not in owners:
+                if k is not None and k not in owners:
                     owners.append(k)
         self.ids = list(numbered)
         self.searchers = [WuManber(p, m) for m, p in sorted(by_length.items())]
