@@ -13,9 +13,11 @@ gives, for each vector, the number of rows it is linked with, and links enough t
 keep what is connected connected. Pairs are not written out. Equal vectors are
 one class, which its smallest vec_id stands for.
 
-Defined results: vectors that are null, empty, zero, hold a null or a non-finite
-component, or have another length than most, and rows with a null vec_id link
-with nothing; their component is their own vec_id, and they are kept. Rows with
+Each length of vectors has pivots of its own, and only vectors of one length meet.
+
+Defined results: vectors that are null, empty, zero, or hold a null or a non-finite
+component, and rows with a null vec_id link with nothing; their component is their
+own vec_id, and they are kept. Rows with
 one vec_id are one vertex. Repeated rows each get a row and count as links of
 each other. Extra columns are ignored. An empty table gives no rows.
 """
@@ -93,24 +95,32 @@ def _matrix(column, width: int) -> np.ndarray:
     return out
 
 
-def _nearest(pivots: np.ndarray, prefix: int):
+def _nearest(pivots: dict[int, tuple[int, np.ndarray]], prefix: int):
+    """mapInArrow function; pivots: by width, the number of the first and the vectors. Rows of other widths are left out."""
+
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                x = unit(_matrix(part.column(1), pivots.shape[1]))
-                near = x @ pivots.T
-                k = min(prefix, near.shape[1])
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-                top = np.take_along_axis(top, order, 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(top), pa.list_(pa.int32()))], [*part.schema.names, "nearest"])
+            widths = batch.column(0).to_numpy()
+            for width in np.unique(widths).tolist():
+                if width not in pivots:
+                    continue
+                first, points = pivots[width]
+                own = batch if (widths == width).all() else batch.filter(pa.array(widths == width))
+                for a in range(0, own.num_rows, 4096):
+                    part = own.slice(a, 4096)
+                    x = unit(_matrix(part.column(2), width))
+                    near = x @ points.T
+                    k = min(prefix, near.shape[1])
+                    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
+                    top = (first + np.take_along_axis(top, order, 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(top), pa.list_(pa.int32()))], [*part.schema.names, "nearest"])
 
     return run
 
 
-def _compare(width: int, threshold: float, min_shared: int):
-    """Group function of a pair of blocks: (id, linked, other): links counted in rows, and connecting links."""
+def _compare(threshold: float, min_shared: int):
+    """Group function of a pair of blocks, whose vectors have one width: (id, linked, other): links counted in rows, and connecting links."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -118,7 +128,7 @@ def _compare(width: int, threshold: float, min_shared: int):
         pivot, diagonal = table.column("pivot")[0].as_py(), table.column("diagonal")[0].as_py()
         nearest = table.column("nearest").combine_chunks()
         nearest = nearest.flatten().to_numpy().reshape(len(ids), -1)
-        x = unit(_matrix(table.column("vec"), width))
+        x = unit(_matrix(table.column("vec"), table.column("width")[0].as_py()))
         if diagonal:
             left = right = np.arange(len(ids))
         else:
@@ -166,25 +176,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     scratch = Scratch(spark, "pivots")
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))
     rows = scratch.keep(slim.mapInArrow(_classes, "vec_id long, width int, vec binary, vec_key binary"), "rows")
-    usual = rows.where("width IS NOT NULL AND vec_id IS NOT NULL").groupBy("width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
-    nothing = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if usual is None:
-        return nothing
-    width = usual["width"]
-    linking = rows.where((F.col("width") == width) & F.col("vec_id").isNotNull())
-    classes = scratch.keep(linking.groupBy("vec_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "classes")
-    n = classes.count()
-    most = pivots or pivot_count(n)
-    offered = classes.select("vec_key", "vec").orderBy("vec_key").limit(PIVOT_OFFER * most).collect()
-    points = apart(unit(np.stack([np.frombuffer(r["vec"], np.float32 if len(r["vec"]) == 4 * width else np.float64) for r in offered])), most)
-    indexed = classes.select("rep", "vec", "weight").mapInArrow(_nearest(points, prefix), "rep long, vec binary, weight long, nearest array<int>")
+    linking = rows.where("width IS NOT NULL AND vec_id IS NOT NULL")
+    classes = scratch.keep(linking.groupBy("width", "vec_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "classes")
+    points, taken = {}, 0
+    for width, n in sorted(classes.groupBy("width").count().where("count > 1").collect()):
+        most = pivots or pivot_count(n)
+        offered = classes.where(F.col("width") == width).select("vec_key", "vec").orderBy("vec_key").limit(PIVOT_OFFER * most).collect()
+        points[width] = taken, apart(unit(np.stack([np.frombuffer(r["vec"], np.float32 if len(r["vec"]) == 4 * width else np.float64) for r in offered])), most)
+        taken += len(points[width][1])
+    indexed = classes.select("width", "rep", "vec", "weight").mapInArrow(_nearest(points, prefix), "width int, rep long, vec binary, weight long, nearest array<int>")
     indexed = scratch.keep(indexed, "indexed")
     lists = indexed.select(F.explode("nearest").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select(F.col("pivot").alias("p"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    dealt = indexed.select("rep", "vec", "weight", "nearest", F.explode("nearest").alias("pivot")).join(F.broadcast(lists), F.col("pivot") == F.col("p"))
+    dealt = indexed.select("width", "rep", "vec", "weight", "nearest", F.explode("nearest").alias("pivot")).join(F.broadcast(lists), F.col("pivot") == F.col("p"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("rep", "vec", "weight", "nearest", "pivot", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") == F.col("other")).alias("diagonal"))
-    found = scratch.keep(dealt.groupBy("pivot", "low", "high").applyInArrow(_compare(width, threshold, min_shared), "id long, linked long, other long"), "found", small=True)
+    dealt = dealt.select("width", "rep", "vec", "weight", "nearest", "pivot", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") == F.col("other")).alias("diagonal"))
+    found = scratch.keep(dealt.groupBy("pivot", "low", "high").applyInArrow(_compare(threshold, min_shared), "id long, linked long, other long"), "found", small=True)
     counts = found.where("other IS NULL").groupBy("id").agg(F.sum("linked").alias("linked"))
     names = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     named = (
@@ -194,7 +201,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         .join(names, F.col("rep") == F.col("id"), "left")
         .select(F.col("vec_key").alias("k"), (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("c"))
     )
-    out = rows.withColumn("k0", F.when((F.col("width") == width) & F.col("vec_id").isNotNull(), F.col("vec_key"))).join(named, F.col("k0") == F.col("k"), "left")
+    out = rows.withColumn("k0", F.when(F.col("vec_id").isNotNull(), F.col("vec_key"))).join(named, F.col("k0") == F.col("k"), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
