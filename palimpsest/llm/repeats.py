@@ -1,9 +1,9 @@
-"""Repeated byte strings: prefix doubling over positions, with hashed names for ranks.
+"""Repeated byte strings: hashed windows, led by their least name, in place of prefix doubling.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts earlier:
 in a document of a smaller id, or earlier in the same one.
 
-Ranks grow by doubling, and positions leave as soon as they are unique:
+Two steps, after each of which what is unique leaves:
 
 1. Every window of LENGTH bytes is led by the least of its SEED-byte names, so
    that equal windows are led by equal names at equal offsets, and a run of
@@ -11,9 +11,9 @@ Ranks grow by doubling, and positions leave as soon as they are unique:
    run. Spark sorts the pairs (rank of the leader's SEED bytes, rank of all bytes
    of the run); runs whose leader is unique leave, and so do runs whose bytes
    all occur in an earlier run, which are repeats as a whole.
-2. The windows of what is left are ranked by doubling: names of LENGTH/4 bytes,
-   pairs of these at offset LENGTH/4, and pairs of those at offset LENGTH/2. They
-   are sorted by rank and position; all but the first of a rank are repeats.
+2. The windows of what is left are named at once within a task, from the names of
+   their four quarters; there are no rounds. They are sorted by name and position;
+   all but the first of a name are repeats.
 
 A map task sends a run that it holds twice only once, and runs of a leader with
 over BATCH_CLASSES different surroundings past the sort of leaders, with one
@@ -103,7 +103,7 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def window_ranks(data: np.ndarray) -> np.ndarray:
-    """Ranks of all windows of LENGTH bytes, by doubling from LENGTH/4."""
+    """Names of all windows of LENGTH bytes, from those of their quarters."""
     quarter = Names(data).every(LENGTH // 4)
     step = LENGTH // 4
     half = mix(quarter[:-step] * U(0x9E3779B97F4A7C15) + quarter[step:])
