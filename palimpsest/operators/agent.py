@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MESSAGE_PREFIX, blank_to_null, event_key, find_issue_key, serialized
 
-#: Words that lead a message to a workflow, in order of precedence.
+# Words that lead a message to a workflow, in order of precedence; target states; headers and
+# options of a dialogue that decide.
 INTENTS = [
     ("jira", ["jira", "transition", "ticket", "issue"]),
     ("complex", ["batch", "ingest", "records", "sync", "rows", "csv"]),
     ("medium", ["user", "welcome", "draft", "editorial", "email", "u1", "u2"]),
 ]
 STATUSES = ["pending", "approved", "rejected"]
+CANCEL, OTHER_HEADER, RECALL, PROJECT_HEADER, OTHER = "Cancel", "Other options", "Recall memory", "Project", "Other options"
+
 MESSAGES = "array<struct<role:string,content:string,tool_calls:array<struct<tool_name:string,tool_call_id:string,tool_args:string>>,tool_name:string,tool_call_id:string>>"
 
 
@@ -70,8 +73,8 @@ def effective_queries(requests: DataFrame, messages: DataFrame, key: str = "conv
 
 def feedback_phase(choices: DataFrame) -> DataFrame:
     """run_id, phase of choices (run_id, position, header, option): the first decisive one, else other_pending, else null."""
-    decisive = F.when(F.col("option") == "Cancel", "cancelled").when((F.col("header") == "Other options") & (F.col("option") == "Recall memory"), "generic_recall")
-    pending = (F.col("header") == "Project") & (F.col("option") == "Other options")
+    decisive = F.when(F.col("option") == CANCEL, "cancelled").when((F.col("header") == OTHER_HEADER) & (F.col("option") == RECALL), "generic_recall")
+    pending = (F.col("header") == PROJECT_HEADER) & (F.col("option") == OTHER)
     told = choices.groupBy("run_id", "position", "header").agg(F.min(decisive).alias("decisive"), F.max(F.coalesce(pending, F.lit(False))).alias("pending"))
     out = told.groupBy("run_id").agg(F.min_by("decisive", F.when(F.col("decisive").isNotNull(), F.col("position"))).alias("d"), F.max("pending").alias("p"))
     return out.select("run_id", F.coalesce("d", F.when(F.col("p"), "other_pending")).alias("phase"))
