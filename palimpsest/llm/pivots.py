@@ -1,17 +1,19 @@
 """Embedding near-duplicates with a pivot-permutation index.
 
 Reference points (pivots) are vectors of the table, chosen by hash and apart from
-one another. A vector is
-described by its PREFIX nearest pivots in order. Inverted lists lead from each
-pivot to the vectors that have it among them. Two vectors are candidates if they
-share at least MIN_SHARED pivots; they meet in the list of the first pivot they
-share, so that each pair is seen once. Candidates are verified by cosine in
-double precision.
-
-Lists are dealt in blocks; a task compares two blocks with matrix products and
-gives, for each vector, the number of rows it is linked with, and links enough to
-keep what is connected connected. Pairs are not written out. Equal vectors are
-one class, which its smallest vec_id stands for.
+one another. A vector is described by its PREFIX nearest pivots in order. Inverted
+lists lead from each pivot to the vectors that have it among them. In a list, the
+number of pivots that two vectors share is counted; those that share at least
+MIN_SHARED are candidates, in the list of the first pivot they share, so that each
+pair is one once. Only candidates are verified by cosine, in double precision, and
+every pair that is verified counts.
+
+Lists are dealt in blocks of about BLOCK vectors; a task takes two blocks, counts
+shared pivots with a matrix product, and gives, for each vector, the number of rows
+it is linked with, and links enough to keep what is connected connected. Pairs are
+not written out. Equal vectors are one class, which its smallest vec_id stands for.
+Vectors go with the lists: with MIN_SHARED at 2, nearly every member of a list has
+a candidate in it, so that fetching them afterwards would move as much again.
 
 Each length of vectors has pivots of its own, and only vectors of one length meet.
 
@@ -38,10 +40,11 @@ from .storage import Scratch, table
 THRESHOLD = 0.95
 PREFIX, MIN_SHARED = 8, 2
 #: The number of pivots is PIVOT_RATE times the root of the number of vectors, within these bounds.
-PIVOT_RATE, PIVOTS_LEAST, PIVOTS_MOST = 3.0, 64, 4096
+PIVOT_RATE, PIVOTS_LEAST, PIVOTS_MOST = 3.0, 64, 32768
 #: Pivots are taken from so many times as many vectors, with cosines below APART.
 PIVOT_OFFER, APART = 2, 0.75
-BLOCK = 256
+#: Vectors of a list that make a block, and candidates that are verified at a time.
+BLOCK, AT_ONCE = 1024, 1 << 14
 
 
 def pivot_count(n: int) -> int:
@@ -119,6 +122,20 @@ def _nearest(pivots: dict[int, tuple[int, np.ndarray]], prefix: int):
     return run
 
 
+def candidates(nearest: np.ndarray, pivot: int, left: np.ndarray, right: np.ndarray, min_shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of left and one of right that share at least min_shared pivots, `pivot` being the smallest of them."""
+    numbers, column = np.unique(nearest, return_inverse=True)
+    holds = np.zeros((len(nearest), len(numbers)), np.float32)
+    holds[np.arange(len(nearest))[:, None], column.reshape(nearest.shape)] = 1
+    here = int(np.searchsorted(numbers, pivot))
+    before, rest = holds[:, :here], holds[:, here:]
+    found = rest[left] @ rest[right].T >= min_shared
+    if here:
+        found &= before[left] @ before[right].T == 0
+    i, j = np.nonzero(found)
+    return left[i], right[j]
+
+
 def _compare(threshold: float, min_shared: int):
     """Group function of a pair of blocks, whose vectors have one width: (id, linked, other): links counted in rows, and connecting links."""
 
@@ -126,46 +143,35 @@ def _compare(threshold: float, min_shared: int):
         table = table.combine_chunks()
         ids, weight, block = (table.column(n).to_numpy() for n in ("rep", "weight", "block"))
         pivot, diagonal = table.column("pivot")[0].as_py(), table.column("diagonal")[0].as_py()
-        nearest = table.column("nearest").combine_chunks()
-        nearest = nearest.flatten().to_numpy().reshape(len(ids), -1)
-        x = unit(_matrix(table.column("vec"), table.column("width")[0].as_py()))
-        if diagonal:
-            left = right = np.arange(len(ids))
-        else:
+        m = len(ids)
+        nearest = table.column("nearest").combine_chunks().flatten().to_numpy().reshape(m, -1)
+        left = right = np.arange(m)
+        if not diagonal:
             left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min())
-        linked = np.zeros(len(ids), np.int64)
-        parent = np.arange(len(ids))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        edges = []
-        if len(left) and len(right):
-            close = x[left] @ x[right].T >= threshold
-            if diagonal:
-                close &= np.arange(len(ids))[:, None] < np.arange(len(ids))[None, :]
-            i, j = np.nonzero(close)
-            li, rj = left[i], right[j]
-            for a in range(0, len(li), 1 << 16):
-                l, r = li[a : a + (1 << 16)], rj[a : a + (1 << 16)]
-                same = nearest[l][:, :, None] == nearest[r][:, None, :]
-                shared = same.any(2)
-                least = np.where(shared, nearest[l], np.iinfo(np.int32).max).min(1)
-                ok = (shared.sum(1) >= min(min_shared, nearest.shape[1])) & (least == pivot)
-                l, r = l[ok], r[ok]
-                np.add.at(linked, l, weight[r])
-                np.add.at(linked, r, weight[l])
-                for p, q in zip(l.tolist(), r.tolist()):
-                    a_, b_ = root(p), root(q)
-                    if a_ != b_:
-                        parent[max(a_, b_)] = min(a_, b_)
-                        edges.append((ids[p], ids[q]))
+        l, r = candidates(nearest, pivot, left, right, min(min_shared, nearest.shape[1])) if len(left) and len(right) else (left[:0], left[:0])  # noqa: E741
+        if diagonal:
+            l, r = l[l < r], r[l < r]  # noqa: E741
+        x = unit(_matrix(table.column("vec"), table.column("width")[0].as_py())) if len(l) else None
+        close = [np.einsum("ij,ij->i", x[l[a : a + AT_ONCE]], x[r[a : a + AT_ONCE]]) >= threshold for a in range(0, len(l), AT_ONCE)]
+        close = np.concatenate(close) if close else np.empty(0, bool)
+        l, r = l[close], r[close]  # noqa: E741
+        linked = np.zeros(m, np.int64)
+        np.add.at(linked, l, weight[r])
+        np.add.at(linked, r, weight[l])
+        label, edges = np.arange(m), []
+        at = np.searchsorted(l, np.arange(m + 1))  # l is in order
+        for i in np.unique(l).tolist():
+            for j in r[at[i] : at[i + 1]][label[r[at[i] : at[i + 1]]] != label[i]].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    edges.append((ids[i], ids[j]))
         has = np.flatnonzero(linked)
         e = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"id": pa.array(np.concatenate([ids[has], e[:, 0]]), pa.int64()), "linked": pa.array(np.concatenate([linked[has], np.zeros(len(e), np.int64)])), "other": pa.array(np.concatenate([np.zeros(len(has), np.int64), e[:, 1]]), pa.int64(), mask=np.concatenate([np.ones(len(has), bool), np.zeros(len(e), bool)]))})
+        alone = np.concatenate([np.ones(len(has), bool), np.zeros(len(e), bool)])
+        return pa.table({
+            "id": pa.array(np.concatenate([ids[has], e[:, 0]]), pa.int64()), "linked": pa.array(np.concatenate([linked[has], np.zeros(len(e), np.int64)])),
+            "other": pa.array(np.concatenate([np.zeros(len(has), np.int64), e[:, 1]]), pa.int64(), mask=alone),
+        })
 
     return run
 
@@ -201,9 +207,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         .join(names, F.col("rep") == F.col("id"), "left")
         .select(F.col("vec_key").alias("k"), (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("c"))
     )
-    out = rows.withColumn("k0", F.when(F.col("vec_id").isNotNull(), F.col("vec_key"))).join(named, F.col("k0") == F.col("k"), "left")
-    component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    linked = linking.join(named, F.col("vec_key") == F.col("k"), "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    others = rows.where("width IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(others).select("*", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,39 @@ def test_unusable_vectors(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def test_recall_of_many_links(spark):
+    """10,000 vectors of 64 dimensions, each of half of them a little above or below the threshold from a partner, and a dense group."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(4800, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.uniform(0.935, 0.985, (len(base), 1))
+    dense = base[0] + rng.normal(size=(400, 64)) * 0.025
+    x = np.vstack([base, base * cosine + off * np.sqrt(1 - cosine**2), dense]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    want = brute(rows)
+    links = sum(w[0] for w in want.values())
+    assert links > 8000
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in result(spark, rows, block=256)}
+    assert all(got[i][0] <= want[i][0] for i in want)  # none below the threshold
+    assert sum(g[0] for g in got.values()) >= 0.995 * links
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.995 * len(want)
+
+
+def test_candidates_share_pivots_and_meet_once():
+    nearest = np.array([[3, 5, 9], [5, 3, 1], [9, 4, 5], [7, 8, 2], [3, 5, 9]])
+
+    def pairs(pivot, least):
+        listed = np.flatnonzero((nearest == pivot).any(1))
+        l, r = pivots.candidates(nearest[listed], pivot, np.arange(len(listed)), np.arange(len(listed)), least)  # noqa: E741
+        return {(a, b) for a, b in zip(listed[l].tolist(), listed[r].tolist()) if a < b}
+
+    assert pairs(3, 2) == {(0, 1), (0, 4), (1, 4)}
+    assert pairs(5, 2) == {(0, 2), (2, 4)}  # 1 and 2 share pivot 5 alone
+    assert pairs(5, 1) == {(0, 2), (1, 2), (2, 4)}
+    assert pairs(9, 2) == set()  # met before
+    assert pairs(3, 3) == {(0, 4)}
