@@ -1,15 +1,19 @@
 """URL rules by hashed host-suffix and path-prefix expressions, with DataFrame functions only.
 
-Each distinct (host, path) of the input expands into the expressions that a rule
-could have: its host suffixes at label borders times its path prefixes of the
-lengths that occur among the rules. Expressions meet the rules in an equi-join
-on a short prefix of their SHA-256; the full digest confirms; the longest rule
-wins.
+Each url expands into the expressions that a rule could have: its host suffixes at
+label borders times its path prefixes of the lengths that occur among the rules.
+Expressions meet the rules in an equi-join on a short prefix of their SHA-256
+alone: the rules of one short prefix are one row, an array. The full digest then
+picks the rule from that array; the longest rule wins. Results are gathered by row:
+a row's expressions are aggregated in the task that made them, and no join leads
+back to the pages.
 
 Defined results: null url, or no "://": host and path are empty and no rule
 fits. An empty path starts with no rule path but the empty one. Of two rules of
 one length that fit, block wins, then the smaller text. Repeated pages each get
-a row; extra columns are ignored. An empty rule table allows every page.
+a row; extra columns are ignored, whatever their names. Rules with a null host or
+path fit nothing. An empty rule table allows every page, an empty page table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -52,14 +56,21 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, path), 256)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
+def keyed_rules(listed: DataFrame, prefix_digits: int) -> DataFrame:
+    """rule_short, rules: the rules (digest, len, soft, rule, verdict) whose digests begin with it; a few, as digests are spread evenly."""
+    digest, text = _digest(F.col("rule_host"), F.col("rule_path")), F.concat("rule_host", "rule_path")
+    one = F.struct(digest.alias("digest"), (-F.length(text)).alias("len"), (F.col("verdict") != "block").alias("soft"), text.alias("rule"), "verdict")
+    return listed.distinct().groupBy(F.left(digest, F.lit(prefix_digits)).alias("rule_short")).agg(F.collect_list(one).alias("rules"))
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT, prefix_digits: int = PREFIX_DIGITS) -> DataFrame:
     """id, host, path, rule (or null) and verdict of each row of pages.
 
     What reaches the driver is one row with the label counts and path lengths of
     the rules, both bounded by the length of a rule.
     """
     host, path = url_parts(F.col(url_col))
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     listed = rules.where("host IS NOT NULL AND path IS NOT NULL").select(
         F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict"
     )
@@ -68,20 +79,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     lengths = F.array(*map(F.lit, shapes["l"])) if shapes["l"] else F.array().cast("array<int>")
     hosts = F.transform(F.filter(counts, lambda k: k <= _labels(F.col("host"))), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
     paths = F.transform(F.filter(lengths, lambda k: k <= F.length("path")), lambda k: F.substr(F.col("path"), F.lit(1), k))
-    distinct = urls.select("host", "path").distinct()
-    expressions = (
-        distinct.select("host", "path", F.explode(hosts).alias("suffix"), paths.alias("prefixes"))
-        .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
-        .withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
-        .select("host", "path", "digest", F.left("digest", F.lit(PREFIX_DIGITS)).alias("short"))
-    )
-    keyed = listed.withColumn("rule_digest", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("rule_short", F.left("rule_digest", F.lit(PREFIX_DIGITS)))
-    met = expressions.join(keyed, (F.col("short") == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest")))
-    rank = F.struct((-(F.length("rule_host") + F.length("rule_path"))).alias("len"), (F.col("verdict") != "block").alias("soft"), F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("verdict"))
-    best = met.groupBy("host", "path").agg(F.min(rank).alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
-    return urls.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
-        id_col, "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict")
-    )
+    digests = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: _digest(h, p))))
+    expressions = urls.select("row", "id", "host", "path", F.explode_outer(digests).alias("expression")).withColumn("short", F.left("expression", F.lit(prefix_digits)))
+    met = expressions.join(keyed_rules(listed, prefix_digits), F.col("short") == F.col("rule_short"), "left")
+    # the full digest confirms; of rules of one digest, the first in order of length, verdict and text
+    fits = F.array_sort(F.filter("rules", lambda r: r["digest"] == F.col("expression")))
+    best = met.withColumn("fit", F.get(fits, F.lit(0))).groupBy("row", "id", "host", "path").agg(F.min(F.when(F.col("fit").isNotNull(), F.struct("fit.len", "fit.soft", "fit.rule", "fit.verdict"))).alias("best"))
+    return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,3 +218,19 @@ def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.judge(decontaminate.search_benchmark(table, none)).collect()] == [0]
     assert decontaminate.search_benchmark(table.where("false"), none).collect() == []
+
+
+def test_url_rules_of_one_short_prefix(spark):
+    """With a short prefix of one digit, rules and expressions share prefixes; the full digest tells them apart."""
+    rules = [(f"h{k}.net", f"/{k % 3}", "block" if k % 2 else "allow") for k in range(60)] + [("net", "/", "allow"), ("h1.net", "/1", "block")]
+    pages = spark.createDataFrame([(k, f"http://a.h{k}.net/{k % 3}{k}") for k in range(90)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, rules), prefix_digits=1).collect()}
+    assert got == {k: (f"h{k}.net/{k % 3}", "block" if k % 2 else "allow") if k < 60 else ("net/", "allow") for k in range(90)}
+
+
+def test_url_join_is_on_the_short_prefix(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
+    judged = url_filter.judge_urls(pages, url_filter.rule_table(spark))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "HashJoin" in line or "MergeJoin" in line]
+    assert len(joins) == 1 and "[short#" in joins[0] and "digest" not in joins[0] and "Python" not in plan
