@@ -1,27 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers run over the words of a text and are composed clause by clause:
-
-* insults: an acceptor over letters, a trie of word beginnings and whole words
-  whose weights are the log odds learned from labels;
-* threats: a verb of harm, within a clause, before or after a target;
-* targets: second-person pronouns, which aim what the clause says;
-* negation: from a negator to the end of the clause or three words on;
-* reported speech: from a verb of saying or an open quotation mark to the end of
-  the clause.
-
-Clauses end at . ! ? ; and line ends. A matched insult is counted under the state
-the composition is in (plain, aimed, negated, reported) with its weight; the
-document's score is a logistic function of the counts by state, whose weights are
-learned from the same labels. Words outside of a match add nothing.
-
-Learning uses at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN other labelled rows,
-in one task; scoring runs over whole texts.
+Transducers of insults, threats, targets, negation and reported speech are composed
+(module grammar) and run over the words and signs of a text. What is scored is the
+clause: insults with their weights, by the marks that the grammar put on them
+(negated, reported), raised where the clause addresses someone; threats, which are
+a verb of harm in a clause that addresses someone, by the verb's marks. Clauses end
+at . ! ? ; and line ends. A word outside of a match adds nothing.
+
+The document's score is a logistic function of its clauses' scores: the strongest,
+their sum, and their sum for each PASSAGE words, so that chance matches in a long
+text don't add up. Its weights, none of them negative, and the insults with theirs
+are learned from labels; what marks count is the grammar's.
+
+Learning uses at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN other labelled rows, of
+each at most LEARN_BYTES from the text's beginning, in one task; scoring runs over
+whole texts.
 
 Defined results: null and empty texts match nothing and get the score of a text
 without a match. A null id is not held out and is never a training row. Repeated
-rows each get a row; extra columns stay out of the score. Where one of the labels
-is missing, every score is 0.
+rows each get a row; extra columns stay out of the score, and those named score or
+predicted are replaced. Where one of the labels is missing, every score is 0.
 """
 
 from __future__ import annotations
@@ -37,118 +35,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .grammar import HARMS, Lexicon, clauses, normalized, tokens
 from .sampling import fold, sample_ids
 from .storage import table
 from .textkit import WordHashes, shingle_set, utf8
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN, LEARN_BYTES = 2000, 3000, 1 << 15
 THRESHOLD = 0.7
-#: Lengths of word beginnings that the insult acceptor may hold.
+#: Lengths of word beginnings that the lexicon may hold.
 STEMS = range(4, 9)
 MIN_TOXIC_DOCS, MIN_LOG_ODDS = 3, 2.5
+#: Log odds of a word that counts in full.
+FULL_ODDS = 6.0
 #: Keys expected to be learned by chance.
 FALSE_KEYS = 0.05
 #: Smallest shingle hashes by which copies are told.
 LOW_HASHES = 5
-#: Words after a negator that it still reaches.
-NEGATION_REACH = 3
+#: Words that the density of a text's clauses is told for.
+PASSAGE = 50
+FEATURES = 3
 
-# Closed word classes of English, German, French and Spanish.
-TARGETS = "you your yours yourself du dich dir dein deine ihr euch euer tu toi ton ta vous votre vos ti tus usted ustedes".split()
-NEGATORS = "not no never nobody nothing don't isn't aren't nicht kein keine niemals nie pas jamais aucun nunca jamás ningún".split()
-REPORTERS = "said says wrote writes called calls quoted claimed sagte sagt schrieb nannte dit dirait écrivit appelé dijo dice escribió llamó".split()
-HARMS = "kill hurt destroy shoot stab beat burn töten umbringen schlagen verletzen tuer frapper détruire blesser matar golpear destruir herir".split()
-
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]|[\"“”«»„]")
-STATES = ("plain", "aimed", "negated", "reported")
-_CLASS = {w: k for k, ws in (("target", TARGETS), ("negator", NEGATORS), ("reporter", REPORTERS), ("harm", HARMS)) for w in ws} | dict.fromkeys(".!?;\n", "end") | dict.fromkeys("\"“”«»„", "quote")
-FEATURES = 2 * len(STATES) + 2
+_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+#: All beyond ASCII but Latin letters; without them, words part at ASCII signs alone.
+_NOT_PLAIN = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]")
+_HARM_SET = frozenset(HARMS)
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _TOKEN.findall(text.lower()) if w[0].isalpha()]
-
-
-class InsultAcceptor:
-    """Word beginnings and whole words with weights; the longest that fits counts."""
-
-    def __init__(self, stems: dict[str, float], whole: dict[str, float]):
-        self.stems, self.whole = stems, whole
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.cache: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        w = self.cache.get(word)
-        if w is None:
-            w = self.whole.get(word, 0.0)
-            if not w:
-                w = next((self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems), 0.0)
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            self.cache[word] = w
-        return w
-
-
-def compose(tokens: list[str], acceptor: InsultAcceptor) -> np.ndarray:
-    """Features of the composed transducers: for each state, the matches (log) and the greatest weight; then threats, and matched clauses."""
-    count, most = [0] * len(STATES), [0.0] * len(STATES)
-    threats = clauses = 0
-    clause: list[tuple[float, int, bool]] = []  # weight, words so far, negated or reported
-    n = aimed = harm = reported = 0
-    negated_until = -1
-
-    def close():
-        nonlocal threats, clauses
-        if clause:
-            clauses += 1
-        if harm and aimed:
-            threats += 1
-        for weight, _, how in clause:
-            state = how if how else (1 if aimed else 0)
-            count[state] += 1
-            most[state] = max(most[state], weight)
-
-    for word in tokens:
-        kind = _CLASS.get(word)
-        if kind == "end":
-            close()
-            clause, n, aimed, harm, reported, negated_until = [], 0, 0, 0, 0, -1
-            continue
-        n += 1
-        if kind == "target":
-            aimed = 1
-        elif kind == "negator":
-            negated_until = n + NEGATION_REACH
-        elif kind == "reporter" or kind == "quote":
-            reported = 1
-        elif kind == "harm":
-            harm = 1
-        weight = acceptor.weight(word)
-        if weight:
-            clause.append((weight, n, 3 if reported else 2 if n <= negated_until else 0))
-    close()
-    return np.array([*map(math.log1p, count), *(m / 5 for m in most), math.log1p(threats), math.log1p(clauses)])
-
-
-def evaluate(text: bytes | None, acceptor: InsultAcceptor) -> np.ndarray:
-    """Features of a text. It is composed only if the letters acceptor or a harm matches some word of it."""
+    return [w for w in tokens(normalized(text)) if w[0].isalpha()]
+
+
+def features(scores: list[float], n_words: int) -> np.ndarray:
+    """Features of a document from its clauses' scores."""
+    if not scores:
+        return np.zeros(FEATURES)
+    total = sum(scores)
+    return np.array([max(scores), math.log1p(total), math.log1p(10 * total * PASSAGE / max(n_words, PASSAGE))])
+
+
+def evaluate(text: bytes | None, lexicon: Lexicon) -> np.ndarray:
+    """Features of a text. The grammar runs over it only if the lexicon or a harm matches some word of it."""
     if not text:
         return np.zeros(FEATURES)
-    lowered = text.decode("utf-8", "replace").lower()
+    lowered = normalized(text.decode("utf-8", "replace"))
     if _NOT_PLAIN.search(lowered):
-        words = set(words_of(lowered))
+        words = set(tokens(lowered))
     else:
         words = {w.decode("utf-8", "replace") for w in set(lowered.encode().translate(_LETTERS).split())}
-    if not any(map(acceptor.weight, words)) and _HARM_SET.isdisjoint(words):
+    if not any(map(lexicon.weight, words)) and _HARM_SET.isdisjoint(words):
         return np.zeros(FEATURES)
-    return compose(_TOKEN.findall(lowered), acceptor)
-
-
-#: The apostrophe, which may stand in a word, and all beyond ASCII but Latin letters; without them, words part at ASCII signs alone.
-_NOT_PLAIN = re.compile("[^\x00-\x26\x28-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]")
-_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-_HARM_SET = frozenset(HARMS)
+    found = tokens(lowered)
+    return features(clauses(found, lexicon), sum(t[0].isalpha() for t in found))
 
 
 def _by_chance(c1: int, c: int, share: float) -> float:
@@ -169,7 +107,7 @@ def unlike(texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
-def learn_acceptor(texts: list[bytes | None], toxic: np.ndarray) -> InsultAcceptor:
+def learn_lexicon(texts: list[bytes | None], toxic: np.ndarray) -> Lexicon:
     """Word beginnings and words that mark toxic texts.
 
     A key is kept if its documents are toxic beyond what chance gives to any of
@@ -202,7 +140,8 @@ def learn_acceptor(texts: list[bytes | None], toxic: np.ndarray) -> InsultAccept
         stems[grown] = good.get(grown, good[k])
         for n in range(len(k), len(grown)):
             stems.setdefault(grown[:n], 0.0)  # passed on the way, not accepted
-    return InsultAcceptor({k: o for k, o in stems.items() if o}, whole)
+    full = lambda keys: {k: min(1.0, o / FULL_ODDS) for k, o in keys.items() if o}
+    return Lexicon(full(stems), full(whole))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -222,6 +161,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return theta
 
 
+def fit_positive(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """fit_logistic, without the features whose weights would be negative: more of a match never lowers a score."""
+    use = np.arange(x.shape[1])
+    while True:
+        theta = fit_logistic(x[:, use], y)
+        if (theta[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[use], out[-1] = theta[:-1], theta[-1]
+            return out
+        use = np.delete(use, theta[:-1].argmin())
+
+
 def _train(batches):
     texts, labels = [], []
     for batch in batches:
@@ -230,18 +181,16 @@ def _train(batches):
     y = np.array(labels, np.int8)
     model = None
     if (y == 1).any() and (y == 0).any():
-        # the acceptor learns from one half and is weighed on the other, so that chance matches get their true worth
+        # the lexicon learns from one half and is weighed on the other, so that chance matches get their true worth
         odd = np.arange(len(y)) % 2 == 1
         pick = lambda m: [t for t, k in zip(texts, m) if k]
-        half = learn_acceptor(pick(odd), y[odd])
-        fitted = True
-        if (y[~odd] == 1).any() and (y[~odd] == 0).any() and (y[odd] == 1).any() and (y[odd] == 0).any():
-            theta = fit_logistic(np.stack([evaluate(t, half) for t in pick(~odd)]), y[~odd])
+        whole = learn_lexicon(texts, y)
+        if all((y[m] == c).any() for m in (odd, ~odd) for c in (0, 1)):
+            half, other = learn_lexicon(pick(odd), y[odd]), learn_lexicon(pick(~odd), y[~odd])
+            x = np.concatenate([np.stack([evaluate(t, half) for t in pick(~odd)]), np.stack([evaluate(t, other) for t in pick(odd)])])
+            theta = fit_positive(x, np.concatenate([y[~odd], y[odd]]))
         else:
-            fitted = False
-        whole = learn_acceptor(texts, y)
-        if not fitted:
-            theta = fit_logistic(np.stack([evaluate(t, whole) for t in texts]), y)
+            theta = fit_positive(np.stack([evaluate(t, whole) for t in texts]), y)
         model = {"stems": whole.stems, "whole": whole.whole, "theta": theta}
     yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(model))], pa.binary())], ["model"])
 
@@ -250,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     """Fit on a bounded sample of labelled docs (doc_id, text), none of them held out."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "toxic").distinct()
     ids = sample_ids(usable.where("toxic = 1"), ["toxic"], toxic).unionByName(sample_ids(usable.where("toxic = 0"), ["toxic"], clean))
-    texts = docs.join(F.broadcast(ids), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("h"))
+    start = F.substring(F.col("text").cast("binary"), 1, LEARN_BYTES).alias("text")
+    texts = docs.join(F.broadcast(ids), "doc_id").select("toxic", start, F.xxhash64("doc_id", "text").alias("h"))
     rows = texts.repartition(1).sortWithinPartitions("h").limit(2 * (toxic + clean)).select("toxic", "text")
     found = rows.mapInArrow(_train, "model binary").collect()
     return pickle.loads(zlib.decompress(bytes(found[0]["model"]))) if found else None
@@ -258,13 +208,13 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
 
 def _scoring(model: dict | None, at: int, threshold: float):
     def run(batches):
-        acceptor = InsultAcceptor(model["stems"], model["whole"]) if model else None
+        lexicon = Lexicon(model["stems"], model["whole"]) if model else None
         for batch in batches:
             if model is None:
                 scores = np.zeros(batch.num_rows)
             else:
                 theta = model["theta"]
-                scores = np.array([float(evaluate(t, acceptor) @ theta[:-1] + theta[-1]) for t in utf8(batch.column(at))])
+                scores = np.array([float(evaluate(t, lexicon) @ theta[:-1] + theta[-1]) for t in utf8(batch.column(at))])
                 scores = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
             said = (scores >= threshold).astype(np.int32)
             rest = [c for k, c in enumerate(batch.columns) if k != at]
@@ -275,7 +225,8 @@ def _scoring(model: dict | None, at: int, threshold: float):
 
 
 def score(docs: DataFrame, model: dict | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without text_col, with score and predicted; docs must have no columns of these names."""
+    """docs without text_col, with score and predicted, which replace columns of these names."""
+    docs = docs.drop(*({"score", "predicted"} - {text_col}))
     schema = docs.drop(text_col).select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
     return docs.mapInArrow(_scoring(model, docs.columns.index(text_col), threshold), schema)
 
