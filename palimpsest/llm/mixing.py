@@ -48,42 +48,42 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(_count_words, "doc_id long, source string, size long")
 
 
-def water_fill(sizes: np.ndarray, weights: np.ndarray, cap: float = CAP) -> np.ndarray:
-    """Targets that share sum(sizes) by weight, none above cap times its size, the excess reshared."""
-    target, total = np.zeros(len(sizes)), float(sizes.sum())
-    free = sizes > 0
-    rest = total
-    while free.any():
-        share = rest * weights / weights[free].sum()
-        over = free & (share > cap * sizes)
-        if not over.any():
-            target[free] = share[free]
-            break
-        target[over] = cap * sizes[over]
-        rest = total - target.sum()
-        free &= ~over
-    return target
-
-
-def _targets(cycle: tuple[float, ...], cap: float):
-    def run(frames):
-        frames = list(frames)
-        if not frames:
-            return
-        all_ = pd.concat(frames)
-        order = sorted(range(len(all_)), key=lambda i: (all_.source.iloc[i] is None, all_.source.iloc[i] or ""))
-        all_ = all_.iloc[order].reset_index(drop=True)
-        weights = np.array([cycle[i % len(cycle)] for i in range(len(all_))])
-        all_["target"] = water_fill(all_.source_size.to_numpy(np.float64), weights, cap)
-        yield all_
-
-    return run
+def ranked_sources(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """source, source_size, units, rank: sources by code point, null last.
 
-
-def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """source, source_size, units, target; one task sees one row for each source."""
+    A range sort ranks them; what reaches the driver is the number of sources of each of its partitions.
+    """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units"))
-    return totals.coalesce(1).mapInPandas(_targets(cycle, cap), "source string, source_size long, units long, target double")
+    at = F.monotonically_increasing_id()
+    placed = scratch.keep(totals.orderBy(F.col("source").asc_nulls_last()).select("*", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")), "sources", small=True)
+    before, offsets = 0, []
+    for part, n in sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        offsets += [F.lit(part), F.lit(before).cast("long")]
+        before += n
+    offset = F.create_map(*offsets)[F.col("part")] if offsets else F.lit(0).cast("long")
+    return placed.select("source", "source_size", "units", (offset + F.col("nth")).alias("rank"))
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, cycle: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """source, source_size, units, target of each source.
+
+    Targets share the sum of sizes by weight, none above cap times its size, the
+    excess reshared: a round sums what is at its cap, and the weights of the rest,
+    over all sources, until no more sources reach their caps.
+    """
+    weight = F.element_at(F.array(*map(F.lit, cycle)), F.pmod("rank", F.lit(len(cycle))).cast("int") + 1)
+    sources = ranked_sources(sizes, scratch).withColumn("weight", weight).withColumn("most", cap * F.col("source_size"))
+    free = F.col("source_size") > 0
+    total, weights = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(free, F.col("weight"))), F.lit(0.0))).first()
+    rest, left, capped = total, weights, 0
+    while left:
+        over = free & (rest * F.col("weight") / left > F.col("most"))
+        n, full, still = sources.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(free & ~over, F.col("weight"))), F.lit(0.0))).first()
+        if n == capped:
+            break
+        rest, left, capped = total - full, still, n
+    share = F.least(rest * F.col("weight") / left, F.col("most")) if left else F.col("most")
+    return sources.select("source", "source_size", "units", F.when(free, share).otherwise(F.lit(0.0)).alias("target"))
 
 
 def pivot(mass: np.ndarray, limit: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
@@ -137,7 +137,7 @@ def mix_sizes(sizes: DataFrame, cycle: tuple[float, ...] = WEIGHTS, cap: float =
     spark = sizes.sparkSession
     scratch = Scratch(spark, "mixing")
     units = scratch.keep(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "units")
-    targets = scratch.keep(source_targets(units.withColumn("size", F.col("size") * F.col("n")), cycle, cap), "targets")
+    targets = scratch.keep(source_targets(units.withColumn("size", F.col("size") * F.col("n")), scratch, cycle, cap), "targets", small=True)
     most = targets.agg(F.coalesce(F.max("units"), F.lit(0))).first()[0]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     leaves = F.ceil(F.col("units") / leaf_docs)

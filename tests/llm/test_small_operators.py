@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from palimpsest.llm import decontaminate, mixing, sharding, url_filter
+from palimpsest.llm.storage import Scratch
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, copies string, shard string, row string, key string"
 
@@ -110,10 +111,14 @@ def brute_targets(sizes, weights):
         fixed |= {i: 3 * sizes[i] for i in over}
 
 
-@pytest.mark.parametrize("sizes", [[100, 100, 100], [1, 1, 1000], [5, 0, 7, 9000, 3], [10], [0, 0]])
-def test_targets(sizes):
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [1, 1, 1000], [5, 0, 7, 9000, 3], [10], [0, 0], [2**k for k in range(30)], list(range(1, 700))])
+def test_targets(spark, sizes):
     w = [1.0 + i % 3 for i in range(len(sizes))]
-    assert mixing.water_fill(np.array(sizes, float), np.array(w)) == pytest.approx(brute_targets(sizes, w))
+    names = [chr(0x61 + i % 26) * (i // 26 + 1) if i < 300 else "é" * (i % 40) + chr(0x1F600 + i) for i in range(len(sizes) - 1)]
+    names = [*sorted(names), None]  # in Python, too, text is in order of code points
+    rows = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(zip(names, sizes))], "doc_id long, source string, size long").repartition(5)
+    got = {r.source: r.target for r in mixing.source_targets(rows, Scratch(spark, "test")).collect()}
+    assert [got[n] for n in names] == pytest.approx(brute_targets(sizes, w))
 
 
 def test_pivot_keeps_mass_and_bounds():
@@ -162,6 +167,20 @@ def test_mix(spark):
     assert mixed.count() == sum(p["copies"] * p["n"] for p in plan)
 
 
+def test_expected_copies(spark):
+    """Over many seeds, a document's mean copies are its source's target over its size, whatever the document."""
+    rows = [(i, "s" if i % 3 else "t", 1 + i % 7) for i in range(60)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    runs = [{r.doc_id: (r.copies, r.target / r.source_size, r.source, r.size) for r in mixing.mix_sizes(sizes, seed=k, leaf_docs=8, fan_in=2).collect()} for k in range(12)]
+    for source in "st":
+        own = [i for i, s, _ in rows if s == source]
+        rate = runs[0][own[0]][1]
+        assert abs(sum(run[i][0] for run in runs for i in own) / (len(runs) * len(own)) - rate) < 0.12
+        assert all(run[i][0] in (int(rate), int(rate) + 1) for run in runs for i in own)
+        # draws tie on nothing but the document: equal sizes don't get equal copies
+        assert len({tuple(run[i][0] for run in runs) for i in own if rows[i][2] == 3}) > 1
+
+
 def test_mix_empty(spark):
     assert mixing.mix_sizes(mixing.word_counts(docs_of(spark, []))).collect() == []
 
