@@ -7,15 +7,19 @@ stands in no pattern, the search moves on by the most it safely can. A block
 that ends a pattern leads to a bucket of candidates, which are compared word by
 word.
 
-The benchmark is a stated query set: it is dealt into chunks of at most
-`chunk_bytes` of text, and every document is searched for every chunk. One chunk
-is what the executors hold at a time.
+The benchmark is a stated query set: it is dealt into chunks of about
+`chunk_bytes` of text (at least one item), and every document is searched for
+every chunk. One chunk is what the driver and an executor's task hold at a time.
+With several chunks, documents are numbered in a written table once; a chunk's
+search gives the numbers, spans and items of the documents that it hits, and no
+texts.
 
 Defined results: a null or empty text has no words, is not hit and not
 contaminated. Items without words have no windows. The windows of an item with a
 null id hit words as others do; only the list of ids and n_items leave it out.
 Repeated items with one id count once in n_items. Repeated documents each get a
-row; extra columns are ignored.
+row; extra columns stay out of the search, and those named n_words, hit_spans or
+items are replaced. Empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -45,17 +49,18 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WuManber:
     """Search for word sequences of one length m; block: words in a block."""
 
-    def __init__(self, patterns: dict[tuple[int, ...], list[int]], m: int):
+    def __init__(self, patterns: dict[tuple[int, ...], dict[int, None]], m: int):
         self.m, self.block = m, min(2, m)
         self.patterns = patterns
         self.default = m - self.block + 1
         self.shift: dict[tuple[int, ...], int] = {}
-        self.buckets: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
+        #: suffix block -> first block -> patterns
+        self.buckets: dict[tuple[int, ...], dict[tuple[int, ...], list[tuple[int, ...]]]] = {}
         for p in patterns:
             for end in range(self.block, m + 1):
                 key = p[end - self.block : end]
                 self.shift[key] = min(self.shift.get(key, self.default), m - end)
-            self.buckets.setdefault(p[m - self.block :], []).append(p)
+            self.buckets.setdefault(p[m - self.block :], {}).setdefault(p[: self.block], []).append(p)
 
     def find(self, ids: list[int]):
         """(start, owners) of each occurrence."""
@@ -68,13 +73,11 @@ class WuManber:
                 i += s
                 continue
             start = i - m + 1
-            first, window = ids[start], None
-            for p in self.buckets[key]:
-                if p[0] == first:
-                    window = window or tuple(ids[start : i + 1])
-                    if p == window:
-                        yield start, self.patterns[p]
-                        break
+            near = self.buckets[key].get(tuple(ids[start : start + block]))
+            if near:
+                window = tuple(ids[start : i + 1])
+                if window in near:
+                    yield start, self.patterns[window]
             i += 1
 
 
@@ -85,7 +88,7 @@ class Benchmark:
         self.ids: list[str] = []
         self.vocabulary: dict[bytes, int] = {}
         numbered: dict[str, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        by_length: dict[int, dict[tuple[int, ...], dict[int, None]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -94,9 +97,9 @@ class Benchmark:
             seq = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
             m = min(width, len(seq))
             for s in range(len(seq) - m + 1):
-                owners = by_length.setdefault(m, {}).setdefault(seq[s : s + m], [])
-                if k is not None and k not in owners:
-                    owners.append(k)
+                owners = by_length.setdefault(m, {}).setdefault(seq[s : s + m], {})
+                if k is not None:
+                    owners[k] = None
         self.ids = list(numbered)
         self.searchers = [WuManber(p, m) for m, p in sorted(by_length.items())]
 
@@ -122,48 +125,68 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searching(items: list, width: int, text_at: int, names: list[str]):
-    """mapInArrow function; the last three columns are replaced, the last two columns are the spans and item ids found so far."""
+FOUND = ["n_words", "hit_spans", "items"]
+
+
+def _searching(items: list, width: int, text_at: int, all_rows: bool):
+    """mapInArrow function: the columns but the text, and those of FOUND; without all_rows, of documents that are hit."""
 
     def run(batches):
         bench = Benchmark(items, width)
         for batch in batches:
-            spans_out, items_out, counts = [], [], []
-            for text, spans, found in zip(utf8(batch.column(text_at)), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            counts, spans_out, items_out = [], [], []
+            for text in utf8(batch.column(text_at)):
                 words = words_of(text)
-                new, ids = bench.search(words) if words else ([], set())
-                old = list(zip(spans[::2], spans[1::2])) if spans else []
-                spans_out.append([x for s in (merged(new + old) if new else old) for x in s])
-                items_out.append(sorted(ids.union(found or [])))
+                spans, ids = bench.search(words) if words else ([], set())
                 counts.append(len(words))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(spans_out, pa.list_(pa.int32())), pa.array(items_out, pa.list_(pa.string()))],
-                [*batch.schema.names[:-3], "n_words", "hit_spans", "items"],
+                spans_out.append([x for s in merged(spans) for x in s])
+                items_out.append(sorted(ids))
+            rest = [(n, c) for k, (n, c) in enumerate(zip(batch.schema.names, batch.columns)) if k != text_at]
+            out = pa.RecordBatch.from_arrays(
+                [*(c for _, c in rest), pa.array(counts, pa.int64()), pa.array(spans_out, pa.list_(pa.int32())), pa.array(items_out, pa.list_(pa.string()))],
+                [*(n for n, _ in rest), *FOUND],
             )
+            yield out if all_rows else out.filter(pa.array([bool(s) for s in spans_out], pa.bool_()))
 
     return run
 
 
-def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs with n_words, hit_spans (start, end, start, ...; in words) and items (ids found).
+def _merging(batches):
+    """number, lists of spans and items by chunk -> number, spans, items."""
+    for batch in batches:
+        spans = [[x for s in merged([p for one in lists for p in zip(one[::2], one[1::2])]) for x in s] for lists in batch.column(1).to_pylist()]
+        items = [sorted({i for one in lists for i in one}) for lists in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["number", "spans", "found"])
 
-    docs must have no columns of these names.
-    """
+
+def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """docs without text_col, with n_words, hit_spans (start, end, start, ...; in words) and items (ids found), which replace columns of these names."""
     spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
+    docs = docs.drop(*(set(FOUND) - {text_col}))
+    keyed = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).distinct()
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     chunks = max(1, -(-size // chunk_bytes))
-    state = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("items"))
-    keyed = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("binary").alias("t"))
-    scratch = None
-    for c in range(chunks):
+
+    def search(rows: DataFrame, c: int, all_rows: bool) -> DataFrame:
         part = keyed if chunks == 1 else keyed.where(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == c)
         items = [(r["i"], None if r["t"] is None else bytes(r["t"])) for r in part.collect()]
-        out = state.mapInArrow(_searching(items, width, docs.columns.index(text_col), docs.columns), state.schema)
-        if c + 1 < chunks:
-            scratch = scratch or Scratch(spark, "decontaminate")
-            out = scratch.keep(out, f"chunk{c}")
-        state = out
-    return state
+        out = rows.drop(text_col).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("items"))
+        return rows.mapInArrow(_searching(items, width, rows.columns.index(text_col), all_rows), out.schema)
+
+    if chunks == 1:
+        return search(docs, 0, True)
+    scratch = Scratch(spark, "decontaminate")
+    numbered = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).alias(text_col), F.monotonically_increasing_id().alias("number")), "numbered")
+    slim = numbered.select("number", text_col)
+    first = scratch.keep(search(slim, 0, True), "chunk0")
+    hits = first.where(F.size("hit_spans") > 0)
+    for c in range(1, chunks):
+        hits = hits.unionByName(scratch.keep(search(slim, c, False), f"chunk{c}", small=True))
+    lists = hits.groupBy("number").agg(F.collect_list("hit_spans").alias("s"), F.collect_list("items").alias("i"))
+    found = lists.mapInArrow(_merging, "number long, spans array<int>, found array<string>").withColumnRenamed("number", "k")
+    met = numbered.select("row", "number").join(first.select(F.col("number").alias("n0"), "n_words"), F.col("number") == F.col("n0")).join(found, F.col("number") == F.col("k"), "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return met.select("row.*", "n_words", F.coalesce("spans", none("int")).alias("hit_spans"), F.coalesce("found", none("string")).alias("items"))
 
 
 def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
