@@ -1,11 +1,13 @@
 """WARC archives in Zstandard: one frame per record, a dictionary in the leading skippable frame.
 
 A file is a skippable frame (magic 0x184D2A5D) with the dictionary, then a frame
-for each record. Between frames stand empty skippable frames (magic 0x184D2A50,
-length 0), which every Zstandard reader passes over: their eight bytes are
-ASCII, so Spark's own text writer can set them as its line separator. Files thus
-go through Spark's committer to any file system that Spark reaches, and a lost
-executor's task is written anew.
+for each record, and an empty skippable frame (magic 0x184D2A50, length 0) at the
+end, which every Zstandard reader passes over. A task gathers frames up to
+FILE_BYTES and hands them on as one row, which Spark's own text writer writes as
+one file, with the empty frame as line separator (its eight bytes are ASCII). Files
+thus have a bounded size, go through Spark's committer to any file system that
+Spark reaches, and a lost executor's task is written anew. Their content is that of
+.warc.zst files; Spark's writer names them part-*.txt.
 
 Of records with equal payloads of at least `min_revisit_bytes` bytes, that with
 the smallest page_id is a response; the others are revisits that refer to it and
@@ -36,8 +38,8 @@ SEPARATOR = struct.pack("<II", PAD_MAGIC, 0)
 LEVEL = 3
 #: Bounds of the sample that the dictionary is trained on, and of the dictionary.
 SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 256, 2048, 16 << 10
-#: Lines of an archive file: the dictionary and this number of records less one.
-FILE_FRAMES = 1024
+#: Compressed bytes after which an archive file ends; it is longer by one record at most.
+FILE_BYTES = 32 << 20
 #: Bytes given to the decoder at a time, and decoded bytes gathered for a batch.
 STEP_BYTES, BATCH_BYTES = 8 << 10, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -171,40 +173,39 @@ def train_dictionary(pages: DataFrame, id_col: str = "page_id", payload_col: str
         return b""
 
 
-def _frames(raw: bytes):
+def _files(raw: bytes, file_bytes: int):
     def run(batches):
         options = {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
         packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **options)
-        first, n = dictionary_frame(raw), 0
+        parts, held = [dictionary_frame(raw)], 0
+
+        def file():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["file"])
+
         for batch in batches:
-            out: list[bytes] = []
-            held = 0
             for page_id, url, payload, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
-                if n % FILE_FRAMES == 0:
-                    out.append(first)
-                    n += 1
                 payload = payload or b""
-                out.append(packer.compress(record_bytes(page_id, url, payload, payload_digest(payload), refers)))
-                n += 1
-                held += len(out[-1])
-                if held > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                parts.append(packer.compress(record_bytes(page_id, url, payload, payload_digest(payload), refers)))
+                held += len(parts[-1])
+                if held >= file_bytes:
+                    yield file()
+                    parts, held = [dictionary_frame(raw)], 0
+        if held:
+            yield file()
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> None:
-    """Write a record for each row of pages to .warc.zst-format files below path."""
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Write a record for each row of pages to files below path."""
     raw = train_dictionary(pages, id_col, payload_col)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     keyed = slim.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     firsts = keyed.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     refers = F.when(F.col("page_id") == F.col("first"), None).otherwise(F.col("first"))
     records = keyed.join(firsts, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
-    frames = records.mapInArrow(_frames(raw), "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", FILE_FRAMES).option("compression", "none").text(path)
+    files = records.mapInArrow(_files(raw, file_bytes), "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def _records(with_payload: bool):

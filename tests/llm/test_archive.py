@@ -63,11 +63,14 @@ def test_empty_table(spark):
     assert records.collect() == []
 
 
-def test_files_roll_with_the_dictionary_first(spark, monkeypatch):
-    monkeypatch.setattr(archive, "FILE_FRAMES", 8)
+def test_files_roll_by_bytes_with_the_dictionary_first(spark):
     raw = archive.train_dictionary(spark.createDataFrame([r + ("c",) for r in ROWS[:299]], SCHEMA))
-    frames = [f for b in archive._frames(raw)(iter([_batch(ROWS[:20])])) for f in b.column(0).to_pylist()]
-    assert [k for k, f in enumerate(frames) if f[:4] == archive.dictionary_frame(b"")[:4]] == [0, 8, 16]
+    files = [f for b in archive._files(raw, 1000)(iter([_batch(ROWS[:40]), _batch(ROWS[40:80])])) for f in b.column(0).to_pylist()]
+    head = archive.dictionary_frame(raw)
+    assert len(files) > 2 and all(f.startswith(head) for f in files)
+    longest = max(len(zstandard.ZstdCompressor(level=archive.LEVEL).compress((r[2] or "").encode())) for r in ROWS[:80]) + 2000
+    assert all(len(f) - len(head) < 1000 + longest for f in files) and all(len(f) - len(head) >= 1000 for f in files[:-1])
+    assert sum(len(list(archive.read_archive(f))) for f in files) == 80
 
 
 def _batch(rows):
