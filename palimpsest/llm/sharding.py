@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .storage import Scratch, table
 
 LIMIT_BYTES = 8 << 20
+#: Limit of the registered query, at which tables of a few megabytes split unevenly, too.
+QUERY_LIMIT_BYTES = 256 << 10
 BITS = 60
 #: Bits that the directory has beyond what the mean load needs.
 SLACK_BITS = 3
@@ -112,7 +114,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     rows = sized.select(F.struct("doc_id", "n_bytes").alias("row"), hash_key(F.col("doc_id")).alias("key"), F.col("n_bytes").alias("size"))
-    return _assign(rows, LIMIT_BYTES, 0).select("row.doc_id", "row.n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs")
+    return _assign(rows, QUERY_LIMIT_BYTES, 0).select("row.doc_id", "row.n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -123,7 +125,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS k FROM documents),
 p AS (SELECT doc_id, n_bytes, d.d, k >> (60 - d.d) AS prefix FROM d, (SELECT unnest(range(0, 41)) AS d) d),
-s AS (SELECT d, prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY d, prefix HAVING sum(n_bytes) <= {LIMIT_BYTES}),
+s AS (SELECT d, prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY d, prefix HAVING sum(n_bytes) <= {QUERY_LIMIT_BYTES}),
 l AS (SELECT doc_id, n_bytes, min(p.d) AS d FROM p JOIN s USING (d, prefix) GROUP BY doc_id, n_bytes)
 SELECT l.doc_id, l.n_bytes, '0:' || CASE WHEN l.d = 0 THEN '' ELSE right(bin(p.prefix + (1::BIGINT << 61)), l.d) END AS shard, CAST(l.d AS INTEGER) AS shard_depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, CAST(shard_docs AS BIGINT) AS shard_docs
 FROM l JOIN p ON p.doc_id = l.doc_id AND p.d = l.d JOIN s ON s.d = p.d AND s.prefix = p.prefix
