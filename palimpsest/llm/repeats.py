@@ -1,29 +1,37 @@
-"""Repeated byte strings: hashed windows, led by their least name, in place of prefix doubling.
+"""Repeated byte strings by distributed prefix doubling over led windows.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts earlier:
 in a document of a smaller id, or earlier in the same one.
 
-Two steps, after each of which what is unique leaves:
-
-1. Every window of LENGTH bytes is led by the least of its SEED-byte names, so
-   that equal windows are led by equal names at equal offsets, and a run of
-   neighbouring windows shares a leader. A position of the first round is such a
-   run. Spark sorts the pairs (rank of the leader's SEED bytes, rank of all bytes
-   of the run); runs whose leader is unique leave, and so do runs whose bytes
-   all occur in an earlier run, which are repeats as a whole.
-2. The windows of what is left are named at once within a task, from the names of
-   their four quarters; there are no rounds. They are sorted by name and position;
-   all but the first of a name are repeats.
-
-A map task sends a run that it holds twice only once, and runs of a leader with
-over BATCH_CLASSES different surroundings past the sort of leaders, with one
-marker row. Leaders of over GROUP_CLASSES surroundings have their windows ranked
-as rows of their own (a task sends the first of a rank only), the others in
-groups. Names have 64 bits.
+Positions are ranked by a growing part of their window; Spark sorts pairs of the
+rank so far and the bytes that are new, and what is unique leaves. So that a row
+need not stand for a single position, the part begins at a leader: the least
+SEED-byte name in a window, which equal windows hold at equal offsets. A run of
+neighbouring windows with one leader is one row.
+
+* Round 0: ranks are the leaders' names. Runs with a leader that no other run has
+  leave. Of runs whose bytes are all the same, only the first goes on; the others
+  are repeats as a whole.
+* Round r: a run is parted where its offsets from the leader cross a multiple of
+  64 >> r. All windows of a part share a core of LENGTH + 1 - (64 >> r) bytes: 69,
+  85, 93, 97, 99, 100. Spark sorts the pairs (rank in the round before, name of the
+  core); parts that are unique leave, parts whose bytes equal another's are repeats
+  but for the first. In the last round a part is one window.
+
+A map task sends equal parts that it holds once only. Ranks with over
+BATCH_CLASSES different parts in a batch (a common line in many surroundings) go
+past that round's sort, with a marker row that keeps alive what others hold of
+them; they are told apart in the rounds to come, where cores are longer. So no task
+gets more rows of a rank than BATCH_CLASSES for each batch that was sent.
+
+Repeats are settled in round 0 by two 64-bit names, of the leader and of all bytes
+of the run; in later rounds by the bytes themselves.
 
 Defined results: a null text is empty. Rows with a null id are left whole and are
-no source. Rows with one id and one text are one document; one id is taken to
-have one text. Extra columns are ignored. An empty table gives no rows.
+no source. Rows with one id and one text are one document; different texts of one
+id are documents in the order of their digests. Very long texts are read in pieces
+of PIECE bytes, which share no window. Extra columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -42,18 +50,19 @@ from .textkit import mix, utf8
 
 LENGTH = 100
 SEED = 40
-BATCH_CLASSES, GROUP_CLASSES = 16, 64
+BATCH_CLASSES = 16
+#: Rounds after that of the leaders; offsets from the leader are below 1 << ROUNDS.
+ROUNDS = 6
 #: Bytes of a text that are named at a time.
 PIECE = 1 << 20
-#: Runs and windows that a task gathers before it sends them, and rows that it sends at a time.
-RUNS_AT_ONCE, WINDOWS_AT_ONCE, ROWS_AT_ONCE = 1_500_000, 500_000, 32_768
+#: Runs, and bytes of parts, that a task gathers before it sends them; rows that it sends at a time.
+RUNS_AT_ONCE, BYTES_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 2 << 20, 16_384
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = mix(np.arange(1, 257, dtype=U) * U(0x632BE59BD9B4E019))
 _LOW30 = U((1 << 30) - 1)
-#: Kinds of rows before and after the sort of leaders.
-RUN, MARKER, SPAN, WINDOWS = 0, 1, 2, 3
-IN_GROUP, AS_ROWS = 4, 5
+#: Kinds of rows: to be ranked; a marker of a rank with many; a repeat; to go past the sort.
+ROW, MARKER, SPAN, PAST = 0, 1, 2, 3
 
 
 class Names:
@@ -91,24 +100,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Leader name, run name, first and last window start of each run of a piece."""
+def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leader name, run name, first and last window start, and leader's start of each run of a piece."""
     names = Names(data)
     seeds = names.every(SEED)
     keyed = (seeds & ~_LOW30) | np.arange(len(seeds), dtype=U)
     lead = (_sliding_min(keyed, LENGTH - SEED + 1) & _LOW30).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(lead) - 1]])
-    return seeds[lead[first]], names.spans(first, last + LENGTH), first, last
-
-
-def window_ranks(data: np.ndarray) -> np.ndarray:
-    """Names of all windows of LENGTH bytes, from those of their quarters."""
-    quarter = Names(data).every(LENGTH // 4)
-    step = LENGTH // 4
-    half = mix(quarter[:-step] * U(0x9E3779B97F4A7C15) + quarter[step:])
-    step = LENGTH // 2
-    return mix(half[:-step] * U(0xD6E8FEB86659FD93) + half[step:])
+    return seeds[lead[first]], names.spans(first, last + LENGTH), first, last, lead[first]
 
 
 def pieces(text: bytes):
@@ -122,12 +122,17 @@ def pieces(text: bytes):
 _COLUMNS = ["key", "kind", "run", "doc", "pos"]
 
 
-#: Tasks that cut windows: so many for each core, or more where a task would get more bytes of text.
-TASKS_PER_CORE, TASK_BYTES = 4, 64 << 20
+def _pack(first: np.ndarray, more: np.ndarray, high=0) -> np.ndarray:
+    """first window (or byte) | windows after it (or bytes) << 32 | offset of the first window from its leader << 40."""
+    return first.astype(np.int64) | (np.asarray(more).astype(np.int64) << 32) | (np.asarray(high).astype(np.int64) << 40)
 
 
-def _pack(start: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return start.astype(np.int64) | (more.astype(np.int64) << 32)
+def _unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pos & 0xFFFFFFFF, (pos >> 32) & 0xFF, pos >> 40
+
+
+def _spread(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x.astype(U) * U(0x9E3779B97F4A7C15) + y.astype(U)).view(np.int64)
 
 
 def _fused(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -139,37 +144,36 @@ def _fused(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
-def _batch_rows(doc, lead, run, first, last):
+def _sent(rank: np.ndarray, new_class: np.ndarray, last_round: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in order of rank and class: masks of those to be ranked, those that go past, and of one row of each rank that does."""
+    new_rank = np.concatenate([[True], rank[1:] != rank[:-1]])
+    classes = np.bincount(np.cumsum(new_rank) - 1, weights=new_class)[np.cumsum(new_rank) - 1]
+    many = classes > (len(rank) if last_round else BATCH_CLASSES)
+    return new_class & ~many, new_class & many, new_rank & many
+
+
+def _run_rows(doc, lead, run, first, last, at):
     """Rows that a map task sends for its runs."""
     order = np.lexsort((first, doc, run, lead))
-    doc, lead, run, first, last = doc[order], lead[order], run[order], first[order], last[order]
-    new_lead = np.concatenate([[True], lead[1:] != lead[:-1]])
-    new_run = new_lead | np.concatenate([[True], run[1:] != run[:-1]])
-    group = np.cumsum(new_lead) - 1
-    classes = np.bincount(group, weights=new_run)[group]
-    hot = new_run & (classes > BATCH_CLASSES)
-    send = new_run & ~hot
-    marks = np.flatnonzero(new_lead & (classes > BATCH_CLASSES))
-    rep = ~new_run
-    by = np.lexsort((first[rep], doc[rep]))
-    d, s, e = doc[rep][by], first[rep][by], last[rep][by] + LENGTH
+    doc, lead, run, first, last, at = (x[order] for x in (doc, lead, run, first, last, at))
+    new_class = np.concatenate([[True], (lead[1:] != lead[:-1]) | (run[1:] != run[:-1])])
+    send, past, marks = _sent(lead, new_class)
+    by = np.flatnonzero(~new_class)
+    by = by[np.lexsort((first[by], doc[by]))]
+    d, s, e = doc[by], first[by], last[by] + LENGTH
     parts = []
     for one in np.split(np.arange(len(d)), np.flatnonzero(d[1:] != d[:-1]) + 1) if len(d) else []:
         parts.append(_fused(d[one], s[one], e[one]))
     d, s, e = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
-    spread = lambda x, y: mix(x.astype(U) * U(0x9E3779B97F4A7C15) + y.astype(U)).view(np.int64)
-    zeros = lambda n: np.zeros(n, np.int64)
+    pos = _pack(first, last - first, at - first)
+    key, zeros = lead.view(np.int64), lambda n: np.zeros(n, np.int64)
     kind = lambda n, k: np.full(n, k, np.int32)
-    full = lambda m: (lead[m].view(np.int64), run[m].view(np.int64), doc[m], _pack(first[m], last[m] - first[m]))
-    k0, r0, d0, p0 = full(send)
-    k1 = lead[marks].view(np.int64)
-    k3, r3, d3, p3 = full(hot)
     return (
-        np.concatenate([k0, k1, spread(d, s), spread(d3, p3)]),
-        np.concatenate([kind(len(k0), RUN), kind(len(k1), MARKER), kind(len(d), SPAN), kind(len(k3), WINDOWS)]),
-        np.concatenate([r0, zeros(len(k1)), zeros(len(d)), k3]),
-        np.concatenate([d0, zeros(len(k1)), d, d3]),
-        np.concatenate([p0, zeros(len(k1)), _pack(s, e - s), p3]),
+        np.concatenate([key[send], key[marks], _spread(d, s), _spread(doc[past], pos[past])]),
+        np.concatenate([kind(send.sum(), ROW), kind(marks.sum(), MARKER), kind(len(d), SPAN), kind(past.sum(), PAST)]),
+        np.concatenate([run[send].view(np.int64), zeros(marks.sum()), zeros(len(d)), key[past]]),
+        np.concatenate([doc[send], zeros(marks.sum()), d, doc[past]]),
+        np.concatenate([pos[send], zeros(marks.sum()), _pack(s, e - s), pos[past]]),
     )
 
 
@@ -188,12 +192,12 @@ def _find_runs(batches):
         found, held = [], 0
 
         def rows(found):
-            return _slices(pa.RecordBatch.from_arrays([pa.array(x) for x in _batch_rows(*(np.concatenate(x) for x in zip(*found)))], _COLUMNS))
+            return _slices(pa.RecordBatch.from_arrays([pa.array(x) for x in _run_rows(*(np.concatenate(x) for x in zip(*found)))], _COLUMNS))
 
         for i in sorted(seen.values()):
             for at, data in pieces(texts[i]):
-                lead, run, first, last = runs(data)
-                found.append((np.full(len(lead), ids[i], np.int64), lead, run, first + at, last + at))
+                lead, run, first, last, leader = runs(data)
+                found.append((np.full(len(lead), ids[i], np.int64), lead, run, first + at, last + at, leader + at))
                 held += len(lead)
             if held > RUNS_AT_ONCE:
                 yield from rows(found)
@@ -202,167 +206,142 @@ def _find_runs(batches):
             yield from rows(found)
 
 
-def _rank_leaders(batches):
-    """Rows sorted by (key, kind desc, run, doc, pos) -> doc, pos, key, kind: SPAN, IN_GROUP or AS_ROWS."""
-    names = ["doc", "pos", "key", "kind"]
+def _rank(batches):
+    """Rows sorted by (key, kind desc, class, doc, pos) -> doc, pos, key, kind (SPAN or ROW) and, where classes are bytes, those bytes.
 
-    def out(doc, pos, key, kind):
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(key, pa.int64()), pa.array(kind, pa.int32())], names)
-
-    def as_span(pos):
-        start, more = pos & 0xFFFFFFFF, pos >> 32
-        return start | ((more + LENGTH) << 32)
-
-    # the open leader: its key, whether it is hot, its classes so far (held back while few), its last run
-    key, hot, held, last = None, False, [], None
+    A class is a run's name in round 0, a part's bytes later.
+    """
+    key, shared, held, last = None, False, None, None
     for batch in batches:
+        with_bytes = "cut" in batch.schema.names
         k, kind, run, doc, pos = (batch.column(n).to_numpy(zero_copy_only=False) for n in _COLUMNS)
+        classes = batch.column("cut").to_pylist() if with_bytes else run.tolist()
         through = kind >= SPAN
-        doc_out, pos_out, key_out, kind_out = [doc[through]], [pos[through]], [np.where(kind[through] == SPAN, 0, run[through])], [np.where(kind[through] == SPAN, SPAN, AS_ROWS)]
-        k, kind, run, doc, pos = (x[~through] for x in (k, kind, run, doc, pos))
-        if len(k):
-            # vectorised: leaders that lie wholly within the batch and have one row leave at once
-            new = np.concatenate([[True], k[1:] != k[:-1]])
-            alone = new & np.concatenate([new[1:], [False]])
-            alone[0] &= k[0] != key
-            alone[-1] = False
-            alone &= kind == RUN
-            stay = np.flatnonzero(~alone)
-            d_, p_, k_, c_ = [], [], [], []
-
-            def close():
-                if len(held) > 1:
-                    for h_doc, h_pos in held:
-                        d_.append(h_doc), p_.append(h_pos), k_.append(key), c_.append(IN_GROUP)
-
-            for kk, what, r, d, p in zip(k[stay].tolist(), kind[stay].tolist(), run[stay].tolist(), doc[stay].tolist(), pos[stay].tolist()):
+        at = np.flatnonzero(through)
+        out = [doc[at], pos[at], np.where(kind[at] == SPAN, 0, run[at]), np.where(kind[at] == SPAN, SPAN, ROW).astype(np.int32)]
+        cuts = [classes[i] for i in at.tolist()] if with_bytes else None
+        own = np.flatnonzero(~through)
+        if len(own):
+            ko = k[own]
+            # keys that lie wholly within the batch and have one row leave at once
+            new = np.concatenate([[True], ko[1:] != ko[:-1]])
+            alone = new & np.concatenate([new[1:], [False]]) & (kind[own] == ROW)
+            alone[0] &= ko[0] != key
+            made = []
+            for i in own[~alone].tolist():
+                kk, d, p, c = k[i], doc[i], pos[i], classes[i]
                 if kk != key:
-                    close()
-                    key, hot, held, last = kk, False, [], None
-                if what == MARKER:
-                    hot = True
-                    continue
-                if last is not None and r == last[0]:
+                    key, shared, held, last = kk, False, None, None
+                if kind[i] == MARKER:
+                    shared = True
+                elif last is not None and c == last[0]:
                     if (d, p) != last[1:]:
-                        d_.append(d), p_.append(as_span(p)), k_.append(0), c_.append(SPAN)
-                    continue
-                last = (r, d, p)
-                if hot:
-                    d_.append(d), p_.append(p), k_.append(key), c_.append(AS_ROWS)
-                    continue
-                held.append((d, p))
-                if len(held) > GROUP_CLASSES:
-                    hot = True
-                    for h_doc, h_pos in held:
-                        d_.append(h_doc), p_.append(h_pos), k_.append(key), c_.append(AS_ROWS)
-                    held = []
-            doc_out.append(np.array(d_, np.int64)), pos_out.append(np.array(p_, np.int64)), key_out.append(np.array(k_, np.int64)), kind_out.append(np.array(c_, np.int32))
-        yield out(*map(np.concatenate, (doc_out, pos_out, key_out, kind_out)))
-    if len(held) > 1:
-        yield out([d for d, _ in held], [p for _, p in held], [key] * len(held), [IN_GROUP] * len(held))
-
-
-def _later(rank: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows: a mask of those that are not the first of their rank, and the index of the first of each rank."""
-    order = np.lexsort((start, doc, rank))
-    r, d, s = rank[order], doc[order], start[order]
-    head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    own = np.repeat(head, np.diff(np.append(head, len(r))))
-    later = np.zeros(len(rank), bool)
-    later[order] = (d != d[own]) | (s != s[own])
-    return later, order[head]
-
-
-def _window_spans(later: np.ndarray, row: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """doc and packed span of each row of neighbouring windows that are later; row: the run that a window is of."""
-    at = np.flatnonzero(later)
-    if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])]))
-    tail = np.append(head[1:] - 1, len(at) - 1)
-    s = start[at[head]]
-    return doc[at[head]], _pack(s, start[at[tail]] - s + LENGTH)
-
-
-def _cut_windows(batches):
-    """doc, text, wanted (pos, key, kind) -> kind, key, doc, pos, cut.
-
-    IN_GROUP: a run of the leader `key` and its bytes. AS_ROWS: a window, its rank
-    as key, if it is the first of its rank in the batch. SPAN: of the others.
-    """
-    names = ["kind", "key", "doc", "pos", "cut"]
+                        start, more, _ = _unpack(p)
+                        made.append((d, start | ((more + LENGTH) << 32), 0, SPAN, None))
+                else:
+                    last = (c, d, p)
+                    if shared:
+                        made.append((d, p, kk, ROW, c))
+                    elif held is None:
+                        held = (d, p, kk, ROW, c)
+                    else:
+                        made += [held, (d, p, kk, ROW, c)]
+                        shared, held = True, None
+            if made:
+                d, p, kk, what, c = zip(*made)
+                out = [np.concatenate([x, np.array(y, x.dtype)]) for x, y in zip(out, (d, p, kk, what))]
+                cuts = cuts + list(c) if with_bytes else None
+        arrays = [pa.array(x) for x in out]
+        yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cuts, pa.binary())] if with_bytes else [])], ["doc", "pos", "key", "kind", *["cut"] * with_bytes])
+
+
+def _parts(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, cuts: list[bytes], round_: int) -> pa.RecordBatch:
+    """Rows to be sorted in a round, of the parts that rows of the round before fall into."""
+    first, more, high = _unpack(pos)
+    data = np.frombuffer(b"".join(cuts), np.uint8)
+    base = np.concatenate([[0], np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))[:-1]])
+    names, width = Names(data), 1 << (ROUNDS - round_)
+    lower, upper = (high - more) // width, high // width
+    row = np.concatenate([np.arange(len(key)), np.flatnonzero(lower != upper)])
+    part = np.concatenate([upper, lower[lower != upper]])
+    # offsets from the leader of the part's windows, the farthest of which starts first
+    far, near = np.minimum(high[row], part * width + width - 1), np.maximum(high[row] - more[row], part * width)
+    start = high[row] - far
+    size = far - near + LENGTH
+    core = names.spans(base[row] + high[row] - part * width, base[row] + high[row] - (part * width + width - 1) + LENGTH)
+    rank = mix((key[row].view(U) ^ (part.astype(U) * U(0xD6E8FEB86659FD93))) * U(0x9E3779B97F4A7C15) + core)
+    whole = names.spans(base[row] + start, base[row] + start + size)
+    doc, first = doc[row], first[row] + start
+    order = np.lexsort((first, doc, whole, rank))
+    row, start, size, far, near, rank, whole, doc, first = (x[order] for x in (row, start, size, far, near, rank, whole, doc, first))
+    cut = [cuts[r][s : s + n] for r, s, n in zip(row.tolist(), start.tolist(), size.tolist())]
+    new_class = np.concatenate([[True], (rank[1:] != rank[:-1]) | (whole[1:] != whole[:-1])])
+    head = 0
+    for i in np.flatnonzero(~new_class).tolist():
+        if new_class[i - 1]:
+            head = i - 1
+        if cut[i] != cut[head]:  # equal names of different bytes: a class of its own
+            new_class[i], head = True, i
+    send, past, marks = _sent(rank, new_class, round_ == ROUNDS)
+    again = np.flatnonzero(~new_class)
+    packed, zeros = _pack(first, far - near, far), lambda n: np.zeros(n, np.int64)
+    kind = lambda n, k: np.full(n, k, np.int32)
+    rank = rank.view(np.int64)
+    n_marks = int(marks.sum())
+    bytes_of = lambda m: [cut[i] for i in np.flatnonzero(m).tolist()]
+    columns = [
+        np.concatenate([rank[send], rank[marks], _spread(doc[again], first[again]), _spread(doc[past], packed[past])]),
+        np.concatenate([kind(send.sum(), ROW), kind(n_marks, MARKER), kind(len(again), SPAN), kind(past.sum(), PAST)]),
+        np.concatenate([zeros(send.sum()), zeros(n_marks), zeros(len(again)), rank[past]]),
+        np.concatenate([doc[send], zeros(n_marks), doc[again], doc[past]]),
+        np.concatenate([packed[send], zeros(n_marks), _pack(first[again], size[again]), packed[past]]),
+    ]
+    cuts_out = bytes_of(send) + [None] * (n_marks + len(again)) + bytes_of(past)
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cuts_out, pa.binary())], [*_COLUMNS, "cut"])
+
+
+class _Gathered:
+    """Rows of a round, gathered until their bytes are enough to be sent."""
+
+    def __init__(self, round_: int):
+        self.round, self.rows, self.held = round_, [], 0
+
+    def add(self, key: int, doc: int, pos: int, cut: bytes):
+        self.rows.append((key, doc, pos, cut))
+        self.held += len(cut)
+        if self.held > BYTES_AT_ONCE:
+            yield from self.send()
+
+    def send(self):
+        if self.rows:
+            key, doc, pos, cuts = zip(*self.rows)
+            self.rows, self.held = [], 0
+            yield from _slices(_parts(np.array(key, np.int64), np.array(doc, np.int64), np.array(pos, np.int64), list(cuts), self.round))
+
+
+def _cut_runs(batches):
+    """doc, text, wanted (pos, key) -> rows of the first round."""
+    gathered = _Gathered(1)
+    for batch in batches:
+        for doc, text, wanted in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2)):
+            for w in wanted:
+                pos = w["pos"].as_py()
+                first, more = pos & 0xFFFFFFFF, (pos >> 32) & 0xFF
+                yield from gathered.add(w["key"].as_py(), doc, pos, text[first : first + more + LENGTH])
+    yield from gathered.send()
 
-    def out(kind, key, doc, pos, cut=None):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.nulls(len(doc), pa.binary()) if cut is None else pa.array(cut, pa.binary())], names)
 
-    def loose_rows(loose):
-        rank, doc, start = (np.concatenate(x) for x in zip(*loose))
-        row = np.repeat(np.arange(len(loose)), [len(x[0]) for x in loose])
-        later, first = _later(rank, doc, start)
-        yield from _slices(out(AS_ROWS, rank[first], doc[first], start[first]))
-        d, p = _window_spans(later, row, doc, start)
-        yield from _slices(out(SPAN, np.zeros(len(d), np.int64), d, p))
+def _split(round_: int):
+    """Rows (doc, pos, key, cut) that a round has left -> rows of the next."""
 
-    for batch in batches:
-        rows, held, loose, n = [], 0, [], 0
-        for doc, text, wanted in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2)):
-            for w in wanted.as_py():
-                start, more = w["pos"] & 0xFFFFFFFF, w["pos"] >> 32
-                cut = text[start : start + more + LENGTH]
-                if w["kind"] == IN_GROUP:
-                    rows.append((w["key"], doc, w["pos"], cut))
-                    held += len(cut)
-                else:
-                    r = window_ranks(np.frombuffer(cut, np.uint8)).view(np.int64)
-                    loose.append((r, np.full(len(r), doc, np.int64), start + np.arange(len(r))))
-                    n += len(r)
-            if held > 8 << 20:
-                yield out(IN_GROUP, *zip(*rows))
-                rows, held = [], 0
-            if n > WINDOWS_AT_ONCE:
-                yield from loose_rows(loose)
-                loose, n = [], 0
-        if rows:
-            yield out(IN_GROUP, *zip(*rows))
-        if loose:
-            yield from loose_rows(loose)
-
-
-def _rank_groups(batches):
-    """Runs sorted by key -> spans of the windows that another run (or the same, earlier) of the key starts before."""
-
-    def spans(key, doc, pos, cuts):
-        data = np.frombuffer(b"".join(cuts), np.uint8)
-        size = np.array([len(c) for c in cuts], np.int64)
-        n = size - LENGTH + 1
-        offset = np.concatenate([[0], np.cumsum(size)[:-1]])
-        row = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        rank = window_ranks(data)[offset[row] + step]
-        start = (pos & 0xFFFFFFFF)[row] + step
-        later, _ = _later(rank, doc[row], start)
-        d, p = _window_spans(later, row, doc[row], start)
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], ["doc", "pos"]) if len(d) else None
-
-    rest: list = [[], [], [], []]
-    for batch in batches:
-        for held, column in zip(rest, batch.columns):
-            held += column.to_pylist()
-        key = rest[0]
-        if not key:
-            continue
-        end = len(key)
-        while end and key[end - 1] == key[-1]:
-            end -= 1
-        if end:
-            made = spans(np.array(key[:end]), np.array(rest[1][:end]), np.array(rest[2][:end]), rest[3][:end])
-            rest = [x[end:] for x in rest]
-            if made is not None:
-                yield made
-    if rest[0]:
-        made = spans(*map(np.array, rest[:3]), rest[3])
-        if made is not None:
-            yield made
+    def run(batches):
+        gathered = _Gathered(round_)
+        for batch in batches:
+            for doc, pos, key, cut in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from gathered.add(key, doc, pos, cut)
+        yield from gathered.send()
+
+    return run
 
 
 def removed_spans(text: bytes, packed: list[int]) -> list[tuple[int, int]]:
@@ -386,7 +365,7 @@ def _cut_out(batches):
             kept.update(text[at:])
             out.append((sum(e - s for s, e in spans), len(spans), kept.hexdigest()))
         n, k, h = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string())], ["doc", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string())], ["d", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _free(spark: SparkSession) -> None:
@@ -395,30 +374,38 @@ def _free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch, n_bytes: int) -> DataFrame:
-    """doc, spans: packed spans (start | length << 32) to remove, of documents (doc, text; n_bytes in all) that have any.
+_RANKED = "doc long, pos long, key long, kind int"
+_TO_RANK = "key long, kind int, run long, doc long, pos long"
+
+
+def _sorted(rows: DataFrame, class_: str) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", F.desc("kind"), class_, "doc", "pos")
+
+
+def find_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, spans: packed spans (start | length << 32) to remove, of documents (doc, text) that have any.
 
     Documents equal to one of a smaller id may be missing.
     """
     spark = docs.sparkSession
-    found = docs.mapInArrow(_find_runs, "key long, kind int, run long, doc long, pos long")
-    ranked = found.repartition("key").sortWithinPartitions("key", F.desc("kind"), "run", "doc", "pos").mapInArrow(_rank_leaders, "doc long, pos long, key long, kind int")
-    ranked = scratch.keep(ranked, "ranked")
-    _free(spark)
-    wanted = ranked.where(f"kind <> {SPAN}").groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("pos", "key", "kind")).alias("wanted"))
-    cut = docs.join(wanted, F.col("doc") == F.col("d")).select("doc", "text", "wanted")
-    # fewer tasks than shuffle partitions where these are many: a task sends each rank once
-    cut = cut.coalesce(max(TASKS_PER_CORE * max(2, spark.sparkContext.defaultParallelism), -(-n_bytes // TASK_BYTES)))
-    windows = scratch.keep(cut.mapInArrow(_cut_windows, "kind int, key long, doc long, pos long, cut binary"), "windows")
+    ranked = scratch.keep(_sorted(docs.mapInArrow(_find_runs, _TO_RANK), "run").mapInArrow(_rank, _RANKED), "round0")
     _free(spark)
-    grouped = windows.where(f"kind = {IN_GROUP}").select("key", "doc", "pos", "cut").repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_rank_groups, "doc long, pos long")
-    loose = windows.where(f"kind = {AS_ROWS}").select("key", "doc", "pos")
-    first = loose.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "first")
-    later = loose.join(first, F.col("key") == F.col("k")).where(F.struct("doc", "pos") != F.col("first")).select("doc", F.col("pos").bitwiseOR(F.lit(LENGTH << 32)).alias("pos"))
-    known = ranked.where(f"kind = {SPAN}").select("doc", "pos").unionByName(windows.where(f"kind = {SPAN}").select("doc", "pos"))
-    spans = known.unionByName(grouped).unionByName(later)
+    wanted = ranked.where(f"kind = {ROW}").groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("pos", "key")).alias("wanted"))
+    rows = docs.join(wanted, F.col("doc") == F.col("d")).select("doc", "text", "wanted").mapInArrow(_cut_runs, _TO_RANK + ", cut binary")
+    rounds = [ranked]
+    for r in range(1, ROUNDS + 1):
+        ranked = scratch.keep(_sorted(rows, "cut").mapInArrow(_rank, _RANKED + ", cut binary"), f"round{r}", small=True)
+        _free(spark)
+        rounds.append(ranked)
+        left = ranked.where(f"kind = {ROW}").select("doc", "pos", "key", "cut")
+        if r == ROUNDS or left.isEmpty():
+            break
+        rows = left.mapInArrow(_split(r + 1), _TO_RANK + ", cut binary")
+    spans = rounds[0].where(f"kind = {SPAN}").select("doc", "pos")
+    for more in rounds[1:]:
+        spans = spans.unionByName(more.where(f"kind = {SPAN}").select("doc", "pos"))
     spans = scratch.keep(spans.groupBy("doc").agg(F.collect_set("pos").alias("spans")), "spans", small=True)
-    scratch.drop(ranked, windows)
+    scratch.drop(*rounds)
     return spans
 
 
@@ -433,28 +420,50 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "text_key", "sha"])
 
 
+def _keyed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_128_digest(t) for t in utf8(batch.column(1))], pa.binary())], ["doc_id", "text", "text_key"])
+
+
+def _numbers(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """n_id, n_key, doc: numbers of the distinct (doc_id, text_key), in that order."""
+    at = F.monotonically_increasing_id()
+    placed = rows.select("doc_id", "text_key").distinct().orderBy("doc_id", "text_key")
+    return scratch.keep(placed.select(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key"), at.alias("doc")), "numbers")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.keep(docs.mapInArrow(_digests, "doc_id long, n_bytes long, text_key binary, sha string"), "rows")
-    firsts = rows.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("k"), "first")
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    spans = find_repeats(known, scratch, rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
+    named = rows.where("doc_id IS NOT NULL")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
+    if several.isEmpty():
+        named, known = named.withColumn("doc", F.col("doc_id")), known.select(F.col("doc_id").alias("doc"), "text")
+    else:  # ids don't tell documents apart: number them
+        numbers = _numbers(named, scratch)
+        named = named.join(numbers, (F.col("doc_id") == F.col("n_id")) & (F.col("text_key") == F.col("n_key"))).drop("n_id", "n_key")
+        keyed = known.mapInArrow(_keyed, "doc_id long, text string, text_key binary")
+        known = keyed.join(numbers, (F.col("doc_id") == F.col("n_id")) & (F.col("text_key") == F.col("n_key"))).select("doc", "text")
+    spans = find_repeats(known, scratch)
     _free(spark)
     cut = known.join(spans.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "text", "spans")
-    done = cut.mapInArrow(_cut_out, "doc long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc"])
-    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
+    done = cut.mapInArrow(_cut_out, "d long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["d"])
+    firsts = named.groupBy("text_key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("k"), "first")
+    copy = F.coalesce(F.col("first") < F.col("doc"), F.lit(False))
     whole = copy & (F.col("n_bytes") >= LENGTH)
-    out = rows.join(firsts, F.col("text_key") == F.col("k"), "left").join(done, F.col("doc_id") == F.col("doc"), "left")
-    return out.select(
+    out = named.join(firsts, F.col("text_key") == F.col("k"), "left").join(done, F.col("doc") == F.col("d"), "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+    nameless = rows.where("doc_id IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    return out.unionByName(nameless)
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
