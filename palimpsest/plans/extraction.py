@@ -154,10 +154,10 @@ def synthesis_validation(t):
     return validation.validated_destinations(d, t("l2_rows"), drop_invalid=True).select("destination_id")
 
 
-@add("judge_replies", """SELECT event_id, 'first scene' AS scene_name, CAST(0 AS INTEGER) AS position, event_type AS statement, 'fact' AS category, event_id % 10 / 10.0 AS confidence FROM events WHERE event_type IN ('click', 'view', 'error')""")
+@add("judge_replies", """SELECT event_id, 'first scene' AS scene_name, CAST(0 AS INTEGER) AS position, event_type AS statement, 'fact' AS category, event_id % 10 / 10.0 AS confidence FROM events""")
 def judge_replies(t):
     reply = F.concat(F.lit('[{"scene_name":"first  scene ","atoms":[{"statement":" '), F.col("event_type"), F.lit('","category":"fact","confidence":0.'), (F.col("event_id") % 10).cast("string"), F.lit(',"source_turn_ids":["a","b"]}]}]'))
-    e = t("events").where(F.col("event_type").isin("click", "view", "error")).select("event_id", reply.alias("reply"))
+    e = t("events").select("event_id", reply.alias("reply"))
     return validation.scenes_to_atoms(e, keep=("event_id",)).select("event_id", "scene_name", "position", "statement", "category", "confidence")
 
 

@@ -44,9 +44,9 @@ VIEWS = {
     "l2_rows": f"SELECT {pick('c_custkey % 10', L2_CATEGORIES)} AS category, c_custkey AS id, {scope('c_custkey')} AS scope, CAST(NULL AS BIGINT) AS project_id, concat('Topic ', CAST(c_custkey % 300 AS STRING)) AS title, concat('About ', c_mktsegment, '  ') AS summary, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS owner, CAST(c_nationkey AS BIGINT) AS deadline, CASE WHEN c_custkey % 10 = 3 THEN 'doing' END AS status, CAST(0 AS BIGINT) AS created_at, (c_custkey * 7) % 1000 AS updated_at FROM customer",
     "l2_atoms": f"SELECT DISTINCT {pick('o_custkey % 10', L2_CATEGORIES)} AS category, o_custkey AS row_id, o_orderkey AS atom_id FROM orders",
     "destinations": f"""SELECT o_custkey + 1000000 AS destination_id, {pick('o_custkey % 10', L2_CATEGORIES)} AS category, {scope('o_custkey')} AS scope, CASE WHEN o_custkey % 7 = 0 THEN 'Unheard of' ELSE concat('TOPIC ', CAST(o_custkey % 300 AS STRING)) END AS title, 'New summary' AS summary,
-        CASE WHEN o_custkey % 3 = 0 THEN o_custkey END AS existing_row_id, SORTED(o_orderkey)) AS atom_ids FROM orders WHERE o_orderkey % 6 < 4 GROUP BY o_custkey""",
+        CASE WHEN o_custkey % 3 = 0 THEN o_custkey END AS existing_row_id, SORTED(o_orderkey)) AS atom_ids FROM orders GROUP BY o_custkey""",
     "entities": f"SELECT s_suppkey AS id, {scope('s_suppkey')} AS scope, s_name AS name, LIST(concat('Maker ', CAST(s_suppkey % 30 AS STRING)), concat('S', CAST(s_suppkey AS STRING))) AS aliases, s_nationkey AS created_at FROM supplier",
-    "projects": "SELECT p_partkey AS id, p_name AS name, LIST(p_brand, concat(p_type, '-', CAST(p_size AS STRING))) AS aliases FROM part WHERE p_partkey < 2000",
+    "projects": "SELECT p_partkey AS id, p_name AS name, LIST(p_brand, concat(p_type, '-', CAST(p_size AS STRING))) AS aliases FROM part",
     "points": f"""SELECT d.doc_id AS id, d.source AS scope, {pick('d.doc_id % 11', [c for c, _ in CATEGORY_TYPES])} AS source_table, concat('Doc ', CAST(d.doc_id AS STRING)) AS title, d.text AS content, CASE WHEN d.doc_id % 5 = 0 THEN d.doc_id % 2 END AS project_id,
         CASE WHEN l.toxic IS NOT NULL THEN l.toxic = 1 END AS source_deleted, CASE WHEN d.doc_id % 2 = 0 THEN d.doc_id % 13 = 0 END AS superseded FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "queries": "SELECT item_id AS query_id, text AS query FROM benchmark",

@@ -117,35 +117,41 @@ def hybrid_recall(t):
 
 
 def _pool(t):
-    """Candidates of every query: documents by number, with a made-up retrieval score."""
-    pool = t("points").where("id < 40").select("id", "source_table", "title", "content", (F.col("id") % 10 / 10.0).alias("score"))
-    return t("queries").select("query_id").join(F.broadcast(pool))
+    """Candidates of every query: the best finds of a lexical search over all points, scored by rank."""
+    asked = retrieval.query_weights(t("queries"))
+    found = retrieval.sparse_topk(asked, retrieval.bm25_weights(t("points"), asked), retrieval.CANDIDATES)
+    return found.select("query_id", "id", (1.0 / F.col("rank")).alias("score")).join(t("points").select("id", "source_table", "title", "content"), "id")
 
 
-_POOL = "(SELECT q.query_id, q.query, p.id, p.source_table, p.title, p.content, p.id % 10 / 10.0 AS score FROM queries q, points p WHERE p.id < 40)"
+_POOL = f"""WITH {_BM25}, pool AS (SELECT r.query_id, asked.query, p.id, p.source_table, p.title, p.content, 1.0 / rank AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) r
+    JOIN queries asked ON asked.query_id = r.query_id JOIN points p ON p.id = r.id WHERE rank <= 20)"""
 _KEYWORD = f"least(greatest(0.8 * len(list_intersect({_TOKENS.format('query')}, {_TOKENS.format('content')})) / greatest(len({_TOKENS.format('query')}), 1) + 0.2 * score, 0), 1)"
 
 
-@add("keyword_rerank", f"SELECT query_id, id, round({_KEYWORD}, 6) AS rerank_score FROM {_POOL}")
+@add("keyword_rerank", f"{_POOL} SELECT query_id, id, round({_KEYWORD}, 6) AS rerank_score FROM pool")
 def keyword_rerank(t):
     return retrieval.keyword_rerank(_pool(t), t("queries")).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@add("model_rerank", f"SELECT query_id, id, round(CASE WHEN id % 3 = 0 THEN id / 50.0 ELSE {_KEYWORD} END, 6) AS rerank_score FROM {_POOL} WHERE CASE WHEN id % 3 = 0 THEN id / 50.0 ELSE {_KEYWORD} END >= 0.1")
+_MODEL = f"CASE WHEN id % 3 = 0 THEN (id % 50) / 50.0 ELSE {_KEYWORD} END"
+
+
+@add("model_rerank", f"{_POOL} SELECT query_id, id, round({_MODEL}, 6) AS rerank_score FROM pool WHERE {_MODEL} >= 0.1")
 def model_rerank(t):
-    replies = t("queries").select("query_id", F.to_json(F.transform(F.sequence(F.lit(0), F.lit(45), F.lit(3)), lambda i: F.struct(i.cast("string").alias("id"), (i / 50.0).alias("score")))).alias("reply"))
+    pool = _pool(t)
+    replies = pool.where("id % 3 = 0").groupBy("query_id").agg(F.to_json(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), (F.col("id") % 50 / 50.0).alias("score")))).alias("reply"))
     scores = retrieval.parse_scores(replies).withColumn("id", F.col("id").cast("long"))
-    return retrieval.above(retrieval.model_rerank(_pool(t), t("queries"), scores), 0.1).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"))
+    return retrieval.above(retrieval.model_rerank(pool, t("queries"), scores), 0.1).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@add("reranker_input", f"SELECT query_id, id, CASE WHEN source_table <> 'atoms' THEN title END AS title, length(content) AS n FROM {_POOL}")
+@add("reranker_input", f"{_POOL} SELECT query_id, id, CASE WHEN source_table <> 'atoms' THEN title END AS title, length(content) AS n FROM pool")
 def reranker_input(t):
     return retrieval.reranker_input(_pool(t)).select("query_id", "id", "title", F.length("content").cast("long").alias("n"))
 
 
-@add("candidate_stubs", f"SELECT query_id, id, title, source_table FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM {_POOL}) WHERE n <= 20")
+@add("candidate_stubs", f"{_POOL} SELECT query_id, id, title, source_table FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM pool) WHERE n <= 8")
 def candidate_stubs(t):
-    return retrieval.stubs(_pool(t))
+    return retrieval.stubs(_pool(t), retrieval.TOP_K)
 
 
 @add("dedup_best_candidate", "SELECT query_id, id, source_table, score FROM (SELECT user_id AS query_id, event_id % 20 AS id, event_type AS source_table, round(value) AS score, row_number() OVER (PARTITION BY user_id, event_id % 20 ORDER BY round(value) DESC, event_id) AS n FROM events) WHERE n = 1")
@@ -169,7 +175,7 @@ def pooled_sparse(t):
 
 
 @add("hydrated_results", """WITH act AS (SELECT a.* FROM atoms a WHERE NOT coalesce(source_deleted, false) AND NOT EXISTS (SELECT 1 FROM atoms b WHERE b.supersedes = a.id)),
-    c AS (SELECT event_id AS query_id, event_id * 3 AS id, CASE WHEN event_id % 2 = 0 THEN 'atoms' ELSE 'tasks' END AS source_table, value AS score FROM events WHERE event_id < 1000)
+    c AS (SELECT event_id AS query_id, event_id * 3 AS id, CASE WHEN event_id % 2 = 0 THEN 'atoms' ELSE 'tasks' END AS source_table, value AS score FROM events)
     SELECT query_id, c.id, source_table, title, content, score FROM c JOIN (SELECT 'atoms' AS t, id, NULL AS title, statement AS content FROM act UNION ALL SELECT category, id, title, summary FROM l2_rows) x ON x.t = c.source_table AND x.id = c.id""")
 def hydrated_results(t):
     table = F.when(F.col("event_id") % 2 == 0, "atoms").otherwise("tasks")
@@ -183,7 +189,7 @@ def recall_budget(t):
 
 
 def _projects(t):
-    """All parts as projects; the view of this name, which the SQL reads, ends at 2000."""
+    """All parts as projects."""
     aliases = F.array("p_brand", F.concat("p_type", F.lit("-"), F.col("p_size").cast("string")))
     return t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), aliases.alias("aliases"))
 
@@ -211,8 +217,7 @@ def term_sets(t):
     return t("benchmark").select("item_id", F.size(tokens(F.col("text"))).alias("n_terms"))
 
 
-@add("message_intents", """SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'jira|transition|ticket|issue') THEN 'jira' WHEN regexp_matches(lower(text), 'batch|ingest|records|sync|rows|csv') THEN 'complex' WHEN regexp_matches(lower(text), 'user|welcome|draft|editorial|email|u1|u2') THEN 'medium' ELSE 'simple' END AS workflow
-    FROM conversations WHERE NOT regexp_matches(text, '(?i)\\b[A-Z][A-Z0-9]+-\\d+\\b')""")
+@add("message_intents", """SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b[A-Z][A-Z0-9]+-\\d+\\b') OR regexp_matches(lower(text), 'jira|transition|ticket|issue') THEN 'jira' WHEN regexp_matches(lower(text), 'batch|ingest|records|sync|rows|csv') THEN 'complex' WHEN regexp_matches(lower(text), 'user|welcome|draft|editorial|email|u1|u2') THEN 'medium' ELSE 'simple' END AS workflow
+    FROM conversations""")
 def message_intents(t):
-    c = t("conversations").where(~F.col("text").rlike(r"(?i)\b[A-Z][A-Z0-9]+-\d+\b"))
-    return c.select("conv_id", "turn", agent.intent(F.col("text"))["workflow"].alias("workflow"))
+    return t("conversations").select("conv_id", "turn", agent.intent(F.col("text"))["workflow"].alias("workflow"))

@@ -13,15 +13,15 @@ add = CATALOG.add
 
 
 @add("turn_upsert", """SELECT session_id, scope, source_event_id, count(*) AS n, min(content) AS content FROM (
-    SELECT user_id AS session_id, 's' AS scope, CASE WHEN event_id % 9 <> 0 THEN concat('e', CAST(event_id % 400 AS STRING)) END AS source_event_id, concat('old', CAST(event_id AS STRING)) AS content, event_id FROM events WHERE event_id < 100
+    SELECT user_id AS session_id, 's' AS scope, CASE WHEN event_id % 9 <> 0 THEN concat('e', CAST(event_id % 400 AS STRING)) END AS source_event_id, concat('old', CAST(event_id AS STRING)) AS content, event_id FROM events WHERE event_id % 10 = 0
     UNION ALL SELECT * FROM (SELECT DISTINCT ON (session_id, scope, source_event_id) * FROM (SELECT user_id AS session_id, 's' AS scope, concat('e', CAST(event_id % 400 AS STRING)) AS source_event_id, concat('new', CAST(event_id AS STRING)) AS content, event_id FROM events WHERE event_id % 9 <> 0) ORDER BY session_id, scope, source_event_id, content, event_id) n
-      WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id < 100 AND o.event_id % 9 <> 0 AND o.user_id = n.session_id AND concat('e', CAST(o.event_id % 400 AS STRING)) = n.source_event_id)
+      WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id % 10 = 0 AND o.event_id % 9 <> 0 AND o.user_id = n.session_id AND concat('e', CAST(o.event_id % 400 AS STRING)) = n.source_event_id)
     UNION ALL SELECT user_id, 's', NULL, concat('new', CAST(event_id AS STRING)), event_id FROM events WHERE event_id % 9 = 0) GROUP BY ALL""")
 def turn_upsert(t):
     e = t("events")
     key = F.when(F.col("event_id") % 9 != 0, F.concat(F.lit("e"), (F.col("event_id") % 400).cast("string")))
     rows = lambda tag, df: df.select(F.col("user_id").alias("session_id"), F.lit("s").alias("scope"), key.alias("source_event_id"), F.concat(F.lit(tag), F.col("event_id").cast("string")).alias("content"), "event_id")
-    merged = mutations.insert_or_keep(rows("old", e.where("event_id < 100")), rows("new", e), ["session_id", "scope", "source_event_id"])
+    merged = mutations.insert_or_keep(rows("old", e.where("event_id % 10 = 0")), rows("new", e), ["session_id", "scope", "source_event_id"])
     return merged.groupBy("session_id", "scope", "source_event_id").agg(F.count("*").alias("n"), F.min("content").alias("content"))
 
 
@@ -207,9 +207,9 @@ def scene_names(t):
     return synthesis.scene_names(t("atoms")).select("scope", F.array_join("scene_names", "|").alias("scenes"))
 
 
-@add("category_counts", "SELECT category, count(r.id) AS n FROM category_types c LEFT JOIN (SELECT * FROM l2_rows WHERE category <> 'users') r USING (category) WHERE category <> 'atoms' GROUP BY category")
+@add("category_counts", "SELECT category, count(r.id) AS n FROM category_types c LEFT JOIN l2_rows r USING (category) WHERE category <> 'atoms' GROUP BY category")
 def category_counts(t):
-    return synthesis.category_counts(t("l2_rows").where("category <> 'users'"))
+    return synthesis.category_counts(t("l2_rows"))
 
 
 @add("existing_rows_context", "SELECT scope, category, array_to_string(list(CAST(id AS VARCHAR) ORDER BY updated_at DESC, id), ',') AS ids FROM l2_rows GROUP BY scope, category")
