@@ -1,24 +1,29 @@
 """MinHash near-duplicates: banded candidates, odd sketches, exact confirmation.
 
 A document's set is that of its five-word shingles. Documents with equal sets are
-one class, which its smallest doc_id stands for. MinHash samples of each class
-make its band keys. Classes that share a bucket get SAMPLES samples in all, which
-are folded into an odd sketch: a bitmap of the parities of the (sample number,
-value) pairs that hash to each bit. The population count of the XOR of two
-sketches tells the number of samples that differ, and so the similarity, most
-precisely where it is high.
-
-Candidates are taken in two steps, so that a bucket never yields all of its
-pairs. First every member of a bucket meets the bucket's smallest member, and the
-links found are turned into components. Then buckets that still hold more than
-one component are compared whole, in blocks, by odd sketch: pairs of different
-components whose estimate is within MARGIN of the threshold go on, each in the
-first band that its members share. Both steps confirm links on the full sets.
+one class, which its smallest doc_id stands for. MinHash samples make a class's
+band keys, and all SAMPLES of them are folded into an odd sketch: a bitmap of the
+parities of the (sample number, value) pairs that hash to each bit. The population
+count of the XOR of two sketches tells the number of samples that differ, and so
+the similarity, most precisely where it is high. One pass over the texts writes
+sets, band keys and sketches; texts are neither read again nor shuffled.
+
+Every banded candidate is verified by sketch first: a pair goes on if its estimate
+is within MARGIN of the threshold. What goes on is confirmed on the full sets.
+Candidates are taken in two steps, so that a bucket never yields all of its pairs.
+First every member of a bucket meets the bucket's smallest member, and the links
+found are turned into components. A member's full set is sent once for such a
+pair, the smallest member's once for CHUNK pairs. Then buckets that still hold
+more than one component are compared in blocks of about BLOCK members: sketches
+tell which members have a candidate there; their full sets are sent to the same
+pair of blocks, where a task confirms candidates, leaves out what it has already
+connected, and hands on the links that connect.
 
 Defined results: texts without words, null texts included, have an empty set and
 are linked with nothing. A null doc_id is linked with nothing and has no
 component; it is kept. Rows with one doc_id are one vertex; repeated rows each
-get a row. Extra columns are ignored. An empty table gives no rows.
+get a row. Extra columns are ignored. An empty table gives no rows. Very long
+texts have one row with their whole set.
 """
 
 from __future__ import annotations
@@ -36,12 +41,18 @@ from .textkit import WordHashes, mix, shingle_set, utf8
 WIDTH = 5
 #: A link: SHARE times the union is at most 100 times the intersection.
 SHARE = 85
-BANDS, ROWS, SAMPLES = 20, 5, 800
+BANDS, ROWS, SAMPLES = 20, 5, 512
 SKETCH_BITS = 2048
 #: Odd-sketch estimates below the threshold by more than this are no candidates: about four standard deviations.
-MARGIN = 0.05
-#: Members of a bucket that are compared with one another at a time.
-BLOCK = 192
+MARGIN = 0.07
+#: Pairs of a bucket's smallest member that are confirmed together.
+CHUNK = 128
+#: Members of a mixed bucket that make a block; a task compares the sketches of two blocks.
+BLOCK = 1024
+#: Sets are picked by broadcast of their ids up to this number of ids, by a shuffle beyond it.
+BROADCAST_IDS = 1_000_000
+#: Bytes of sets that a task gathers before it sends them.
+BATCH_BYTES = 4 << 20
 STAGE_SHARE = 80
 
 _rng = np.random.default_rng(20240229)
@@ -89,127 +100,210 @@ def estimate(differing_bits: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches):
+    """doc_id, text -> doc_id, n_shingles, set_key, bands, odd, shingles; the last four are null for an empty set."""
     cache = WordHashes()
-    for batch in batches:
-        ids = batch.column(0)
-        texts = utf8(batch.column(1))
-        for start in range(0, len(texts), 2048):
-            n, key, bands = [], [], []
-            for text in texts[start : start + 2048]:
-                s = shingle_set(text, WIDTH, cache)
-                n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                bands.append(band_keys(samples(s, BANDS * ROWS)).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids.slice(start, 2048), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
-
-
-def _sets(batches):
-    cache = WordHashes()
-    for batch in batches:
-        ids, texts = batch.column(0), utf8(batch.column(1))
-        for start in range(0, len(texts), 512):
-            sets = [shingle_set(t, WIDTH, cache) for t in texts[start : start + 512]]
-            least = [samples(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, 512), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([band_keys(x).view(np.int64) for x in least], pa.list_(pa.int64())), pa.array([odd_sketch(x).tobytes() for x in least], pa.binary())],
-                ["id", "shingles", "bands", "odd"],
-            )
+    names = ["doc_id", "n_shingles", "set_key", "bands", "odd", "shingles"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        rows, held = [], 0
+        for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            s = shingle_set(text, WIDTH, cache)
+            if len(s):
+                least, raw = samples(s), s.tobytes()
+                rows.append((doc, len(s), xxhash.xxh3_128_digest(raw), band_keys(least).view(np.int64), odd_sketch(least).tobytes(), raw))
+                held += len(raw)
+            else:
+                rows.append((doc, 0, None, None, None, None))
+            if held > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+
+def similar(x: np.ndarray, y: np.ndarray, share: int) -> bool:
+    """Whether two sorted sets have share percent of their union in common."""
+    a, b = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(a) or 100 * len(a) < share * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= share * (len(a) + len(b) - both)
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+
+
+def _by_sketch(share: int):
+    """Those pairs (a, b, sketch of a, sketch of b) whose estimate is near the threshold or above."""
+    least = share / 100 - MARGIN
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                differing = np.bitwise_count(_sketches(batch.column(2)) ^ _sketches(batch.column(3))).sum(1)
+                yield batch.select([0, 1]).filter(pa.array(estimate(differing) >= least))
+
+    return run
 
 
 def _confirm(share: int):
+    """Rows sorted by (lead, chunk, role): first the lead's sets (role 0), then members' (role 1) -> links (a, b)."""
+
     def run(batches):
+        at, leads = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int((b[at] == a).sum()) if len(b) else 0
-                keep.append(100 * both >= share * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for lead, chunk, role, id_, raw in zip(*(batch.column(n).to_pylist() for n in ("lead", "chunk", "role", "id")), batch.column("shingles")):
+                if (lead, chunk) != at:
+                    at, leads = (lead, chunk), []
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if role == 0:
+                    leads.append(s.copy())
+                elif any(similar(x, s, share) for x in leads):
+                    a.append(lead), b.append(id_)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _within_block(share: int):
-    least = share / 100 - MARGIN
+def _near(table: pa.Table, share: int):
+    """For each row of two blocks of a bucket: the later rows that its sketch is near, of other components, whose first shared band is the bucket's.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, group, side, diagonal = (table.column(n).to_numpy() for n in ("rep", "component", "block", "diagonal"))
-        bucket = np.int64(table.column("bucket")[0].as_py())
-        m = table.num_rows
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(m, BANDS)
-        odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(m, SKETCH_BITS // 64)
-        band = int(np.flatnonzero(bands[0] == bucket)[0])
-        first, second = [], []
+    group (component numbers) may be changed between rows: rows that are together by then aren't given.
+    """
+    least = share / 100 - MARGIN
+    side, diagonal = (table.column(n).to_numpy() for n in ("block", "diagonal"))
+    bucket, m = np.int64(table.column("bucket")[0].as_py()), table.num_rows
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(m, BANDS)
+    odd = _sketches(table.column("odd"))
+    group = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+
+    def rows():
         for i in range(m - 1):
             ok = group[i + 1 :] != group[i]
             if not diagonal[i]:
                 ok &= side[i + 1 :] != side[i]
             js = np.flatnonzero(ok) + i + 1
-            if not len(js):
-                continue
-            js = js[estimate(np.bitwise_count(odd[js] ^ odd[i]).sum(1)) >= least]
+            if len(js):
+                js = js[estimate(np.bitwise_count(odd[js] ^ odd[i]).sum(1)) >= least]
             if band and len(js):
                 js = js[~(bands[js, :band] == bands[i, :band]).any(1)]
-            first.append(np.full(len(js), ids[i]))
-            second.append(ids[js])
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(cat(first), pa.int64()), "b": pa.array(cat(second), pa.int64())})
+            if len(js):
+                yield i, js
+
+    return group, rows()
+
+
+def _near_members(share: int):
+    """Group function of two blocks: the rows that have a candidate in them, without sketches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        _, rows = _near(table, share)
+        near = np.zeros(table.num_rows, bool)
+        for i, js in rows:
+            near[i] = near[js] = True
+        return table.select(MEMBER).filter(pa.array(near))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, share: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("ia"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("ib"), F.col("shingles").alias("sb"))
-    met = pairs.join(left, F.col("a") == F.col("ia")).select("a", "b", "sa").join(right, F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
-    return scratch.keep(met.mapInArrow(_confirm(share), "a long, b long"), f"links-{name}", small=True)
+MEMBER = ["bucket", "low", "high", "rep", "component", "block", "diagonal"]
+
+
+def _block_confirm(share: int):
+    """Group function of the members with candidates of two blocks: links that connect what the group can connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids = table.column("rep").to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")]
+        group, rows = _near(table, share)
+        links = []
+        for i, js in rows:
+            for j in js.tolist():
+                if group[j] != group[i] and similar(sets[i], sets[j], share):
+                    group[group == group[j]] = group[i]
+                    links.append((ids[i], ids[j]))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _sets_of(ids: DataFrame, described: DataFrame) -> DataFrame:
+    """id, bands, odd and shingles of each set of the documents of ids (one column, id)."""
+    wanted = ids.select(F.col("id").alias("wanted"))
+    if ids.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    found = described.where("set_key IS NOT NULL").join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    return found.dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("id"), "bands", "odd", "shingles")
+
+
+def _star_links(members: DataFrame, classes: DataFrame, described: DataFrame, share: int, scratch: Scratch) -> DataFrame:
+    """Links of the members of buckets with the bucket's smallest."""
+    star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    sketches = classes.select("rep", "odd")
+    met = star.join(sketches.toDF("ra", "oa"), F.col("a") == F.col("ra")).join(sketches.toDF("rb", "ob"), F.col("b") == F.col("rb")).select("a", "b", "oa", "ob")
+    pairs = scratch.keep(met.mapInArrow(_by_sketch(share), "a long, b long").distinct(), "pairs", small=True)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = scratch.keep(_sets_of(ids, described).select("id", "shingles"), "sets")
+    parts = pairs.groupBy(F.col("a").alias("lead")).agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    dealt = pairs.join(parts, F.col("a") == F.col("lead")).select("lead", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("chunk"), F.col("b").alias("member"))
+    leads = dealt.select("lead", "chunk").distinct().join(sets, F.col("lead") == F.col("id")).select("lead", "chunk", F.lit(0).alias("role"), "id", "shingles")
+    others = dealt.join(sets, F.col("member") == F.col("id")).select("lead", "chunk", F.lit(1).alias("role"), "id", "shingles")
+    rows = leads.unionByName(others).repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "role")
+    links = scratch.keep(rows.mapInArrow(_confirm(share), "a long, b long"), "links", small=True)
+    scratch.drop(pairs, sets)
+    return links
+
+
+def _block_links(members: DataFrame, names: DataFrame, classes: DataFrame, described: DataFrame, share: int, block: int, scratch: Scratch) -> DataFrame:
+    """Links between the components that mixed buckets still hold."""
+    named = members.where("n > 2").join(names, F.col("rep") == F.col("id"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    parts = mixed.select(F.col("bucket").alias("b"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = named.join(parts, F.col("bucket") == F.col("b")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.select("bucket", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block", (F.col("block") == F.col("other")).alias("diagonal"))
+
+    def with_sets(rows, sets):  # of several sets of one id, those that are in the bucket
+        return rows.join(sets, F.col("rep") == F.col("id")).where(F.array_contains("bands", F.col("bucket"))).drop("id").groupBy("bucket", "low", "high")
+
+    sketches = classes.select(F.col("rep").alias("id"), "bands", "odd")
+    near = scratch.keep(with_sets(dealt, sketches).applyInArrow(_near_members(share), dealt.schema), "near", small=True)
+    sets = scratch.keep(_sets_of(near.select(F.col("rep").alias("id")).distinct(), described), "sets")
+    links = scratch.keep(with_sets(near, sets).applyInArrow(_block_confirm(share), "a long, b long"), "links", small=True)
+    scratch.drop(near, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = scratch.keep(docs.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "described")
-    classes = scratch.keep(
-        described.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.bands"),
-        "classes",
-    )
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    members = scratch.keep(members.join(shared, "bucket").select("bucket", "rep", "lead", "n"), "members")
-
-    # texts are shuffled whatever the number of members, so that cost grows as the input does
-    needed = members.select(F.col("rep").alias("need")).distinct().hint("merge")
-    texts = docs.join(needed, F.col("doc_id") == F.col("need"), "left_semi")
-    sets = scratch.keep(texts.mapInArrow(_sets, "id long, shingles binary, bands array<long>, odd binary"), "sets")
-
-    star = scratch.keep(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "star", small=True)
-    links = _confirmed(star, sets, share, scratch, "star")
+    described = scratch.keep(docs.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd binary, shingles binary"), "described")
+    linking = described.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = scratch.keep(linking.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "odd")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.bands", "m.odd"), "classes")
+    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
+    members = scratch.keep(buckets.join(shared, "bucket").select("bucket", "rep", "lead", "n"), "members", small=True)
+
+    links = _star_links(members, classes, described, share, scratch)
     names = connected_components(links, scratch)
+    more = _block_links(members, names, classes, described, share, block, scratch)
+    if not more.isEmpty():
+        names = connected_components(links.unionByName(more), scratch)
+    scratch.drop(members, links, more)
 
-    named = members.join(names, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    named = scratch.keep(named.where("n > 2"), "named")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = named.join(mixed, "bucket").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.select("bucket", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("bucket", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") == F.col("other")).alias("diagonal"))
-    sketched = dealt.join(sets.select(F.col("id").alias("r"), "bands", "odd"), F.col("rep") == F.col("r")).drop("r")
-    pairs = scratch.keep(sketched.groupBy("bucket", "low", "high").applyInArrow(_within_block(share), "a long, b long").distinct(), "pairs", small=True)
-    more = _confirmed(pairs, sets, share, scratch, "blocks")
-    scratch.drop(members, star, named, sets)
-
-    names = connected_components(links.unionByName(more), scratch)
-    scratch.drop(links, more, pairs)
     labelled = classes.select("set_key", "rep").join(names, F.col("rep") == F.col("id"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("c"))
-    out = described.select("doc_id", "n_shingles", "set_key").join(labelled, F.col("set_key") == F.col("k"), "left")
+    plain = described.select("doc_id", "n_shingles", "set_key")
+    empty = plain.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("c"))
+    out = plain.where("set_key IS NOT NULL").join(labelled, F.col("set_key") == F.col("k"), "left").select("doc_id", "n_shingles", "c").unionByName(empty)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

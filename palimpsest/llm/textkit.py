@@ -25,7 +25,7 @@ def utf8(column) -> list:
 class WordHashes(dict):
     """Word -> 64-bit hash; a cache that starts anew when it has grown to `bound` words."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from palimpsest.llm import minhash
 
 SCHEMA = "doc_id long, text string, component_id string"
@@ -72,3 +74,67 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def test_odd_sketches_reject_and_pass():
+    """The estimate follows the similarity, so that pairs far below the threshold go and those at it stay."""
+    rng = np.random.default_rng(3)
+    for n in (60, 300, 3000):
+        for similarity in (0.3, 0.6, 0.7, 0.85, 0.95, 1.0):
+            common = round(2 * n * similarity / (1 + similarity))
+            values = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            a, b = np.sort(values[:n]), np.sort(np.concatenate([values[:common], values[n : 2 * n - common]]))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            differing = np.bitwise_count(minhash.odd_sketch(minhash.samples(a)) ^ minhash.odd_sketch(minhash.samples(b))).sum()
+            estimate = float(minhash.estimate(np.array([differing]))[0])
+            assert abs(estimate - true) < minhash.MARGIN or true < 0.5 and estimate < 0.6
+            assert (estimate >= 0.85 - minhash.MARGIN) == (true >= 0.85 - 0.001) or 0.7 < true < 0.85
+            assert minhash.similar(a, b, 85) == (100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)))
+
+
+def test_sketches_come_before_sets(spark, monkeypatch):
+    """Of banded pairs, those that the sketch rejects never meet on their full sets."""
+    rng = random.Random(9)
+    docs, n = [], 0
+    for _ in range(80):  # similarity about 0.45 to 0.6: many pairs share a band
+        base = words(rng, 100)
+        for _ in range(2):
+            w = list(base)
+            for at in rng.sample(range(0, 100, 6), 5):
+                w[at] = "z" + str(rng.randrange(10**6))
+            docs.append((n, " ".join(w)))
+            n += 1
+    close = words(rng, 200)
+    docs += [(n, " ".join(close)), (n + 1, " ".join(close[:-4]))]
+    from palimpsest.llm.storage import Scratch
+
+    kept = {}
+    keep = Scratch.keep
+
+    def note(self, df, name, small=False):
+        out = keep(self, df, name, small)
+        kept.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", note)
+    got = {r.doc_id: r.component_id for r in result(spark, docs)}
+    assert got[n + 1] == n and all(got[i] == i for i in range(n + 1))
+    assert kept["members"][0] > 20  # banded
+    assert kept["pairs"][0] < kept["members"][0] / 4 and kept["links"][0] == 1
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    long = words(rng, 150_000)
+    other = list(long)
+    for at in range(0, 150_000, 400):
+        other[at] = "changed"
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in result(spark, [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:75_000]))])}
+    assert got == {i: w[:2] for i, w in brute([(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:75_000]))]).items()}
+    assert got[2][1] == 1 and got[3][1] == 3
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join("abcdefgh"), " ".join("ijklmnop")
+    got = sorted(tuple(r) for r in result(spark, [(5, a), (5, b), (7, a), (9, b + " q")], share=60))
+    assert got == [(5, 4, 5, True), (5, 4, 5, True), (7, 4, 5, False), (9, 5, 5, False)]
