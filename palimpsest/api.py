@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .functions.text import project_name
-from .operators import mutations, pending, pooling, provenance, registry, retrieval, validation
+from .operators import mutations, pooling, provenance, registry, retrieval, validation
 from .shipping import ship
 from .sources import index
 from .sources.snapshot import SnapshotStore
@@ -25,21 +25,33 @@ class Memory:
     the index among them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, encoder: Callable[[list[str]], list[list[float]]] | None = None, dimensions: int = 0):
+    def __init__(self, spark: SparkSession, root: str, encoder: Callable[[list[str]], list[list[float]]] | None = None, dimensions: int = 0, default_scope: str | None = None):
         ship(spark)
         self.spark, self.store = spark, SnapshotStore(spark, root)
-        self.encoder, self.dimensions = encoder, dimensions
+        self.encoder, self.dimensions, self.default_scope = encoder, dimensions, default_scope
 
     def _points(self, points: DataFrame) -> DataFrame:
-        dense = pooling.encoded(F.col("content"), self.encoder, self.dimensions) if self.encoder else F.lit(None).cast("array<float>")
-        return points.withColumn("dense", dense).withColumn("sparse", F.lit(None).cast("map<bigint,double>")).select(*self.store.table("index_points").columns)
+        """points with vectors: dense ones of their chunks, headed by a summary row's title, and sparse ones."""
+        texts = points.select("id", F.col("content").alias("text"), F.coalesce("title", F.lit("")).alias("breadcrumb"))
+        out = points.join(pooling.sparse_vectors(texts), "id", "left")
+        out = out.join(pooling.embedded(texts, self.encoder, self.dimensions), "id", "left") if self.encoder else out.withColumn("dense", F.lit(None).cast("array<float>"))
+        return out.select(*self.store.table("index_points").columns)
+
+    def index_after(self, atoms: DataFrame | None, rows: DataFrame | None, changed: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+        """The index with new points of the atoms and rows whose ids are in changed, and without those in gone."""
+        ids, points = changed.select("id").distinct(), []
+        if atoms is not None:
+            points.append(index.atom_points(atoms).join(ids, "id", "left_semi"))
+        if rows is not None:
+            points.append(index.row_points(rows).join(ids, "id", "left_semi"))
+        touched = points[0] if len(points) == 1 else points[0].unionByName(points[1])
+        hidden = touched.where("source_deleted").select("id")
+        kept = mutations.delete_points(self.store.table("index_points"), hidden if gone is None else hidden.unionByName(gone.select("id")))
+        return index.upserted(kept, self._points(touched.where("NOT source_deleted")))
 
     def _commit_atoms(self, atoms: DataFrame, changed: DataFrame) -> int:
         """Write atoms, and the index with new points of the ids in changed."""
-        touched = index.atom_points(atoms).join(changed.select("id").distinct(), "id", "left_semi")
-        gone = touched.where("source_deleted").select("id")
-        kept = mutations.delete_points(self.store.table("index_points"), gone)
-        return self.store.commit({"atoms": atoms, "index_points": index.upserted(kept, self._points(touched.where("NOT source_deleted")))})
+        return self.store.commit({"atoms": atoms, "index_points": self.index_after(atoms, None, changed)})
 
     def remember(self, statements: DataFrame) -> DataFrame:
         """Atoms that a user states (scope, statement, category); returns id, scope, statement of what was written."""
@@ -49,75 +61,105 @@ class Memory:
         old = self.store.table("atoms")
         lack = [c for c in old.columns if c not in new.columns]
         new = new.select("*", *[(F.lit(False) if c == "source_deleted" else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in lack]).select(*old.columns)
-        version = self.store.commit({"atoms": old.unionByName(new)})  # ids are fixed once they are written
-        written = self.store.table("atoms", version)
-        fresh = pending.not_in(written, old)
-        self._commit_atoms(written, fresh)
+        fresh = self.store.staged(new)  # ids are fixed once they are written
+        self._commit_atoms(old.unionByName(fresh), fresh)
         return fresh.select("id", "scope", "statement")
 
-    def update(self, changes: DataFrame) -> int:
-        """Changes (id and any of statement, category, predicate) to atoms; they count as asserted."""
+    def update(self, changes: DataFrame, scope: str | None = None) -> int:
+        """Changes (id and any of statement, category, predicate) to atoms (of the scope, if one is given); they count as asserted."""
         fields = [c for c in ("statement", "category", "predicate") if c in changes.columns]
         if "category" in fields:
             changes = validation.require(changes, F.col("category").isNull() | F.col("category").isin(schemas.ATOM_CATEGORIES), "unknown category")
+        if scope is not None or self.default_scope is not None:
+            changes = self._own(changes, scope)
         return self._commit_atoms(mutations.update_atoms(self.store.table("atoms"), changes, fields), changes)
 
-    def forget(self, ids: DataFrame) -> DataFrame:
-        """Soft delete; returns id, found."""
-        before = self.store.table("atoms")
-        out = mutations.forgotten(before, ids)
+    def _own(self, ids: DataFrame, scope: str | None) -> DataFrame:
+        """Rows of ids that name an atom of the scope; another one's raise."""
+        own = validation.read_scope(scope, False, self.default_scope)
+        scopes = self.store.table("atoms").select(F.col("id").alias("__id"), F.col("scope").alias("__scope"))
+        met = ids.join(scopes, F.col("id") == F.col("__id"), "left")
+        return validation.require(met, F.col("__scope") == own, "no such atom in the scope").drop("__id", "__scope")
+
+    def forget(self, ids: DataFrame, scope: str | None = None) -> DataFrame:
+        """Soft delete of atoms (of the scope, if one is given); returns id, found."""
+        before, own = self.store.table("atoms"), validation.read_scope(scope, scope is None and self.default_scope is None, self.default_scope)
+        if own is not None:
+            others = before.where(F.col("scope") != own).select(F.col("id").alias("__id"))
+            asked, ids = ids, ids.join(others, F.col("id") == F.col("__id"), "left_anti")
+            out = asked.join(mutations.forgotten(before, ids.distinct()), "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
+            out = self.store.staged(out)
+            self._commit_atoms(mutations.forget(before, ids), ids)
+            return out
+        out = self.store.staged(mutations.forgotten(before, ids))
         self._commit_atoms(mutations.forget(before, ids), ids)
         return out
 
     def _visible(self, scope: str | None, sources: list[str] | None, types: list[str] | None, project: str | None) -> tuple[DataFrame, list[str]]:
+        validation.require_project(self.store.table("project_registry"), project, scope)
         named = retrieval.resolve_sources(types, sources, project is not None)
         points = retrieval.visible(self.store.table("index_points"), None if project is None else F.lit(project))
         return retrieval.in_scope(points, scope, named), named
 
     def _queries(self, queries: DataFrame) -> DataFrame:
         queries = validation.require(queries, F.length(F.trim("query")) > 0, "a query must not be blank")
-        return queries.withColumn("vector", pooling.encoded(F.col("query"), self.encoder, self.dimensions)) if self.encoder else queries
+        if not self.encoder:
+            return queries
+        texts = queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"), F.lit("query").alias("breadcrumb"))
+        return queries.join(pooling.embedded(texts, self.encoder, self.dimensions).toDF("query_id", "vector"), "query_id")
 
     def _search(self, queries, k, mode, scope, sources, types, project) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Candidates, queries and points; lexical search reads the stored sparse vectors."""
         if k <= 0:
             raise ValueError("k must be positive")
         points, named = self._visible(scope, sources, types, project)
         if mode is None:
             mode = "hybrid" if len(named) != 1 else "vector" if named[0] in schemas.VECTOR_SOURCES else "bm25"
         asked = self._queries(queries)
-        found = retrieval.search(asked, points, mode if self.encoder else "bm25", k)
+        found = retrieval.search(asked, points, mode if self.encoder else "bm25", k, retrieval.stored_weights(points))
         return found.join(points.select("id", "source_table", "title", "content"), "id"), asked, points
 
-    def recall(self, queries: DataFrame, k: int = retrieval.TOP_K, least: float | None = None, mode: str | None = None, scope: str | None = None, sources: list[str] | None = None, types: list[str] | None = None, project: str | None = None) -> DataFrame:
+    def recall(self, queries: DataFrame, k: int = retrieval.TOP_K, least: float | None = None, mode: str | None = None, scope: str | None = None, sources: list[str] | None = None, types: list[str] | None = None, project: str | None = None, all_scopes: bool = False) -> DataFrame:
         """Answers to queries (query_id, query): hydrated records with their score, reranked; k is the pool before reranking."""
+        scope = validation.read_scope(scope, all_scopes, self.default_scope)
         found, asked, _ = self._search(queries, k, mode, scope, sources, types, project)
         scored = retrieval.above(retrieval.keyword_rerank(found, asked), least).select("query_id", "id", "source_table", F.col("rerank_score").alias("score"))
-        return self._hydrated(scored)
+        return self._hydrated(scored, scope, project)
 
-    def search_candidates(self, queries: DataFrame, k: int = retrieval.CANDIDATES, mode: str | None = None, scope: str | None = None, sources: list[str] | None = None, types: list[str] | None = None, project: str | None = None) -> DataFrame:
+    def search_candidates(self, queries: DataFrame, k: int = retrieval.CANDIDATES, mode: str | None = None, scope: str | None = None, sources: list[str] | None = None, types: list[str] | None = None, project: str | None = None, all_scopes: bool = False) -> DataFrame:
         """query_id, id, title, source_table of the best k, not reranked."""
+        scope = validation.read_scope(scope, all_scopes, self.default_scope)
         found, _, _ = self._search(queries, k, mode, scope, sources, types, project)
         return retrieval.stubs(found, k)
 
-    def _hydrated(self, scored: DataFrame) -> DataFrame:
-        return provenance.hydrate(scored, self.store.table("atoms"), self.store.table("l2_rows"), self.store.table("entities"))
-
-    def fetch(self, ids: DataFrame) -> DataFrame:
-        """Records of ids (id), wherever they are from; score 0."""
+    def _hydrated(self, scored: DataFrame, scope: str | None, project: str | None) -> DataFrame:
+        """Records of the scope (None: any) and of the project or, without one, of none; the best score of a query first."""
+        own = lambda name: provenance.of_scope_and_project(self.store.table(name), scope, project)
+        met = provenance.hydrate(scored, self.store.table("atoms"), own("l2_rows"), self.store.table("entities"))
+        # what supersedes an atom may be of another scope or project, so atoms are parted after it has been seen
+        return provenance.ranked(provenance.of_scope_and_project(met, scope, project))
+
+    def fetch(self, ids: DataFrame, scope: str | None = None, project: str | None = None, all_scopes: bool = False) -> DataFrame:
+        """Records of ids (id) in the scope, of the project or of none; score 0."""
+        scope = validation.read_scope(scope, all_scopes, self.default_scope)
+        validation.require_project(self.store.table("project_registry"), project, scope)
         tables = [F.lit(t) for t in ["atoms", *schemas.L2_CATEGORIES]]
         asked = validation.require_uuid(ids, "id").select(F.lit(0).alias("query_id"), "id", F.explode(F.array(*tables)).alias("source_table"), F.lit(0.0).alias("score"))
-        return self._hydrated(asked).drop("query_id")
+        return self._hydrated(asked, scope, project).drop("query_id")
 
-    def drill_down(self, ids: DataFrame, source_table: str) -> DataFrame:
-        """Source turns of atoms, or of summary rows through their atoms, oldest first."""
+    def drill_down(self, ids: DataFrame, source_table: str, scope: str | None = None, project: str | None = None, all_scopes: bool = False) -> DataFrame:
+        """Source turns of atoms, or of summary rows through their atoms, oldest first; records of the scope, of the project or of none."""
         if source_table not in dict(schemas.CATEGORY_TYPES):
             raise ValueError(f"unknown source {source_table}")
+        scope = validation.read_scope(scope, all_scopes, self.default_scope)
+        validation.require_project(self.store.table("project_registry"), project, scope)
+        own = lambda name: provenance.of_scope_and_project(self.store.table(name), scope, project)
         edges, turns = self.store.table("atom_sources"), self.store.table("turns")
         wanted = ids.select("id").distinct()
         if source_table == "atoms":
-            out = provenance.atom_turns(self.store.table("atoms").join(wanted, "id", "left_semi"), edges, turns)
+            out = provenance.atom_turns(own("atoms").join(wanted, "id", "left_semi"), edges, turns)
         else:
-            rows = self.store.table("l2_rows").where(F.col("category") == source_table).join(wanted, "id", "left_semi")
+            rows = own("l2_rows").where(F.col("category") == source_table).join(wanted, "id", "left_semi")
             out = provenance.row_turns(rows, self.store.table("l2_atoms"), edges, turns).drop("source_table")
         return out.orderBy("record_id", "created_at", "id")
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mutations import match_entities
+from ..functions.text import squeeze, uuid5
+from .mutations import fresh_entities, match_entities
 from .pending import SESSION
 
 
+#: What the names begin with that new entities' ids follow from.
+ENTITY_PREFIX = "entity:"
+
+
 def still_open(atoms: DataFrame, uncovered: DataFrame) -> DataFrame:
     """Atoms with those of their sources that are still uncovered at commit; atoms that have none left go.
 
@@ -35,9 +40,12 @@ def commit(judged: DataFrame, batch: DataFrame, uncovered: DataFrame, known: Dat
     predicate, confidence, supersedes, source_turn_ids. batch: the turns judged.
     Generic batches cover only turns that became a source; project batches cover
     all their turns. The cursor of a session moves to its last turn of the batch.
+    Names that match no entity make new ones, whose ids follow from scope and name.
     """
     atoms = same_scope_supersedes(still_open(judged, uncovered), known)
-    named = match_entities(atoms.where("entity IS NOT NULL").select("atom_id", "scope", F.col("entity").alias("name")), entities).select("atom_id", "entity_id")
+    names = atoms.where("entity IS NOT NULL").select("atom_id", "scope", squeeze(F.col("entity")).alias("name"))
+    new = fresh_entities(names, entities, uuid5(F.concat(F.lit(ENTITY_PREFIX), F.col("scope"), F.lit("/"), F.lower("name"))), now)
+    named = match_entities(names, entities.unionByName(new.select(*entities.columns))).select("atom_id", "entity_id")
     rows = atoms.join(named, "atom_id", "left").select(
         F.col("atom_id").alias("id"), "scope", "statement", "category", F.lit("inferred").alias("origin"), "scene_name", "entity_id", "predicate",
         F.col("confidence").cast("float").alias("confidence"), "supersedes", F.lit(False).alias("source_deleted"), "project_id", now.alias("created_at"),
@@ -46,7 +54,7 @@ def commit(judged: DataFrame, batch: DataFrame, uncovered: DataFrame, known: Dat
     covered = batch.select("id") if project else edges.select(F.col("turn_id").alias("id")).distinct()
     last = batch.groupBy(*SESSION).agg(F.max(F.struct("created_at", "id")).alias("last"))
     cursors = last.select(*SESSION, F.col("last.created_at").alias("cursor_at"), F.col("last.id").alias("cursor_id"))
-    return {"atoms": rows, "atom_sources": edges, "extraction_coverage": covered, "extraction_attempts": cursors}
+    return {"entities": new, "atoms": rows, "atom_sources": edges, "extraction_coverage": covered, "extraction_attempts": cursors}
 
 
 def reindexed(delta: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -69,10 +69,20 @@ def match_entities(names: DataFrame, entities: DataFrame) -> DataFrame:
     return met.select(*names.columns, F.col("e.id").alias("entity_id"))
 
 
+def fresh_entities(names: DataFrame, entities: DataFrame, new_id: Column, now: Column) -> DataFrame:
+    """A new entity for each name (scope, name; by lower case) that matches none."""
+    fresh = match_entities(names.select("scope", "name"), entities).where("entity_id IS NULL AND length(trim(name)) > 0").groupBy("scope", F.lower("name").alias("__low")).agg(F.min("name").alias("name"))
+    return fresh.select(new_id.alias("id"), "scope", "name", F.array().cast("array<string>").alias("aliases"), now.alias("created_at"))
+
+
 def insert_entities(names: DataFrame, entities: DataFrame, new_id: Column, now: Column) -> DataFrame:
-    """entities, and one for each name (by lower case) that matches none."""
-    fresh = match_entities(names, entities).where("entity_id IS NULL").groupBy("scope", F.lower("name").alias("__low")).agg(F.min("name").alias("name"))
-    return entities.unionByName(fresh.select(new_id.alias("id"), "scope", "name", F.array().cast("array<string>").alias("aliases"), now.alias("created_at")))
+    """entities, and one for each name that matches none."""
+    return entities.unionByName(fresh_entities(names, entities, new_id, now))
+
+
+def covered_by_sources(coverage: DataFrame, edges: DataFrame) -> DataFrame:
+    """Markers (id) of turns that an atom stands on; others are cleaned away."""
+    return coverage.join(edges.select(F.col("turn_id").alias("__turn")), F.col("id") == F.col("__turn"), "left_semi")
 
 
 def asserted(statements: DataFrame, new_id: Column, scene: str, now: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import elapsed
 
 SESSION = ["session_id", "scope"]
-IDLE_MINUTES, TURN_CAP, ATOM_CAP, RECENT_ATOMS = 15, 20, 50, 100
+IDLE_MINUTES, TURN_CAP, ATOM_CAP, RECENT_ATOMS, RECENT_ROWS = 15, 20, 50, 100, 1000
 
 
 def not_in(df: DataFrame, done: DataFrame, key: str = "id", done_key: str | None = None) -> DataFrame:
@@ -112,6 +112,48 @@ def projects_pending(pending: DataFrame) -> DataFrame:
     return pending.where("project_id IS NOT NULL").select("project_id", "scope").distinct()
 
 
+_TURN = ["id", "source", "content", "tool_name", "tool_call_id", "created_at"]
+_PROVENANCE = ["source_path", "source_heading", "source_start_line", "source_end_line", "source_hash"]
+
+
+def turns_json(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, new_turns: the turns of each batch as JSON, oldest first; fields of provenance only where they are set."""
+    fixed = F.to_json(F.struct(*[F.col(c) if c in batches.columns else F.lit(None).cast("string").alias(c) for c in _TURN]), {"ignoreNullFields": "false"})
+    there = [c for c in _PROVENANCE if c in batches.columns]
+    more = F.to_json(F.struct(*there)) if there else F.lit("{}")
+    one = F.when(F.length(more) > 2, F.concat(F.substr(fixed, F.lit(1), F.length(fixed) - 1), F.lit(","), F.substr(more, F.lit(2)))).otherwise(fixed)
+    packed = batches.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("created_at", "id", one.alias("turn")))).alias("turns"))
+    return packed.select(*keys, F.concat(F.lit("["), F.array_join(F.transform("turns", lambda t: t["turn"]), ","), F.lit("]")).alias("new_turns"))
+
+
+def extraction_payloads(batches: DataFrame, atoms: DataFrame, entities: DataFrame, keys: list[str] = SESSION, project: bool = False, n: int = RECENT_ATOMS) -> DataFrame:
+    """keys, scope, payload: what a judge of each batch is given: turns, the newest scene and atoms of the scope (and project), entities of the scope."""
+    own = ["scope", "project_id"] if project else ["scope"]
+    known = atoms.where(F.col("project_id").isNotNull() if project else F.col("project_id").isNull())
+    recent = first_n(known, own, [F.desc("created_at"), F.desc("id")], n)
+    listed = recent.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "statement", "category", "scene_name", "entity_id", "predicate", "confidence", "supersedes"))).alias("recent_atoms"))
+    listed = listed.withColumn("recent_scene", F.col("recent_atoms")[0]["scene_name"]).withColumn("recent_atoms", F.transform("recent_atoms", lambda a: a.dropFields("rank")))
+    names = entities.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("name", "id", "aliases"))).alias("known_entities"))
+    met = turns_json(batches, list(dict.fromkeys([*keys, *own]))).join(listed, own, "left").join(names, "scope", "left")
+    empty = lambda c, of: F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c)
+    of_project = F.col("project_id") if project else F.lit(None).cast("string")
+    context = F.struct("recent_scene", empty("recent_atoms", listed), empty("known_entities", names), of_project.alias("project_id"), F.lit(project).alias("document_mode"))
+    rest = F.substr(F.to_json(context, {"ignoreNullFields": "false"}), F.lit(2))
+    return met.select(*dict.fromkeys([*keys, *own]), F.concat(F.lit('{"new_turns":'), "new_turns", F.lit(","), rest).alias("payload"))
+
+
+def synthesis_payloads(batches: DataFrame, rows: DataFrame, entities: DataFrame, categories: list[str], keys: list[str] = ["scope"]) -> DataFrame:  # noqa: B006
+    """keys, scope, payload: atoms of each batch, their scenes, and the rows that there are, by category."""
+    own = list(dict.fromkeys([*keys, "scope"]))
+    named = batches.join(entities.select(F.col("id").alias("__e"), F.col("name").alias("entity")), F.col("entity_id") == F.col("__e"), "left")
+    atom = F.struct("rank", "id", "statement", "category", "scene_name", "entity", "predicate", "confidence")
+    packed = named.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(atom)), lambda a: a.dropFields("rank")).alias("new_atoms"), F.array_sort(F.collect_set("scene_name")).alias("scene_names"))
+    newest = first_n(rows.where(F.col("category").isin(categories)), [*own, "category"], [F.desc("updated_at"), "id"], RECENT_ROWS)
+    there = newest.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("category", "rank", "id", "title", "summary"))), lambda r: r.dropFields("rank")).alias("existing_rows"))
+    met = packed.join(there, own, "left").withColumn("existing_rows", F.coalesce("existing_rows", F.array().cast(there.schema["existing_rows"].dataType)))
+    return met.select(*own, F.to_json(F.struct(*own, "new_atoms", "scene_names", "existing_rows"), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def judge_payloads(batches: DataFrame) -> DataFrame:
     """One JSON payload for each session's batch."""
     turn = F.struct("created_at", "id", "source", "content")

@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chunking import EMBED_CHARS, embed_chunks
 from ..functions.scalars import norm
 
+#: Sparse weights: saturation, share of the length, and the length (in terms) that counts as usual.
+SATURATION, LENGTH_SHARE, USUAL_LENGTH = 1.2, 0.75, 256
+
 
 def pooled_dense(chunks: DataFrame, key: str = "id", vector: str = "dense") -> DataFrame:
     """Mean of a key's vectors, at unit length; a zero mean stays. Vectors of unequal length raise."""
@@ -32,6 +36,30 @@ def sparse_arrays(weights: DataFrame, key: str = "id") -> DataFrame:
     return packed.select(key, F.transform("w", lambda x: x["idx"]).alias("indices"), F.transform("w", lambda x: x["weight"]).alias("values"))
 
 
+def chunked_texts(texts: DataFrame, limit: int = EMBED_CHARS) -> DataFrame:
+    """id, chunk of texts (id, text, breadcrumb): pieces within an encoder's limit, each headed by the breadcrumb."""
+
+    @F.pandas_udf("array<string>")
+    def cut(text: pd.Series, crumb: pd.Series) -> pd.Series:
+        return pd.Series([embed_chunks(t, limit, c) for t, c in zip(text.fillna(""), crumb.fillna(""))], dtype=object)
+
+    return texts.select("id", F.explode(cut("text", "breadcrumb")).alias("chunk"))
+
+
+def embedded(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], dimensions: int, limit: int = EMBED_CHARS) -> DataFrame:
+    """id, dense of texts (id, text, breadcrumb): cut, encoded, and pooled into one vector for each id."""
+    chunks = chunked_texts(texts, limit).withColumn("dense", encoded(F.col("chunk"), encoder, dimensions))
+    return pooled_dense(chunks).withColumn("dense", F.col("dense").cast("array<float>"))
+
+
+def sparse_vectors(texts: DataFrame) -> DataFrame:
+    """id, sparse (hashed term -> weight) of texts (id, text): saturated term frequencies, damped by length."""
+    terms = texts.select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)).alias("terms"))
+    counted = terms.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term")).groupBy("id", F.xxhash64("term").alias("idx")).agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    weight = F.col("tf") * (SATURATION + 1) / (F.col("tf") + SATURATION * (1 - LENGTH_SHARE + LENGTH_SHARE * F.col("n") / USUAL_LENGTH))
+    return counted.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("idx", weight.alias("w"))))).alias("sparse"))
+
+
 def encoded(texts: Column, encoder: Callable[[list[str]], list[list[float]]], dimensions: int) -> Column:
     """Hook of a dense encoder: a batch of texts in, a batch of vectors of `dimensions` out."""
 

@@ -54,12 +54,31 @@ def rows_of_atoms(rows: DataFrame, links: DataFrame, atoms: DataFrame) -> DataFr
     return rows.join(touched, (F.col("category") == F.col("c")) & (F.col("id") == F.col("r")), "left_semi")
 
 
+_TYPES = {"confidence": "float"}
+RECORD = ["entity", "predicate", "origin", "scene_name", "confidence", "owner", "deadline", "status", "project_id"]
+
+
+def of_scope_and_project(records: DataFrame, scope: str | None = None, project: str | None = None) -> DataFrame:
+    """Records of the scope (None: of any), and of the project or, without one, of none."""
+    own = records if scope is None else records.where(F.col("scope") == scope)
+    return own.where(F.col("project_id").eqNullSafe(F.lit(project)))
+
+
+def ranked(hydrated: DataFrame) -> DataFrame:
+    """Records of each query, the best score first."""
+    return hydrated.orderBy("query_id", F.desc("score"), "id")
+
+
 def hydrate(candidates: DataFrame, atoms: DataFrame, rows: DataFrame, entities: DataFrame | None = None) -> DataFrame:
-    """Candidates (query_id, id, source_table, score) with the content of their active atom or summary row."""
+    """Candidates (query_id, id, source_table, score) with the content of their active atom or summary row, and its fields of RECORD.
+
+    What has to stay hidden is left out of atoms and rows before (of_scope_and_project).
+    """
     facts = active_atoms(atoms)
     if entities is not None:
         facts = with_entity(facts, entities)
-    facts = facts.select(F.lit("atoms").alias("t"), F.col("id").alias("i"), F.lit(None).cast("string").alias("title"), F.col("statement").alias("content"), "scope", F.col("category").alias("kind"))
-    texts = rows.select(F.col("category").alias("t"), F.col("id").alias("i"), "title", F.col("summary").alias("content"), "scope", F.col("category").alias("kind"))
+    more = lambda df: [(F.col(c) if c in df.columns else F.lit(None)).cast(_TYPES.get(c, "string")).alias(c) for c in RECORD]
+    facts = facts.select(*more(facts), F.lit("atoms").alias("t"), F.col("id").alias("i"), F.lit(None).cast("string").alias("title"), F.col("statement").alias("content"), "scope", F.col("category").alias("kind"))
+    texts = rows.select(*more(rows), F.col("category").alias("t"), F.col("id").alias("i"), "title", F.col("summary").alias("content"), "scope", F.col("category").alias("kind"))
     met = candidates.join(facts.unionByName(texts), (F.col("source_table") == F.col("t")) & (candidates["id"] == F.col("i")))
-    return met.select("query_id", candidates["id"], "source_table", "title", "content", met["scope"], "kind", "score")
+    return met.select("query_id", candidates["id"], "source_table", "title", "content", met["scope"], "kind", "score", *[met[c] for c in RECORD])

@@ -201,11 +201,12 @@ def model_rerank(candidates: DataFrame, queries: DataFrame, scores: DataFrame) -
     return keyword_rerank(candidates, queries).join(scores, ["query_id", "id"], "left").withColumn("rerank_score", F.coalesce("model_score", "rerank_score")).drop("model_score")
 
 
-def parse_scores(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """query_id, id, model_score of JSON replies; scores beyond 0..1 raise."""
-    from .validation import require
+def parse_scores(replies: DataFrame, reply: str = "reply", uuids: bool = False) -> DataFrame:
+    """query_id, id, model_score of JSON replies; scores beyond 0..1 raise, and with uuids ids that are none."""
+    from .validation import require, require_uuid
 
     rows = replies.select("query_id", F.explode(F.from_json(reply, schemas.SCORES, {"mode": "FAILFAST"})).alias("s")).select("query_id", "s.id", F.col("s.score").alias("model_score"))
+    rows = require_uuid(rows, "id") if uuids else rows
     return require(rows, F.col("model_score").between(0, 1), "a score must be between 0 and 1")
 
 
@@ -225,25 +226,35 @@ def stubs(candidates: DataFrame, k: int = CANDIDATES) -> DataFrame:
     return first_n(candidates, ["query_id"], [F.desc("score"), "id"], k).select("query_id", "id", "title", "source_table")
 
 
+def stored_weights(points: DataFrame) -> DataFrame:
+    """id, term, weight of points that were indexed with sparse vectors; terms are hashed."""
+    return points.select("id", F.explode("sparse").alias("term", "weight"))
+
+
+def hashed_terms(asked: DataFrame) -> DataFrame:
+    """Query terms with the numbers that stored vectors have for them."""
+    return asked.withColumn("term", F.xxhash64("term"))
+
+
 def query_weights(queries: DataFrame) -> DataFrame:
     """query_id, term, weight 1 of each distinct term of a query."""
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"), F.lit(1.0).alias("weight"))
 
 
 def search(queries: DataFrame, points: DataFrame, mode: str, k: int = TOP_K, weights: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score, rank in one mode; queries have query_id, query and (but for bm25) vector."""
+    """query_id, id, score, rank in one mode; queries have query_id, query and (but for bm25) vector. weights: stored_weights of the points."""
     if mode not in ("vector", "bm25", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     dense = dense_topk(queries, points, k) if mode != "bm25" else None
     if mode == "vector":
         return dense
     asked = query_weights(queries)
-    sparse = sparse_topk(asked, bm25_weights(points, asked) if weights is None else weights, k)
+    sparse = sparse_topk(asked, bm25_weights(points, asked), k) if weights is None else sparse_topk(hashed_terms(asked), weights, k)
     return sparse if mode == "bm25" else fuse(dense, sparse, k=k)
 
 
 def recall(queries: DataFrame, points: DataFrame, mode: str = "hybrid", k: int = TOP_K, least: float | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Search, rerank and threshold; k is the pool before reranking. weights: a stored table of bm25_weights."""
+    """Search, rerank and threshold; k is the pool before reranking. weights: stored_weights of the points."""
     if k <= 0:
         raise ValueError("k must be positive")
     found = search(queries, points, mode, k, weights)

@@ -32,6 +32,47 @@ def require(df: DataFrame, cond: Column, message: str) -> DataFrame:
     return df.where(checked(cond, message))
 
 
+def read_scope(scope: str | None, all_scopes: bool = False, default: str | None = None) -> str | None:
+    """The scope that is read: the one named, any (None), or the default."""
+    if scope is not None and not scope.strip():
+        raise ValueError("the scope must not be blank")
+    if all_scopes and scope is not None:
+        raise ValueError("a scope and all scopes exclude each other")
+    return None if all_scopes else scope or default
+
+
+def require_project(projects: DataFrame, project: str | None, scope: str | None = None) -> None:
+    """Raise where the project named isn't registered (in the scope)."""
+    if project is not None:
+        known = projects.where(F.col("id") == project)
+        if (known if scope is None else known.where(F.col("scope") == scope)).isEmpty():
+            raise KeyError(f"no project {project} in the scope")
+
+
+SCENE_CHARS, TITLE_CHARS = 120, 240
+
+
+def _text_of(c: str, most: int) -> Column:
+    return F.coalesce(F.length(F.trim(c)).between(1, most), F.lit(False))
+
+
+def atom_problem() -> Column:
+    """First reason to reject a judged atom (scene_name, statement, category, confidence), or null."""
+    return (
+        F.when(~_text_of("scene_name", SCENE_CHARS), "scene_name").when(~_text_of("statement", 1 << 30), "statement")
+        .when(~F.coalesce(F.col("category").isin(schemas.ATOM_CATEGORIES), F.lit(False)), "category").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence")
+    )
+
+
+def destination_problem(categories: list[str]) -> Column:
+    """First reason to reject a destination (category, title, summary, atom_ids, status), or null."""
+    status = F.col("status").isNull() | F.col("status").isin(schemas.TASK_STATUSES)
+    return (
+        F.when(~F.coalesce(F.col("category").isin(categories), F.lit(False)), "category").when(~_text_of("title", TITLE_CHARS), "title")
+        .when(~_text_of("summary", 1 << 30), "summary").when(F.coalesce(F.size("atom_ids"), F.lit(0)) < 1, "atom_ids").when(~status, "status")
+    )
+
+
 def require_uuid(df: DataFrame, column: str) -> DataFrame:
     return require(df, F.col(column).rlike(UUID), f"{column} must be a UUID")
 

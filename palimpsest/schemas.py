@@ -40,6 +40,7 @@ DOCUMENTS = "id string, project_id string, relative_path string, content_hash st
 CHUNKS = "document_id string, turn_id string, chunk_index int, heading string, start_line int, end_line int, is_active boolean"
 INDEX_POINTS = "id string, scope string, source_table string, title string, content string, project_id string, source_deleted boolean, superseded boolean, dense array<float>, sparse map<long,double>"
 SCENES = "array<struct<scene_name:string,atoms:array<struct<statement:string,category:string,entity:string,predicate:string,confidence:double,source_turn_ids:array<string>,supersedes:string>>>>"
+DESTINATIONS = "array<struct<category:string,title:string,summary:string,atom_ids:array<string>,existing_row_id:string,owner:string,deadline:timestamp,status:string>>"
 SCORES = "array<struct<id:string,score:double>>"
 
 TABLES = {

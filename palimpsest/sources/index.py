@@ -28,8 +28,9 @@ def upserted(index: DataFrame, points: DataFrame) -> DataFrame:
     return index.join(points.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti").unionByName(points.select(*index.columns))
 
 
-def write_index(points: DataFrame, path: str) -> None:
-    points.repartition("source_table").write.mode("overwrite").partitionBy("source_table").parquet(path)
+def write_index(points: DataFrame, path: str, files: int = 64) -> None:
+    """One folder for each source, of at most `files` files: a source may hold nearly all points."""
+    points.repartition("source_table", F.pmod(F.xxhash64("id"), F.lit(files))).write.mode("overwrite").partitionBy("source_table").parquet(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:

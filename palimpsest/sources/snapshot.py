@@ -40,6 +40,12 @@ class SnapshotStore:
         path = self.manifest(version).get(name)
         return schemas.empty(self.spark, name) if path is None else self.spark.read.parquet(path)
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """df, written once and read back: ids and replies of models in it are fixed from then on."""
+        path = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
         """Write the tables given, and make them current together with the others."""
         known = self.versions()
