@@ -44,12 +44,18 @@ def _cell(key: Column, depth: int) -> Column:
     return F.shiftright(key, BITS - depth)
 
 
-def _leaves(cells: DataFrame, depth: int, floor: int, limit: int) -> DataFrame:
-    """cell -> depth and size of its shard: the shortest prefix of at least `floor` bits that fits; null if none fits."""
-    prefixes = cells.select("cell", "bytes", "docs", F.explode(F.sequence(F.lit(floor), F.lit(depth))).alias("d")).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - d)"))
-    fits = prefixes.groupBy("d", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")).where(F.col("shard_bytes") <= limit)
-    found = prefixes.select("cell", "d", "prefix").join(fits, ["d", "prefix"])
-    best = found.groupBy("cell").agg(F.min(F.struct("d", "prefix", "shard_bytes", "shard_docs")).alias("b")).select("cell", "b.*")
+def _leaves(cells: DataFrame, depth: int, floor: int, limit: int, scratch: Scratch) -> DataFrame:
+    """cell -> depth and size of its shard: the shortest prefix of at least `floor` bits that fits; null if none fits.
+
+    Cells meet the prefixes that fit, from the shortest of these on, so that a prefix
+    gets no more rows than it has cells, and none that is known to be too large any.
+    """
+    prefix = F.expr(f"shiftright(cell, {depth} - d)").alias("prefix")
+    sums = cells.select("cell", "bytes", "docs", F.explode(F.sequence(F.lit(floor), F.lit(depth))).alias("d")).select("d", prefix, "bytes", "docs")
+    fits = scratch.keep(sums.groupBy("d", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")).where(F.col("shard_bytes") <= limit), f"fits{depth}", small=True)
+    least = fits.agg(F.coalesce(F.min("d"), F.lit(depth))).first()[0]
+    prefixes = cells.select("cell", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("d")).select("cell", "d", prefix)
+    best = prefixes.join(fits, ["d", "prefix"]).groupBy("cell").agg(F.min(F.struct("d", "prefix", "shard_bytes", "shard_docs")).alias("b")).select("cell", "b.*")
     return cells.select("cell").join(best, "cell", "left")
 
 
@@ -76,7 +82,7 @@ def _assign(rows: DataFrame, limit_bytes: int, level: int) -> DataFrame:
     floor, rounds, todo = 0, [], keyed
     while True:
         cells = todo.groupBy(_cell(F.col("key"), depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
-        leaves = scratch.keep(_leaves(cells, depth, floor, limit_bytes), f"depth{depth}", small=True)
+        leaves = scratch.keep(_leaves(cells, depth, floor, limit_bytes, scratch), f"depth{depth}", small=True)
         rounds.append((depth, leaves.where("d IS NOT NULL")))
         over = leaves.where("d IS NULL").select("cell")
         done = over.isEmpty()
