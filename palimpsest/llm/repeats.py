@@ -53,10 +53,10 @@ SEED = 40
 BATCH_CLASSES = 16
 #: Rounds after that of the leaders; offsets from the leader are below 1 << ROUNDS.
 ROUNDS = 6
-#: Bytes of a text that are named at a time.
-PIECE = 1 << 20
+#: Bytes of a text that are named at a time; a task holds some ten arrays of eight times as many.
+PIECE = 1 << 19
 #: Runs, and bytes of parts, that a task gathers before it sends them; rows that it sends at a time.
-RUNS_AT_ONCE, BYTES_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 2 << 20, 16_384
+RUNS_AT_ONCE, BYTES_AT_ONCE, ROWS_AT_ONCE = 400_000, 2 << 20, 16_384
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = mix(np.arange(1, 257, dtype=U) * U(0x632BE59BD9B4E019))
