@@ -9,11 +9,12 @@ non-negative unbiased risk: pi R_p+ + max(0, R_u- - pi R_p-), with logistic loss
 
 Features are of the whole text: frequencies of byte classes and of their pairs,
 and a few ratios of words and lines. Both samples are bounded (POSITIVES and
-UNLABELLED rows), so one task fits the model.
+UNLABELLED rows); the task that fits the model gets their features, not their texts.
 
 Defined results: a null or empty text scores as a text without any feature. A
 null id is not held out and is never a training row. Repeated rows each get a
-row; extra columns stay out of the score. Where no positives are there to learn
+row; extra columns stay out of the score, and those named score or predicted are
+replaced. Where no positives are there to learn
 from, every score is 0.5.
 """
 
@@ -129,11 +130,17 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = SEED) -> float:
     return float(np.clip(best, 0.01, 0.99))
 
 
+def _described(batches):
+    for batch in batches:
+        x = [features(t).tobytes() for t in utf8(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], ["kind", "x", "h"])
+
+
 def _train(batches):
     xs, kinds = [], []
     for batch in batches:
         kinds += batch.column(0).to_pylist()
-        xs += [features(t) for t in utf8(batch.column(1))]
+        xs += [np.frombuffer(x, np.float32) for x in batch.column(1).to_pylist()]
     kinds = np.array(kinds, np.int8)
     x = np.stack(xs) if xs else np.zeros((0, WIDTH), np.float32)
     p, u = x[kinds == 1], x[kinds == 0]
@@ -151,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     trusted = sample_ids(usable(labels).where("quality = 1").select("doc_id").distinct(), [], positives).withColumn("kind", F.lit(1))
     plain = sample_ids(usable(docs), [], unlabelled, seed=13).distinct().withColumn("kind", F.lit(0))
     texts = docs.join(F.broadcast(trusted.unionByName(plain)), "doc_id").select("kind", "text", F.xxhash64("doc_id", "text").alias("h"))
-    rows = texts.repartition(1).sortWithinPartitions("kind", "h").limit(positives + 2 * unlabelled).select("kind", "text")
+    described = texts.mapInArrow(_described, "kind int, x binary, h long")
+    rows = described.repartition(1).sortWithinPartitions("kind", "h").limit(positives + 2 * unlabelled).select("kind", "x")
     found = rows.mapInArrow(_train, "model binary").collect()
     return pickle.loads(zlib.decompress(bytes(found[0]["model"]))) if found else None
 
@@ -177,7 +185,8 @@ def _scoring(model: dict | None, at: int, threshold: float):
 
 
 def score(docs: DataFrame, model: dict | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without text_col, with score and predicted; docs must have no columns of these names."""
+    """docs without text_col, with score and predicted, which replace columns of these names."""
+    docs = docs.drop(*({"score", "predicted"} - {text_col}))
     schema = docs.drop(text_col).select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
     return docs.mapInArrow(_scoring(model, docs.columns.index(text_col), threshold), schema)
 

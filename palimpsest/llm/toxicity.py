@@ -12,9 +12,8 @@ their sum, and their sum for each PASSAGE words, so that chance matches in a lon
 text don't add up. Its weights, none of them negative, and the insults with theirs
 are learned from labels; what marks count is the grammar's.
 
-Learning uses at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN other labelled rows, of
-each at most LEARN_BYTES from the text's beginning, in one task; scoring runs over
-whole texts.
+Learning uses at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN other labelled rows, but
+for those of over LEARN_BYTES, in one task; scoring runs over whole texts.
 
 Defined results: null and empty texts match nothing and get the score of a text
 without a match. A null id is not held out and is never a training row. Repeated
@@ -41,15 +40,15 @@ from .storage import table
 from .textkit import WordHashes, shingle_set, utf8
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE_TOXIC, SAMPLE_CLEAN, LEARN_BYTES = 2000, 3000, 1 << 15
+SAMPLE_TOXIC, SAMPLE_CLEAN, LEARN_BYTES = 2000, 3000, 1 << 16
 THRESHOLD = 0.7
 #: Lengths of word beginnings that the lexicon may hold.
 STEMS = range(4, 9)
 MIN_TOXIC_DOCS, MIN_LOG_ODDS = 3, 2.5
 #: Log odds of a word that counts in full.
 FULL_ODDS = 6.0
-#: Keys expected to be learned by chance.
-FALSE_KEYS = 0.05
+#: Keys expected to be learned by chance; what they are worth shows on rows that they were not learned from.
+FALSE_KEYS = 5
 #: Smallest shingle hashes by which copies are told.
 LOW_HASHES = 5
 #: Words that the density of a text's clauses is told for.
@@ -199,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     """Fit on a bounded sample of labelled docs (doc_id, text), none of them held out."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "toxic").distinct()
     ids = sample_ids(usable.where("toxic = 1"), ["toxic"], toxic).unionByName(sample_ids(usable.where("toxic = 0"), ["toxic"], clean))
-    start = F.substring(F.col("text").cast("binary"), 1, LEARN_BYTES).alias("text")
-    texts = docs.join(F.broadcast(ids), "doc_id").select("toxic", start, F.xxhash64("doc_id", "text").alias("h"))
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LEARN_BYTES)
+    texts = short.join(F.broadcast(ids), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("h"))
     rows = texts.repartition(1).sortWithinPartitions("h").limit(2 * (toxic + clean)).select("toxic", "text")
     found = rows.mapInArrow(_train, "model binary").collect()
     return pickle.loads(zlib.decompress(bytes(found[0]["model"]))) if found else None
