@@ -62,7 +62,8 @@ class Memory:
         lack = [c for c in old.columns if c not in new.columns]
         new = new.select("*", *[(F.lit(False) if c == "source_deleted" else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in lack]).select(*old.columns)
         fresh = self.store.staged(new)  # ids are fixed once they are written
-        self._commit_atoms(old.unionByName(fresh), fresh)
+        after = old.unionByName(fresh)
+        self.store.commit({"index_points": self.index_after(after, None, fresh)}, append={"atoms": fresh})
         return fresh.select("id", "scope", "statement")
 
     def update(self, changes: DataFrame, scope: str | None = None) -> int:

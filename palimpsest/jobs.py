@@ -101,7 +101,7 @@ class Jobs:
         old = self.store.table("turns")
         given = {"id": F.expr("uuid()"), "created_at": F.current_timestamp() if now is None else now}
         new = valid.select(*[given.get(c, F.col(c) if c in valid.columns else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in old.columns])
-        self.store.commit({"turns": mutations.insert_or_keep(old, self.store.staged(new), ["session_id", "scope", "source_event_id"])})
+        self.store.commit({}, append={"turns": mutations.new_rows(old, self.store.staged(new), ["session_id", "scope", "source_event_id"])})
         return rejected
 
     def status(self, now: Column) -> DataFrame:
@@ -203,11 +203,13 @@ class Jobs:
         delta = {n: self.store.staged(d) for n, d in delta.items()}
         after = atoms.unionByName(delta["atoms"].select(*atoms.columns))
         cursors = t("extraction_attempts")
-        self.store.commit({
-            "atoms": after, "atom_sources": mutations.insert_ignore(edges, delta["atom_sources"]), "entities": entities.unionByName(delta["entities"].select(*entities.columns)),
-            "extraction_coverage": mutations.insert_ignore(coverage, delta["extraction_coverage"]), "extraction_attempts": mutations.advance_cursor(cursors, delta["extraction_attempts"]),
-            "index_points": self.memory.index_after(after, None, extraction.reindexed(delta["atoms"], after)),
-        })
+        self.store.commit(
+            {"extraction_attempts": mutations.advance_cursor(cursors, delta["extraction_attempts"]), "index_points": self.memory.index_after(after, None, extraction.reindexed(delta["atoms"], after))},
+            append={
+                "atoms": delta["atoms"].select(*atoms.columns), "atom_sources": mutations.new_edges(edges, delta["atom_sources"]),
+                "entities": delta["entities"].select(*entities.columns), "extraction_coverage": mutations.new_edges(coverage, delta["extraction_coverage"]),
+            },
+        )
         return self._told(phase, replies, keys)
 
     def synthesize(self, now: Column | None = None, project: bool = False) -> Run:
@@ -251,10 +253,10 @@ class Jobs:
         after = synthesis.upsert_rows(rows, changes if project else changes.withColumn("project_id", F.lit(None).cast("string")), now, F.col("destination_id")).select(*rows.columns)
         edges = met.select("category", F.col("own_id").alias("row_id"), F.explode("atom_ids").alias("atom_id")).distinct()
         done = batch.join(good, keys, "left_semi").select("id")
-        self.store.commit({
-            "l2_rows": after, "l2_atoms": mutations.insert_ignore(links, edges), "synthesis_coverage": mutations.insert_ignore(coverage, done),
-            "index_points": self.memory.index_after(None, after, met.select(F.col("own_id").alias("id"))),
-        })
+        self.store.commit(
+            {"l2_rows": after, "index_points": self.memory.index_after(None, after, met.select(F.col("own_id").alias("id")))},
+            append={"l2_atoms": mutations.new_edges(links, edges), "synthesis_coverage": mutations.new_edges(coverage, done)},
+        )
         return self._told(phase, replies, keys)
 
     # --- the worker

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def insert_or_keep(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old, and those rows of new whose key is not there; rows with a null in the key never collide."""
+def new_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of new whose key is not in old, one of each key; rows with a null in the key never collide."""
     whole = F.lit(True)
     for k in keys:
         whole &= F.col(k).isNotNull()
     order = [c for c in new.columns if c not in keys]
     first = new.where(whole).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
     added = first.join(old.select(*keys).distinct(), keys, "left_anti").select(*new.columns)
-    return old.unionByName(added).unionByName(new.where(~whole))
+    return added.unionByName(new.where(~whole))
+
+
+def insert_or_keep(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old, and those rows of new whose key is not there."""
+    return old.unionByName(new_rows(old, new, keys))
 
 
 def insert_or_update(old: DataFrame, new: DataFrame, keys: list[str], update: dict[str, Column] | None = None, order: list[str] | None = None) -> DataFrame:
@@ -38,6 +43,11 @@ def insert_or_update(old: DataFrame, new: DataFrame, keys: list[str], update: di
     return o.join(n, on, "full_outer").select(*cols)
 
 
+def new_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges and markers (without nulls) of new that are not in old."""
+    return new.select(*old.columns).distinct().join(old, old.columns, "left_anti")
+
+
 def insert_ignore(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges and markers: a set."""
     return old.unionByName(new.select(*old.columns)).distinct()

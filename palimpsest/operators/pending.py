@@ -143,7 +143,7 @@ def extraction_payloads(batches: DataFrame, atoms: DataFrame, entities: DataFram
 
 
 def synthesis_payloads(batches: DataFrame, rows: DataFrame, entities: DataFrame, categories: list[str], keys: list[str] = ["scope"]) -> DataFrame:  # noqa: B006
-    """keys, scope, payload: atoms of each batch, their scenes, and the rows that there are, by category."""
+    """keys, scope, payload: atoms of each batch, their scenes, and of the rows that there are the latest RECENT_ROWS of each category."""
     own = list(dict.fromkeys([*keys, "scope"]))
     named = batches.join(entities.select(F.col("id").alias("__e"), F.col("name").alias("entity")), F.col("entity_id") == F.col("__e"), "left")
     atom = F.struct("rank", "id", "statement", "category", "scene_name", "entity", "predicate", "confidence")

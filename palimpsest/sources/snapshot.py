@@ -1,4 +1,8 @@
-"""Sets of tables with versions: a commit writes new folders, then one manifest that names them all."""
+"""Sets of tables with versions: a commit writes new folders, then one manifest that names them all.
+
+A table is one folder or more: what a commit appends is a further one, until there
+are MOST_FOLDERS, which the next commit that appends makes one again.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import schemas
 
 
+MOST_FOLDERS = 16
+
+
 class SnapshotStore:
     """Tables below a folder of any Hadoop file system. Readers see the last manifest, whole or not at all."""
 
@@ -26,19 +33,23 @@ class SnapshotStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict[str, str]:
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
         known = self.versions()
         if not known:
             return {}
         stream = self._fs.open(self._path(f"{self.root}/_manifests/{known[-1] if version is None else version}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            named = json.loads(bytes(stream.readAllBytes()).decode())
+            return {n: [p] if isinstance(p, str) else p for n, p in named.items()}
         finally:
             stream.close()
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        path = self.manifest(version).get(name)
-        return schemas.empty(self.spark, name) if path is None else self.spark.read.parquet(path)
+        paths = self.manifest(version).get(name)
+        if not paths:
+            return schemas.empty(self.spark, name)
+        reader = self.spark.read
+        return (reader.schema(schemas.TABLES[name]) if name in schemas.TABLES else reader).parquet(*paths)
 
     def staged(self, df: DataFrame) -> DataFrame:
         """df, written once and read back: ids and replies of models in it are fixed from then on."""
@@ -46,15 +57,19 @@ class SnapshotStore:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
-        """Write the tables given, and make them current together with the others."""
+    def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, append: dict[str, DataFrame] | None = None) -> int:
+        """Write the tables given in place of the old ones, and rows to be appended to others; make them current together."""
         known = self.versions()
         version = known[-1] + 1 if known else 1
         names = self.manifest()
-        for name, df in tables.items():
-            path = f"{self.root}/{name}/{version}-{uuid.uuid4().hex}"
+        for name, df in {**tables, **(append or {})}.items():
+            path, before = f"{self.root}/{name}/{version}-{uuid.uuid4().hex}", []
+            if name not in tables:
+                before = names.get(name, [])
+                if len(before) >= MOST_FOLDERS:
+                    df, before = self.table(name).unionByName(df), []
             df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(path)
-            names[name] = path
+            names[name] = [*before, path]
         final = self._path(f"{self.root}/_manifests/{version}.json")
         draft = self._path(f"{self.root}/_manifests/.{version}-{uuid.uuid4().hex}")
         stream = self._fs.create(draft, False)

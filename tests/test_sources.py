@@ -35,6 +35,11 @@ def test_snapshots(spark, tmp_path):
     assert store.commit({"atom_sources": more}) == 2
     assert store.table("atom_sources").count() == 2 and store.table("atom_sources", 1).count() == 1
     assert store.table("extraction_coverage").count() == 1
+    for k in range(snapshot.MOST_FOLDERS + 2):
+        store.commit({}, append={"atom_sources": spark.createDataFrame([(f"c{k}", "t")], schemas.ATOM_SOURCES)})
+    assert store.table("atom_sources").count() == 4 + snapshot.MOST_FOLDERS and store.table("atom_sources", 2).count() == 2
+    assert len(store.manifest()["atom_sources"]) < snapshot.MOST_FOLDERS
+    assert store.table("extraction_coverage").count() == 1
     rival = snapshot.SnapshotStore(spark, f"file://{tmp_path}/store")
     rival.versions = lambda: [1]
     with pytest.raises(RuntimeError):
