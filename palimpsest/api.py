@@ -117,7 +117,7 @@ class Memory:
         if mode is None:
             mode = "hybrid" if len(named) != 1 else "vector" if named[0] in schemas.VECTOR_SOURCES else "bm25"
         asked = self._queries(queries)
-        found = retrieval.search(asked, points, mode if self.encoder else "bm25", k, retrieval.stored_weights(points))
+        found = retrieval.search(asked, points, mode if self.encoder else "bm25", k, stored=True)
         return found.join(points.select("id", "source_table", "title", "content"), "id"), asked, points
 
     def recall(self, queries: DataFrame, k: int = retrieval.TOP_K, least: float | None = None, mode: str | None = None, scope: str | None = None, sources: list[str] | None = None, types: list[str] | None = None, project: str | None = None, all_scopes: bool = False) -> DataFrame:

@@ -7,6 +7,8 @@ a fixed size. Ranking per query is a window that Spark limits before the shuffle
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -174,6 +176,90 @@ def sparse_topk(query_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame
     return first_n(scored, ["query_id"], [F.desc(F.round("score", 9)), "id"], k)
 
 
+class _Asked:
+    """A block of queries by term: for each term the queries that hold it, and their weights."""
+
+    def __init__(self, rows: list):
+        self.ids = sorted({r["query_id"] for r in rows})
+        at, by = {q: i for i, q in enumerate(self.ids)}, {}
+        for r in rows:
+            by.setdefault(r["term"], []).append((at[r["query_id"]], r["weight"]))
+        self.terms = {t: (np.array([i for i, _ in held]), np.array([w for _, w in held])) for t, held in by.items()}
+
+    def best(self, scores: np.ndarray, points: pa.Array, k: int, names: list[str], kind: pa.DataType) -> pa.RecordBatch:
+        """The best k of a batch's points for each query; points without a common term are none."""
+        order, rounded = np.array(pc.rank(points, tiebreaker="first")), np.round(scores, 9)
+        picked, at = [], []
+        for q, query_id in enumerate(self.ids):
+            near = np.flatnonzero(scores[q])
+            near = near[np.lexsort((order[near], -rounded[q, near]))][:k]
+            picked += [query_id] * len(near)
+            at.append(near)
+        value = [scores[q, near] for q, near in enumerate(at)]
+        cat = lambda x: np.concatenate(x) if x else np.empty(0)
+        return pa.RecordBatch.from_arrays([pa.array(picked, kind), points.take(pa.array(cat(at).astype(np.int64))), pa.array(cat(value).astype(np.float64))], names)
+
+
+#: Points that are scored at a time.
+POINT_BLOCK = 2048
+
+
+def _blocked_topk(asked: DataFrame, points: DataFrame, k: int, scored: Callable, block: int) -> DataFrame:
+    """query_id, id, score, rank by scored(_Asked, batch) -> scores of the batch's points (id, ...); asked: query_id, term, weight.
+
+    A stated query set against all rows, in blocks of queries. A task gives its
+    best k for each query and block of points, so a term that stands nearly
+    everywhere makes no more rows than another.
+    """
+    schema = asked.select("query_id").schema.add(points.select("id").schema["id"]).add("score", "double")
+    arrow = to_arrow_schema(schema)
+
+    def answer(part: DataFrame) -> DataFrame:
+        held = _Asked(asked.join(part, "query_id", "left_semi").collect())
+
+        def run(batches):
+            for batch in (b.slice(a, POINT_BLOCK) for b in batches for a in range(0, b.num_rows, POINT_BLOCK)):
+                if held.ids:
+                    yield held.best(scored(held, batch), batch.column(0), k, arrow.names, arrow.field(0).type)
+
+        return first_n(points.mapInArrow(run, schema), ["query_id"], [F.desc(F.round("score", 9)), "id"], k)
+
+    return in_blocks(asked.select("query_id").distinct(), answer, block=block)
+
+
+def lexical_topk(queries: DataFrame, points: DataFrame, k: int, text: str = "content", k1: float = BM25_K1, b: float = BM25_B, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, score, rank: sum of the saturated, length-damped frequencies of a query's terms in a point's text."""
+    mean = points.select(F.size(_term_list(text)).alias("n")).where("n > 0").agg(F.avg("n")).first()[0] or 1.0
+    words = re.compile("[a-z0-9_]{2,}")
+
+    def scored(held: _Asked, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((len(held.ids), batch.num_rows))
+        for j, content in enumerate(batch.column(1).to_pylist()):
+            found = words.findall(content.lower()) if content else []
+            damp = k1 * (1 - b + b * len(found) / mean)
+            for term, tf in Counter(t for t in found if t in held.terms).items():
+                q, w = held.terms[term]
+                out[q, j] += tf * (k1 + 1) / (tf + damp) * w
+        return out
+
+    return _blocked_topk(query_weights(queries), points.select("id", text), k, scored, block)
+
+
+def stored_topk(queries: DataFrame, points: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, score, rank: dot product of a query's terms with the stored sparse vectors of points (id, sparse)."""
+
+    def scored(held: _Asked, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((len(held.ids), batch.num_rows))
+        for j, vector in enumerate(batch.column(1).to_pylist()):
+            for term, weight in vector or ():
+                if term in held.terms:
+                    q, w = held.terms[term]
+                    out[q, j] += weight * w
+        return out
+
+    return _blocked_topk(hashed_terms(query_weights(queries)), points.select("id", "sparse"), k, scored, block)
+
+
 def fuse(*ranked: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (query_id, id, rank)."""
     parts = [r.select("query_id", "id", "rank") for r in ranked]
@@ -226,11 +312,6 @@ def stubs(candidates: DataFrame, k: int = CANDIDATES) -> DataFrame:
     return first_n(candidates, ["query_id"], [F.desc("score"), "id"], k).select("query_id", "id", "title", "source_table")
 
 
-def stored_weights(points: DataFrame) -> DataFrame:
-    """id, term, weight of points that were indexed with sparse vectors; terms are hashed."""
-    return points.select("id", F.explode("sparse").alias("term", "weight"))
-
-
 def hashed_terms(asked: DataFrame) -> DataFrame:
     """Query terms with the numbers that stored vectors have for them."""
     return asked.withColumn("term", F.xxhash64("term"))
@@ -241,23 +322,22 @@ def query_weights(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"), F.lit(1.0).alias("weight"))
 
 
-def search(queries: DataFrame, points: DataFrame, mode: str, k: int = TOP_K, weights: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score, rank in one mode; queries have query_id, query and (but for bm25) vector. weights: stored_weights of the points."""
+def search(queries: DataFrame, points: DataFrame, mode: str, k: int = TOP_K, stored: bool = False) -> DataFrame:
+    """query_id, id, score, rank in one mode; queries have query_id, query and (but for bm25) vector. stored: by the points' sparse vectors, not their texts."""
     if mode not in ("vector", "bm25", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     dense = dense_topk(queries, points, k) if mode != "bm25" else None
     if mode == "vector":
         return dense
-    asked = query_weights(queries)
-    sparse = sparse_topk(asked, bm25_weights(points, asked), k) if weights is None else sparse_topk(hashed_terms(asked), weights, k)
+    sparse = stored_topk(queries, points, k) if stored else lexical_topk(queries, points, k)
     return sparse if mode == "bm25" else fuse(dense, sparse, k=k)
 
 
-def recall(queries: DataFrame, points: DataFrame, mode: str = "hybrid", k: int = TOP_K, least: float | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Search, rerank and threshold; k is the pool before reranking. weights: stored_weights of the points."""
+def recall(queries: DataFrame, points: DataFrame, mode: str = "hybrid", k: int = TOP_K, least: float | None = None, stored: bool = False) -> DataFrame:
+    """Search, rerank and threshold; k is the pool before reranking. stored: by the points' sparse vectors."""
     if k <= 0:
         raise ValueError("k must be positive")
-    found = search(queries, points, mode, k, weights)
+    found = search(queries, points, mode, k, stored)
     content = points.select("id", "source_table", "title", "content")
     return above(keyword_rerank(found.join(content, "id"), queries), least)
 

@@ -75,8 +75,7 @@ _BM25 = f"""posts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_
 
 @add("sparse_topk", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 8")
 def sparse_topk(t):
-    asked = retrieval.query_weights(t("queries"))
-    return retrieval.sparse_topk(asked, retrieval.bm25_weights(t("points"), asked), retrieval.TOP_K).withColumn("score", F.round("score", 6))
+    return retrieval.lexical_topk(t("queries"), t("points"), retrieval.TOP_K).withColumn("score", F.round("score", 6))
 
 
 def _hybrid(t):
@@ -118,8 +117,7 @@ def hybrid_recall(t):
 
 def _pool(t):
     """Candidates of every query: the best finds of a lexical search over all points, scored by rank."""
-    asked = retrieval.query_weights(t("queries"))
-    found = retrieval.sparse_topk(asked, retrieval.bm25_weights(t("points"), asked), retrieval.CANDIDATES)
+    found = retrieval.lexical_topk(t("queries"), t("points"), retrieval.CANDIDATES)
     return found.select("query_id", "id", (1.0 / F.col("rank")).alias("score")).join(t("points").select("id", "source_table", "title", "content"), "id")
 
 

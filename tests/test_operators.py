@@ -325,3 +325,20 @@ def test_bm25(spark):
     some = {(r.id, r.term): r.weight for r in retrieval.bm25_weights(points, asked, idf=True).collect()}
     rare = math.log1p(0.5 / 2.5)
     assert some == pytest.approx({(1, "aa"): tf(2, 3) * rare, (2, "aa"): tf(1, 2) * rare})
+
+
+def test_lexical_search_in_blocks(spark):
+    """Blocks of queries, whole documents and common terms: the same as the join of postings."""
+    import random
+
+    from palimpsest.operators import retrieval
+
+    rng = random.Random(4)
+    words = ["the", "a_b", "Spark", "x9", *(f"w{k}" for k in range(40))]
+    points = spark.createDataFrame([(f"p{i:03d}", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(300)] + [("none", None)], "id string, content string").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(["the", *rng.sample(words, 3)])) for q in range(30)] + [(99, "! ?"), (98, "unheard")], "query_id int, query string")
+    asked = retrieval.query_weights(queries)
+    want = {(r.query_id, r.id, r.rank): round(r.score, 6) for r in retrieval.sparse_topk(asked, retrieval.bm25_weights(points, asked), 5).collect()}
+    for block in (7, 2048):
+        got = {(r.query_id, r.id, r.rank): round(r.score, 6) for r in retrieval.lexical_topk(queries, points, 5, block=block).collect()}
+        assert got == want and len(got) == 150
