@@ -184,7 +184,20 @@ class _Asked:
         at, by = {q: i for i, q in enumerate(self.ids)}, {}
         for r in rows:
             by.setdefault(r["term"], []).append((at[r["query_id"]], r["weight"]))
-        self.terms = {t: (np.array([i for i, _ in held]), np.array([w for _, w in held])) for t, held in by.items()}
+        self.number = {t: n for n, t in enumerate(by)}
+        self.holders = [(np.array([i for i, _ in held]), np.array([w for _, w in held])) for held in by.values()]
+
+    def scores(self, term: list[int], point: list[int], weight: np.ndarray, points: int) -> np.ndarray:
+        """Dot products of all queries with a batch's points, given by their (term number, point, weight)."""
+        out = np.zeros((len(self.ids), points))
+        term, point = np.array(term, np.int64), np.array(point, np.int64)
+        order = np.argsort(term, kind="stable")
+        term, point, weight = term[order], point[order], weight[order]
+        edges = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else []
+        for start, end in zip(edges, [*edges[1:], len(term)]):
+            q, w = self.holders[term[start]]
+            out[q[:, None], point[start:end]] += w[:, None] * weight[start:end]
+        return out
 
     def best(self, scores: np.ndarray, points: pa.Array, k: int, names: list[str], kind: pa.DataType) -> pa.RecordBatch:
         """The best k of a batch's points for each query; points without a common term are none."""
@@ -233,14 +246,18 @@ def lexical_topk(queries: DataFrame, points: DataFrame, k: int, text: str = "con
     words = re.compile("[a-z0-9_]{2,}")
 
     def scored(held: _Asked, batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros((len(held.ids), batch.num_rows))
+        term, point, tf, length = [], [], [], np.ones(batch.num_rows)
         for j, content in enumerate(batch.column(1).to_pylist()):
             found = words.findall(content.lower()) if content else []
-            damp = k1 * (1 - b + b * len(found) / mean)
-            for term, tf in Counter(t for t in found if t in held.terms).items():
-                q, w = held.terms[term]
-                out[q, j] += tf * (k1 + 1) / (tf + damp) * w
-        return out
+            counts = Counter(map(held.number.get, found))
+            counts.pop(None, None)
+            term += counts.keys()
+            tf += counts.values()
+            point += [j] * len(counts)
+            length[j] = len(found)
+        tf = np.array(tf, np.float64)
+        damp = k1 * (1 - b + b * length / mean)
+        return held.scores(term, point, tf * (k1 + 1) / (tf + damp[np.array(point, np.int64)]), batch.num_rows)
 
     return _blocked_topk(query_weights(queries), points.select("id", text), k, scored, block)
 
@@ -249,13 +266,12 @@ def stored_topk(queries: DataFrame, points: DataFrame, k: int, block: int = QUER
     """query_id, id, score, rank: dot product of a query's terms with the stored sparse vectors of points (id, sparse)."""
 
     def scored(held: _Asked, batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros((len(held.ids), batch.num_rows))
+        term, point, weight = [], [], []
         for j, vector in enumerate(batch.column(1).to_pylist()):
-            for term, weight in vector or ():
-                if term in held.terms:
-                    q, w = held.terms[term]
-                    out[q, j] += weight * w
-        return out
+            for t, w in vector or ():
+                if t in held.number:
+                    term.append(held.number[t]), point.append(j), weight.append(w)
+        return held.scores(term, point, np.array(weight, np.float64), batch.num_rows)
 
     return _blocked_topk(hashed_terms(query_weights(queries)), points.select("id", "sparse"), k, scored, block)
 
