@@ -275,23 +275,21 @@ def _block_links(members: DataFrame, names: DataFrame, classes: DataFrame, descr
         return rows.join(sets, F.col("rep") == F.col("id")).where(F.array_contains("bands", F.col("bucket"))).drop("id").groupBy("bucket", "low", "high")
 
     sketches = classes.select(F.col("rep").alias("id"), "bands", "odd")
-    near = scratch.keep(with_sets(dealt, sketches).applyInArrow(_near_members(share), dealt.schema), "near", small=True)
+    near = scratch.keep(with_sets(dealt, sketches).applyInArrow(_near_members(share), dealt.schema), "near")
     sets = scratch.keep(_sets_of(near.select(F.col("rep").alias("id")).distinct(), described), "sets")
     links = scratch.keep(with_sets(near, sets).applyInArrow(_block_confirm(share), "a long, b long"), "links", small=True)
     scratch.drop(near, sets)
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs."""
-    scratch = Scratch(docs.sparkSession, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _labelled(docs: DataFrame, share: int, block: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates of docs (doc_id, text), and the written tables that the result reads."""
     described = scratch.keep(docs.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd binary, shingles binary"), "described")
     linking = described.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.keep(linking.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "odd")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.bands", "m.odd"), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    members = scratch.keep(buckets.join(shared, "bucket").select("bucket", "rep", "lead", "n"), "members", small=True)
+    members = scratch.keep(buckets.join(shared, "bucket").select("bucket", "rep", "lead", "n"), "members")
 
     links = _star_links(members, classes, described, share, scratch)
     names = connected_components(links, scratch)
@@ -305,7 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty = plain.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("c"))
     out = plain.where("set_key IS NOT NULL").join(labelled, F.col("set_key") == F.col("k"), "left").select("doc_id", "n_shingles", "c").unionByName(empty)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out, [described, classes, names]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _labelled(slim, share, block, Scratch(docs.sparkSession, "minhash"))[0]
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,9 +319,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (similarity 0.8 or more), that of the smallest doc_id."""
-    found = near_duplicates(docs.select("doc_id", "text"), share=STAGE_SHARE).where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct()
+    scratch = Scratch(spark, "near_dedup")
+    found, tables = _labelled(docs.select(F.col("doc_id").cast("long"), "text"), STAGE_SHARE, BLOCK, scratch)
+    dropped = scratch.keep(found.where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct(), "dropped", small=True)
+    scratch.drop(*tables)
+    if dropped.count() <= BROADCAST_IDS:  # else texts are shuffled once
+        dropped = F.broadcast(dropped)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(found, F.col("id") == F.col("dropped"), "left_anti").select("row.*")
+    return rows.join(dropped, F.col("id") == F.col("dropped"), "left_anti").select("row.*")
 
 
 ORACLE = """

@@ -65,9 +65,10 @@ class Scratch:
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables of keep() that nothing reads any more."""
+        """Delete tables of keep() that nothing reads any more; others are passed over."""
         for df in tables:
-            self.delete(df._palimpsest_path)
+            if hasattr(df, "_palimpsest_path"):
+                self.delete(df._palimpsest_path)
 
     def _file_system(self, path: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
