@@ -34,6 +34,8 @@ WEIGHTS = (1.0, 2.0, 3.0)
 SEED = 20240229
 #: Documents in a leaf, and leaves (or nodes) that meet in a node of the tree.
 LEAF_DOCS, FAN_IN = 512, 64
+#: Up to this number of documents that the mix takes, their copies are broadcast to the texts; beyond it, texts are shuffled once.
+BROADCAST_ROWS = 1_000_000
 
 
 def _count_words(batches):
@@ -169,6 +171,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs (doc_id, source, text, ...), each as often as the mix takes it."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), "text")
     plan = mix_sizes(word_counts(docs), **options).where("copies > 0").select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_of"), F.col("size").alias("plan_words"), "copies")
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
     met = _with_size(rows).join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & F.col("of").eqNullSafe(F.col("plan_of")) & (F.col("words") == F.col("plan_words")))
     return met.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
