@@ -117,6 +117,22 @@ def heading(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, HEADING, 1), F.lit(""))
 
 
+@F.pandas_udf(T.StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON text with keys in order, in ASCII; a JSON string as its trimmed self. Null for null and blank, the text itself where it is no JSON."""
+
+    def one(t: str) -> str | None:
+        try:
+            value = json.loads(t)
+        except ValueError:
+            value = t
+        if value is None:
+            return None
+        return (value if isinstance(value, str) else json.dumps(value, sort_keys=True)).strip() or None
+
+    return text.map(one, na_action="ignore")
+
+
 def _fenced_objects(text: str) -> Iterator[str]:
     """Insides of closed code fences that read like one object."""
     for inside in text.split("```")[1:-1:2]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MESSAGE_PREFIX, blank_to_null, event_key, find_issue_key, serialized
+from ..functions.text import MESSAGE_PREFIX, blank_to_null, event_key, find_issue_key, serialized, session_uuid
 
 # Words that lead a message to a workflow, in order of precedence; target states; headers and
 # options of a dialogue that decide.
@@ -15,6 +15,9 @@ INTENTS = [
     ("medium", ["user", "welcome", "draft", "editorial", "email", "u1", "u2"]),
 ]
 STATUSES = ["pending", "approved", "rejected"]
+FAILURE, FAILED_STEP = r"(?:simulate|force|inject).*(?:step\s*)?b|fail.*step\s*b", "B_transition"
+USERS = [("u2", ["u2", "missing"]), ("does-not-exist", ["fatal", "unknown"])]
+FIRST_USER, SAMPLE_QUALITY = "u1", 0.9
 CANCEL, OTHER_HEADER, RECALL, PROJECT_HEADER, OTHER = "Cancel", "Other options", "Recall memory", "Project", "Other options"
 
 MESSAGES = "array<struct<role:string,content:string,tool_calls:array<struct<tool_name:string,tool_call_id:string,tool_args:string>>,tool_name:string,tool_call_id:string>>"
@@ -50,6 +53,29 @@ def run_events(runs: DataFrame) -> DataFrame:
     return call_events.unionByName(texts).unionByName(results).unionByName(closing)
 
 
+def tool_call(call: Column) -> Column:
+    """tool_name, tool_call_id and tool_args of a tool call as JSON, in any of the shapes that agents give."""
+    first = lambda *paths: F.coalesce(*[blank_to_null(F.get_json_object(call, p)) for p in paths])
+    return F.struct(
+        first("$.tool_name", "$.function.name").alias("tool_name"), first("$.tool_call_id", "$.id").alias("tool_call_id"),
+        F.coalesce(*[F.get_json_object(call, p) for p in ("$.tool_args", "$.arguments", "$.function.arguments")]).alias("tool_args"),
+    )
+
+
+def asked_events(runs: DataFrame) -> DataFrame:
+    """What users asked runs (run_id, session_id, scope, input): an event like those of run_events for each input that isn't blank."""
+    none = F.lit(None).cast("string")
+    first = F.struct(F.lit(-1).alias("m"), F.lit(0).alias("c"))
+    out = runs.select("run_id", "session_id", "scope", first.alias("position"), F.lit("user").alias("source"), serialized(F.col("input")).alias("content"), none.alias("tool_name"), none.alias("tool_call_id"), event_key(F.col("run_id"), F.lit("user")).alias("source_event_id"))
+    return out.where("content IS NOT NULL")
+
+
+def captured_turns(runs: DataFrame) -> DataFrame:
+    """Turns of whole runs (input and what run_events takes), as Jobs.ingest takes them; sessions get UUIDs."""
+    events = asked_events(runs).unionByName(run_events(runs))
+    return events.select(session_uuid(F.col("session_id")).alias("session_id"), "scope", "source", "content", "tool_name", "tool_call_id", "source_event_id")
+
+
 def scope_of(metadata: Column, default: str) -> Column:
     """The memory scope that a run's metadata (JSON) names, else the default."""
     return F.coalesce(blank_to_null(F.get_json_object(metadata, "$.memory_scope")), F.lit(default))
@@ -91,3 +117,16 @@ def intent(message: Column) -> Column:
     named = F.try_element_at(F.regexp_extract_all(low, F.lit(rf"\b({word})\b"), F.lit(1)), F.lit(-1))
     status = F.when(flow == "jira", F.initcap(F.coalesce(aimed, named)))
     return F.struct(flow.alias("workflow"), F.when(flow == "jira", key).alias("issue_key"), status.alias("target_status"))
+
+
+def intent_input(message: Column) -> Column:
+    """intent, with what the workflow is started on: instruction, simulate_failure_at, user_id, min_quality, raw_amount."""
+    low, told = F.lower(F.trim(message)), intent(message)
+    flow = told["workflow"]
+    has = lambda words: low.rlike("|".join(words))
+    user = F.when(has(USERS[0][1]), USERS[0][0]).when(has(USERS[1][1]), USERS[1][0]).otherwise(FIRST_USER)
+    return F.struct(
+        flow.alias("workflow"), told["issue_key"].alias("issue_key"), told["target_status"].alias("target_status"), F.when(flow == "jira", message).alias("instruction"),
+        F.when((flow == "jira") & low.rlike(FAILURE), FAILED_STEP).alias("simulate_failure_at"), F.when(flow == "medium", user).alias("user_id"),
+        F.when(flow == "complex", F.lit(SAMPLE_QUALITY)).alias("min_quality"), F.when(flow == "simple", message).alias("raw_amount"),
+    )

@@ -57,6 +57,11 @@ def commit(judged: DataFrame, batch: DataFrame, uncovered: DataFrame, known: Dat
     return {"entities": new, "atoms": rows, "atom_sources": edges, "extraction_coverage": covered, "extraction_attempts": cursors}
 
 
+def turns_that_are_sources(turns: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids of the turns that an atom stands on."""
+    return turns.join(edges.select(F.col("turn_id").alias("__t")), F.col("id") == F.col("__t"), "left_semi").select("id").distinct()
+
+
 def reindexed(delta: DataFrame, atoms: DataFrame) -> DataFrame:
     """Ids whose points change with new atoms: their own, and those that they supersede."""
     return delta.select("id").unionByName(delta.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("id"))).distinct().join(atoms.select("id"), "id", "left_semi")

@@ -32,6 +32,11 @@ def uncovered_project_turns(turns: DataFrame, chunks: DataFrame, documents: Data
     return not_in(not_in(met.drop("turn_id"), coverage), provenance, "id", "turn_id")
 
 
+def projects_with_open_turns(open_turns: DataFrame) -> DataFrame:
+    """Projects whose documents have turns to be extracted."""
+    return open_turns.select("project_id", "scope").distinct()
+
+
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """First n rows of each key, with their rank; Spark prunes each task's groups before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)

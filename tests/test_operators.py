@@ -342,3 +342,64 @@ def test_lexical_search_in_blocks(spark):
     for block in (7, 2048):
         got = {(r.query_id, r.id, r.rank): round(r.score, 6) for r in retrieval.lexical_topk(queries, points, 5, block=block).collect()}
         assert got == want and len(got) == 150
+
+
+def test_capture_of_whole_runs(spark):
+    from palimpsest.operators import agent
+
+    message = "struct<role:string,content:string,tool_calls:array<struct<tool_name:string,tool_call_id:string,tool_args:string>>,tool_name:string,tool_call_id:string>"
+    runs = spark.createDataFrame([("r1", "chat", "s", " hello ", [("assistant", "hi", None, None, None)], None), ("r2", "chat", "s", "  ", [], "bye")], f"run_id string, session_id string, scope string, input string, messages array<{message}>, content string")
+    got = agent.captured_turns(runs).collect()
+    assert sorted((r.source, r.content, r.source_event_id) for r in got) == [("assistant", "bye", "agno:r2:assistant"), ("assistant", "hi", "agno:r1:message:0:content"), ("user", "hello", "agno:r1:user")]
+    assert len({r.session_id for r in got}) == 1 and len(got[0].session_id) == 36
+    calls = ['{"tool_name": "grep", "tool_call_id": "1", "tool_args": {"q": "x"}}', '{"id": "2", "function": {"name": "find", "arguments": "{}"}}', '{"tool_name": " ", "arguments": "a"}', "{}"]
+    told = [tuple(r.c) for r in spark.createDataFrame([(c,) for c in calls], "j string").select(agent.tool_call(F.col("j")).alias("c")).collect()]
+    assert told[:2] == [("grep", "1", '{"q":"x"}'), ("find", "2", "{}")] and told[2][1:] == (None, "a") and told[3] == (None, None, None)
+
+
+def test_inputs_of_intents(spark):
+    from palimpsest.operators import agent
+
+    said = ["move SCRUM-80 to approved and simulate a failure at step b", "welcome the missing user", "sync these rows", "unknown user", "12.50"]
+    got = [r.i.asDict() for r in spark.createDataFrame([(m,) for m in said], "m string").select(agent.intent_input(F.col("m")).alias("i")).collect()]
+    assert (got[0]["issue_key"], got[0]["target_status"], got[0]["simulate_failure_at"], got[0]["instruction"]) == ("SCRUM-80", "Approved", "B_transition", said[0])
+    assert [g["user_id"] for g in got] == [None, "u2", None, "does-not-exist", None]
+    assert [g["min_quality"] for g in got] == [None, None, 0.9, None, None] and got[4]["raw_amount"] == "12.50"
+
+
+def test_canonical_json(spark):
+    from palimpsest.functions.text import canonical_json
+
+    given = ['{"b": 1, "a": {"d": "é", "c": null}}', ' "  text " ', "plain text ", "[3, 1]", "null", '"  "', None]
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "j string").select(canonical_json("j")).collect()]
+    assert got == ['{"a": {"c": null, "d": "\\u00e9"}, "b": 1}', "text", "plain text", "[3, 1]", None, None, None]
+
+
+def test_small_sets(spark):
+    from palimpsest.operators import extraction, mutations, pending, validation
+
+    edges = spark.createDataFrame([("a", "t1"), ("b", "t1"), ("b", "t3")], "atom_id string, turn_id string")
+    turns = spark.createDataFrame([("t1",), ("t2",), ("t3",), ("t3",)], "id string")
+    assert sorted(r.id for r in extraction.turns_that_are_sources(turns, edges).collect()) == ["t1", "t3"]
+    assert sorted(r.id for r in mutations.covered_by_sources(turns.distinct(), edges).collect()) == ["t1", "t3"]
+    assert [tuple(r) for r in mutations.new_edges(edges, edges.unionByName(spark.createDataFrame([("c", "t9"), ("c", "t9")], edges.schema))).collect()] == [("c", "t9")]
+    open_ = spark.createDataFrame([("p", "s", 1), ("p", "s", 2), ("q", "s", 1)], "project_id string, scope string, n int")
+    assert pending.projects_with_open_turns(open_).count() == 2
+    judged = spark.createDataFrame([("s", "x", "fact", 0.5), (" ", "x", "fact", 0.5), ("s", "", "fact", 0.5), ("s", "x", "mood", 0.5), ("s", "x", "fact", 1.5), (None, "x", "fact", 0.5), ("s" * 121, "x", "fact", 0.5)], "scene_name string, statement string, category string, confidence double")
+    assert [r.p for r in judged.select(validation.atom_problem().alias("p")).collect()] == [None, "scene_name", "statement", "category", "confidence", "scene_name", "scene_name"]
+    made = spark.createDataFrame([("docs", "T", "S", ["a"], None), ("tasks", "T", "S", ["a"], "doing"), ("tasks", "T", "S", ["a"], "maybe"), ("atoms", "T", "S", ["a"], None), ("docs", "T" * 241, "S", ["a"], None), ("docs", "T", "S", [], None)], "category string, title string, summary string, atom_ids array<string>, status string")
+    assert [r.p for r in made.select(validation.destination_problem(["docs", "tasks"]).alias("p")).collect()] == [None, None, "status", "category", "title", "atom_ids"]
+
+
+def test_chunks_are_encoded_and_pooled(spark):
+    from palimpsest.operators import pooling
+
+    def encoder(texts):
+        return [[float(len(t) <= 60), float("head" in t)] for t in texts]
+
+    texts = spark.createDataFrame([("a", "word " * 40, "head"), ("b", "short", ""), ("c", None, None)], "id string, text string, breadcrumb string")
+    assert {r.id: r.n for r in pooling.chunked_texts(texts, 60).groupBy("id").agg(F.count("*").alias("n")).collect()} == {"a": 4, "b": 1, "c": 1}
+    got = {r.id: [round(x, 3) for x in r.dense] for r in pooling.embedded(texts, encoder, 2, 60).collect()}
+    assert got == {"a": [0.707, 0.707], "b": [1.0, 0.0], "c": [1.0, 0.0]}
+    sparse = {r.id: r.sparse for r in pooling.sparse_vectors(texts).collect()}
+    assert set(sparse) == {"a", "b"} and len(sparse["a"]) == 1 and next(iter(sparse["a"].values())) > 2
