@@ -51,6 +51,8 @@ from .textkit import mix, utf8
 LENGTH = 100
 SEED = 40
 BATCH_CLASSES = 16
+#: Texts that occur several times, up to which they are broadcast to the rows.
+BROADCAST_ROWS = 500_000
 #: Rounds after that of the leaders; offsets from the leader are below 1 << ROUNDS.
 ROUNDS = 6
 #: Bytes of a text that are named at a time; a task holds some ten arrays of eight times as many.
@@ -453,6 +455,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = known.join(spans.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "text", "spans")
     done = cut.mapInArrow(_cut_out, "d long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["d"])
     firsts = named.groupBy("text_key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("k"), "first")
+    firsts = scratch.keep(firsts, "firsts", small=True)
+    if firsts.count() <= BROADCAST_ROWS:  # else Spark splits what a common text makes uneven
+        firsts = F.broadcast(firsts)
     copy = F.coalesce(F.col("first") < F.col("doc"), F.lit(False))
     whole = copy & (F.col("n_bytes") >= LENGTH)
     out = named.join(firsts, F.col("text_key") == F.col("k"), "left").join(done, F.col("doc") == F.col("d"), "left").select(
