@@ -49,7 +49,7 @@ MARGIN = 0.07
 CHUNK = 128
 #: Members of a mixed bucket that make a block; a task compares the sketches of two blocks.
 BLOCK = 1024
-#: Sets are picked by broadcast of their ids up to this number of ids, by a shuffle beyond it.
+#: Ids of sets, and mixed buckets, up to which they are broadcast to what they are picked from; it is shuffled beyond them.
 BROADCAST_IDS = 1_000_000
 #: Bytes of sets that a task gathers before it sends them.
 BATCH_BYTES = 4 << 20
@@ -266,8 +266,13 @@ def _block_links(members: DataFrame, names: DataFrame, classes: DataFrame, descr
     """Links between the components that mixed buckets still hold."""
     named = members.where("n > 2").join(names, F.col("rep") == F.col("id"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    parts = mixed.select(F.col("bucket").alias("b"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    dealt = named.join(parts, F.col("bucket") == F.col("b")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    parts = scratch.keep(mixed.select(F.col("bucket").alias("b"), F.ceil(F.col("n") / block).cast("int").alias("parts")), "parts", small=True)
+    n = parts.count()
+    if not n:
+        return members.sparkSession.createDataFrame([], "a long, b long")
+    # else Spark splits what a large bucket makes uneven
+    given = F.broadcast(parts) if n <= BROADCAST_IDS else parts
+    dealt = named.join(given, F.col("bucket") == F.col("b")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.select("bucket", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block", (F.col("block") == F.col("other")).alias("diagonal"))
 
@@ -278,7 +283,7 @@ def _block_links(members: DataFrame, names: DataFrame, classes: DataFrame, descr
     near = scratch.keep(with_sets(dealt, sketches).applyInArrow(_near_members(share), dealt.schema), "near")
     sets = scratch.keep(_sets_of(near.select(F.col("rep").alias("id")).distinct(), described), "sets")
     links = scratch.keep(with_sets(near, sets).applyInArrow(_block_confirm(share), "a long, b long"), "links", small=True)
-    scratch.drop(near, sets)
+    scratch.drop(near, sets, parts)
     return links
 
 
