@@ -40,6 +40,8 @@ LEVEL = 3
 SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 256, 2048, 16 << 10
 #: Compressed bytes after which an archive file ends; it is longer by one record at most.
 FILE_BYTES = 32 << 20
+#: Repeated payloads up to which their digests (20 bytes each) are broadcast to the pages; beyond it, pages are shuffled by digest once.
+BROADCAST_DIGESTS = 500_000
 #: Bytes given to the decoder at a time, and decoded bytes gathered for a batch.
 STEP_BYTES, BATCH_BYTES = 8 << 10, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -196,16 +198,20 @@ def _files(raw: bytes, file_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, broadcast_digests: int = BROADCAST_DIGESTS) -> None:
     """Write a record for each row of pages to files below path."""
     raw = train_dictionary(pages, id_col, payload_col)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
-    keyed = slim.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
+    keyed = slim.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
     firsts = keyed.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    scratch = Scratch(pages.sparkSession, "revisits")
+    firsts = scratch.keep(firsts, "firsts", small=True)
+    given = F.broadcast(firsts) if firsts.count() <= broadcast_digests else firsts
     refers = F.when(F.col("page_id") == F.col("first"), None).otherwise(F.col("first"))
-    records = keyed.join(firsts, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    records = keyed.join(given, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
     files = records.mapInArrow(_files(raw, file_bytes), "file binary").select(F.col("file").cast("string").alias("value"))
     files.write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    scratch.drop(firsts)
 
 
 def _records(with_payload: bool):

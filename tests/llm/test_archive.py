@@ -41,8 +41,10 @@ def number(ref):
 ROWS = [(k, f"http://x/{k}?a=%0D\n", "<p>" + "word " * (k % 50) + str(k % 40) + "é</p>") for k in range(300)] + [(900, None, None), (901, "u", ""), (902, "u", "x" * 300_000), (903, "u", "a\r\n\r\nb"), (None, "u", "<p>0é</p>"), (None, "n", "only"), (904, "u", "x" * 300_000), (0, "again", "<p>0é</p>")]
 
 
-def test_round_trip(spark):
-    records, _ = round_trip(spark, ROWS)
+@pytest.mark.parametrize("broadcast", [archive.BROADCAST_DIGESTS, 0])
+def test_round_trip(spark, broadcast):
+    """Digests of repeated payloads broadcast to the pages, or joined by a shuffle."""
+    records, _ = round_trip(spark, ROWS, broadcast_digests=broadcast)
     got = records.collect()
     assert sorted(((number(r.record_id), r.payload_bytes, r.payload_digest, r.type, number(r.refers_to)) for r in got), key=str) == expected(ROWS)
     payload = {number(r.record_id): r.payload.decode() for r in got if r.type == "response"}
