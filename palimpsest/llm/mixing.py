@@ -20,7 +20,6 @@ A null source is a source, the last in order. Empty tables give no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -114,22 +113,26 @@ def pivot(mass: np.ndarray, limit: np.ndarray, draws: np.ndarray) -> tuple[np.nd
     return out, held
 
 
-def _draw(seed: int, level: int, ids) -> np.ndarray:
+def _draw(seed: int, level: int, ids: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(f"{seed}/{level}/{i}".encode()) / 2.0**64 for i in ids])
 
 
 def _node(seed: int, level: int, last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(draw=_draw(seed, level, pdf.doc_id.astype("string").fillna("null")))
-        pdf = pdf.sort_values(["limit", "draw", "size"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        out, held = pivot(pdf.mass.to_numpy(), pdf.limit.to_numpy(), pdf.draw.to_numpy())
-        limit = pdf.limit.to_numpy()
-        pdf["extra"] = np.where((limit > 0) & (out >= limit), 1.0, 0.0)
-        pdf["mass"] = out
+    """Group function over Arrow columns, in which an id stays a whole number beside a null one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ["null" if i is None else str(i) for i in table.column("doc_id").to_pylist()]
+        limit, draws, size = table.column("limit").to_numpy(), _draw(seed, level, names), table.column("size").to_numpy()
+        order = np.lexsort((size, draws, -limit))
+        table, limit, draws = table.take(order), limit[order], draws[order]
+        out, held = pivot(table.column("mass").to_numpy(), limit, draws)
+        extra = np.where((limit > 0) & (out >= limit), 1.0, 0.0)
+        open_ = np.zeros(len(extra), bool)
         if held >= 0:
-            again = _draw(seed + 1, level, [pdf.doc_id.iloc[held]])[0]
-            pdf.loc[held, "extra"] = float(again * limit[held] < out[held]) if last else np.nan
-        return pdf.drop(columns="draw")
+            again = _draw(seed + 1, level, [names[order[held]]])[0]
+            extra[held], open_[held] = float(again * limit[held] < out[held]), not last
+        table = table.set_column(table.schema.get_field_index("mass"), "mass", pa.array(out))
+        return table.append_column("extra", pa.array(extra, mask=open_))
 
     return run
 
@@ -155,7 +158,7 @@ def mix_sizes(sizes: DataFrame, cycle: tuple[float, ...] = WEIGHTS, cap: float =
     nodes, level, done = max(1, -(-most // leaf_docs)), 0, []
     while True:
         last = nodes <= 1
-        made = scratch.keep(rows.groupBy("source", "node").applyInPandas(_node(seed, level, last), schema), f"level{level}")
+        made = scratch.keep(rows.groupBy("source", "node").applyInArrow(_node(seed, level, last), schema), f"level{level}")
         done.append(made.where("extra IS NOT NULL") if not last else made)
         if last:
             break
