@@ -1,0 +1,92 @@
+"""Resampling against a plain version over lists and dictionaries."""
+
+import hashlib
+import math
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import resample
+from palimpsest.llm.storage import Scratch
+
+SCHEMA = "doc_id long, text string, rank int, score string"
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def buckets_of(text, ngram, buckets):
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    w = WORD.findall(lower)
+    return len(w), [zlib.crc32(b" ".join(w[i : i + n])) % buckets for n in range(1, ngram + 1) for i in range(len(w) - n + 1)]
+
+
+def brute(docs, target, percent=25, least=20, ngram=2, buckets=10000, seed=7):
+    s, t = [0] * buckets, [0] * buckets
+    for counts, texts in ((s, [d[1] for d in docs]), (t, target)):
+        for text in texts:
+            for b in buckets_of(text, ngram, buckets)[1]:
+                counts[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    rows = []
+    for doc_id, text, *_ in docs:
+        n, ids = buckets_of(text, ngram, buckets)
+        weight = sum(gain[b] for b in ids) // len(ids) if ids else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        rows.append([doc_id, n, len(ids), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    offered = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[3], r[2]))
+    for k, r in enumerate(offered[: percent * len(offered) // 100]):
+        r[5] = k + 1
+    return sorted(map(tuple, rows), key=repr)
+
+
+def made(n):
+    vocabulary = ["alpha", "Beta", "gamma", "delta2", "Épsilon", "zeta", "ETA"]
+    return [(i, " ".join(vocabulary[(i * k + k // 3) % 7] for k in range(i % 60)), 1, "x") for i in range(n)]
+
+
+@pytest.mark.parametrize(("percent", "ngram"), [(25, 2), (100, 1), (0, 3), (1, 2), (60, 2)])
+def test_equals_a_plain_version(spark, percent, ngram):
+    docs, target = made(300), ["alpha beta alpha beta gamma", "zeta", None, ""]
+    got = resample.resample(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(t,) for t in target], "text string"), percent=percent, ngram=ngram, buckets=997)
+    rows = [(r.doc_id, r.n_words, r.n_features, r.weight, r.score, r.rank) for r in got.collect()]
+    assert sorted(rows, key=repr) == brute(docs, target, percent=percent, ngram=ngram, buckets=997)
+
+
+def test_odd_rows(spark):
+    same = "word " * 30
+    docs = [(None, None, 1, "x"), (None, same, 1, "x"), (5, same, 1, "x"), (5, same, 1, "x"), (5, same + "other", 1, "x"), (6, "", 1, "x"), (-3, "ab,cd.EF" * 50_000, 1, "x"), (2**62, same, 1, "x"), (8, "日本 x" * 40, 1, "x")]
+    got = resample.resample(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([("word other",)], "text string"), percent=50)
+    assert sorted(((r.doc_id, r.n_words, r.n_features, r.weight, r.score, r.rank) for r in got.collect()), key=repr) == brute(docs, ["word other"], percent=50)
+
+
+def test_empty_tables(spark):
+    none, docs = spark.createDataFrame([], SCHEMA), spark.createDataFrame(made(30), SCHEMA)
+    assert resample.resample(none, docs.select("text")).collect() == []
+    got = resample.resample(docs, none.select("text")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_features, r.weight, r.score, r.rank) for r in got), key=repr) == brute(made(30), [])
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 499, 1000, 2500, 2999, 3000])
+def test_selection_of_longs_of_all_sizes(spark, k):
+    ends = [-(2**63), 2**63 - 1, 0, -1, 1]
+    rows = [((ends[i % 5] if i % 3 else i % 7), (i * 2654435761) % 2**40 - 2**39, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    first = resample.select_first(df, [F.col("a"), F.col("b"), F.col("c")], k, bits=5)
+    assert sorted(map(tuple, df.where(first).collect())) == sorted(rows)[:k]
+
+
+def test_ranks_go_on_over_partitions(spark):
+    df = spark.range(5000).repartition(7).select(F.col("id"), (F.col("id") % 10).alias("a"))
+    got = resample.ranked(df, [F.col("a").desc(), F.col("id")], Scratch(spark, "test")).collect()
+    want = sorted(((-(i % 10), i) for i in range(5000)))
+    assert [(r.rank, r.id) for r in sorted(got, key=lambda r: r.rank)] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+
+
+def test_drawn_documents_are_whole_rows(spark):
+    docs, target = spark.createDataFrame(made(200), SCHEMA), spark.createDataFrame([("alpha beta",)], "text string")
+    drawn = resample.drawn_documents(docs, target)
+    ranks = {r.doc_id: r["rank"] for r in resample.resample(docs, target).where("rank IS NOT NULL").collect()}
+    texts = {d[0]: d[1] for d in made(200)}
+    assert drawn.columns == ["doc_id", "text", "score", "rank"]
+    assert {r.doc_id: (r["rank"], r.text) for r in drawn.collect()} == {i: (k, texts[i]) for i, k in ranks.items()}
