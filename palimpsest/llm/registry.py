@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, minhash, mixing, pivots, quality, repeats, sharding, toxicity, url_filter
+from . import archive, decontaminate, merkle, minhash, mixing, pivots, quality, repeats, resample, sharding, threshold, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_archive": archive.op9_archive,
         "op10_quality": quality.op10_quality,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_resample": resample.op12_resample,
+        "op13_topk": threshold.op13_topk,
     }
 
 
@@ -33,4 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontaminate": decontaminate.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
         "op9_archive": archive.ORACLE,
+        "op11_merkle": merkle.ORACLE,
+        "op12_resample": resample.ORACLE,
+        "op13_topk": threshold.ORACLE,
     }
