@@ -24,9 +24,14 @@ SECRET_KEYS = ("token", "secret", "password", "api_key")
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
+def term_list(text: Column) -> Column:
+    """Terms of two or more of a-z, 0-9 and _ in lower-cased text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
-    """Distinct terms of two or more of a-z, 0-9 and _ in lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0)))
+    """Distinct terms of a text."""
+    return F.array_distinct(term_list(text))
 
 
 def squeeze(text: Column) -> Column:

@@ -7,8 +7,6 @@ a fixed size. Ranking per query is a window that Spark limits before the shuffle
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -21,10 +19,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import schemas
 from ..functions import scalars
 from ..functions.text import tokens
+from ..sources.folders import shared_folder
+from .inverted import InvertedIndex
 from .pending import first_n
 
 RRF_K = 60
-BM25_K1, BM25_B = 1.2, 0.75
 TOP_K, CANDIDATES = 8, 20
 MAX_ATTEMPTS = 3
 #: Queries that a task holds at a time.
@@ -141,139 +140,10 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int, block: int = QUERY
     return in_blocks(queries, answer, block=block)
 
 
-def _term_list(text: str) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))
-
-
-def postings(points: DataFrame, text: str = "content", terms: DataFrame | None = None) -> DataFrame:
-    """id, term, tf, length of each distinct term of a point; of the terms given only, which are dropped before the shuffle."""
-    listed = points.select("id", _term_list(text).alias("terms")).select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    if terms is not None:
-        listed = listed.join(terms.select(F.col("term").alias("asked")).distinct(), F.col("term") == F.col("asked"), "left_semi")
-    return listed.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def bm25_weights(points: DataFrame, terms: DataFrame | None = None, text: str = "content", k1: float = BM25_K1, b: float = BM25_B, idf: bool = False) -> DataFrame:
-    """id, term, weight by Robertson's formula; without idf the weight is the saturated term frequency.
-
-    Lengths are averaged over all points with a term, whatever terms are asked for.
-    """
-    size = points.select(F.size(_term_list(text)).alias("length")).where("length > 0")
-    stats = size.agg(F.avg("length").alias("mean_length"), F.count("*").alias("n"))
-    posts = postings(points, text, terms)
-    out = posts.join(F.broadcast(stats))  # one row
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    if idf:
-        out = out.join(posts.groupBy("term").agg(F.count("*").alias("df")), "term")
-        weight *= F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return out.select("id", "term", weight.alias("weight"))
-
-
-def sparse_topk(query_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank: dot product of (query_id, term, weight) with (id, term, weight), best k."""
-    q = query_terms.select("query_id", "term", F.col("weight").alias("query_weight"))
-    scored = weights.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
-    return first_n(scored, ["query_id"], [F.desc(F.round("score", 9)), "id"], k)
-
-
-class _Asked:
-    """A block of queries by term: for each term the queries that hold it, and their weights."""
-
-    def __init__(self, rows: list):
-        self.ids = sorted({r["query_id"] for r in rows})
-        at, by = {q: i for i, q in enumerate(self.ids)}, {}
-        for r in rows:
-            by.setdefault(r["term"], []).append((at[r["query_id"]], r["weight"]))
-        self.number = {t: n for n, t in enumerate(by)}
-        self.holders = [(np.array([i for i, _ in held]), np.array([w for _, w in held])) for held in by.values()]
-
-    def scores(self, term: list[int], point: list[int], weight: np.ndarray, points: int) -> np.ndarray:
-        """Dot products of all queries with a batch's points, given by their (term number, point, weight)."""
-        out = np.zeros((len(self.ids), points))
-        term, point = np.array(term, np.int64), np.array(point, np.int64)
-        order = np.argsort(term, kind="stable")
-        term, point, weight = term[order], point[order], weight[order]
-        edges = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else []
-        for start, end in zip(edges, [*edges[1:], len(term)]):
-            q, w = self.holders[term[start]]
-            out[q[:, None], point[start:end]] += w[:, None] * weight[start:end]
-        return out
-
-    def best(self, scores: np.ndarray, points: pa.Array, k: int, names: list[str], kind: pa.DataType) -> pa.RecordBatch:
-        """The best k of a batch's points for each query; points without a common term are none."""
-        order, rounded = np.array(pc.rank(points, tiebreaker="first")), np.round(scores, 9)
-        picked, at = [], []
-        for q, query_id in enumerate(self.ids):
-            near = np.flatnonzero(scores[q])
-            near = near[np.lexsort((order[near], -rounded[q, near]))][:k]
-            picked += [query_id] * len(near)
-            at.append(near)
-        value = [scores[q, near] for q, near in enumerate(at)]
-        cat = lambda x: np.concatenate(x) if x else np.empty(0)
-        return pa.RecordBatch.from_arrays([pa.array(picked, kind), points.take(pa.array(cat(at).astype(np.int64))), pa.array(cat(value).astype(np.float64))], names)
-
-
-#: Points that are scored at a time.
-POINT_BLOCK = 2048
-
-
-def _blocked_topk(asked: DataFrame, points: DataFrame, k: int, scored: Callable, block: int) -> DataFrame:
-    """query_id, id, score, rank by scored(_Asked, batch) -> scores of the batch's points (id, ...); asked: query_id, term, weight.
-
-    A stated query set against all rows, in blocks of queries. A task gives its
-    best k for each query and block of points, so a term that stands nearly
-    everywhere makes no more rows than another.
-    """
-    schema = asked.select("query_id").schema.add(points.select("id").schema["id"]).add("score", "double")
-    arrow = to_arrow_schema(schema)
-
-    def answer(part: DataFrame) -> DataFrame:
-        held = _Asked(asked.join(part, "query_id", "left_semi").collect())
-
-        def run(batches):
-            for batch in (b.slice(a, POINT_BLOCK) for b in batches for a in range(0, b.num_rows, POINT_BLOCK)):
-                if held.ids:
-                    yield held.best(scored(held, batch), batch.column(0), k, arrow.names, arrow.field(0).type)
-
-        return first_n(points.mapInArrow(run, schema), ["query_id"], [F.desc(F.round("score", 9)), "id"], k)
-
-    return in_blocks(asked.select("query_id").distinct(), answer, block=block)
-
-
-def lexical_topk(queries: DataFrame, points: DataFrame, k: int, text: str = "content", k1: float = BM25_K1, b: float = BM25_B, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, id, score, rank: sum of the saturated, length-damped frequencies of a query's terms in a point's text."""
-    mean = points.select(F.size(_term_list(text)).alias("n")).where("n > 0").agg(F.avg("n")).first()[0] or 1.0
-    words = re.compile("[a-z0-9_]{2,}")
-
-    def scored(held: _Asked, batch: pa.RecordBatch) -> np.ndarray:
-        term, point, tf, length = [], [], [], np.ones(batch.num_rows)
-        for j, content in enumerate(batch.column(1).to_pylist()):
-            found = words.findall(content.lower()) if content else []
-            counts = Counter(map(held.number.get, found))
-            counts.pop(None, None)
-            term += counts.keys()
-            tf += counts.values()
-            point += [j] * len(counts)
-            length[j] = len(found)
-        tf = np.array(tf, np.float64)
-        damp = k1 * (1 - b + b * length / mean)
-        return held.scores(term, point, tf * (k1 + 1) / (tf + damp[np.array(point, np.int64)]), batch.num_rows)
-
-    return _blocked_topk(query_weights(queries), points.select("id", text), k, scored, block)
-
-
-def stored_topk(queries: DataFrame, points: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, id, score, rank: dot product of a query's terms with the stored sparse vectors of points (id, sparse)."""
-
-    def scored(held: _Asked, batch: pa.RecordBatch) -> np.ndarray:
-        term, point, weight = [], [], []
-        for j, vector in enumerate(batch.column(1).to_pylist()):
-            for t, w in vector or ():
-                if t in held.number:
-                    term.append(held.number[t]), point.append(j), weight.append(w)
-        return held.scores(term, point, np.array(weight, np.float64), batch.num_rows)
-
-    return _blocked_topk(hashed_terms(query_weights(queries)), points.select("id", "sparse"), k, scored, block)
+def lexical_topk(queries: DataFrame, lexical: InvertedIndex, k: int, within: DataFrame | None = None, hashed: bool = False) -> DataFrame:
+    """query_id, id, score, rank: sum of the weights that a point has for a query's terms. hashed: the lists are of stored vectors, whose terms are numbers."""
+    asked = query_weights(queries)
+    return lexical.topk(hashed_terms(asked) if hashed else asked, k, within)
 
 
 def fuse(*ranked: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -329,8 +199,8 @@ def stubs(candidates: DataFrame, k: int = CANDIDATES) -> DataFrame:
 
 
 def hashed_terms(asked: DataFrame) -> DataFrame:
-    """Query terms with the numbers that stored vectors have for them."""
-    return asked.withColumn("term", F.xxhash64("term"))
+    """Query terms as the numbers that stored vectors have for them."""
+    return asked.withColumn("term", F.xxhash64("term").cast("string"))
 
 
 def query_weights(queries: DataFrame) -> DataFrame:
@@ -338,22 +208,23 @@ def query_weights(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"), F.lit(1.0).alias("weight"))
 
 
-def search(queries: DataFrame, points: DataFrame, mode: str, k: int = TOP_K, stored: bool = False) -> DataFrame:
-    """query_id, id, score, rank in one mode; queries have query_id, query and (but for bm25) vector. stored: by the points' sparse vectors, not their texts."""
+def search(queries: DataFrame, points: DataFrame, mode: str, k: int = TOP_K, lexical: InvertedIndex | None = None, hashed: bool = False) -> DataFrame:
+    """query_id, id, score, rank in one mode; queries have query_id, query and (but for bm25) vector. lexical: stored lists of these points or more, else lists are made of their texts."""
     if mode not in ("vector", "bm25", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     dense = dense_topk(queries, points, k) if mode != "bm25" else None
     if mode == "vector":
         return dense
-    sparse = stored_topk(queries, points, k) if stored else lexical_topk(queries, points, k)
+    within = points if lexical else None
+    sparse = lexical_topk(queries, lexical or InvertedIndex.of_texts(points, shared_folder(points.sparkSession, "lexical")), k, within, hashed)
     return sparse if mode == "bm25" else fuse(dense, sparse, k=k)
 
 
-def recall(queries: DataFrame, points: DataFrame, mode: str = "hybrid", k: int = TOP_K, least: float | None = None, stored: bool = False) -> DataFrame:
-    """Search, rerank and threshold; k is the pool before reranking. stored: by the points' sparse vectors."""
+def recall(queries: DataFrame, points: DataFrame, mode: str = "hybrid", k: int = TOP_K, least: float | None = None, lexical: InvertedIndex | None = None) -> DataFrame:
+    """Search, rerank and threshold; k is the pool before reranking."""
     if k <= 0:
         raise ValueError("k must be positive")
-    found = search(queries, points, mode, k, stored)
+    found = search(queries, points, mode, k, lexical)
     content = points.select("id", "source_table", "title", "content")
     return above(keyword_rerank(found.join(content, "id"), queries), least)
 

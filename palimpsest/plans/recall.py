@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agent, pooling, provenance, registry, retrieval
 from ..functions.text import tokens
+from ..operators import agent, cells, pooling, provenance, registry, retrieval
+from ..operators.inverted import InvertedIndex
+from ..sources.folders import fingerprint, shared_folder
 from . import model
 
 CATALOG = model.Catalog()
@@ -66,6 +68,16 @@ def dense_topk(t):
     return retrieval.dense_topk(_vector_queries(t), _vector_points(t), retrieval.TOP_K).withColumn("score", F.round("score", 6))
 
 
+@add(
+    "dense_cells",
+    f"SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COSINE.format('q.embedding', 'e.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 8",
+)
+def dense_cells(t):
+    """dense_topk by stored cells, of which those that can't hold a best vector aren't read."""
+    points, folder = _vector_points(t), shared_folder(t("embeddings").sparkSession, "cells")
+    return cells.CellIndex.build(points, f"{folder}/index").topk(_vector_queries(t), retrieval.TOP_K, f"{folder}/search").withColumn("score", F.round("score", 6))
+
+
 _BM25 = f"""posts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_TERMS.format('content')}) AS term FROM points) GROUP BY id, term),
     lens AS (SELECT id, sum(tf) AS len FROM posts GROUP BY id),
     w AS (SELECT p.id, term, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lens))) AS w FROM posts p JOIN lens ON lens.id = p.id),
@@ -73,16 +85,29 @@ _BM25 = f"""posts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_
     s AS (SELECT query_id, id, sum(w) AS score FROM w JOIN q USING (term) GROUP BY query_id, id)"""
 
 
+_INDEXES: dict[tuple, InvertedIndex] = {}
+
+
+def _lists(t, points, *read) -> InvertedIndex:
+    """The stored inverted lists of points, which are made of the tables named; made once for each application and state of their files."""
+    spark = points.sparkSession
+    key = (spark.sparkContext.applicationId, points.semanticHash(), *fingerprint(*map(t, read)))
+    if key not in _INDEXES:
+        _INDEXES[key] = InvertedIndex.of_texts(points, shared_folder(spark, "lexical"))
+    return _INDEXES[key]
+
+
 @add("sparse_topk", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 8")
 def sparse_topk(t):
-    return retrieval.lexical_topk(t("queries"), t("points"), retrieval.TOP_K).withColumn("score", F.round("score", 6))
+    return retrieval.lexical_topk(t("queries"), _lists(t, t("points"), "documents", "labels"), retrieval.TOP_K).withColumn("score", F.round("score", 6))
 
 
 def _hybrid(t):
     """Queries with vectors, and points with both content and vector."""
     vectors = _vector_points(t)
     queries = t("queries").join(vectors.withColumnRenamed("dense", "vector"), F.col("query_id") == F.col("id")).select("query_id", "query", "vector")
-    return queries, retrieval.visible(t("points")).join(vectors, "id")
+    points = retrieval.visible(t("points")).join(vectors, "id")
+    return queries, points, _lists(t, points, "documents", "labels", "embeddings")
 
 
 _HYBRID = f"""hp AS (SELECT v.*, e.embedding FROM {_VISIBLE} v JOIN embeddings e ON e.vec_id = v.id WHERE v.project_id IS NULL),
@@ -100,8 +125,8 @@ _HYBRID = f"""hp AS (SELECT v.*, e.embedding FROM {_VISIBLE} v JOIN embeddings e
 
 @add("rank_fusion", f"WITH {_HYBRID} SELECT query_id, id, round(score, 6) AS score, rank FROM top")
 def rank_fusion(t):
-    queries, points = _hybrid(t)
-    return retrieval.search(queries, points, "hybrid").withColumn("score", F.round("score", 6))
+    queries, points, lists = _hybrid(t)
+    return retrieval.search(queries, points, "hybrid", lexical=lists).withColumn("score", F.round("score", 6))
 
 
 @add(
@@ -111,13 +136,13 @@ def rank_fusion(t):
     SELECT query_id, id, source_table, round(rerank, 6) AS rerank_score FROM r WHERE rerank >= 0.2""",
 )
 def hybrid_recall(t):
-    queries, points = _hybrid(t)
-    return retrieval.recall(queries, points, least=0.2).select("query_id", "id", "source_table", F.round("rerank_score", 6).alias("rerank_score"))
+    queries, points, lists = _hybrid(t)
+    return retrieval.recall(queries, points, least=0.2, lexical=lists).select("query_id", "id", "source_table", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 def _pool(t):
     """Candidates of every query: the best finds of a lexical search over all points, scored by rank."""
-    found = retrieval.lexical_topk(t("queries"), t("points"), retrieval.CANDIDATES)
+    found = retrieval.lexical_topk(t("queries"), _lists(t, t("points"), "documents", "labels"), retrieval.CANDIDATES)
     return found.select("query_id", "id", (1.0 / F.col("rank")).alias("score")).join(t("points").select("id", "source_table", "title", "content"), "id")
 
 
