@@ -183,6 +183,25 @@ def test_projects(spark):
         registry.resolve_single(ranked, most=2).collect()
 
 
+def test_names_by_their_grams_equal_all_pairs(spark):
+    """Short terms, repeated rows, separators alone, terms across a name's parts, and names without any of these."""
+    import itertools
+
+    parts = ["ab", "abc", "code", "x", "VS", "data-lake", "lake_house", "Straße", "日本語", "a b", "--", "ed it"]
+    names = [" ".join(p) for n in (1, 2) for p in itertools.permutations(parts, n)]
+    projects = spark.createDataFrame([(i, name, [names[-i]] if i % 3 else None) for i, name in enumerate(names)] + [(5, names[5], [names[-5]])], "id int, name string, aliases array<string>")
+    asked = spark.createDataFrame(list(enumerate(["vscode", "b", "data lake", "lakehouse", "-_ -", "abc x", "edit", "本語", "none at all", " ", "code code", "abcabc", "abc x"])), "query_id int, name string")
+    from palimpsest.functions.text import candidate_rank, project_name
+
+    known = projects.select("id", "name", project_name(F.col("name")).alias("norm"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: project_name(a)).alias("al"))
+    every = asked.select("query_id", project_name(F.col("name")).alias("asked")).where("asked <> ''").crossJoin(known)
+    want = every.withColumn("match", candidate_rank(F.col("asked"), F.col("norm"), F.col("al"))).where("match IS NOT NULL").select("query_id", "match", "id", "name")
+    got = registry.rank_projects(asked, projects, limit=1000).select("query_id", "match", "id", "name")
+    assert rows(got) == rows(want) and got.count() > 300
+    plan = registry.rank_projects(asked.where("query_id < 4"), projects)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan
+
+
 def test_insert_or_keep(spark):
     t = "session_id string, scope string, source_event_id string, content string"
     old = spark.createDataFrame([("a", "s", "e1", "old"), ("a", "s", None, "n1")], t)
@@ -316,32 +335,68 @@ def test_dense_search_in_blocks(spark):
     assert [r.id for r in first[:5]] == [10, 25, 0, 15, 30] and first[2].score == first[4].score
 
 
-def test_bm25(spark):
-    points = spark.createDataFrame([(1, "aa aa bb"), (2, "aa cc"), (3, "!")], "id int, content string")
-    asked = spark.createDataFrame([("aa",)], "term string")
-    tf = lambda n, size: n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / 2.5))
-    whole = {(r.id, r.term): r.weight for r in retrieval.bm25_weights(points).collect()}
-    assert whole == pytest.approx({(1, "aa"): tf(2, 3), (1, "bb"): tf(1, 3), (2, "aa"): tf(1, 2), (2, "cc"): tf(1, 2)})
-    some = {(r.id, r.term): r.weight for r in retrieval.bm25_weights(points, asked, idf=True).collect()}
-    rare = math.log1p(0.5 / 2.5)
-    assert some == pytest.approx({(1, "aa"): tf(2, 3) * rare, (2, "aa"): tf(1, 2) * rare})
+def _plain_lexical(points, queries, k, k1=1.2, b=0.75):
+    """Best k points of each query by the sum of its terms' weights, one text at a time."""
+    import re
+
+    texts = {i: re.findall("[a-z0-9_]{2,}", (c or "").lower()) for i, c in points}
+    lengths = [len(t) for t in texts.values() if t]
+    mean = sum(lengths) / len(lengths)
+    out = []
+    for q, text in queries:
+        terms, scored = set(re.findall("[a-z0-9_]{2,}", text.lower())), []
+        for i, found in texts.items():
+            score = sum(n * (k1 + 1) / (n + k1 * (1 - b + b * len(found) / mean)) for n in map(found.count, sorted(terms)) if n)
+            if score:
+                scored.append((-round(score, 9), i))
+        out += [(q, i, rank + 1, round(-s, 6)) for rank, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
 
 
-def test_lexical_search_in_blocks(spark):
-    """Blocks of queries, whole documents and common terms: the same as the join of postings."""
+def test_inverted_lists(spark, tmp_path):
+    """Blocks, shards, parts and groups of queries: the same as a plain search; terms that aren't asked for are not read."""
     import random
 
-    from palimpsest.operators import retrieval
+    from palimpsest.operators import inverted, retrieval
 
     rng = random.Random(4)
     words = ["the", "a_b", "Spark", "x9", *(f"w{k}" for k in range(40))]
-    points = spark.createDataFrame([(f"p{i:03d}", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(300)] + [("none", None)], "id string, content string").repartition(3)
-    queries = spark.createDataFrame([(q, " ".join(["the", *rng.sample(words, 3)])) for q in range(30)] + [(99, "! ?"), (98, "unheard")], "query_id int, query string")
-    asked = retrieval.query_weights(queries)
-    want = {(r.query_id, r.id, r.rank): round(r.score, 6) for r in retrieval.sparse_topk(asked, retrieval.bm25_weights(points, asked), 5).collect()}
-    for block in (7, 2048):
-        got = {(r.query_id, r.id, r.rank): round(r.score, 6) for r in retrieval.lexical_topk(queries, points, 5, block=block).collect()}
-        assert got == want and len(got) == 150
+    texts = [(f"p{i:04d}", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(1500)] + [("none", None), ("long", "w1 " * 20_000), ("twin1", "w2 w3"), ("twin0", "w2 w3")]
+    asked = [(q, " ".join(["the", *rng.sample(words, 3)])) for q in range(30)] + [(99, "! ?"), (98, "unheard"), (97, "w3 w2")]
+    points, queries = spark.createDataFrame(texts, "id string, content string").repartition(3), spark.createDataFrame(asked, "query_id int, query string")
+    lists = inverted.InvertedIndex.of_texts(points, f"file://{tmp_path}/lists")
+    got = retrieval.lexical_topk(queries, lists, 5).collect()
+    want = _plain_lexical(texts, asked, 5)
+    assert sorted((r.query_id, r.id, r["rank"]) for r in got) == [w[:3] for w in want]
+    assert [r.score for r in sorted(got, key=lambda r: (r.query_id, r.id))] == pytest.approx([w[3] for w in want], abs=2e-6)
+    some = points.where("id < 'p0400'")
+    got = retrieval.lexical_topk(queries, lists, 3, some).select("query_id", "id", "rank").collect()
+    full = retrieval.lexical_topk(queries, lists, 1600).where("id < 'p0400'").collect()
+    best = {}
+    for r in sorted(full, key=lambda r: r["rank"]):
+        best.setdefault(r.query_id, []).append(r.id)
+    assert {(r.query_id, r.id, r["rank"]) for r in got} == {(q, i, n + 1) for q, ids in best.items() for n, i in enumerate(ids[:3])}
+    read = lists.postings_of(spark.createDataFrame([("w7",)], "term string"))
+    assert {r.term for r in read.collect()} == {"w7"} and len(read.inputFiles()) >= 1
+    assert "PartitionFilters: [" in read._jdf.queryExecution().executedPlan().toString()
+    assert lists.postings_of(spark.createDataFrame([("unheard",)], "term string")) is None
+    none = retrieval.lexical_topk(queries.where("query_id = 98"), lists, 5)
+    assert none.collect() == [] and none.columns == ["query_id", "id", "score", "rank"]
+
+
+def test_block_maxima_leave_blocks_out():
+    """A block whose greatest weights can't reach the k-th score isn't scored."""
+    import pyarrow as pa
+
+    from palimpsest.operators import inverted
+
+    n, size = 16, inverted.BLOCK
+    docs = pa.table({"block": pa.array([b for b in range(n) for _ in range(size)]), "ids": pa.array([[b * size + i] for b in range(n) for i in range(size)]), "at": pa.array([[i] for _ in range(n) for i in range(size)], pa.list_(pa.int32()))})
+    weights = [[(1.0 if b else 2.0) - i / 1000 for i in range(size)] for b in range(n)]
+    posts = pa.table({"block": pa.array(range(n)), "term": ["t"] * n, "top": [w[0] for w in weights], "at": pa.array([list(range(size))] * n, pa.list_(pa.int32())), "weights": weights})
+    rows, scores, scored = inverted.Shard(docs, posts).search([[("t", 1.0)], [("unheard", 1.0)]], 5)
+    assert rows[0].tolist() == [0, 1, 2, 3, 4] and scores[0].tolist() == pytest.approx(weights[0][:5]) and len(rows[1]) == 0
+    assert scored == 1
 
 
 def test_capture_of_whole_runs(spark):
