@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +12,14 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions.text import project_name
 from .operators import mutations, pooling, provenance, registry, retrieval, validation
+from .operators.inverted import InvertedIndex
 from .shipping import ship
 from .sources import index
-from .sources.snapshot import SnapshotStore
+from .sources.snapshot import BUCKETS, SnapshotStore
 
 REMEMBERED = "remembered"
+#: Inverted lists that a lexical search reads together at most.
+MOST_LISTS = 8
 
 
 class Memory:
@@ -25,9 +30,9 @@ class Memory:
     the index among them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, encoder: Callable[[list[str]], list[list[float]]] | None = None, dimensions: int = 0, default_scope: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, encoder: Callable[[list[str]], list[list[float]]] | None = None, dimensions: int = 0, default_scope: str | None = None, buckets: int = BUCKETS):
         ship(spark)
-        self.spark, self.store = spark, SnapshotStore(spark, root)
+        self.spark, self.store = spark, SnapshotStore(spark, root, buckets)
         self.encoder, self.dimensions, self.default_scope = encoder, dimensions, default_scope
 
     def _points(self, points: DataFrame) -> DataFrame:
@@ -37,21 +42,22 @@ class Memory:
         out = out.join(pooling.embedded(texts, self.encoder, self.dimensions), "id", "left") if self.encoder else out.withColumn("dense", F.lit(None).cast("array<float>"))
         return out.select(*self.store.table("index_points").columns)
 
-    def index_after(self, atoms: DataFrame | None, rows: DataFrame | None, changed: DataFrame, gone: DataFrame | None = None) -> DataFrame:
-        """The index with new points of the atoms and rows whose ids are in changed, and without those in gone."""
-        ids, points = changed.select("id").distinct(), []
+    def index_changes(self, atoms: DataFrame | None, rows: DataFrame | None, all_atoms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """New points of the atoms and rows given, and the ids of those that are to be none any more. all_atoms: whose supersessions count, by default the atoms'."""
+        points = []
         if atoms is not None:
-            points.append(index.atom_points(atoms).join(ids, "id", "left_semi"))
+            points.append(index.atom_points(atoms, all_atoms))
         if rows is not None:
-            points.append(index.row_points(rows).join(ids, "id", "left_semi"))
+            points.append(index.row_points(rows))
         touched = points[0] if len(points) == 1 else points[0].unionByName(points[1])
-        hidden = touched.where("source_deleted").select("id")
-        kept = mutations.delete_points(self.store.table("index_points"), hidden if gone is None else hidden.unionByName(gone.select("id")))
-        return index.upserted(kept, self._points(touched.where("NOT source_deleted")))
+        deleted = F.coalesce("source_deleted", F.lit(False))
+        return self._points(touched.where(~deleted)), touched.where(deleted).select("id")
 
-    def _commit_atoms(self, atoms: DataFrame, changed: DataFrame) -> int:
-        """Write atoms, and the index with new points of the ids in changed."""
-        return self.store.commit({"atoms": atoms, "index_points": self.index_after(atoms, None, changed)})
+    def _commit_atoms(self, atoms: DataFrame) -> int:
+        """Write changed atoms and their points; only the buckets that hold them are written."""
+        atoms = self.store.staged(atoms)
+        points, hidden = self.index_changes(atoms, None, self.store.table("atoms"))
+        return self.store.commit(merge={"atoms": atoms, "index_points": points}, gone={"index_points": hidden})
 
     def remember(self, statements: DataFrame) -> DataFrame:
         """Atoms that a user states (scope, statement, category); returns id, scope, statement of what was written."""
@@ -62,8 +68,8 @@ class Memory:
         lack = [c for c in old.columns if c not in new.columns]
         new = new.select("*", *[(F.lit(False) if c == "source_deleted" else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in lack]).select(*old.columns)
         fresh = self.store.staged(new)  # ids are fixed once they are written
-        after = old.unionByName(fresh)
-        self.store.commit({"index_points": self.index_after(after, None, fresh)}, append={"atoms": fresh})
+        points, _ = self.index_changes(fresh, None)
+        self.store.commit(merge={"index_points": points}, append={"atoms": fresh})
         return fresh.select("id", "scope", "statement")
 
     def update(self, changes: DataFrame, scope: str | None = None) -> int:
@@ -73,7 +79,8 @@ class Memory:
             changes = validation.require(changes, F.col("category").isNull() | F.col("category").isin(schemas.ATOM_CATEGORIES), "unknown category")
         if scope is not None or self.default_scope is not None:
             changes = self._own(changes, scope)
-        return self._commit_atoms(mutations.update_atoms(self.store.table("atoms"), changes, fields), changes)
+        changes = self.store.staged(changes)
+        return self._commit_atoms(mutations.update_atoms(self.store.rows_of("atoms", changes), changes, fields))
 
     def _own(self, ids: DataFrame, scope: str | None) -> DataFrame:
         """Rows of ids that name an atom of the scope; another one's raise."""
@@ -84,16 +91,12 @@ class Memory:
 
     def forget(self, ids: DataFrame, scope: str | None = None) -> DataFrame:
         """Soft delete of atoms (of the scope, if one is given); returns id, found."""
-        before, own = self.store.table("atoms"), validation.read_scope(scope, scope is None and self.default_scope is None, self.default_scope)
-        if own is not None:
-            others = before.where(F.col("scope") != own).select(F.col("id").alias("__id"))
-            asked, ids = ids, ids.join(others, F.col("id") == F.col("__id"), "left_anti")
-            out = asked.join(mutations.forgotten(before, ids.distinct()), "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
-            out = self.store.staged(out)
-            self._commit_atoms(mutations.forget(before, ids), ids)
-            return out
-        out = self.store.staged(mutations.forgotten(before, ids))
-        self._commit_atoms(mutations.forget(before, ids), ids)
+        own = validation.read_scope(scope, scope is None and self.default_scope is None, self.default_scope)
+        ids = self.store.staged(ids)
+        known = self.store.rows_of("atoms", ids)
+        mine = known if own is None else known.where(F.col("scope") == own)
+        out = self.store.staged(mutations.forgotten(mine, ids))
+        self._commit_atoms(mutations.forget(mine, ids))
         return out
 
     def _visible(self, scope: str | None, sources: list[str] | None, types: list[str] | None, project: str | None) -> tuple[DataFrame, list[str]]:
@@ -109,6 +112,28 @@ class Memory:
         texts = queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"), F.lit("query").alias("breadcrumb"))
         return queries.join(pooling.embedded(texts, self.encoder, self.dimensions).toDF("query_id", "vector"), "query_id")
 
+    def _lexical(self) -> InvertedIndex:
+        """Inverted lists of the points as they are. Buckets that were written since the lists were made get lists of their own; MOST_LISTS of these are made one again."""
+        folder, there = f"{self.store.root}/_lexical", self.store.buckets("index_points")
+        state = {str(b): hashlib.sha256("\n".join(paths).encode()).hexdigest() for b, paths in there.items()}
+        made = [InvertedIndex(self.spark, f"{folder}/{s.getPath().getName()}") for s in self.store._listed(folder) if self.store._listed(f"{folder}/{s.getPath().getName()}/facts/_SUCCESS")]
+        owner = {b: x for x in made for b, key in x.facts[0]["covers"].items() if state.get(b) == key}
+        lack = state.keys() - owner.keys()
+        if len({x.roots[0] for x in owner.values()}) + bool(lack) > MOST_LISTS:
+            owner, lack = {}, state.keys()
+        if lack or not owner:
+            points = self.store.table("index_points") if not lack else None
+            for b in sorted(lack):
+                part = self.spark.read.schema(schemas.INDEX_POINTS).parquet(*there[int(b)]).withColumn("bucket", F.lit(b))
+                points = part if points is None else points.unionByName(part)
+            points = points if lack else points.withColumn("bucket", F.lit(""))
+            new = InvertedIndex.of_vectors(points, f"{folder}/{uuid.uuid4().hex}", group="bucket", facts={"covers": {b: state[b] for b in lack}})
+            owner |= dict.fromkeys(lack or [""], new)
+        used = list({x.roots[0]: x for x in owner.values()})
+        lists = InvertedIndex(self.spark, *used)
+        lists.alive = [[b for b, x in owner.items() if x.roots[0] == root] for root in used]
+        return lists
+
     def _search(self, queries, k, mode, scope, sources, types, project) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Candidates, queries and points; lexical search reads the stored sparse vectors."""
         if k <= 0:
@@ -117,7 +142,8 @@ class Memory:
         if mode is None:
             mode = "hybrid" if len(named) != 1 else "vector" if named[0] in schemas.VECTOR_SOURCES else "bm25"
         asked = self._queries(queries)
-        found = retrieval.search(asked, points, mode if self.encoder else "bm25", k, stored=True)
+        mode = mode if self.encoder else "bm25"
+        found = retrieval.search(asked, points, mode, k, None if mode == "vector" else self._lexical(), hashed=True)
         return found.join(points.select("id", "source_table", "title", "content"), "id"), asked, points
 
     def recall(self, queries: DataFrame, k: int = retrieval.TOP_K, least: float | None = None, mode: str | None = None, scope: str | None = None, sources: list[str] | None = None, types: list[str] | None = None, project: str | None = None, all_scopes: bool = False) -> DataFrame:

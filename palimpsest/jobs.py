@@ -143,17 +143,17 @@ class Jobs:
         update = {c: F.col(f"n.{c}") for c in chunks.columns if c not in ("document_id", "chunk_index")}
         stale, sections = store.staged(cascade["stale"]), store.staged(cascade["sections"])
         refresh = store.staged(cascade["refresh"])
-        atoms_after = mutations.forget(atoms, stale)
+        forgotten = mutations.forget(store.rows_of("atoms", stale), stale)
         rows, links = t("l2_rows"), t("l2_atoms")
         off = sections.select(F.col("row_id").alias("off"))
         own = F.col("category") == schemas.PROJECT_CATEGORIES[0]
         removed = stale.unionByName(sections.select(F.col("row_id").alias("id")))
         store.commit({
             "project_documents": after, "project_document_chunks": mutations.insert_or_update(cascade["chunks"], new_chunks, ["document_id", "chunk_index"], update),
-            "turns": mutations.document_turns(turns, new_turns), "atoms": atoms_after,
+            "turns": mutations.document_turns(turns, new_turns),
             "l2_rows": rows.join(off, own & (F.col("id") == F.col("off")), "left_anti"), "l2_atoms": links.join(off, own & (F.col("row_id") == F.col("off")), "left_anti"),
-            "synthesis_coverage": pending.not_in(t("synthesis_coverage"), refresh), "index_points": mutations.delete_points(t("index_points"), removed),
-        })
+            "synthesis_coverage": pending.not_in(t("synthesis_coverage"), refresh),
+        }, merge={"atoms": forgotten}, gone={"index_points": removed})
         counts = versioning.import_counts(diff).first()
         told = counts.asDict() if counts else {"imported": 0, "unchanged": 0, "deleted": 0}
         told.pop("project_id", None)
@@ -202,9 +202,10 @@ class Jobs:
         delta = extraction.commit(judged, batch.join(good, keys, "left_semi"), open_, atoms, entities, now, project)
         delta = {n: self.store.staged(d) for n, d in delta.items()}
         after = atoms.unionByName(delta["atoms"].select(*atoms.columns))
-        cursors = t("extraction_attempts")
+        cursors, changed = t("extraction_attempts"), extraction.reindexed(delta["atoms"], after)
+        points, hidden = self.memory.index_changes(after.join(changed, "id", "left_semi").select(*after.columns), None, after)
         self.store.commit(
-            {"extraction_attempts": mutations.advance_cursor(cursors, delta["extraction_attempts"]), "index_points": self.memory.index_after(after, None, extraction.reindexed(delta["atoms"], after))},
+            {"extraction_attempts": mutations.advance_cursor(cursors, delta["extraction_attempts"])}, merge={"index_points": points}, gone={"index_points": hidden},
             append={
                 "atoms": delta["atoms"].select(*atoms.columns), "atom_sources": mutations.new_edges(edges, delta["atom_sources"]),
                 "entities": delta["entities"].select(*entities.columns), "extraction_coverage": mutations.new_edges(coverage, delta["extraction_coverage"]),
@@ -254,7 +255,7 @@ class Jobs:
         edges = met.select("category", F.col("own_id").alias("row_id"), F.explode("atom_ids").alias("atom_id")).distinct()
         done = batch.join(good, keys, "left_semi").select("id")
         self.store.commit(
-            {"l2_rows": after, "index_points": self.memory.index_after(None, after, met.select(F.col("own_id").alias("id")))},
+            {"l2_rows": after}, merge={"index_points": self.memory.index_changes(None, after.join(met.select(F.col("own_id").alias("id")).distinct(), "id", "left_semi").select(*after.columns))[0]},
             append={"l2_atoms": mutations.new_edges(links, edges), "synthesis_coverage": mutations.new_edges(coverage, done)},
         )
         return self._told(phase, replies, keys)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators.provenance import with_superseded_flag
 
 
-def atom_points(atoms: DataFrame) -> DataFrame:
-    a = with_superseded_flag(atoms)
+def atom_points(atoms: DataFrame, all_atoms: DataFrame | None = None) -> DataFrame:
+    """Points of atoms; all_atoms: whose supersessions count."""
+    a = with_superseded_flag(atoms, all_atoms)
     return a.select("id", "scope", F.lit("atoms").alias("source_table"), F.lit(None).cast("string").alias("title"), F.col("statement").alias("content"), "project_id", "source_deleted", "superseded")
 
 

@@ -41,6 +41,35 @@ def test_memory(spark, tmp_path):
         memory.recall(asked, sources=["project_sections"])
 
 
+def test_one_forget_writes_one_bucket(spark, tmp_path):
+    memory = Memory(spark, f"file://{tmp_path}/m", buckets=16)
+    said = spark.createDataFrame([("s", f"Statement {k} of quartz", "fact") for k in range(60)], "scope string, statement string, category string")
+    ids = sorted(r.id for r in memory.remember(said).collect())
+    before = {name: memory.store.buckets(name) for name in ("atoms", "index_points")}
+    assert memory.forget(spark.createDataFrame([(ids[0],)], "id string")).collect()[0].found
+    for name, old in before.items():
+        new = memory.store.buckets(name)
+        assert len([b for b in {**old, **new} if new.get(b) != old.get(b)]) == 1
+    assert memory.store.table("index_points").count() == 59
+    assert memory.store.table("atoms").where("source_deleted").count() == 1
+
+
+def test_inverted_lists_follow_the_buckets(spark, tmp_path):
+    """A change makes lists of the buckets it wrote; what was replaced there doesn't count any more."""
+    memory = Memory(spark, f"file://{tmp_path}/m", buckets=8)
+    said = spark.createDataFrame([("s", f"quartz number{k}", "fact") for k in range(24)], "scope string, statement string, category string")
+    ids = {r.statement.split()[1]: r.id for r in memory.remember(said).collect()}
+    ask = lambda text, k=30: {r.id for r in memory.search_candidates(spark.createDataFrame([(0, text)], "query_id int, query string"), k=k, sources=["atoms"], scope="s").collect()}
+    assert ask("quartz") == set(ids.values()) and ask("number3") == {ids["number3"]}
+    assert len(memory._lexical().roots) == 1
+    memory.update(spark.createDataFrame([(ids["number3"], "basalt number3")], "id string, statement string"))
+    assert ask("basalt") == {ids["number3"]} and ask("quartz") == set(ids.values()) - {ids["number3"]}
+    first, second = memory._lexical().alive
+    assert sorted(map(len, (first, second))) == [1, 7] and len(memory.store._listed(f"{memory.store.root}/_lexical")) == 2
+    memory.forget(spark.createDataFrame([(ids["number5"],)], "id string"))
+    assert ask("number5 number6") == {ids["number6"]}
+
+
 def test_drill_down_and_projects(spark, tmp_path):
     memory = Memory(spark, f"file://{tmp_path}/m")
     fill = lambda name, row: spark.createDataFrame([tuple(row.get(f.split()[0]) for f in schemas.TABLES[name].split(", "))], schemas.TABLES[name])

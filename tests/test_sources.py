@@ -41,11 +41,74 @@ def test_snapshots(spark, tmp_path):
     assert len(store.manifest()["atom_sources"]) < snapshot.MOST_FOLDERS
     assert store.table("extraction_coverage").count() == 1
     rival = snapshot.SnapshotStore(spark, f"file://{tmp_path}/store")
-    rival.versions = lambda: [1]
-    with pytest.raises(RuntimeError):
+    rival._base = lambda: (1, {})
+    with pytest.raises(RuntimeError, match="another writer"):
         rival.commit({"atom_sources": edges})
 
 
+def _atoms(spark, ids, statement="old"):
+    named = {"scope": "s", "statement": statement}
+    fields = [f.split()[0] for f in schemas.ATOMS.split(", ")]
+    return spark.createDataFrame([tuple(i if f == "id" else named.get(f) for f in fields) for i in ids], schemas.ATOMS)
+
+
+def test_changes_by_key_write_their_buckets_only(spark, tmp_path):
+    store = snapshot.SnapshotStore(spark, f"file://{tmp_path}/store", buckets=8)
+    store.commit({"atoms": _atoms(spark, map(str, range(100)))})
+    before = store.buckets("atoms")
+    assert len(before) == 8 and store.table("atoms").count() == 100
+    store.commit(merge={"atoms": _atoms(spark, ["7", "new"], "changed")}, gone={"atoms": _atoms(spark, ["9", "none"]).select("id")})
+    after = store.buckets("atoms")
+    changed = {b for b in after if after[b] != before.get(b)}
+    where = {r.id: r.b for r in spark.createDataFrame([(i,) for i in ("7", "new", "9", "none")], "id string").select("id", store._bucket("id", 8).alias("b")).collect()}
+    assert changed == set(where.values()) and len(changed) < 8
+    got = {r.id: r.statement for r in store.table("atoms").collect()}
+    assert len(got) == 100 and got["7"] == got["new"] == "changed" and "9" not in got and got["8"] == "old"
+    assert [r.id for r in store.rows_of("atoms", _atoms(spark, ["8", "none"])).collect()] == ["8"]
+    for k in range(snapshot.MOST_FOLDERS + 2):  # appends: a bucket with many folders is made one again
+        store.commit(append={"atoms": _atoms(spark, [f"more{k}"])})
+    assert store.table("atoms").count() == 100 + snapshot.MOST_FOLDERS + 2 and max(map(len, store.buckets("atoms").values())) <= snapshot.MOST_FOLDERS
+    store.commit(gone={"atoms": store.table("atoms").select("id")})
+    assert store.table("atoms").count() == 0 and store.buckets("atoms") == {}
+
+
+def test_a_table_written_before_there_were_buckets(spark, tmp_path):
+    store = snapshot.SnapshotStore(spark, f"file://{tmp_path}/store", buckets=4)
+    path = f"file://{tmp_path}/store/atoms/old"
+    _atoms(spark, ["1", "2"]).write.parquet(path)
+    store._publish(1, {"atoms": path})
+    assert store.table("atoms").count() == 2
+    store.commit(merge={"atoms": _atoms(spark, ["2", "3"], "changed")})
+    assert {r.id: r.statement for r in store.table("atoms").collect()} == {"1": "old", "2": "changed", "3": "changed"}
+    assert isinstance(store.manifest()["atoms"], dict)
+
+
+def test_unfinished_manifests_and_vacuum(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "PATIENCE", 0.3)
+    root = tmp_path / "store"
+    store = snapshot.SnapshotStore(spark, f"file://{root}", buckets=2)
+    for k in range(4):
+        store.commit({"extraction_coverage": spark.createDataFrame([(f"t{k}",)], schemas.COVERAGE), "atoms": _atoms(spark, [str(k), "x", "y", "z"])})
+    store.staged(_atoms(spark, ["s"]))
+    (root / "_manifests" / "5.json").write_text("")
+    assert [r.id for r in store.table("extraction_coverage").collect()] == ["t3"]  # readers see the last whole one
+    with pytest.raises(RuntimeError, match="not finished"):
+        store.commit({"extraction_coverage": spark.createDataFrame([("u",)], schemas.COVERAGE)})
+    assert store.vacuum(older_than_hours=1) == 0 and store.versions() == [1, 2, 3, 4, 5]
+    assert store.vacuum(keep=2, older_than_hours=-1) == 2 + 2 + 1  # two versions of two tables, and what was staged
+    assert store.versions() == [3, 4]
+    assert [r.id for r in store.table("extraction_coverage", 3).collect()] == ["t2"] and store.table("atoms").count() == 4
+    assert store.commit({"extraction_coverage": spark.createDataFrame([("u",)], schemas.COVERAGE)}) == 5
+
+
+def test_a_batch_is_in_the_manifest(spark, tmp_path):
+    store = snapshot.SnapshotStore(spark, f"file://{tmp_path}/store")
+    assert not store.seen("worker", 0)
+    store.commit({"extraction_coverage": spark.createDataFrame([("u",)], schemas.COVERAGE)}, batch=("worker", 3))
+    store.commit({"synthesis_coverage": spark.createDataFrame([("u",)], schemas.COVERAGE)})
+    assert store.seen("worker", 3) and store.seen("worker", 2) and not store.seen("worker", 4) and not store.seen("other", 0)
+
+
 def test_index(spark, tmp_path):
     atoms = spark.createDataFrame([("1", "s", "one", None, None, False), ("2", "s", "two", "1", "p", True)], "id string, scope string, statement string, supersedes string, project_id string, source_deleted boolean")
     rows = spark.createDataFrame([("9", "s", "docs", "T", "sum", None)], "id string, scope string, category string, title string, summary string, project_id string")
