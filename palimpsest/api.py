@@ -15,6 +15,7 @@ from .operators import mutations, pooling, provenance, registry, retrieval, vali
 from .operators.inverted import InvertedIndex
 from .shipping import ship
 from .sources import index
+from .sources.ledger import Model, ReplyLedger
 from .sources.snapshot import BUCKETS, SnapshotStore
 
 REMEMBERED = "remembered"
@@ -26,19 +27,23 @@ class Memory:
     """remember, recall, search_candidates, fetch, drill_down, update, forget, list_projects, resolve_project.
 
     encoder turns a list of texts into vectors of `dimensions`; without one, only
-    lexical search is offered. Every change is one commit of all tables it touches,
+    lexical search is offered. sparse_encoder turns texts into weights by index; without
+    one, terms are counted. reranker scores a query's candidates (JSON in, JSON out, asked
+    through the ledger of replies); those without a score get one by their terms. Every change is one commit of all tables it touches,
     the index among them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, encoder: Callable[[list[str]], list[list[float]]] | None = None, dimensions: int = 0, default_scope: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, encoder: Callable[[list[str]], list[list[float]]] | None = None, dimensions: int = 0, default_scope: str | None = None, buckets: int = BUCKETS, reranker: Model | None = None, sparse_encoder: Callable[[list[str]], list[dict[int, float]]] | None = None):
         ship(spark)
+        self.reranker, self.sparse_encoder = reranker, sparse_encoder
         self.spark, self.store = spark, SnapshotStore(spark, root, buckets)
         self.encoder, self.dimensions, self.default_scope = encoder, dimensions, default_scope
 
     def _points(self, points: DataFrame) -> DataFrame:
         """points with vectors: dense ones of their chunks, headed by a summary row's title, and sparse ones."""
         texts = points.select("id", F.col("content").alias("text"), F.coalesce("title", F.lit("")).alias("breadcrumb"))
-        out = points.join(pooling.sparse_vectors(texts), "id", "left")
+        sparse = pooling.sparse_encoded(texts, self.sparse_encoder) if self.sparse_encoder else pooling.sparse_vectors(texts)
+        out = points.join(sparse, "id", "left")
         out = out.join(pooling.embedded(texts, self.encoder, self.dimensions), "id", "left") if self.encoder else out.withColumn("dense", F.lit(None).cast("array<float>"))
         return out.select(*self.store.table("index_points").columns)
 
@@ -112,6 +117,22 @@ class Memory:
         texts = queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"), F.lit("query").alias("breadcrumb"))
         return queries.join(pooling.embedded(texts, self.encoder, self.dimensions).toDF("query_id", "vector"), "query_id")
 
+    def _terms(self, queries: DataFrame) -> DataFrame:
+        """query_id, term, weight of queries, with the numbers that stored vectors have for terms."""
+        if self.sparse_encoder is None:
+            return retrieval.hashed_terms(retrieval.query_weights(queries))
+        texts = queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"), F.lit("").alias("breadcrumb"))
+        told = pooling.sparse_encoded(texts, self.sparse_encoder)
+        return told.select(F.col("id").alias("query_id"), F.explode("sparse").alias("term", "weight")).where("weight > 0").withColumn("term", F.col("term").cast("string"))
+
+    def _reranked(self, found: DataFrame, asked: DataFrame) -> DataFrame:
+        """found with rerank_score: by the reranker, or by terms."""
+        if self.reranker is None:
+            return retrieval.keyword_rerank(found, asked)
+        found = self.store.staged(found)
+        replies = ReplyLedger(self.store, "rerank").ask(retrieval.rerank_payloads(found, asked), self.reranker)
+        return retrieval.model_rerank(found, asked, retrieval.scores_told(replies))
+
     def _lexical(self) -> InvertedIndex:
         """Inverted lists of the points as they are. Buckets that were written since the lists were made get lists of their own; MOST_LISTS of these are made one again."""
         folder, there = f"{self.store.root}/_lexical", self.store.buckets("index_points")
@@ -143,14 +164,15 @@ class Memory:
             mode = "hybrid" if len(named) != 1 else "vector" if named[0] in schemas.VECTOR_SOURCES else "bm25"
         asked = self._queries(queries)
         mode = mode if self.encoder else "bm25"
-        found = retrieval.search(asked, points, mode, k, None if mode == "vector" else self._lexical(), hashed=True)
+        lists, terms = (None, None) if mode == "vector" else (self._lexical(), self._terms(queries))
+        found = retrieval.search(asked, points, mode, k, lists, terms)
         return found.join(points.select("id", "source_table", "title", "content"), "id"), asked, points
 
     def recall(self, queries: DataFrame, k: int = retrieval.TOP_K, least: float | None = None, mode: str | None = None, scope: str | None = None, sources: list[str] | None = None, types: list[str] | None = None, project: str | None = None, all_scopes: bool = False) -> DataFrame:
         """Answers to queries (query_id, query): hydrated records with their score, reranked; k is the pool before reranking."""
         scope = validation.read_scope(scope, all_scopes, self.default_scope)
         found, asked, _ = self._search(queries, k, mode, scope, sources, types, project)
-        scored = retrieval.above(retrieval.keyword_rerank(found, asked), least).select("query_id", "id", "source_table", F.col("rerank_score").alias("score"))
+        scored = retrieval.above(self._reranked(found, asked), least).select("query_id", "id", "source_table", F.col("rerank_score").alias("score"))
         return self._hydrated(scored, scope, project)
 
     def search_candidates(self, queries: DataFrame, k: int = retrieval.CANDIDATES, mode: str | None = None, scope: str | None = None, sources: list[str] | None = None, types: list[str] | None = None, project: str | None = None, all_scopes: bool = False) -> DataFrame:

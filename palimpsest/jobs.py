@@ -1,8 +1,8 @@
 """The jobs that keep a memory up to date, each for all sessions, scopes or projects at once.
 
 Judges are hooks: a function from a payload (JSON text) to a reply (JSON text). It is
-called on the executors, once for each payload, and its replies are written before
-anything is read from them. A payload whose judge fails, or whose reply breaks a
+called on the executors, once for each payload, and its replies are kept (sources.ledger)
+before anything is read from them. A payload whose judge fails, or whose reply breaks a
 rule, is left out of the commit and told of in the run's errors; the others go on,
 and it is asked for again with the next run. A job is one commit of all tables that
 it touches, the index among them.
@@ -10,10 +10,10 @@ it touches, the index among them.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +22,10 @@ from .api import Memory
 from .functions.text import uuid5
 from .operators import extraction, mutations, pending, provenance, synthesis, validation, versioning
 from .sources import markdown
+from .sources.ledger import ReplyLedger
 
 Judge = Callable[[str], str]
+logger = logging.getLogger(__name__)
 # Marks of the turns that hold chunks of documents.
 DOCUMENT_SOURCE, DOCUMENT_TOOL, DOCUMENT_PREFIX = "tool", "project_document", "project-document:"
 PROJECT = ["project_id", "scope"]
@@ -31,11 +33,16 @@ PROJECT = ["project_id", "scope"]
 
 @dataclass
 class Run:
-    """How many payloads a phase was asked for and how many were committed, and what went wrong (phase, key, error)."""
+    """How many payloads a phase was asked for and how many were committed, and what went wrong (phase, key, error).
+
+    failed: phases that ended in an exception, and its text. left: whether a drain ended with work open.
+    """
 
     asked: dict[str, int] = field(default_factory=dict)
     done: dict[str, int] = field(default_factory=dict)
     errors: list[DataFrame] = field(default_factory=list)
+    failed: dict[str, str] = field(default_factory=dict)
+    left: bool = False
 
     @property
     def ran(self) -> bool:
@@ -46,25 +53,10 @@ class Run:
             for phase, n in theirs.items():
                 mine[phase] = mine.get(phase, 0) + n
         self.errors += other.errors
+        self.failed |= other.failed
         return self
 
 
-def replies_of(payloads: DataFrame, judge: Judge) -> DataFrame:
-    """payloads with reply, or error where the judge failed."""
-
-    @F.pandas_udf("struct<reply:string,error:string>")
-    def ask(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            try:
-                out.append((judge(text), None))
-            except Exception as e:  # one payload's failure is its own
-                out.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["reply", "error"])
-
-    return payloads.withColumn("r", ask("payload")).select("*", "r.reply", "r.error").drop("r", "payload")
-
-
 def _parsed(replies: DataFrame, schema: str) -> DataFrame:
     """replies with parsed; a reply that is no such JSON gets an error."""
     out = replies.withColumn("parsed", F.from_json("reply", schema))
@@ -92,24 +84,46 @@ class Jobs:
 
     # --- turns and documents
 
-    def ingest(self, turns: DataFrame, now: Column | None = None) -> DataFrame:
+    def ingest(self, turns: DataFrame, now: Column | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
         """Write turns (columns as in schemas.TURNS but for id and created_at; missing ones are null) and return those that were rejected, with their problem.
 
         A turn whose session, scope and event id are there already is kept as it is.
         """
         valid, rejected = validation.split_turns(turns)
         old = self.store.table("turns")
-        given = {"id": F.expr("uuid()"), "created_at": F.current_timestamp() if now is None else now}
+        event = F.col("source_event_id") if "source_event_id" in valid.columns else F.lit(None).cast("string")
+        named = uuid5(F.concat_ws("/", "session_id", "scope", event))
+        # a turn with an event id gets the same id whenever it comes
+        given = {"id": F.when(event.isNotNull(), named).otherwise(F.expr("uuid()")), "created_at": F.current_timestamp() if now is None else now}
         new = valid.select(*[given.get(c, F.col(c) if c in valid.columns else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in old.columns])
-        self.store.commit({}, append={"turns": mutations.new_rows(old, self.store.staged(new), ["session_id", "scope", "source_event_id"])})
+        fresh = self.store.staged(mutations.new_rows(old, self.store.staged(new), ["session_id", "scope", "source_event_id"]))
+        if self._has_state():
+            keys = pending.state_keys(fresh)
+            self.store.commit(append={"turns": fresh}, merge={"session_state": pending.state_after_turns(self.store.rows_of("session_state", keys), fresh)}, batch=batch)
+        else:  # the first turns that are counted, or those of a store of which none were: all are counted once
+            self.store.commit({"session_state": self._counted(old.unionByName(fresh))}, append={"turns": fresh}, batch=batch)
         return rejected
 
-    def status(self, now: Column) -> DataFrame:
-        """Trigger status of every session."""
+    def _has_state(self) -> bool:
+        return "session_state" in self.store.manifest()
+
+    def _counted(self, turns: DataFrame) -> DataFrame:
+        """States of all sessions, from all turns."""
         t = self.store.table
-        own = pending.not_in(t("turns"), t("project_document_chunks"), "id", "turn_id")
+        own = pending.not_in(turns, t("project_document_chunks"), "id", "turn_id")
         covered = t("extraction_coverage").unionByName(t("atom_sources").select(F.col("turn_id").alias("id")))
-        return pending.session_status(own, covered, t("extraction_attempts"), now, self.idle_minutes, self.turn_cap)
+        return pending.counted_state(own, covered, t("extraction_attempts")).select(*t("session_state").columns)
+
+    def status(self, now: Column) -> DataFrame:
+        """Trigger status of every session: from their kept states or, if none are kept, from all turns."""
+        state = self.store.table("session_state") if self._has_state() else self._counted(self.store.table("turns"))
+        return pending.state_status(state, now, self.idle_minutes, self.turn_cap)
+
+    def upkeep(self) -> int:
+        """Remove marks of covered turns that no atom stands on, and count the sessions' states anew."""
+        t = self.store.table
+        self.store.commit({"extraction_coverage": self.store.staged(mutations.covered_by_sources(t("extraction_coverage"), t("atom_sources")))})
+        return self.store.commit({"session_state": self.store.staged(self._counted(t("turns")))})
 
     def import_documents(self, folder: str, project: str, now: Column | None = None) -> dict[str, int]:
         """Import a folder of Markdown files as the documents of a project: counts of imported, unchanged, deleted, chunks, stale atoms, removed sections."""
@@ -165,14 +179,22 @@ class Jobs:
         judge = self.judges[phase]
         if judge is None:
             raise ValueError(f"there is no judge for {phase}")
-        return _parsed(self.store.staged(replies_of(payloads, judge)), schema)
+        return _parsed(self.store.staged(ReplyLedger(self.store, phase).ask(payloads, judge)), schema)
+
+    def _checked(self, phase: str, replies: DataFrame, faults: DataFrame, keys: list[str]) -> DataFrame:
+        """replies with the faults found in them; those that have one are asked for again with the next run."""
+        checked = self.store.staged(_with_faults(replies.drop("parsed"), faults, keys))
+        bad = checked.where("error IS NOT NULL").select("asked")
+        if not bad.isEmpty():
+            ReplyLedger(self.store, phase).reject(bad)
+        return checked
 
     def _told(self, phase: str, replies: DataFrame, keys: list[str]) -> Run:
         errors = replies.where("error IS NOT NULL").select(F.lit(phase).alias("phase"), F.concat_ws("/", *keys).alias("key"), "error")
         n, failed = replies.agg(F.count("*"), F.count("error")).first()
         return Run({phase: n}, {phase: n - failed}, [errors] if failed else [])
 
-    def extract(self, now: Column | None = None, project: bool = False) -> Run:
+    def extract(self, now: Column | None = None, project: bool = False, commit_of: tuple[str, int] | None = None) -> Run:
         """One batch of every session that is due (or of every project with open chunks): judge, check, commit, index."""
         phase, now = ("project_extraction" if project else "extraction"), F.current_timestamp() if now is None else now
         t = self.store.table
@@ -183,8 +205,9 @@ class Jobs:
             batch = pending.first_n(open_, keys, ["created_at", "chunk_index", "id"], self.turn_cap)
         else:
             keys = pending.SESSION
-            open_ = pending.uncovered_turns(turns, coverage, edges, chunks)
-            batch = pending.extraction_batches(open_.join(self.status(now).where("due").select(*keys), keys, "left_semi"), self.turn_cap)
+            due = self.store.staged(self.status(now).where("due").select(*keys))
+            open_ = pending.uncovered_turns(turns.join(due, keys, "left_semi").select(*turns.columns), coverage, edges, chunks)
+            batch = pending.extraction_batches(open_, self.turn_cap)
         batch = self.store.staged(batch)
         if batch.isEmpty():
             return Run({phase: 0}, {phase: 0})
@@ -194,7 +217,7 @@ class Jobs:
         told = scenes.select(*keys, "scene", F.trim("s.scene_name").alias("scene_name"), F.posexplode("s.atoms").alias("position", "a")).select(*keys, "scene", "scene_name", "position", "a.*").join(ids, keys)
         outside = F.size(F.array_except(F.coalesce("source_turn_ids", F.array().cast("array<string>")), "batch_ids")) > 0
         problem = validation.atom_problem() if project else F.coalesce(validation.atom_problem(), F.when(outside & (F.col("confidence") >= schemas.CONFIDENCE_FLOOR), "a source is not in the batch"))
-        replies = self.store.staged(_with_faults(replies.drop("parsed"), _faults(told, keys, problem), keys))
+        replies = self._checked(phase, replies, _faults(told, keys, problem), keys)
         good = replies.where("error IS NULL").select(*keys)
         kept = validation.validated_atoms(told.join(good, keys, "left_semi").withColumn("statement", F.trim("statement")), corroborate=not project, drop_invalid=True)
         name = F.concat_ws("/", *keys, F.date_format(now, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.concat_ws(",", F.array_sort("batch_ids")), "scene", "position")
@@ -204,8 +227,13 @@ class Jobs:
         after = atoms.unionByName(delta["atoms"].select(*atoms.columns))
         cursors, changed = t("extraction_attempts"), extraction.reindexed(delta["atoms"], after)
         points, hidden = self.memory.index_changes(after.join(changed, "id", "left_semi").select(*after.columns), None, after)
+        merge = {"index_points": points}
+        if not project and self._has_state():
+            done = batch.join(good, keys, "left_semi")
+            covered = delta["extraction_coverage"].select("id").unionByName(delta["atom_sources"].select(F.col("turn_id").alias("id")))
+            merge["session_state"] = pending.state_after_batch(self.store.rows_of("session_state", pending.state_keys(done)), done, covered)
         self.store.commit(
-            {"extraction_attempts": mutations.advance_cursor(cursors, delta["extraction_attempts"])}, merge={"index_points": points}, gone={"index_points": hidden},
+            {"extraction_attempts": mutations.advance_cursor(cursors, delta["extraction_attempts"])}, merge=merge, gone={"index_points": hidden}, batch=commit_of,
             append={
                 "atoms": delta["atoms"].select(*atoms.columns), "atom_sources": mutations.new_edges(edges, delta["atom_sources"]),
                 "entities": delta["entities"].select(*entities.columns), "extraction_coverage": mutations.new_edges(coverage, delta["extraction_coverage"]),
@@ -213,7 +241,7 @@ class Jobs:
         )
         return self._told(phase, replies, keys)
 
-    def synthesize(self, now: Column | None = None, project: bool = False) -> Run:
+    def synthesize(self, now: Column | None = None, project: bool = False, commit_of: tuple[str, int] | None = None) -> Run:
         """One batch of every scope that is due (or of every project with pending atoms): judge, check, gate, commit, index."""
         phase, now = ("project_synthesis" if project else "synthesis"), F.current_timestamp() if now is None else now
         t = self.store.table
@@ -239,7 +267,7 @@ class Jobs:
             validation.destination_problem(categories), F.when(F.size(F.array_except("atom_ids", "batch_ids")) > 0, "an atom is not in the batch"),
             F.when(F.col("existing_row_id").isNotNull() & F.col("r_id").isNull(), "the row is not there"),
         )
-        replies = self.store.staged(_with_faults(replies.drop("parsed"), _faults(told, keys, problem), keys))
+        replies = self._checked(phase, replies, _faults(told, keys, problem), keys)
         good = replies.where("error IS NULL").select(*keys)
         name = F.concat_ws("/", *keys, F.date_format(now, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.concat_ws(",", F.array_sort("batch_ids")), "position")
         wanted = told.join(good, keys, "left_semi").withColumn("destination_id", uuid5(name))
@@ -256,29 +284,46 @@ class Jobs:
         done = batch.join(good, keys, "left_semi").select("id")
         self.store.commit(
             {"l2_rows": after}, merge={"index_points": self.memory.index_changes(None, after.join(met.select(F.col("own_id").alias("id")).distinct(), "id", "left_semi").select(*after.columns))[0]},
-            append={"l2_atoms": mutations.new_edges(links, edges), "synthesis_coverage": mutations.new_edges(coverage, done)},
+            append={"l2_atoms": mutations.new_edges(links, edges), "synthesis_coverage": mutations.new_edges(coverage, done)}, batch=commit_of,
         )
         return self._told(phase, replies, keys)
 
     # --- the worker
 
-    def run_once(self, now: Column | None = None) -> Run:
-        """Project extraction, session extraction, synthesis, project synthesis: one batch each. A phase without a judge is passed over."""
-        run = Run()
-        for phase, job in (("project_extraction", lambda: self.extract(now, True)), ("extraction", lambda: self.extract(now)), ("synthesis", lambda: self.synthesize(now)), ("project_synthesis", lambda: self.synthesize(now, True))):
-            if self.judges[phase] is not None:
-                run.add(job())
+    def run_once(self, now: Column | None = None, stream: tuple[str, int] | None = None) -> Run:
+        """Project extraction, session extraction, synthesis, project synthesis: one batch each. A phase without a judge is passed over.
+
+        A phase that ends in an exception is told of in failed, and the others go on. stream: the name of a stream and
+        the number of its batch; a phase that has committed for this batch is not run again, and a failure is raised in
+        the end, so that the batch is replayed.
+        """
+        run, first = Run(), None
+        for phase, job in (("project_extraction", lambda **c: self.extract(now, True, **c)), ("extraction", lambda **c: self.extract(now, **c)), ("synthesis", lambda **c: self.synthesize(now, **c)), ("project_synthesis", lambda **c: self.synthesize(now, True, **c))):
+            commit_of = (f"{stream[0]}/{phase}", stream[1]) if stream else None
+            if self.judges[phase] is None or (commit_of and self.store.seen(*commit_of)):
+                continue
+            try:
+                run.add(job(commit_of=commit_of))
+            except Exception as e:
+                logger.exception("%s failed", phase)
+                run.failed[phase] = f"{type(e).__name__}: {e}"
+                first = first or e
+        if stream and first:
+            raise first
         return run
 
     def drain(self, now: Column | None = None, most: int = 1000) -> Run:
-        """run_once until nothing is committed any more (or `most` times)."""
+        """run_once until nothing is committed any more, or `most` times: left tells if that ended it."""
         total = Run()
-        for _ in range(most):
+        while True:
             run = self.run_once(now)
             total.add(run)
             if not run.ran:
-                break
-        return total
+                return total
+            most -= 1
+            if most <= 0:
+                total.left = True
+                return total
 
     def import_and_drain(self, folder: str, project: str, now: Column | None = None) -> tuple[dict[str, int], Run]:
         """Import a project's documents, then extract and summarise until none of them is open."""

@@ -91,6 +91,48 @@ def session_status(turns: DataFrame, covered: DataFrame, cursors: DataFrame, now
     return out.withColumn("inactivity", inactivity).withColumn("volume", volume).withColumn("due", inactivity | volume)
 
 
+def _state_key() -> Column:
+    return F.concat_ws("\u0001", *SESSION).alias("key")
+
+
+def counted_state(turns: DataFrame, covered: DataFrame, cursors: DataFrame) -> DataFrame:
+    """The state of every session (as in schemas.SESSION_STATE), from all turns."""
+    status = session_status(turns, covered, cursors, F.current_timestamp())
+    at = cursors.groupBy(*SESSION).agg(F.max(F.struct("cursor_at", "cursor_id")).alias("c"))
+    return status.join(at, SESSION, "left").select(_state_key(), *SESSION, "pending", "last_turn_at", F.col("has_new"), F.col("c.cursor_at").alias("cursor_at"), F.col("c.cursor_id").alias("cursor_id"))
+
+
+def state_keys(rows: DataFrame) -> DataFrame:
+    return rows.select(_state_key()).distinct()
+
+
+def state_after_turns(state: DataFrame, turns: DataFrame) -> DataFrame:
+    """The states of the sessions that turns are new in; state: theirs before, where there was one."""
+    old = state.select("key", F.col("pending").alias("p"), F.col("last_turn_at").alias("l"), F.col("has_new").alias("h"), "cursor_at", "cursor_id")
+    met = turns.select(_state_key(), *SESSION, "id", "created_at").join(old, "key", "left")
+    beyond = F.col("cursor_at").isNull() | (F.struct(F.col("created_at").alias("t"), F.col("id").alias("i")) > F.struct(F.col("cursor_at").alias("t"), F.col("cursor_id").alias("i")))
+    grown = met.groupBy("key", *SESSION).agg(F.count("*").alias("n"), F.max("created_at").alias("last"), F.bool_or(beyond).alias("new"), F.first("p").alias("p"), F.first("l").alias("l"), F.first("h").alias("h"), F.first("cursor_at").alias("cursor_at"), F.first("cursor_id").alias("cursor_id"))
+    return grown.select("key", *SESSION, (F.coalesce("p", F.lit(0)) + F.col("n")).alias("pending"), F.greatest("last", "l").alias("last_turn_at"), (F.col("new") | F.coalesce("h", F.lit(False))).alias("has_new"), "cursor_at", "cursor_id")
+
+
+def state_after_batch(state: DataFrame, batch: DataFrame, covered: DataFrame) -> DataFrame:
+    """The states of the sessions that had a batch (id, session, created_at) of their first open turns; covered: ids of the turns that are done now.
+
+    What was open and isn't in the batch comes after it, so it is new.
+    """
+    done = covered.select(F.col("id").alias("done")).distinct()
+    had = batch.join(done, F.col("id") == F.col("done"), "left").groupBy(_state_key()).agg(F.count("*").alias("n"), F.count("done").alias("m"), F.max(F.struct("created_at", "id")).alias("c"))
+    met = state.join(had, "key")
+    return met.select("key", *SESSION, (F.col("pending") - F.col("m")).alias("pending"), "last_turn_at", (F.col("pending") > F.col("n")).alias("has_new"), F.col("c.created_at").alias("cursor_at"), F.col("c.id").alias("cursor_id"))
+
+
+def state_status(state: DataFrame, now: Column, minutes: int = IDLE_MINUTES, cap: int = TURN_CAP) -> DataFrame:
+    """Trigger status of every session, as session_status tells it, from the states."""
+    inactivity = F.col("has_new") & (F.col("pending") > 0) & elapsed(now, F.col("last_turn_at"), minutes)
+    volume = F.col("has_new") & (F.col("pending") >= cap)
+    return state.select(*SESSION, "last_turn_at", "pending", "has_new").withColumn("inactivity", inactivity).withColumn("volume", volume).withColumn("due", inactivity | volume)
+
+
 def scope_status(pending: DataFrame, now: Column, minutes: int = IDLE_MINUTES, cap: int = ATOM_CAP) -> DataFrame:
     """Synthesis trigger of every scope with pending atoms."""
     out = pending.groupBy("scope").agg(F.count("*").alias("pending"), F.max("created_at").alias("last_atom_at"))

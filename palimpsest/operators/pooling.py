@@ -60,6 +60,17 @@ def sparse_vectors(texts: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("idx", weight.alias("w"))))).alias("sparse"))
 
 
+def sparse_encoded(texts: DataFrame, encoder: Callable[[list[str]], list[dict[int, float]]], limit: int = EMBED_CHARS) -> DataFrame:
+    """id, sparse (index -> weight) of texts (id, text, breadcrumb): cut, encoded by a hook, and of each index the greatest weight over the chunks."""
+
+    @F.pandas_udf("array<struct<idx:bigint,weight:double>>")
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([[{"idx": int(i), "weight": float(w)} for i, w in v.items()] for v in encoder(batch.fillna("").tolist())], dtype=object)
+
+    chunks = chunked_texts(texts, limit).withColumn("v", run("chunk")).select("id", F.inline("v"))
+    return pooled_sparse(chunks).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("idx", "weight")))).alias("sparse"))
+
+
 def encoded(texts: Column, encoder: Callable[[list[str]], list[list[float]]], dimensions: int) -> Column:
     """Hook of a dense encoder: a batch of texts in, a batch of vectors of `dimensions` out."""
 

@@ -140,10 +140,9 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int, block: int = QUERY
     return in_blocks(queries, answer, block=block)
 
 
-def lexical_topk(queries: DataFrame, lexical: InvertedIndex, k: int, within: DataFrame | None = None, hashed: bool = False) -> DataFrame:
-    """query_id, id, score, rank: sum of the weights that a point has for a query's terms. hashed: the lists are of stored vectors, whose terms are numbers."""
-    asked = query_weights(queries)
-    return lexical.topk(hashed_terms(asked) if hashed else asked, k, within)
+def lexical_topk(queries: DataFrame, lexical: InvertedIndex, k: int, within: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank: sum of the weights that a point has for a query's terms. asked: terms and their weights (query_id, term, weight), by default those of the texts."""
+    return lexical.topk(query_weights(queries) if asked is None else asked, k, within)
 
 
 def fuse(*ranked: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -193,6 +192,20 @@ def reranker_input(candidates: DataFrame) -> DataFrame:
     return candidates.select("query_id", "id", F.when(F.col("source_table") != "atoms", F.col("title")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
 
 
+def rerank_payloads(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, payload: a query and its candidates as JSON, for a model that scores them."""
+    one = F.struct("id", "title", "content")
+    packed = reranker_input(candidates).groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+    return packed.join(queries.select("query_id", "query"), "query_id").select("query_id", F.to_json(F.struct("query", "candidates"), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def scores_told(replies: DataFrame) -> DataFrame:
+    """query_id, id, model_score of replies; a reply that is no list of scores from 0 to 1 tells none, and of several scores the first counts."""
+    told = replies.withColumn("s", F.from_json("reply", schemas.SCORES)).where(F.forall("s", lambda x: F.coalesce(x["score"].between(0, 1) & x["id"].isNotNull(), F.lit(False))))
+    listed = told.select("query_id", F.posexplode("s").alias("pos", "s"))
+    return listed.groupBy("query_id", F.col("s.id").alias("id")).agg(F.min_by("s.score", "pos").alias("model_score"))
+
+
 def stubs(candidates: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """Best k of each query as (query_id, id, title, source_table); no reranking."""
     return first_n(candidates, ["query_id"], [F.desc("score"), "id"], k).select("query_id", "id", "title", "source_table")
@@ -208,15 +221,15 @@ def query_weights(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"), F.lit(1.0).alias("weight"))
 
 
-def search(queries: DataFrame, points: DataFrame, mode: str, k: int = TOP_K, lexical: InvertedIndex | None = None, hashed: bool = False) -> DataFrame:
-    """query_id, id, score, rank in one mode; queries have query_id, query and (but for bm25) vector. lexical: stored lists of these points or more, else lists are made of their texts."""
+def search(queries: DataFrame, points: DataFrame, mode: str, k: int = TOP_K, lexical: InvertedIndex | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank in one mode; queries have query_id, query and (but for bm25) vector. lexical: stored lists of these points or more, else lists are made of their texts; asked: see lexical_topk."""
     if mode not in ("vector", "bm25", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     dense = dense_topk(queries, points, k) if mode != "bm25" else None
     if mode == "vector":
         return dense
     within = points if lexical else None
-    sparse = lexical_topk(queries, lexical or InvertedIndex.of_texts(points, shared_folder(points.sparkSession, "lexical")), k, within, hashed)
+    sparse = lexical_topk(queries, lexical or InvertedIndex.of_texts(points, shared_folder(points.sparkSession, "lexical")), k, within, asked)
     return sparse if mode == "bm25" else fuse(dense, sparse, k=k)
 
 

@@ -39,13 +39,14 @@ CURSORS = "session_id string, scope string, cursor_at timestamp, cursor_id strin
 DOCUMENTS = "id string, project_id string, relative_path string, content_hash string, byte_size long, is_active boolean"
 CHUNKS = "document_id string, turn_id string, chunk_index int, heading string, start_line int, end_line int, is_active boolean"
 INDEX_POINTS = "id string, scope string, source_table string, title string, content string, project_id string, source_deleted boolean, superseded boolean, dense array<float>, sparse map<long,double>"
+SESSION_STATE = "key string, session_id string, scope string, pending long, last_turn_at timestamp, has_new boolean, cursor_at timestamp, cursor_id string"
 SCENES = "array<struct<scene_name:string,atoms:array<struct<statement:string,category:string,entity:string,predicate:string,confidence:double,source_turn_ids:array<string>,supersedes:string>>>>"
 DESTINATIONS = "array<struct<category:string,title:string,summary:string,atom_ids:array<string>,existing_row_id:string,owner:string,deadline:timestamp,status:string>>"
 SCORES = "array<struct<id:string,score:double>>"
 
 TABLES = {
     "turns": TURNS, "atoms": ATOMS, "atom_sources": ATOM_SOURCES, "entities": ENTITIES, "project_registry": PROJECTS, "l2_rows": L2_ROWS, "l2_atoms": L2_ATOMS,
-    "extraction_coverage": COVERAGE, "synthesis_coverage": COVERAGE, "extraction_attempts": CURSORS, "project_documents": DOCUMENTS, "project_document_chunks": CHUNKS, "index_points": INDEX_POINTS,
+    "extraction_coverage": COVERAGE, "synthesis_coverage": COVERAGE, "extraction_attempts": CURSORS, "project_documents": DOCUMENTS, "project_document_chunks": CHUNKS, "index_points": INDEX_POINTS, "session_state": SESSION_STATE,
 }
 
 

@@ -50,7 +50,7 @@ def rows(df, *columns):
 
 
 def test_a_run_isolates_what_fails(spark, tmp_path):
-    memory = Memory(spark, f"file://{tmp_path}/m")
+    memory = Memory(spark, f"file://{tmp_path}/m", buckets=2)
     worker = jobs.Jobs(memory, **judges(), turn_cap=2)
     said = [("a", "s", "user", "one", "e1"), ("a", "s", "assistant", "two", "e2"), ("a", "s", "user", "three", "e3"), ("b", "s", "user", "poison", None), ("c", "s", "user", "nonsense", None), ("d", "broken", "user", "four", None), ("d", "broken", "user", "five", None), ("f", "s", "user", "stray", None)]
     bad = worker.ingest(spark.createDataFrame([*said, ("e", "s", "robot", "x", None), ("e", "s", "user", "  ", None)], TURN), at(0))
@@ -87,7 +87,7 @@ def test_a_run_isolates_what_fails(spark, tmp_path):
 
 
 def test_documents_of_a_project(spark, tmp_path):
-    memory = Memory(spark, f"file://{tmp_path}/m")
+    memory = Memory(spark, f"file://{tmp_path}/m", buckets=2)
     memory.register_projects(spark.createDataFrame([("s", "Engine", [], None), ("s", "Other", [], None)], "scope string, name string, aliases array<string>, root_path string"))
     project, other = (r.id for r in memory.list_projects().collect())
     worker, t = jobs.Jobs(memory, **judges()), memory.store.table

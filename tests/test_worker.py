@@ -1,0 +1,198 @@
+"""The streamed worker, kept states, the ledger of replies and the hooks on its path."""
+
+import datetime as dt
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest import jobs, schemas
+from palimpsest.api import Memory
+from palimpsest.operators import pending
+from palimpsest.sources import ledger, serial
+from palimpsest.sources.snapshot import SnapshotStore
+from palimpsest.streaming.worker import StreamWorker
+
+T0 = dt.datetime(2024, 1, 1)
+TURN = "session_id string, scope string, source string, content string, source_event_id string"
+
+
+def at(minutes):
+    return F.lit(T0 + dt.timedelta(minutes=minutes))
+
+
+def judge_into(path):
+    """A judge that notes each call in a file of its own."""
+
+    def judge(payload):
+        import json
+        import os
+        import uuid
+
+        p = json.loads(payload)
+        with open(os.path.join(path, uuid.uuid4().hex), "w") as out:
+            out.write(payload)
+        ids = [t["id"] for t in p["new_turns"]]
+        said = " ".join(sorted(t["content"] for t in p["new_turns"]))
+        return json.dumps([{"scene_name": "talk", "atoms": [{"statement": said, "category": "fact", "confidence": 0.9, "source_turn_ids": ids}]}])
+
+    return judge
+
+
+def shown(memory):
+    t = memory.store.table
+    known = {r.id: r.source_event_id for r in t("turns").collect()}
+    state = sorted((r.session_id, r.pending, r.has_new, known.get(r.cursor_id)) for r in t("session_state").collect())
+    return sorted(known.values()), sorted((r.scope, r.statement) for r in t("atoms").collect()), sorted(known[r.id] for r in t("extraction_coverage").collect()), state, t("index_points").count()
+
+
+def lines(said):
+    return "\n".join(json.dumps(dict(zip(("session_id", "scope", "source", "content", "source_event_id"), s, strict=True))) for s in said)
+
+
+def test_a_killed_worker_goes_on_where_it_was(spark, tmp_path):
+    batches = [[("a", "s", "user", f"a{k}", f"a{k}") for k in range(3)], [("a", "s", "user", "a1 again", "a1"), ("b", "s", "user", "b0", "b0"), ("b", "s", "user", "b1", "b1")]]
+    made = {}
+    for name in ("whole", "killed"):
+        base = tmp_path / name
+        for folder in ("calls", "in", "checkpoint"):
+            (base / folder).mkdir(parents=True)
+        memory = Memory(spark, f"file://{base}/m", buckets=4)
+        worker = jobs.Jobs(memory, judge_into(str(base / "calls")), turn_cap=2)
+        stream = StreamWorker(worker, now=at(5))
+        run = lambda: stream.start(spark.readStream.schema(TURN).json(f"file://{base}/in"), f"file://{base}/checkpoint", every=None).awaitTermination()  # noqa: B023, E731
+        for k, said in enumerate(batches):
+            (base / "in" / f"{k}.json").write_text(lines(said))
+            if name == "killed":  # once after the turns are in, once after a phase has committed
+                for broken in ("run_once", "synthesize"):
+                    real = getattr(worker, broken)
+
+                    def crash(*a, **b):
+                        raise RuntimeError("killed")
+
+                    setattr(worker, broken, crash)
+                    worker.judges["synthesis"] = (lambda p: "[]") if broken == "synthesize" else None
+                    with pytest.raises(Exception, match="killed"):
+                        run()
+                    setattr(worker, broken, real)
+                worker.judges["synthesis"] = None
+                versions = memory.store.versions()
+                run()
+                assert memory.store.versions() == versions  # all of the batch was there
+            else:
+                run()
+        made[name] = shown(memory)
+        assert len(os.listdir(base / "calls")) == 2  # one for each batch that a session had
+    assert made["whole"] == made["killed"]
+    turns, atoms, covered, state, points = made["whole"]
+    assert turns == ["a0", "a1", "a2", "b0", "b1"] and [a[1] for a in atoms][1:] == ["b0 b1"] and points == 2
+    assert len(covered) == 4 and [s[:3] for s in state] == [("a", 1, True), ("b", 0, False)]
+
+
+def test_kept_states_equal_those_counted(spark, tmp_path):
+    """After any mix of turns, batches, failures and late turns."""
+    (tmp_path / "calls").mkdir()
+    memory = Memory(spark, f"file://{tmp_path}/m", buckets=4)
+    worker = jobs.Jobs(memory, judge_into(str(tmp_path / "calls")), turn_cap=3)
+    turns = lambda said: spark.createDataFrame([(s, "s", "user", c, f"{s}{c}") for s, c in said], TURN)
+    keys = ("session_id", "scope", "pending", "has_new", "last_turn_at", "cursor_at", "cursor_id")
+    kept = lambda: sorted(tuple(r[k] for k in keys) for r in memory.store.table("session_state").collect())
+    counted = lambda: sorted(tuple(r[k] for k in keys) for r in worker._counted(memory.store.table("turns")).collect())
+    worker.ingest(turns([("a", "1"), ("a", "2"), ("b", "1")]), at(0))
+    assert kept() == counted()
+    worker.ingest(turns([("a", "3"), ("a", "4"), ("c", "1"), ("a", "1")]), at(1))
+    assert kept() == counted()
+    worker.extract(at(2))
+    assert kept() == counted() and {r[0]: r[2] for r in kept()} == {"a": 1, "b": 1, "c": 1}
+    worker.ingest(turns([("a", "late")]), at(-60))
+    assert kept() == counted()
+    worker.extract(at(60))
+    assert kept() == counted()
+    worker.upkeep()
+    assert kept() == counted()
+    status = pending.state_status(memory.store.table("session_state"), at(60), 15, 3)
+    assert {r.session_id for r in status.where("due").collect()} <= {"a", "b", "c"}
+
+
+def test_phases_fail_apart_and_drains_tell_what_is_left(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    memory = Memory(spark, f"file://{tmp_path}/m", buckets=2)
+    worker = jobs.Jobs(memory, judge_into(str(tmp_path / "calls")), synthesis_judge=lambda p: "[]", turn_cap=2)
+    worker.ingest(spark.createDataFrame([("a", "s", "user", f"say {k}", str(k)) for k in range(4)], TURN), at(0))
+
+    def broken(*a, **b):
+        raise OSError("no disk")
+
+    worker.synthesize = broken
+    run = worker.run_once(at(1))
+    assert run.done["extraction"] == 1 and "no disk" in run.failed["synthesis"]
+    total = worker.drain(at(1), most=1)
+    assert total.left and total.done["extraction"] == 1
+    assert not worker.drain(at(1), most=2).left
+
+
+def test_a_payload_is_asked_once(spark, tmp_path):
+    """A job that fails keeps the replies of its other tasks; what failed or was rejected is asked again."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(payload):
+        import os
+        import time
+        import uuid
+
+        first = not any(n.startswith(payload) for n in os.listdir(str(calls)))
+        open(os.path.join(str(calls), f"{payload}-{uuid.uuid4().hex}"), "w").close()
+        if payload == "dies" and first:
+            time.sleep(4)
+            os._exit(1)
+        if payload == "fails":
+            raise RuntimeError("down")
+        return payload.upper()
+
+    book = ledger.ReplyLedger(SnapshotStore(spark, f"file://{tmp_path}/store"), "test")
+    payloads = spark.createDataFrame([(k, p) for k, p in enumerate(["a", "b", "dies", "c", "a", "fails"])], "key int, payload string")
+    with pytest.raises(Exception):  # noqa: B017
+        book.ask(payloads, model).collect()
+    got = {r.key: (r.reply, r.error) for r in book.ask(payloads, model).collect()}
+    assert got == {0: ("A", None), 1: ("B", None), 2: ("DIES", None), 3: ("C", None), 4: ("A", None), 5: (None, "RuntimeError: down")}
+    times = [n.rpartition("-")[0] for n in os.listdir(calls)]
+    assert {p: times.count(p) for p in "abc"} == {"a": 1, "b": 1, "c": 1} and times.count("dies") == 2 and times.count("fails") == 2
+    book.reject(book.ask(payloads.where("key = 1"), model).select("asked"))
+    assert book.ask(payloads.where("key < 2"), model).where("reply IS NOT NULL").count() == 2
+    times = [n.rpartition("-")[0] for n in os.listdir(calls)]
+    assert times.count("a") == 1 and times.count("b") == 2
+
+
+def test_reranker_and_sparse_encoder_hooks(spark, tmp_path):
+    def rerank(payload):
+        import json
+
+        p = json.loads(payload)
+        if p["query"] == "broken":
+            return json.dumps([{"id": p["candidates"][0]["id"], "score": 7}])
+        return json.dumps([{"id": c["id"], "score": 0.9} for c in p["candidates"] if "basalt" in c["content"]] + [{"id": "of none", "score": 1.0}])
+
+    def sparse(texts):
+        return [{len(w): 1.0 for w in t.split()} for t in texts]  # words of one length are one term
+
+    memory = Memory(spark, f"file://{tmp_path}/m", buckets=2, reranker=rerank, sparse_encoder=sparse)
+    ids = {r.statement: r.id for r in memory.remember(spark.createDataFrame([("s", "quartz", "fact"), ("s", "basalt", "fact"), ("s", "ore", "fact")], "scope string, statement string, category string")).collect()}
+    assert {r.id: list(r.sparse) for r in memory.store.table("index_points").collect()} == {ids["quartz"]: [6], ids["basalt"]: [6], ids["ore"]: [3]}
+    asked = spark.createDataFrame([(0, "quartz"), (1, "broken")], "query_id int, query string")
+    got = {(r.query_id, r.id): round(r.score, 3) for r in memory.recall(asked, scope="s", sources=["atoms"]).collect()}
+    assert got == {(0, ids["basalt"]): 0.9, (0, ids["quartz"]): 1.0, (1, ids["basalt"]): 0.2, (1, ids["quartz"]): 0.2}
+
+
+def test_serializers(spark):
+    row = {"id": "1", "session_id": "x", "scope": "s", "source": "user", "content": "é", "created_at": T0, "source_path": "a.md", "source_start_line": 3}
+    fields = [f.split()[0] for f in schemas.TURNS.split(", ")]
+    turns = spark.createDataFrame([tuple(row.get(f) for f in fields), tuple({**row, "created_at": T0 + dt.timedelta(microseconds=5), "source_path": None, "source_start_line": None}.get(f) for f in fields)], schemas.TURNS)
+    first, second = (json.loads(r.json) for r in serial.turns(turns).collect())
+    assert first == {"id": "1", "session_id": "x", "scope": "s", "source": "user", "content": "é", "tool_name": None, "tool_call_id": None, "source_event_id": None, "created_at": "2024-01-01T00:00:00+00:00", "source_path": "a.md", "source_start_line": 3}
+    assert second["created_at"] == "2024-01-01T00:00:00.000005+00:00" and "source_path" not in second
+    projects = spark.createDataFrame([("p", "s", "N", None, None)], "id string, scope string, name string, aliases array<string>, root_path string")
+    assert json.loads(serial.projects(projects).first().json) == {"id": "p", "scope": "s", "name": "N", "aliases": [], "root_path": None}
+    atoms = spark.createDataFrame([(1, "s", "st", "fact", "asserted")], "id long, scope string, statement string, category string, origin string")
+    assert json.loads(serial.atoms(atoms).first().json) == {"id": "1", "scope": "s", "statement": "st", "category": "fact", "origin": "asserted", "entity": None, "predicate": None}
