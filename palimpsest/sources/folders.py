@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root and sc._jsc.sc().getCheckpointDir().isDefined():
         root = sc._jsc.sc().getCheckpointDir().get()
     if not root:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not re.match(r"local(\[.*\])?$", sc.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         sc.setCheckpointDir(root)
