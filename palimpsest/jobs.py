@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .api import Memory
 from .functions.text import uuid5
-from .operators import extraction, mutations, pending, provenance, synthesis, validation, versioning
+from .operators import extraction, liveness, mutations, pending, provenance, synthesis, validation, versioning
 from .sources import markdown
 from .sources.ledger import ReplyLedger
 
@@ -120,10 +120,11 @@ class Jobs:
         return pending.state_status(state, now, self.idle_minutes, self.turn_cap)
 
     def upkeep(self) -> int:
-        """Remove marks of covered turns that no atom stands on, and count the sessions' states anew."""
+        """Remove marks of covered turns that no atom stands on, and count the sessions' states and the atoms' live sources anew."""
         t = self.store.table
         self.store.commit({"extraction_coverage": self.store.staged(mutations.covered_by_sources(t("extraction_coverage"), t("atom_sources")))})
-        return self.store.commit({"session_state": self.store.staged(self._counted(t("turns")))})
+        counts = liveness.source_counts(t("atom_sources"), t("project_document_chunks"), t("project_documents"))
+        return self.store.commit({"session_state": self.store.staged(self._counted(t("turns"))), "source_counts": self.store.staged(counts.select(*t("source_counts").columns))})
 
     def import_documents(self, folder: str, project: str, now: Column | None = None) -> dict[str, int]:
         """Import a folder of Markdown files as the documents of a project: counts of imported, unchanged, deleted, chunks, stale atoms, removed sections."""
@@ -137,7 +138,8 @@ class Jobs:
         active = documents.where((F.col("project_id") == project) & F.col("is_active"))
         diff = store.staged(versioning.version_diff(active, files))
         gone = diff.where("status IN ('changed', 'deleted')")
-        cascade = versioning.deactivation_cascade(gone, documents, chunks, edges, atoms, t("l2_atoms"))
+        live = self._live_off(gone, documents, chunks, edges, atoms)
+        cascade = versioning.deactivation_cascade(gone, documents, chunks, edges, atoms, t("l2_atoms"), live)
         sizes = files.select(*versioning.KEY, F.col("content_hash").alias("h"), F.col("byte_size").alias("size"))
         after = versioning.next_documents(documents, diff).join(sizes, versioning.KEY, "left")
         after = after.withColumn("byte_size", F.when(F.col("h") == F.col("content_hash"), F.col("size")).otherwise(F.col("byte_size"))).select(*documents.columns)
@@ -162,17 +164,40 @@ class Jobs:
         off = sections.select(F.col("row_id").alias("off"))
         own = F.col("category") == schemas.PROJECT_CATEGORIES[0]
         removed = stale.unionByName(sections.select(F.col("row_id").alias("id")))
+        chunks_after = store.staged(mutations.insert_or_update(cascade["chunks"], new_chunks, ["document_id", "chunk_index"], update))
+        whole, merge, emptied = {}, {"atoms": forgotten}, {"index_points": removed}
+        if live is None:
+            whole["source_counts"] = store.staged(liveness.source_counts(edges, chunks_after, after).select(*t("source_counts").columns))
+        else:
+            edited = diff.where("status <> 'unchanged'").select(*versioning.KEY)
+            edits = lambda docs: docs.join(edited, versioning.KEY, "left_semi")
+            change = store.staged(liveness.document_changes(edges, liveness.live_turns(chunks, edits(documents)), liveness.live_turns(chunks_after, edits(after))))
+            merge["source_counts"], emptied["source_counts"] = self._counts_after(change), change
         store.commit({
-            "project_documents": after, "project_document_chunks": mutations.insert_or_update(cascade["chunks"], new_chunks, ["document_id", "chunk_index"], update),
+            **whole, "project_documents": after, "project_document_chunks": chunks_after,
             "turns": mutations.document_turns(turns, new_turns),
             "l2_rows": rows.join(off, own & (F.col("id") == F.col("off")), "left_anti"), "l2_atoms": links.join(off, own & (F.col("row_id") == F.col("off")), "left_anti"),
             "synthesis_coverage": pending.not_in(t("synthesis_coverage"), refresh),
-        }, merge={"atoms": forgotten}, gone={"index_points": removed})
+        }, merge=merge, gone=emptied)
         counts = versioning.import_counts(diff).first()
         told = counts.asDict() if counts else {"imported": 0, "unchanged": 0, "deleted": 0}
         told.pop("project_id", None)
         return told | {"chunks": cut.count(), "stale": stale.count(), "sections": sections.count()}
 
+    def _counts_after(self, change: DataFrame) -> DataFrame:
+        """Live sources of the atoms of a change, with it; only their buckets are read."""
+        return liveness.changed_counts(self.store.rows_of("source_counts", change), change).select(*self.store.table("source_counts").columns)
+
+    def _live_off(self, gone: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, atoms: DataFrame) -> DataFrame | None:
+        """Live sources of the atoms on the paths that go, without these; None where the store keeps no counts yet."""
+        if "source_counts" not in self.store.manifest():
+            return None
+        off = liveness.live_turns(chunks, documents.join(gone.select(*versioning.KEY), versioning.KEY, "left_semi"))
+        change = liveness.document_changes(edges, off, None)
+        touched = versioning.touched_atoms(gone, documents, chunks, edges, atoms).select(F.col("id").alias("atom_id"))
+        keys = self.store.staged(touched.unionByName(change.select("atom_id")).distinct())
+        return self.store.staged(liveness.changed_counts(self.store.rows_of("source_counts", keys), change))
+
     # --- judged jobs
 
     def _ask(self, phase: str, payloads: DataFrame, schema: str) -> DataFrame:
@@ -227,15 +252,19 @@ class Jobs:
         after = atoms.unionByName(delta["atoms"].select(*atoms.columns))
         cursors, changed = t("extraction_attempts"), extraction.reindexed(delta["atoms"], after)
         points, hidden = self.memory.index_changes(after.join(changed, "id", "left_semi").select(*after.columns), None, after)
-        merge = {"index_points": points}
+        merge, emptied = {"index_points": points}, {"index_points": hidden}
+        linked = self.store.staged(mutations.new_edges(edges, delta["atom_sources"]))
+        if "source_counts" in self.store.manifest():
+            change = self.store.staged(liveness.edge_changes(linked, None, chunks, t("project_documents")))
+            merge["source_counts"], emptied["source_counts"] = self._counts_after(change), change
         if not project and self._has_state():
             done = batch.join(good, keys, "left_semi")
             covered = delta["extraction_coverage"].select("id").unionByName(delta["atom_sources"].select(F.col("turn_id").alias("id")))
             merge["session_state"] = pending.state_after_batch(self.store.rows_of("session_state", pending.state_keys(done)), done, covered)
         self.store.commit(
-            {"extraction_attempts": mutations.advance_cursor(cursors, delta["extraction_attempts"])}, merge=merge, gone={"index_points": hidden}, batch=commit_of,
+            {"extraction_attempts": mutations.advance_cursor(cursors, delta["extraction_attempts"])}, merge=merge, gone=emptied, batch=commit_of,
             append={
-                "atoms": delta["atoms"].select(*atoms.columns), "atom_sources": mutations.new_edges(edges, delta["atom_sources"]),
+                "atoms": delta["atoms"].select(*atoms.columns), "atom_sources": linked,
                 "entities": delta["entities"].select(*entities.columns), "extraction_coverage": mutations.new_edges(coverage, delta["extraction_coverage"]),
             },
         )

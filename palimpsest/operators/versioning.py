@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import liveness
+
 KEY = ["project_id", "relative_path"]
 
 
@@ -56,15 +58,26 @@ def stale_atoms(candidates: DataFrame, atoms: DataFrame, edges: DataFrame, chunk
     return own.join(live, (F.col("id") == F.col("a")) & (F.col("project_id") == F.col("p")), "left_anti")
 
 
-def deactivation_cascade(paths: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, atoms: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
-    """What switching paths off does: chunks, documents, stale (atom ids), sections (row ids to delete), refresh (atoms to summarise anew)."""
+def touched_atoms(paths: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, atoms: DataFrame) -> DataFrame:
+    """id of the atoms of a project that stand on any chunk of its paths."""
+    hit = documents.join(paths.select(*KEY).distinct(), KEY, "left_semi").select(F.col("id").alias("document_id"), F.col("project_id").alias("p"))
+    met = edges.join(chunks.join(hit, "document_id").select("turn_id", "p"), "turn_id").join(atoms.select(F.col("id").alias("atom_id"), "project_id"), "atom_id")
+    return met.where("project_id = p").select(F.col("atom_id").alias("id")).distinct()
+
+
+def deactivation_cascade(paths: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, atoms: DataFrame, links: DataFrame, counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What switching paths off does: chunks, documents, stale (atom ids), sections (row ids to delete), refresh (atoms to summarise anew).
+
+    counts: live sources of the atoms touched, as they are with the paths off
+    (liveness); without them, they are looked for among all edges.
+    """
     gone = paths.select(*KEY).distinct()
     hit = documents.join(gone, KEY, "left_semi").select(F.col("id").alias("document_id"), F.col("project_id").alias("p"))
-    touched = edges.join(chunks.join(hit, "document_id").select("turn_id", "p"), "turn_id").join(atoms.select(F.col("id").alias("atom_id"), "project_id"), "atom_id").where("project_id = p").select(F.col("atom_id").alias("id")).distinct()
+    touched = touched_atoms(gone, documents, chunks, edges, atoms)
     chunks_after = deactivate_chunks(chunks, documents, gone)
     off = hit.select(F.col("document_id").alias("d"))
     documents_after = documents.join(off, F.col("id") == F.col("d"), "left").withColumn("is_active", F.col("is_active") & F.col("d").isNull()).drop("d")
-    stale = stale_atoms(touched, atoms, edges, chunks_after, documents_after).select("id")
+    stale = stale_atoms(touched, atoms, edges, chunks_after, documents_after).select("id") if counts is None else liveness.without_sources(touched, atoms, counts)
     own = links.where("category = 'project_sections'")
     sections = own.join(touched.select(F.col("id").alias("t")), F.col("atom_id") == F.col("t"), "left_semi").select("row_id").distinct()
     beside = own.join(sections, "row_id", "left_semi").select(F.col("atom_id").alias("id")).distinct()

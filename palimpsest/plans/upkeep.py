@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chunking, text
-from ..operators import agent, mutations, quality_gate, synthesis, versioning
+from ..operators import agent, liveness, mutations, quality_gate, synthesis, versioning
 from . import model
 
 CATALOG = model.Catalog()
@@ -142,6 +142,25 @@ def stale_atom_cascade(t):
 _SECTIONS = f"(SELECT DISTINCT row_id FROM l2_atoms WHERE category = 'project_sections' AND atom_id IN (SELECT atom_id FROM {_HIT}))"
 
 
+_COUNTED = "SELECT e.atom_id, d.project_id, count(*) AS live FROM edges e JOIN chunks c ON c.turn_id = e.turn_id AND c.is_active JOIN doc_versions d ON d.id = c.document_id AND d.is_active"
+
+
+@add("live_source_counts", f"{_COUNTED} GROUP BY 1, 2")
+def live_source_counts(t):
+    return liveness.source_counts(t("edges"), t("chunks"), t("doc_versions"))
+
+
+@add("live_sources_after_edits", f"{_COUNTED} WHERE e.turn_id % 7 <> 3 AND d.relative_path NOT IN {_PATHS} GROUP BY 1, 2")
+def live_sources_after_edits(t):
+    """Counts from before, with what two edits change: paths are switched off, then edges go."""
+    edges, chunks, documents = t("edges"), t("chunks"), t("doc_versions")
+    gone = documents.where("id % 40 = 7").select(*versioning.KEY).distinct()
+    paths_off = liveness.document_changes(edges, liveness.live_turns(chunks, documents.join(gone, versioning.KEY, "left_semi")), None)
+    left = documents.join(gone, versioning.KEY, "left_anti")
+    edges_off = liveness.edge_changes(None, edges.where("turn_id % 7 = 3"), chunks, left)
+    return liveness.changed_counts(liveness.source_counts(edges, chunks, documents), paths_off, edges_off)
+
+
 @add("removed_sections", f"SELECT row_id FROM {_SECTIONS}")
 def removed_sections(t):
     return _cascade(t)["sections"]

@@ -30,6 +30,7 @@ CONFIDENCE_FLOOR, CONFIDENCE_GATE = 0.5, 0.8
 TURNS = "id string, session_id string, scope string, source string, content string, tool_name string, tool_call_id string, source_event_id string, source_path string, source_heading string, source_start_line int, source_end_line int, source_hash string, created_at timestamp"
 ATOMS = "id string, scope string, statement string, category string, origin string, scene_name string, entity_id string, predicate string, confidence float, supersedes string, source_deleted boolean, project_id string, created_at timestamp"
 ATOM_SOURCES = "atom_id string, turn_id string"
+SOURCE_COUNTS = "atom_id string, project_id string, live long"
 ENTITIES = "id string, scope string, name string, aliases array<string>, created_at timestamp"
 PROJECTS = "id string, scope string, name string, normalized_name string, aliases array<string>, root_path string, created_at timestamp, updated_at timestamp"
 L2_ROWS = "category string, id string, scope string, project_id string, title string, summary string, owner string, deadline timestamp, status string, created_at timestamp, updated_at timestamp"
@@ -46,7 +47,7 @@ SCORES = "array<struct<id:string,score:double>>"
 
 TABLES = {
     "turns": TURNS, "atoms": ATOMS, "atom_sources": ATOM_SOURCES, "entities": ENTITIES, "project_registry": PROJECTS, "l2_rows": L2_ROWS, "l2_atoms": L2_ATOMS,
-    "extraction_coverage": COVERAGE, "synthesis_coverage": COVERAGE, "extraction_attempts": CURSORS, "project_documents": DOCUMENTS, "project_document_chunks": CHUNKS, "index_points": INDEX_POINTS, "session_state": SESSION_STATE,
+    "extraction_coverage": COVERAGE, "synthesis_coverage": COVERAGE, "extraction_attempts": CURSORS, "project_documents": DOCUMENTS, "project_document_chunks": CHUNKS, "index_points": INDEX_POINTS, "session_state": SESSION_STATE, "source_counts": SOURCE_COUNTS,
 }
 
 

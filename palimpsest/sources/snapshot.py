@@ -19,7 +19,7 @@ from .. import schemas
 
 MOST_FOLDERS = 16
 #: Tables that are changed row by row, and the key of their rows.
-BUCKETED = {"atoms": "id", "index_points": "id", "session_state": "key"}
+BUCKETED = {"atoms": "id", "index_points": "id", "session_state": "key", "source_counts": "atom_id"}
 BUCKETS = 64
 _BUCKET = "_bucket"
 #: Seconds that a commit waits for a manifest that another writer has begun.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import jobs, schemas
 from palimpsest.api import Memory
+from palimpsest.operators import liveness
 
 T0 = dt.datetime(2024, 1, 1)
 TURN = "session_id string, scope string, source string, content string, source_event_id string"
@@ -86,6 +87,12 @@ def test_a_run_isolates_what_fails(spark, tmp_path):
     assert len(found) == 2 and all(r.entity == "Ada L" and r.scope == "s" for r in found)
 
 
+def counts_hold(t):
+    """Whether the kept counts of live sources are those counted anew."""
+    anew = liveness.source_counts(t("atom_sources"), t("project_document_chunks"), t("project_documents"))
+    return rows(t("source_counts"), "atom_id", "project_id", "live") == rows(anew, "atom_id", "project_id", "live")
+
+
 def test_documents_of_a_project(spark, tmp_path):
     memory = Memory(spark, f"file://{tmp_path}/m", buckets=2)
     memory.register_projects(spark.createDataFrame([("s", "Engine", [], None), ("s", "Other", [], None)], "scope string, name string, aliases array<string>, root_path string"))
@@ -106,6 +113,7 @@ def test_documents_of_a_project(spark, tmp_path):
     assert turn.source_event_id == f"project-document:{project}:a.md:{turn.source_hash}:0" == turn.tool_call_id
     assert rows(t("atoms"), "project_id", "statement") == [(project, "2 turns, 0 known")]
     assert rows(t("l2_rows"), "category", "project_id", "title") == [("project_sections", project, "Topic")]
+    assert counts_hold(t) and [r.live for r in t("source_counts").collect()] == [2]
     assert counts(worker.import_documents(str(folder), project, at(10))) == (0, 2, 0, 0)
     assert worker.extract(at(10), project=True).asked == {"project_extraction": 0}
     # records of a project are seen with it alone
@@ -121,6 +129,7 @@ def test_documents_of_a_project(spark, tmp_path):
     (folder / "b.md").unlink()
     third = worker.import_documents(str(folder), project, at(20))
     assert counts(third) == (1, 0, 1, 1) and (third["stale"], third["sections"]) == (1, 1)
+    assert counts_hold(t) and t("source_counts").count() == 0
     assert t("atoms").where("source_deleted").count() == 1 and t("l2_rows").count() == 0 and t("l2_atoms").count() == 0 and t("index_points").count() == 0
     assert rows(t("project_documents").where("is_active"), "relative_path") == [("a.md",)] and t("project_documents").count() == 3
     # back to the old text: its version and its turn come back
@@ -131,6 +140,9 @@ def test_documents_of_a_project(spark, tmp_path):
     assert [(r.relative_path, r.byte_size) for r in active] == [("a.md", 10)]
     assert t("turns").where("source_path = 'a.md'").count() == 2
     assert rows(jobs.sections_of(t("l2_rows"), project), "title") == []
+    assert counts_hold(t) and [r.live for r in t("source_counts").collect()] == [1]
+    worker.upkeep()
+    assert counts_hold(t)
 
 
 def test_scopes(spark, tmp_path):
