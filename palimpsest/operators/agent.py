@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MESSAGE_PREFIX, blank_to_null, event_key, find_issue_key, serialized, session_uuid
+from ..functions.text import MESSAGE_PREFIX, blank_to_null, canonical_json, event_key, find_issue_key, serialized, session_uuid
 
 # Words that lead a message to a workflow, in order of precedence; target states; headers and
 # options of a dialogue that decide.
@@ -23,14 +23,68 @@ CANCEL, OTHER_HEADER, RECALL, PROJECT_HEADER, OTHER = "Cancel", "Other options",
 MESSAGES = "array<struct<role:string,content:string,tool_calls:array<struct<tool_name:string,tool_call_id:string,tool_args:string>>,tool_name:string,tool_call_id:string>>"
 
 
+def _found(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _spelled(value: Column) -> Column:
+    """text and whether it is JSON, of a variant: a string is its own text, JSON null has none."""
+    kind = F.schema_of_variant(value)
+    text = F.when(kind == "STRING", _found(value, "$", "string")).when(kind != "VOID", F.to_json(value))
+    return F.struct(text.alias("text"), F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False)).alias("is_json"))
+
+
+def tool_call(call: Column) -> Column:
+    """tool_name, tool_call_id and tool_args (text, is_json) of a tool call (variant), in any of the shapes that agents give.
+
+    A name or id that is blank gives way to the next; arguments that are there as
+    null are null, and others aren't looked for. What is no object has none of them.
+    """
+    first = lambda *paths: F.coalesce(*[blank_to_null(_found(call, p, "string")) for p in paths])
+    return F.struct(
+        first("$.tool_name", "$.function.name").alias("tool_name"), first("$.tool_call_id", "$.id").alias("tool_call_id"),
+        _spelled(F.coalesce(*[_found(call, p) for p in ("$.tool_args", "$.arguments", "$.function.arguments")])).alias("tool_args"),
+    )
+
+
+def _message(message: Column) -> Column:
+    own = lambda name: _found(message, f"$.{name}", "string")
+    calls = F.transform(_found(message, "$.tool_calls", "array<variant>"), tool_call)
+    return F.struct(own("role").alias("role"), _spelled(_found(message, "$.content")).alias("content"), calls.alias("tool_calls"), own("tool_name").alias("tool_name"), own("tool_call_id").alias("tool_call_id"))
+
+
+def _typed_message(message: Column) -> Column:
+    text = lambda c: F.struct(c.alias("text"), F.lit(False).alias("is_json"))
+    call = lambda c: F.struct(c["tool_name"].alias("tool_name"), c["tool_call_id"].alias("tool_call_id"), text(c["tool_args"]).alias("tool_args"))
+    return F.struct(message["role"].alias("role"), text(message["content"]).alias("content"), F.transform(message["tool_calls"], call).alias("tool_calls"), message["tool_name"].alias("tool_name"), message["tool_call_id"].alias("tool_call_id"))
+
+
+def _messages(runs: DataFrame) -> Column:
+    """Messages of runs in one form, whether they are MESSAGES, JSON text or variants."""
+    kind = runs.schema["messages"].dataType.simpleString()
+    if kind not in ("string", "variant"):
+        return F.transform("messages", _typed_message)
+    whole = F.try_parse_json("messages") if kind == "string" else F.col("messages")
+    return F.transform(F.coalesce(_found(whole, "$", "array<variant>"), _found(whole, "$.messages", "array<variant>")), _message)
+
+
+def _written(spelled: Column) -> Column:
+    """The text of what _spelled gives: JSON in its canonical form, strings trimmed; null for blank."""
+    return F.when(spelled["is_json"], canonical_json(F.when(spelled["is_json"], spelled["text"]))).otherwise(serialized(spelled["text"]))
+
+
 def run_events(runs: DataFrame) -> DataFrame:
-    """Events of runs (run_id, session_id, scope, content, messages as in MESSAGES): run_id, session_id, scope, position, source, content, tool_name, tool_call_id, source_event_id.
+    """Events of runs (run_id, session_id, scope, content, messages): run_id, session_id, scope, position, source, content, tool_name, tool_call_id, source_event_id.
 
+    messages: as in MESSAGES; or JSON text or a variant, an array of messages or an
+    object that holds one, with tool calls in any shape (tool_call) and contents
+    that may be JSON of their own. Text that is no JSON holds no messages.
     Tool calls come before their message's content. A run without any assistant
     text gives its own content as the assistant's.
     """
     keep = ["run_id", "session_id", "scope"]
-    said = runs.select(*keep, F.posexplode("messages").alias("m", "message"))
+    read = runs.select(*keep, "content", _messages(runs).alias("messages"))
+    said = read.select(*keep, F.posexplode("messages").alias("m", "message"))
     assistant, tool = said.where("message.role = 'assistant'"), said.where("message.role = 'tool'")
     number = F.col("m").cast("string")
 
@@ -40,28 +94,21 @@ def run_events(runs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     calls = assistant.select(*keep, "m", F.posexplode("message.tool_calls").alias("c", "call"))
     call_events = event(
-        calls, F.struct(F.col("m").alias("m"), F.col("c").alias("c")), "assistant", F.coalesce(serialized(F.col("call.tool_args")), F.lit("{}")), blank_to_null(F.col("call.tool_name")), blank_to_null(F.col("call.tool_call_id")),
+        calls, F.struct(F.col("m").alias("m"), F.col("c").alias("c")), "assistant", F.coalesce(_written(F.col("call.tool_args")), F.lit("{}")), blank_to_null(F.col("call.tool_name")), blank_to_null(F.col("call.tool_call_id")),
         F.concat(F.lit("message:"), number, F.lit(":tool:"), F.col("c").cast("string")),
     )
     end = F.struct(F.col("m").alias("m"), F.lit(1 << 30).alias("c"))
-    texts = event(assistant, end, "assistant", serialized(F.col("message.content")), none, none, F.concat(F.lit("message:"), number, F.lit(":content"))).where("content IS NOT NULL")
+    content = _written(F.col("message.content"))
+    texts = event(assistant, end, "assistant", content, none, none, F.concat(F.lit("message:"), number, F.lit(":content"))).where("content IS NOT NULL")
     suffix = F.concat(F.lit("message:"), number, F.lit(":tool-result"))
     call_id = F.coalesce(blank_to_null(F.col("message.tool_call_id")), event_key(F.col("run_id"), suffix), F.concat(F.lit(MESSAGE_PREFIX), number, F.lit("-tool-result")))
-    results = event(tool, end, "tool", serialized(F.col("message.content")), blank_to_null(F.col("message.tool_name")), call_id, suffix).where("content IS NOT NULL")
-    silent = runs.where(~F.exists(F.coalesce("messages", F.array().cast(MESSAGES)), lambda m: (m["role"] == "assistant") & serialized(m["content"]).isNotNull()))
+    results = event(tool, end, "tool", content, blank_to_null(F.col("message.tool_name")), call_id, suffix).where("content IS NOT NULL")
+    speaks = F.exists("messages", lambda m: F.coalesce((m["role"] == "assistant") & serialized(m["content"]["text"]).isNotNull(), F.lit(False)))
+    silent = read.where(~F.coalesce(speaks, F.lit(False)))
     closing = event(silent, F.struct(F.lit(1 << 30).alias("m"), F.lit(0).alias("c")), "assistant", serialized(F.col("content")), none, none, F.lit("assistant")).where("content IS NOT NULL")
     return call_events.unionByName(texts).unionByName(results).unionByName(closing)
 
 
-def tool_call(call: Column) -> Column:
-    """tool_name, tool_call_id and tool_args of a tool call as JSON, in any of the shapes that agents give."""
-    first = lambda *paths: F.coalesce(*[blank_to_null(F.get_json_object(call, p)) for p in paths])
-    return F.struct(
-        first("$.tool_name", "$.function.name").alias("tool_name"), first("$.tool_call_id", "$.id").alias("tool_call_id"),
-        F.coalesce(*[F.get_json_object(call, p) for p in ("$.tool_args", "$.arguments", "$.function.arguments")]).alias("tool_args"),
-    )
-
-
 def asked_events(runs: DataFrame) -> DataFrame:
     """What users asked runs (run_id, session_id, scope, input): an event like those of run_events for each input that isn't blank."""
     none = F.lit(None).cast("string")

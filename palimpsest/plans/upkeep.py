@@ -279,6 +279,39 @@ def issue_keys(t):
     return t("part").select("p_partkey", text.issue_key(F.concat(F.lit(" scrum  "), s("p_partkey"))).alias("issue"), text.find_issue_key(F.concat(F.lit("see ab"), s("p_size"), F.lit("-"), s("p_partkey"), F.lit(", then x-y"))).alias("found"))
 
 
+_RUN_ID = "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING))"
+_RUN_KEY = f"concat('{text.EVENT_PREFIX}', {_RUN_ID}, ':"
+_ARGS = """CASE conv_id % 5 WHEN 3 THEN 'plain words' WHEN 4 THEN '{}' ELSE concat('{"k": ', CAST(turn AS STRING), ', "q": ["', role, '", null, true]}') END"""
+
+
+@add("run_events", f"""SELECT {_RUN_ID} AS run_id, 0 AS message, 'assistant' AS source, {_ARGS} AS content, {model.pick('conv_id % 5', ['recall', 'find', 'grep', 'note'])} AS tool_name, CASE WHEN conv_id % 5 < 4 THEN concat('c', CAST(turn AS STRING)) END AS tool_call_id, {_RUN_KEY}message:0:tool:0') AS source_event_id FROM conversations
+    UNION ALL SELECT {_RUN_ID}, 1, 'tool', concat('{{"n": ', CAST(turn AS STRING), ', "ok": true}}'), 'recall', CASE WHEN turn % 2 = 0 THEN concat('c', CAST(turn AS STRING)) ELSE {_RUN_KEY}message:1:tool-result') END, {_RUN_KEY}message:1:tool-result') FROM conversations
+    UNION ALL SELECT {_RUN_ID}, CASE WHEN role = 'assistant' THEN 2 ELSE -1 END, 'assistant', CASE WHEN role = 'assistant' THEN trim(text) ELSE 'done' END, NULL, NULL, CASE WHEN role = 'assistant' THEN {_RUN_KEY}message:2:content') ELSE {_RUN_KEY}assistant') END FROM conversations WHERE role <> 'assistant' OR trim(text) <> ''
+    UNION ALL SELECT {_RUN_ID}, -1, 'assistant', 'done', NULL, NULL, {_RUN_KEY}assistant') FROM conversations WHERE role = 'assistant' AND trim(text) = ''""")
+def run_events(t):
+    """A run of three messages for each row of conversations, as JSON; its tool call has one of five shapes."""
+    shape, call = F.col("conv_id") % 5, F.concat(F.lit("c"), F.col("turn").cast("string"))
+    args = F.struct(F.array(F.col("role"), F.lit(None).cast("string"), F.lit("@true")).alias("q"), F.col("turn").alias("k"))
+    lit = lambda v, name: F.lit(v).alias(name)
+    shapes = [
+        F.struct(lit("recall", "tool_name"), call.alias("tool_call_id"), args.alias("tool_args")),
+        F.struct(call.alias("id"), F.struct(lit("find", "name"), args.alias("arguments")).alias("function")),
+        F.struct(lit("", "tool_name"), call.alias("id"), F.struct(lit("grep", "name"), lit("unread", "arguments")).alias("function"), args.alias("arguments")),
+        F.struct(lit("note", "tool_name"), call.alias("tool_call_id"), lit(" plain words ", "tool_args")),
+    ]
+    told = F.lit('{"tool_args": null, "arguments": {"unread": 1}}')
+    for k, s in enumerate(shapes):
+        told = F.when(shape == k, F.to_json(s)).otherwise(told)
+    told = F.replace(told, F.lit('"@true"'), F.lit("true"))
+    result = F.to_json(F.struct(lit("tool", "role"), F.struct(F.lit(True).alias("ok"), F.col("turn").alias("n")).alias("content"), lit("recall", "tool_name"), F.when(F.col("turn") % 2 == 0, call).alias("tool_call_id")))
+    last = F.to_json(F.struct("role", F.col("text").alias("content")))
+    json = F.concat(F.lit('[{"role": "assistant", "content": null, "tool_calls": ['), told, F.lit("]}, "), result, F.lit(", "), last, F.lit("]"))
+    run = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    runs = t("conversations").select(run.alias("run_id"), F.col("conv_id").cast("string").alias("session_id"), F.lit("s").alias("scope"), F.lit("done").alias("content"), json.alias("messages"))
+    number = F.when(F.col("position.m") < 1 << 30, F.col("position.m")).otherwise(-1)
+    return agent.run_events(runs).select("run_id", number.alias("message"), "source", "content", "tool_name", "tool_call_id", "source_event_id")
+
+
 @add("feedback_phases", """SELECT user_id AS run_id, CASE WHEN d IS NOT NULL THEN d WHEN p THEN 'other_pending' END AS phase FROM (SELECT user_id, arg_min(dec, event_id) FILTER (dec IS NOT NULL) AS d, max(value < 30 AND event_id % 3 = 0) AS p FROM
     (SELECT *, CASE WHEN value > 99.5 THEN 'cancelled' WHEN value > 98 AND event_id % 3 = 1 THEN 'generic_recall' END AS dec FROM events) GROUP BY user_id)""")
 def feedback_phases(t):

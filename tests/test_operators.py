@@ -407,9 +407,25 @@ def test_capture_of_whole_runs(spark):
     got = agent.captured_turns(runs).collect()
     assert sorted((r.source, r.content, r.source_event_id) for r in got) == [("assistant", "bye", "agno:r2:assistant"), ("assistant", "hi", "agno:r1:message:0:content"), ("user", "hello", "agno:r1:user")]
     assert len({r.session_id for r in got}) == 1 and len(got[0].session_id) == 36
-    calls = ['{"tool_name": "grep", "tool_call_id": "1", "tool_args": {"q": "x"}}', '{"id": "2", "function": {"name": "find", "arguments": "{}"}}', '{"tool_name": " ", "arguments": "a"}', "{}"]
-    told = [tuple(r.c) for r in spark.createDataFrame([(c,) for c in calls], "j string").select(agent.tool_call(F.col("j")).alias("c")).collect()]
-    assert told[:2] == [("grep", "1", '{"q":"x"}'), ("find", "2", "{}")] and told[2][1:] == (None, "a") and told[3] == (None, None, None)
+
+
+def test_tool_calls_of_any_shape(spark):
+    calls = ['{"tool_name": "grep", "tool_call_id": "1", "tool_args": {"q": "x"}}', '{"id": 2, "function": {"name": "find", "arguments": "{}"}}', '{"tool_name": "", "tool_args": null, "arguments": "a"}', "{}", '"text"', "null"]
+    told = [tuple(r.c) for r in spark.createDataFrame([(c,) for c in calls], "j string").select(agent.tool_call(F.parse_json("j")).alias("c")).collect()]
+    assert told == [("grep", "1", ('{"q":"x"}', True)), ("find", "2", ("{}", False)), (None, None, (None, False)), (None, None, (None, False)), (None, None, (None, False)), (None, None, (None, False))]
+
+
+def test_run_events_of_json(spark):
+    """Arrays, objects that hold one, variants, contents of any kind, and what is no JSON."""
+    one = '[{"role": "assistant", "content": null, "tool_calls": [{"id": "c1", "function": {"name": "remember", "arguments": {"b": "é", "a": [1, 2.5]}}}, "odd"]}, {"role": "tool", "content": {"ok": true}, "tool_name": "remember", "tool_call_id": ""}, 7, null, {"role": "assistant", "content": " said ", "tool_calls": null, "extra": {}}]'
+    data = [("1", one), ("2", '{"messages": [{"role": "assistant", "content": 5}]}'), ("3", "no json"), ("4", None), ("5", "[]"), ("6", '[{"role": "assistant", "content": "  "}]')]
+    runs = spark.createDataFrame([(i, "s", "sc", "own", m) for i, m in data], "run_id string, session_id string, scope string, content string, messages string")
+    want = [("1", "assistant", '{"a": [1, 2.5], "b": "\\u00e9"}', "remember", "c1"), ("1", "assistant", "{}", None, None), ("1", "tool", '{"ok": true}', "remember", "agno:1:message:1:tool-result"), ("1", "assistant", "said", None, None)]
+    want += [("2", "assistant", "5", None, None)] + [(i, "assistant", "own", None, None) for i in "3456"]
+    for form in (runs, runs.withColumn("messages", F.try_parse_json("messages"))):
+        got = agent.run_events(form).orderBy("run_id", "position").collect()
+        assert [(r.run_id, r.source, r.content, r.tool_name, r.tool_call_id) for r in got] == want
+    assert agent.run_events(runs.limit(0)).count() == 0
 
 
 def test_inputs_of_intents(spark):
