@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..jobs import Jobs, Run
+from ..sources import markdown
 
 #: Columns of turns as they come; those that a stream lacks are null.
 COLUMNS = ["session_id", "scope", "source", "content", "tool_name", "tool_call_id", "source_event_id", "source_path", "source_heading", "source_start_line", "source_end_line", "source_hash"]
@@ -43,3 +44,19 @@ class StreamWorker:
         turns = turns.select(*[c for c in COLUMNS if c in turns.columns])
         writer = turns.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
+class FolderWorker:
+    """Imports a project's folder again whenever files in it change. An import that is run twice finds nothing new the second time."""
+
+    def __init__(self, jobs: Jobs, folder: str, project: str, now: Column | None = None):
+        self.jobs, self.folder, self.project, self.now = jobs, folder, project, now
+        self.told: list[dict[str, int]] = []
+
+    def batch(self, files: DataFrame, number: int) -> None:
+        if not files.isEmpty():
+            self.told.append(self.jobs.import_documents(self.folder, self.project, self.now))
+
+    def start(self, checkpoint: str, every: str = "30 seconds", settle_seconds: float = markdown.SETTLE_SECONDS) -> StreamingQuery:
+        changes = markdown.stream_markdown(self.jobs.memory.spark, self.folder, settle_seconds=settle_seconds).select("relative_path")
+        return changes.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import schemas
-from palimpsest.sources import index, markdown, snapshot
+from palimpsest.sources import folder_source, index, markdown, snapshot
 
 
 def test_markdown_folder(spark, tmp_path):
@@ -26,6 +26,63 @@ def test_markdown_folder(spark, tmp_path):
         markdown.read_markdown(spark, str(tmp_path)).collect()
 
 
+def test_links_and_ignored_folders_are_passed_over(spark, tmp_path):
+    """Neither links to files nor to folders are followed, a loop among them; Spark's own reader gives the same rows but for links."""
+    outside, root = tmp_path / "outside", tmp_path / "docs"
+    (outside).mkdir()
+    (outside / "o.md").write_text("outside")
+    (root / "sub" / "deep").mkdir(parents=True)
+    (root / "a.md").write_text("a")
+    (root / "sub" / "deep" / "B.MD").write_text("é\r\nb")
+    (root / "sub" / "none.md").write_text("")
+    (root / "sub" / "x.mdx").write_text("x")
+    (root / "build").mkdir()
+    (root / "build" / "c.md").write_text("c")
+    want = [("a.md", "a", 1), ("sub/deep/B.MD", "é\r\nb", 5), ("sub/none.md", "", 0)]
+    told = lambda df: sorted((r.relative_path, r.content, r.byte_size) for r in df.collect())
+    assert told(markdown._binary_files(spark, str(root), 100)) == want
+    (root / "linked").symlink_to(outside)
+    (root / "loop").symlink_to(root)
+    (root / "l.md").symlink_to(outside / "o.md")
+    for folder in (str(root), f"file://{root}", f"{root}/"):
+        assert told(markdown.read_markdown(spark, folder)) == want
+    assert told(markdown.read_markdown(spark, str(root / "build"))) == [("c.md", "c", 1)]
+    (root / "none").mkdir()
+    assert told(markdown.read_markdown(spark, str(root / "none"))) == []
+    with pytest.raises(Exception, match="there is no folder"):
+        markdown.read_markdown(spark, str(root / "missing")).collect()
+
+
+def test_partitions_of_files():
+    f = folder_source.Found
+    got = folder_source.packed([f("d", 0, 0), f("a", 6, 0), f("c", 3, 0), f("b", 4, 0), f("e", 20, 0), f("f", 1, 0)], 10)
+    assert [p.paths for p in got] == [("a", "b"), ("c", "d"), ("e",), ("f",)]
+    assert folder_source.packed([], 10) == []
+
+
+def test_a_folder_as_a_stream(spark, tmp_path):
+    """Each file once, changed ones again; a stopped stream goes on where it was."""
+    root = tmp_path / "docs"
+    root.mkdir()
+
+    def run():
+        out = str(tmp_path / "out")
+        stream = markdown.stream_markdown(spark, str(root), settle_seconds=0).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).start()
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+        return sorted((r.relative_path, r.content) for r in spark.read.schema(folder_source.SCHEMA).parquet(out).collect())
+
+    (root / "a.md").write_text("one")
+    (root / "b.md").write_text("b")
+    assert run() == [("a.md", "one"), ("b.md", "b")]
+    assert run() == [("a.md", "one"), ("b.md", "b")]
+    (root / "a.md").write_text("two")
+    (root / "c.md").write_text("")
+    assert run() == [("a.md", "one"), ("a.md", "two"), ("b.md", "b"), ("c.md", "")]
+
+
 def test_snapshots(spark, tmp_path):
     store = snapshot.SnapshotStore(spark, f"file://{tmp_path}/store")
     assert store.versions() == [] and store.table("atom_sources").count() == 0

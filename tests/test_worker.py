@@ -12,7 +12,7 @@ from palimpsest.api import Memory
 from palimpsest.operators import pending
 from palimpsest.sources import ledger, serial
 from palimpsest.sources.snapshot import SnapshotStore
-from palimpsest.streaming.worker import StreamWorker
+from palimpsest.streaming.worker import FolderWorker, StreamWorker
 
 T0 = dt.datetime(2024, 1, 1)
 TURN = "session_id string, scope string, source string, content string, source_event_id string"
@@ -196,3 +196,28 @@ def test_serializers(spark):
     assert json.loads(serial.projects(projects).first().json) == {"id": "p", "scope": "s", "name": "N", "aliases": [], "root_path": None}
     atoms = spark.createDataFrame([(1, "s", "st", "fact", "asserted")], "id long, scope string, statement string, category string, origin string")
     assert json.loads(serial.atoms(atoms).first().json) == {"id": "1", "scope": "s", "statement": "st", "category": "fact", "origin": "asserted", "entity": None, "predicate": None}
+
+
+def test_a_watched_folder_is_imported_when_it_changes(spark, tmp_path):
+    memory = Memory(spark, f"file://{tmp_path}/m", buckets=2)
+    memory.register_projects(spark.createDataFrame([("s", "Engine", [], None)], "scope string, name string, aliases array<string>, root_path string"))
+    project = memory.list_projects().first().id
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text("# A\n\nfirst")
+    (folder / "b.md").write_text("# B\n\nsecond")
+    watcher = FolderWorker(jobs.Jobs(memory), str(folder), project, at(0))
+
+    def until_done():
+        stream = watcher.start(str(tmp_path / "check"), "0 seconds", settle_seconds=0)
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+        return [(c["imported"], c["unchanged"], c["deleted"]) for c in watcher.told]
+
+    assert until_done() == [(2, 0, 0)]
+    (folder / "a.md").write_text("# A\n\nchanged")
+    (folder / "b.md").unlink()
+    assert until_done() == [(2, 0, 0), (1, 0, 1)]
+    assert [r.relative_path for r in memory.store.table("project_documents").where("is_active").collect()] == ["a.md"]
