@@ -16,6 +16,8 @@ Vectors go with the lists: with MIN_SHARED at 2, nearly every member of a list h
 a candidate in it, so that fetching them afterwards would move as much again.
 
 Each length of vectors has pivots of its own, and only vectors of one length meet.
+Where random vectors are so near to one another that few are apart, as those of texts
+often are, pivots are taken closer, more of them, and prefixes are longer (LEVELS).
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite
 component, and rows with a null vec_id link with nothing; their component is their
@@ -26,7 +28,9 @@ each other. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +41,18 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .storage import Scratch, table
 
+logger = logging.getLogger(__name__)
+
 THRESHOLD = 0.95
 PREFIX, MIN_SHARED = 8, 2
 #: The number of pivots is PIVOT_RATE times the root of the number of vectors, within these bounds.
 PIVOT_RATE, PIVOTS_LEAST, PIVOTS_MOST = 3.0, 64, 32768
-#: Pivots are taken from so many times as many vectors, with cosines below APART.
-PIVOT_OFFER, APART = 2, 0.75
+#: Pivots are taken from so many times as many vectors.
+PIVOT_OFFER = 2
+#: The cosine that pivots are below of one another, and by how much prefixes and the number of pivots grow. A later
+#: level is taken only where the one before gives less than ENOUGH of its number, and the later at least BETTER times as many.
+LEVELS = ((0.75, 1.0, 1.0), (0.85, 1.5, 3.0), (0.9, 1.75, 4.0))
+ENOUGH, BETTER = 0.25, 2.0
 #: Vectors of a list that make a block, and candidates that are verified at a time.
 BLOCK, AT_ONCE = 1024, 1 << 14
 
@@ -58,20 +68,36 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def apart(offered: np.ndarray, most: int) -> np.ndarray:
-    """The first `most` of the vectors offered that are not within APART of one taken before.
+def apart(offered: np.ndarray, most: int, below: float = LEVELS[0][0]) -> np.ndarray:
+    """The first `most` of the vectors offered that have cosines under `below` with all taken before.
 
     A dense group so has one pivot. Several would be ordered by chance within the group.
     """
     taken = np.empty((most, offered.shape[1]))
     n = 0
     for x in offered:
-        if n < most and (n == 0 or (taken[:n] @ x).max() < APART):
+        if n == most:
+            break
+        if n == 0 or (taken[:n] @ x).max() < below:
             taken[n] = x
             n += 1
     return taken[:n]
 
 
+def chosen(offer: Callable[[int], np.ndarray], most: int, prefix: int) -> tuple[np.ndarray, int]:
+    """Pivots, and how many of the nearest describe a vector. offer: gives that many vectors, at the most."""
+    best, length = None, prefix
+    for below, longer, times in LEVELS:
+        wanted = min(int(most * times), max(most, PIVOTS_MOST))
+        offered = offer(PIVOT_OFFER * wanted)
+        found = apart(offered, wanted, below)
+        if best is None or len(found) >= BETTER * len(best):
+            best, length = found, round(prefix * longer)
+        if len(best) >= min(ENOUGH * wanted, len(offered)):
+            break
+    return best, length
+
+
 def _classes(batches):
     """vec_id, embedding -> vec_id, width, vec (bytes) and key of usable vectors, nulls for others."""
     for batch in batches:
@@ -98,8 +124,8 @@ def _matrix(column, width: int) -> np.ndarray:
     return out
 
 
-def _nearest(pivots: dict[int, tuple[int, np.ndarray]], prefix: int):
-    """mapInArrow function; pivots: by width, the number of the first and the vectors. Rows of other widths are left out."""
+def _nearest(pivots: dict[int, tuple[int, np.ndarray, int]]):
+    """mapInArrow function; pivots: by width, the number of the first, the vectors, and how many describe one. Rows of other widths are left out."""
 
     def run(batches):
         for batch in batches:
@@ -107,7 +133,7 @@ def _nearest(pivots: dict[int, tuple[int, np.ndarray]], prefix: int):
             for width in np.unique(widths).tolist():
                 if width not in pivots:
                     continue
-                first, points = pivots[width]
+                first, points, prefix = pivots[width]
                 own = batch if (widths == width).all() else batch.filter(pa.array(widths == width))
                 for a in range(0, own.num_rows, 4096):
                     part = own.slice(a, 4096)
@@ -176,6 +202,16 @@ def _compare(threshold: float, min_shared: int):
     return run
 
 
+def _offer(classes: DataFrame, width: int):
+    """Gives the first vectors by their keys, that is, by hash."""
+
+    def offer(most: int) -> np.ndarray:
+        rows = classes.select("vec_key", "vec").orderBy("vec_key").limit(most).collect()
+        return unit(np.stack([np.frombuffer(r["vec"], np.float32 if len(r["vec"]) == 4 * width else np.float64) for r in rows]))
+
+    return offer
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, prefix: int = PREFIX, min_shared: int = MIN_SHARED, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors."""
     spark = vectors.sparkSession
@@ -187,10 +223,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     points, taken = {}, 0
     for width, n in sorted(classes.groupBy("width").count().where("count > 1").collect()):
         most = pivots or pivot_count(n)
-        offered = classes.where(F.col("width") == width).select("vec_key", "vec").orderBy("vec_key").limit(PIVOT_OFFER * most).collect()
-        points[width] = taken, apart(unit(np.stack([np.frombuffer(r["vec"], np.float32 if len(r["vec"]) == 4 * width else np.float64) for r in offered])), most)
-        taken += len(points[width][1])
-    indexed = classes.select("width", "rep", "vec", "weight").mapInArrow(_nearest(points, prefix), "width int, rep long, vec binary, weight long, nearest array<int>")
+        found, length = chosen(_offer(classes.where(F.col("width") == width), width), most, prefix)
+        if len(found) < min(PIVOTS_LEAST, n) and len(found) < most:
+            logger.warning("%d pivots for %d vectors of width %d: lists are long, results are whole", len(found), n, width)
+        points[width] = taken, found, length
+        taken += len(found)
+    indexed = classes.select("width", "rep", "vec", "weight").mapInArrow(_nearest(points), "width int, rep long, vec binary, weight long, nearest array<int>")
     indexed = scratch.keep(indexed, "indexed")
     lists = indexed.select(F.explode("nearest").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select(F.col("pivot").alias("p"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
     dealt = indexed.select("width", "rep", "vec", "weight", "nearest", F.explode("nearest").alias("pivot")).join(F.broadcast(lists), F.col("pivot") == F.col("p"))

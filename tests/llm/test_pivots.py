@@ -1,6 +1,7 @@
 """Near vectors against brute force over all pairs."""
 
 import numpy as np
+import pytest
 
 from palimpsest.llm import pivots
 
@@ -83,6 +84,49 @@ def test_recall_of_many_links(spark):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.995 * len(want)
 
 
+def crowded(n, partners, dims, mean, seed=5):
+    """Unit vectors of a mean cosine of `mean`, and partners of some of them at cosines of 0.95 to 0.985."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rng = np.random.default_rng(seed)
+    x = unit(np.sqrt(mean) * unit(rng.normal(size=(1, dims))) + np.sqrt(1 - mean) * unit(rng.normal(size=(n, dims))))
+    base, off = x[:partners], rng.normal(size=(partners, dims))
+    cosine = rng.uniform(0.95, 0.985, (partners, 1))
+    off = unit(off - (off * base).sum(1, keepdims=True) * base)
+    return x, base * cosine + off * np.sqrt(1 - cosine**2)
+
+
+@pytest.mark.parametrize(("dims", "mean"), [(64, 0.0), (64, 0.8), (384, 0.8), (64, 0.85)])
+def test_lists_of_crowded_vectors_are_short(dims, mean):
+    """20,000 vectors: of all pairs, lists hold under 0.35 (an index of all pairs would be at 1), and partners share pivots."""
+    x, partners = crowded(20_000, 1000, dims, mean)
+    points, prefix = pivots.chosen(lambda most: x[-most:], pivots.pivot_count(len(x)), pivots.PREFIX)
+    near = lambda v: np.argpartition(-(v @ points.T), prefix - 1, axis=1)[:, :prefix]
+    of_all, of_partners = near(x), near(partners)
+    listed = np.bincount(of_all.ravel()).astype(float)
+    assert (listed**2).sum() / len(x) ** 2 < 0.35
+    shared = [len(set(a) & set(b)) for a, b in zip(of_all[:1000].tolist(), of_partners.tolist())]
+    assert np.mean(np.array(shared) >= pivots.MIN_SHARED) >= 0.99
+    assert (prefix == pivots.PREFIX) == (mean == 0.0)
+
+
+def test_crowded_vectors_equal_brute_force(spark):
+    x, partners = crowded(3000, 600, 64, 0.8)
+    rows = [(i, [float(np.float32(a)) for a in v], 0) for i, v in enumerate(np.vstack([x, partners]))]
+    want = brute(rows)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in result(spark, rows, block=256)}
+    assert sum(w[0] for w in want.values()) >= 1000
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(g[0] for g in got.values()) >= 0.99 * sum(w[0] for w in want.values())
+
+
+def test_one_pivot_for_a_dense_group_however_large():
+    rng = np.random.default_rng(3)
+    spread, dense = rng.normal(size=(200, 64)), rng.normal(size=(1, 64)) + rng.normal(size=(1800, 64)) * 0.02
+    x = pivots.unit(rng.permutation(np.vstack([spread, dense])))
+    points, _ = pivots.chosen(lambda most: x[:most], 134, 8)
+    assert len(points) > 50 and ((points @ pivots.unit(dense[:1])[0]) > 0.9).sum() <= 1
+
+
 def test_candidates_share_pivots_and_meet_once():
     nearest = np.array([[3, 5, 9], [5, 3, 1], [9, 4, 5], [7, 8, 2], [3, 5, 9]])
 
