@@ -29,9 +29,11 @@ def matched_rows(destinations: DataFrame, rows: DataFrame, by: list[str] = ["cat
     for b in by:
         same &= F.col(b) == F.col(f"r_{b}")
     named = destinations.where("existing_row_id IS NOT NULL").join(own, same & (F.col("existing_row_id") == F.col("r_id")), "left")
-    titled = destinations.where("existing_row_id IS NULL").join(own, same & (F.lower("title") == F.lower("r_title")), "left")
-    latest = F.row_number().over(Window.partitionBy("destination_id").orderBy(F.desc("r_updated"), "r_id"))
-    titled = titled.withColumn("__n", latest).where("__n = 1").drop("__n")
+    # one row of each title is kept before destinations meet them: many rows may share a title
+    label = F.lower("r_title")
+    latest = F.row_number().over(Window.partitionBy(*[f"r_{b}" for b in by], label).orderBy(F.desc("r_updated"), "r_id"))
+    newest = own.where(label.isNotNull()).withColumn("__n", latest).where("__n = 1").drop("__n")
+    titled = destinations.where("existing_row_id IS NULL").join(newest, same & (F.lower("title") == label), "left")
     out = named.unionByName(titled)
     return out.withColumn("row_id", F.col("r_id")).withColumn("settled", F.col("r_summary")).select(*destinations.columns, "row_id", "settled")
 

@@ -249,6 +249,16 @@ def test_gates(spark):
     assert gated([1, 2], project=True) == "Settled text.\n\n" + note + "weak"
 
 
+def test_titles_meet_one_row_of_each_title(spark):
+    """The join by title gives a row for each destination at once, however many rows share the title."""
+    l2 = spark.createDataFrame([("docs", k, "s", "Topic" if k % 2 else "TOPIC", f"text {k}", None, None, None, T0, ago(k // 2 % 7)) for k in range(60)] + [("docs", 90, "s", None, "untitled", None, None, None, T0, T0)], ROWS)
+    d = spark.createDataFrame([(k % 30, "docs", "s", "topic", "New.", [], None, None, None, None) for k in range(40)] + [(50, "docs", "s", None, "New.", [], None, None, None, None), (51, "docs", "s", "other", "New.", [], 7, None, None, None)], DEST)
+    met = synthesis.matched_rows(d, l2)
+    assert rows(met, "destination_id", "row_id", "settled") == sorted([(k % 30, 0, "text 0") for k in range(40)] + [(50, None, None), (51, 7, "text 7")], key=str)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "destination_id" not in "".join(line for line in plan.splitlines() if "Window" in line)
+
+
 def test_task_upsert(spark):
     l2 = spark.createDataFrame([("tasks", 1, "s", "A", "a", "Ada", T0, "doing", T0, T0), ("docs", 2, "s", "B", "b", None, None, None, T0, T0)], ROWS)
     d = spark.createDataFrame([(1, "tasks", "s", "a", "a2", [], None, None, None, None), (2, "docs", "s", "b", "b2", [], None, "x", None, "done"), (3, "tasks", "s", "new", "n", [], None, "Bob", None, None)], DEST)
