@@ -47,22 +47,37 @@ def deactivate_chunks(chunks: DataFrame, documents: DataFrame, paths: DataFrame)
 
 def active_sources(edges: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """atom_id, project_id of atoms that an active chunk of an active document is a source of."""
-    live = chunks.where("is_active").select("turn_id", "document_id").join(documents.where("is_active").select(F.col("id").alias("document_id"), "project_id"), "document_id")
-    return edges.join(live, "turn_id").select("atom_id", "project_id").distinct()
+    return edges.join(_active_turns(chunks, documents), "turn_id").select("atom_id", "project_id").distinct()
+
+
+def _active_turns(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """turn_id, project_id of active chunks of active documents."""
+    on = documents.where("is_active").select(F.col("id").alias("document_id"), "project_id")
+    return chunks.where("is_active").select("turn_id", "document_id").join(on, "document_id").select("turn_id", "project_id")
+
+
+def _own_edges(edges: DataFrame, atoms: DataFrame, turns: DataFrame) -> DataFrame:
+    """atom_id, own of the edges of a project's atoms to turns (turn_id, project_id) of that project.
+
+    An atom's project comes first, so that an edge is met or not: a turn of many chunks doesn't repeat it.
+    """
+    own = edges.select("atom_id", "turn_id").join(atoms.where("project_id IS NOT NULL").select(F.col("id").alias("atom_id"), F.col("project_id").alias("own")), "atom_id")
+    met = turns.select(F.col("turn_id").alias("t"), F.col("project_id").alias("p"))
+    return own.join(met, (F.col("turn_id") == F.col("t")) & (F.col("own") == F.col("p")), "left_semi").select("atom_id", "own")
 
 
 def stale_atoms(candidates: DataFrame, atoms: DataFrame, edges: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Those of candidates (id) without any active source in their project."""
-    live = active_sources(edges, chunks, documents).select(F.col("atom_id").alias("a"), F.col("project_id").alias("p"))
+    live = _own_edges(edges, atoms, _active_turns(chunks, documents)).select(F.col("atom_id").alias("a"), F.col("own").alias("p"))
     own = atoms.where("project_id IS NOT NULL").join(candidates.select(F.col("id").alias("c")).distinct(), F.col("id") == F.col("c"), "left_semi")
     return own.join(live, (F.col("id") == F.col("a")) & (F.col("project_id") == F.col("p")), "left_anti")
 
 
 def touched_atoms(paths: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, atoms: DataFrame) -> DataFrame:
     """id of the atoms of a project that stand on any chunk of its paths."""
-    hit = documents.join(paths.select(*KEY).distinct(), KEY, "left_semi").select(F.col("id").alias("document_id"), F.col("project_id").alias("p"))
-    met = edges.join(chunks.join(hit, "document_id").select("turn_id", "p"), "turn_id").join(atoms.select(F.col("id").alias("atom_id"), "project_id"), "atom_id")
-    return met.where("project_id = p").select(F.col("atom_id").alias("id")).distinct()
+    hit = documents.join(paths.select(*KEY).distinct(), KEY, "left_semi").select(F.col("id").alias("document_id"), "project_id")
+    turns = chunks.select("turn_id", "document_id").join(hit, "document_id").select("turn_id", "project_id")
+    return _own_edges(edges, atoms, turns).select(F.col("atom_id").alias("id")).distinct()
 
 
 def deactivation_cascade(paths: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, atoms: DataFrame, links: DataFrame, counts: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -77,7 +92,8 @@ def deactivation_cascade(paths: DataFrame, documents: DataFrame, chunks: DataFra
     chunks_after = deactivate_chunks(chunks, documents, gone)
     off = hit.select(F.col("document_id").alias("d"))
     documents_after = documents.join(off, F.col("id") == F.col("d"), "left").withColumn("is_active", F.col("is_active") & F.col("d").isNull()).drop("d")
-    stale = stale_atoms(touched, atoms, edges, chunks_after, documents_after).select("id") if counts is None else liveness.without_sources(touched, atoms, counts)
+    # chunks as they were: those switched off have inactive documents now
+    stale = stale_atoms(touched, atoms, edges, chunks, documents_after).select("id") if counts is None else liveness.without_sources(touched, atoms, counts)
     own = links.where("category = 'project_sections'")
     sections = own.join(touched.select(F.col("id").alias("t")), F.col("atom_id") == F.col("t"), "left_semi").select("row_id").distinct()
     beside = own.join(sections, "row_id", "left_semi").select(F.col("atom_id").alias("id")).distinct()

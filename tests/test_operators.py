@@ -288,6 +288,22 @@ def test_cascade(spark):
     assert rows(out["chunks"], "turn_id", "is_active") == [("t1", False), ("t2", True)] and rows(out["documents"], "id", "is_active") == [("d1", False), ("d2", True)]
 
 
+def test_cascade_meets_an_edge_once(spark):
+    """A turn of many chunks and many edges gives no pairs of them; projects of others don't count."""
+    docs = spark.createDataFrame([(f"d{k}", "pq"[k % 2], "a.md" if k < 30 else "b.md", "h", 1, True) for k in range(60)], schemas.DOCUMENTS)
+    chunks = spark.createDataFrame([(f"d{k}", "t", 0, "H", 1, 2, k != 32) for k in range(60) if k < 30 or k % 2 == 0], schemas.CHUNKS)
+    edges = spark.createDataFrame([(f"x{k}", "t") for k in range(60)], schemas.ATOM_SOURCES)
+    atoms = spark.createDataFrame([(f"x{k}", "pqr"[k % 3] if k % 4 else None, False) for k in range(60)], "id string, project_id string, source_deleted boolean")
+    gone = docs.where("relative_path = 'a.md'").select(*versioning.KEY).distinct()
+    touched = versioning.touched_atoms(gone, docs, chunks, edges, atoms)
+    assert rows(touched) == sorted((f"x{k}",) for k in range(60) if k % 4 and k % 3 < 2)
+    after = docs.withColumn("is_active", F.col("relative_path") != "a.md")
+    assert rows(versioning.stale_atoms(touched, atoms, edges, chunks, after), "id") == sorted((f"x{k}",) for k in range(60) if k % 4 and k % 3 == 1)
+    for df in (touched, versioning._own_edges(edges, atoms, versioning._active_turns(chunks, after))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert [line for line in plan.splitlines() if "Join" in line and "turn_id" in line and "LeftSemi" not in line] == []
+
+
 def test_quality_gate(spark):
     data = [("a", 1, "100.0"), ("a", 2, "x"), ("b", 1, "n"), ("c", 1, "1"), ("c", 2, None)] + [("d", k, "1") for k in range(9)] + [("d", 9, "bad")]
     records = quality_gate.transform(spark.createDataFrame(data, "batch_id string, id int, amount string"))
