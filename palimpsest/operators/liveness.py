@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import parts_of
+
 ATOM = ["atom_id", "project_id"]
 TURN = ["turn_id", "project_id"]
 
@@ -49,7 +51,8 @@ def changed_counts(counts: DataFrame, *changes: DataFrame) -> DataFrame:
     out = counts.select(*ATOM, "live")
     for change in changes:
         out = out.unionByName(change.select(*ATOM, "live"))
-    out = out.groupBy(*ATOM).agg(F.sum("live").alias("live")).where("live <> 0")
+    # dealt anew, so that no task sums up the counts and all their changes at once
+    out = out.repartition(parts_of(out), *ATOM).groupBy(*ATOM).agg(F.sum("live").alias("live")).where("live <> 0")
     low = F.raise_error(F.concat(F.lit("fewer than no live sources of atom "), F.col("atom_id").cast("string"))).cast("long")
     return out.withColumn("live", F.when(F.col("live") > 0, F.col("live")).otherwise(low))
 
@@ -63,4 +66,6 @@ def without_sources(candidates: DataFrame, atoms: DataFrame, counts: DataFrame)
 
 def _of_atoms(edges: DataFrame, turns: DataFrame, n=None) -> DataFrame:
     n = F.col("n") if n is None else n
-    return edges.where("atom_id IS NOT NULL").join(turns.where("project_id IS NOT NULL"), "turn_id").groupBy(*ATOM).agg(F.sum(n).alias("live")).where("live <> 0")
+    parts = parts_of(edges)
+    met = edges.where("atom_id IS NOT NULL").repartition(parts, "turn_id").join(turns.where("project_id IS NOT NULL").repartition(parts, "turn_id"), "turn_id")
+    return met.select(*ATOM, n.alias("n")).repartition(parts, *ATOM).groupBy(*ATOM).agg(F.sum("n").alias("live")).where("live <> 0")

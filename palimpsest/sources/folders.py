@@ -27,6 +27,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path.toString()
 
 
+#: Bytes of stored tables for one partition of a join whose rows grow with them.
+PART_BYTES = 2 << 20
+
+
+def parts_of(*tables: DataFrame) -> int:
+    """Partitions for a join of tables: as many as shuffles have, more where the files that the tables are read from are large, so that a task's rows don't grow with them."""
+    spark = tables[0].sparkSession
+    files = sum(size for _, size, _ in fingerprint(*tables))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files // PART_BYTES))
+
+
 def fingerprint(*tables: DataFrame) -> tuple:
     """Paths, lengths and times of the files that the tables are read from: equal as long as the files are."""
     out = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import schemas
 from palimpsest.operators import liveness, versioning
+from palimpsest.sources import folders
 
 
 class Model:
@@ -90,3 +91,19 @@ def test_odd_rows(spark):
     assert told(none) == {}
     with pytest.raises(Exception, match="fewer than no live sources of atom a"):
         liveness.changed_counts(none, liveness.edge_changes(None, edges, chunks, docs)).collect()
+
+
+def test_parts_of_a_count_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    """A task's rows don't grow with the edges, however few partitions shuffles have."""
+    m = Model(5)
+    frames = {}
+    for name, df in zip(("edges", "chunks", "docs"), m.frames(spark), strict=True):
+        df.repartition(6).write.parquet(f"{tmp_path}/{name}")
+        frames[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    monkeypatch.setattr(folders, "PART_BYTES", 256)
+    parts = folders.parts_of(frames["edges"])
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = liveness.source_counts(frames["edges"], frames["chunks"], frames["docs"])
+    assert counts.rdd.getNumPartitions() >= parts
+    assert told(counts) == m.live()
+    assert folders.parts_of(spark.range(3)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
