@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import term_list
+from ..sources.folders import parts_of
 from .pending import first_n
 
 BM25_K1, BM25_B = 1.2, 0.75
@@ -33,6 +34,8 @@ BLOCK_BITS, SHARD_BLOCKS, QUERY_BLOCK = 10, 16, 256
 BLOCK = 1 << BLOCK_BITS
 #: Blocks (as a power of two) of a term that are in one part of the table.
 SPAN_BITS = 6
+#: Bytes of stored texts whose postings are one part at least.
+TEXT_BYTES = 8 << 20
 #: Scores are compared with so many decimals; sums of weights in another order differ less.
 DECIMALS = 9
 #: Parts that shards are dealt into, to meet the queries; bits of a block's number below the folder's.
@@ -77,7 +80,7 @@ class Shard:
                 if t in self.numbers:
                     weight[i, at[self.numbers[t]]] += w
         use = np.flatnonzero(at[self.term] >= 0)
-        top[at[self.term[use]], self.block[use]] = self.top[use]
+        np.maximum.at(top, (at[self.term[use]], self.block[use]), self.top[use])
         bound = weight @ top
         least = np.full(len(asked), -np.inf)
         best = [(np.empty(0, np.int64), np.empty(0)) for _ in asked]
@@ -135,6 +138,34 @@ def _searched(k: int, names: list[str], query_type: pa.DataType):
     return run
 
 
+def _counted(mean: float, k1: float, b: float):
+    """Posting rows of texts (block, at, terms), counted where the texts are: a block has several rows of a term where batches or tasks part it."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("terms")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            blocks, block = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            at, terms = batch.column("at").to_numpy(), lists.flatten().dictionary_encode()
+            if not len(terms):
+                continue
+            # block, term and place of each word in one number, which sorts and counts them
+            code = block.repeat(sizes) * len(terms.dictionary) + terms.indices.to_numpy()
+            key, tf = np.unique(code * BLOCK + at.repeat(sizes), return_counts=True)
+            length = np.zeros((len(blocks), BLOCK))
+            length[block, at] = sizes
+            code, place = key >> BLOCK_BITS, key & (BLOCK - 1)
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[code // len(terms.dictionary), place] / mean))
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            ends = pa.array(np.r_[first, len(key)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                terms.dictionary.take(pa.array(code[first] % len(terms.dictionary))), pa.array(blocks[code[first] // len(terms.dictionary)], pa.int64()), pa.array(np.maximum.reduceat(weight, first)),
+                pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight)),
+            ], ["term", "block", "top", "at", "weights"])
+
+    return run
+
+
 class InvertedIndex:
     """Stored tables below a folder, or below each of several, whose points are parts of one set: docs (block, at, id), postings (by part), lexicon, and facts."""
 
@@ -165,17 +196,16 @@ class InvertedIndex:
         """Lists of saturated, length-damped term frequencies of points (id, text)."""
         staged = cls._staged(points.select("id", term_list(F.col(text)).alias("terms")), root)
         mean = staged.select(F.size("terms").alias("n")).where("n > 0").agg(F.avg("n")).first()[0] or 1.0
-        listed = staged.select("block", "at", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        counted = cls._dealt(listed).groupBy("part", "term", "block", "at").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-        weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-        return cls._written(staged, counted.select("part", "term", "block", "at", weight.alias("weight")), root)
+        postings = staged.select("block", "at", "terms").mapInArrow(_counted(mean, k1, b), "term string, block long, top double, at array<int>, weights array<double>")
+        return cls._written(staged, cls._dealt(postings, parts_of(points, size=TEXT_BYTES)), root)
 
     @classmethod
     def of_vectors(cls, points: DataFrame, root: str, vector: str = "sparse", group: str | None = None, facts: dict | None = None) -> InvertedIndex:
         """Lists of points (id, sparse: term number -> weight); weights are positive. group: a column whose values can be left out of a search; facts: kept with the index."""
         staged = cls._staged(points.select("id", *([F.col(group).alias("group")] if group else []), F.coalesce(F.map_entries(vector), F.array().cast("array<struct<key:bigint,value:double>>")).alias("terms")), root)
         listed = staged.select("block", "at", F.explode("terms").alias("e")).select(F.col("e.key").cast("string").alias("term"), "block", "at", F.col("e.value").alias("weight"))
-        return cls._written(staged, cls._dealt(listed), root, facts)
+        lists = cls._dealt(listed, parts_of(points)).groupBy("part", "term", "block").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("p"))  # a block's points at most
+        return cls._written(staged, lists.select("part", "term", "block", F.array_max("p.weight").alias("top"), F.col("p.at").alias("at"), F.col("p.weight").alias("weights")), root, facts)
 
     @staticmethod
     def _staged(rows: DataFrame, root: str) -> DataFrame:
@@ -186,17 +216,14 @@ class InvertedIndex:
         return rows.sparkSession.read.parquet(f"{root}/staged")
 
     @staticmethod
-    def _dealt(rows: DataFrame) -> DataFrame:
+    def _dealt(rows: DataFrame, parts: int) -> DataFrame:
         """rows (term, block, ...) with their part, shuffled by it: the only shuffle of postings."""
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         part = F.pmod(F.xxhash64("term", F.shiftright("block", SPAN_BITS)), F.lit(parts)).cast("int")
-        return rows.withColumn("part", part).repartition("part")
+        return rows.withColumn("part", part).repartition(parts, "part")
 
     @classmethod
-    def _written(cls, staged: DataFrame, weights: DataFrame, root: str, facts: dict | None = None) -> InvertedIndex:
+    def _written(cls, staged: DataFrame, rows: DataFrame, root: str, facts: dict | None = None) -> InvertedIndex:
         spark = staged.sparkSession
-        lists = weights.groupBy("part", "term", "block").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("p"))  # a block's points at most
-        rows = lists.select("part", "term", "block", F.array_max("p.weight").alias("top"), F.col("p.at").alias("at"), F.col("p.weight").alias("weights"))
         rows.sortWithinPartitions("part", "term", "block").write.mode("overwrite").partitionBy("part").parquet(f"{root}/postings")
         heads = spark.read.schema(POSTINGS).parquet(f"{root}/postings").groupBy("term").agg(F.sum(F.size("at")).alias("points"), F.max("top").alias("top"), F.collect_set("part").alias("parts"))
         heads.write.mode("overwrite").parquet(f"{root}/lexicon")

@@ -31,11 +31,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 PART_BYTES = 2 << 20
 
 
-def parts_of(*tables: DataFrame) -> int:
-    """Partitions for a join of tables: as many as shuffles have, more where the files that the tables are read from are large, so that a task's rows don't grow with them."""
+def parts_of(*tables: DataFrame, size: int | None = None) -> int:
+    """Partitions for a join of tables, one for `size` bytes of them: as many as shuffles have, more where the files that the tables are read from are large, so that a task's rows don't grow with them."""
     spark = tables[0].sparkSession
     files = sum(size for _, size, _ in fingerprint(*tables))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files // PART_BYTES))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files // (size or PART_BYTES)))
 
 
 def fingerprint(*tables: DataFrame) -> tuple:

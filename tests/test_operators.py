@@ -410,6 +410,29 @@ def test_inverted_lists(spark, tmp_path):
     assert none.collect() == [] and none.columns == ["query_id", "id", "score", "rank"]
 
 
+def test_lists_of_texts_are_counted_before_they_are_dealt(spark, tmp_path, monkeypatch):
+    """No word is a row of a shuffle; parts grow with the texts; a block that batches part stays whole in a search."""
+    from palimpsest.operators import inverted, retrieval
+
+    texts = [(f"p{i:03d}", " ".join(f"w{i * k % 23}" for k in range(i % 9)) or None) for i in range(150)]
+    spark.createDataFrame(texts, "id string, content string").repartition(2).write.parquet(f"{tmp_path}/texts")
+    points = spark.read.parquet(f"{tmp_path}/texts")
+    asked = [(q, f"w{q} w{q + 3} w0") for q in range(12)]
+    monkeypatch.setattr(inverted, "TEXT_BYTES", 128)
+    monkeypatch.setattr(inverted.InvertedIndex, "_written", classmethod(lambda cls, staged, rows, *x, _real=inverted.InvertedIndex._written.__func__: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or _real(cls, staged, rows, *x)))
+    plans = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        lists = inverted.InvertedIndex.of_texts(points, f"file://{tmp_path}/lists")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Generate explode" not in plans[0] and plans[0].index("Repartition") < plans[0].index("MapInArrow")
+    parts = {r.part for r in lists._table("postings").select("part").distinct().collect()}
+    assert len(parts) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = retrieval.lexical_topk(spark.createDataFrame(asked, "query_id int, query string"), lists, 4).collect()
+    assert sorted((r.query_id, r.id, r["rank"], round(r.score, 6)) for r in got) == _plain_lexical(texts, asked, 4)
+
+
 def test_block_maxima_leave_blocks_out():
     """A block whose greatest weights can't reach the k-th score isn't scored."""
     import pyarrow as pa
