@@ -258,8 +258,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
         return slim.mapInArrow(_quantised(scale), "id long, width int, norm double, vec binary")
 
     rows = scratch.keep(quantised(vectors), "rows")
-    asked = quantised(queries).where("id IS NOT NULL").sortWithinPartitions("width").mapInArrow(_packed(lambda width: QUERY_BLOCK), PACKED)
-    asked = scratch.keep(asked.select("width", F.col("part").alias("q_part"), F.col("block").alias("q_block"), "ids", "vecs"), "queries", small=True)
+    # few partitions before they are packed, not after: a block's key is its task's number and its own within the task
+    few = quantised(queries).where("id IS NOT NULL").coalesce(max(2, scratch.spark.sparkContext.defaultParallelism))
+    asked = few.sortWithinPartitions("width").mapInArrow(_packed(lambda width: QUERY_BLOCK), PACKED)
+    asked = scratch.keep(asked.select("width", F.col("part").alias("q_part"), F.col("block").alias("q_block"), "ids", "vecs"), "queries")
     by_norm = rows.orderBy("width", F.col("norm").desc(), "id")
     tiles = scratch.keep(by_norm.mapInArrow(_packed(lambda width: max(1, tile_bytes // (8 * max(1, width)))), PACKED), "tiles")
     keys = scratch.keep(tiles.select("width", "part", "block"), "keys", small=True)

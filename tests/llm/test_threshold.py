@@ -50,6 +50,17 @@ def test_odd_rows(spark):
     assert searched(spark, rows, []) == []
 
 
+def test_queries_in_more_partitions_than_cores(spark):
+    """Blocks of queries keep keys of their own, however many partitions hold queries."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 3 = 0").repartitionByRange(23, "vec_id")
+    assert asked.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    got = sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in threshold.top_k(df, asked).collect()), key=repr)
+    assert got == brute(rows, [r for r in rows if r[0] % 3 == 0])
+
+
 def test_products_beyond_doubles_and_longs(spark):
     rows = [(i, [1e6 + i, 3.0, 1e9 * (i % 3 - 1)]) for i in range(40)] + [(100, [2.0**60, 1.0, 2.0**60]), (101, [2.0**61, 1.0, 2.0**61])]
     queries = [r for r in rows if r[0] % 10 == 0]
