@@ -108,3 +108,15 @@ def test_chunk_columns(spark):
     df = spark.createDataFrame([("a\n\nb",), (None,)], "t string")
     rows = df.select(chunking.markdown_chunks(F.col("t")).alias("m"), chunking.embedding_chunks(F.col("t")).alias("e")).collect()
     assert rows[0].e == ["a\n\nb"] and rows[0].m[0].content == "a\n\nb" and rows[1].e is None and rows[1].m is None
+
+
+def test_markdown_chunks_hold_few_documents_as_objects(spark):
+    """Any number of texts in a batch, null and empty ones between, gives the same chunks from small slices."""
+    import pyarrow as pa
+
+    texts = [None if k % 11 == 3 else "" if k % 7 == 2 else "\n\n".join(f"# H{j}\ntext {k} {'x' * (k % 50)}" for j in range(k % 5 + 1)) for k in range(200)]
+    got = chunking.markdown_chunks(F.col("t"), 40)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).select("k", got.alias("c")).collect()
+    want = {k: None if t is None else chunking.document_chunks(t, 40) for k, t in enumerate(texts)}
+    assert {r.k: None if r.c is None else [tuple(c) for c in r.c] for r in rows} == want
+    assert pa.types.is_list(chunking._chunk_columns([None, "a"], 9).type) and len(chunking._chunk_columns([], 9)) == 0 and chunking.CHUNK_ROWS < 200
