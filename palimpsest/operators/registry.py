@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import candidate_rank, project_name, project_terms
-from ..sources.folders import shared_folder
+from ..sources.folders import parts_of, shared_folder
 from .pending import first_n
 
 #: Length of the grams that lead from a name asked for to the names that may match, and how many of them, the rarest, are met.
 GRAM, MOST_GRAMS = 3, 3
+#: Bytes of stored names whose grams one task cuts.
+NAME_BYTES = 1 << 20
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -42,6 +44,8 @@ def rank_projects(queries: DataFrame, projects: DataFrame, limit: int = 10) -> D
     known = projects.where(F.length(F.trim("name")) > 0).select("id", "name", project_name(F.col("name")).alias("norm"), F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: project_name(a)), lambda a: a != "").alias("alias_norms"))
     asked = queries.select("query_id", project_name(F.col("name")).alias("asked")).where("asked <> ''").select("*", asked_grams(F.col("asked")).alias("grams"))
     wanted = asked.select("query_id", "asked", F.explode("grams").alias("gram"))
+    # names are few bytes and many grams: files that one task would read are dealt to many before the grams are cut
+    known = known.repartition(parts_of(projects, size=NAME_BYTES))
     sizes = {r[0] for r in asked.select(F.explode_outer("grams").alias("g")).select(F.length("g")).distinct().collect()}  # GRAM numbers, and null, at most
     labels = F.concat(F.array("norm"), "alias_norms")
     listed = known.select("*", F.explode(name_grams(labels, sorted(sizes - {None}))).alias("gram")) if sizes - {None} else known.select("*", F.lit(None).cast("string").alias("gram")).limit(0)

@@ -433,6 +433,14 @@ def test_lists_of_texts_are_counted_before_they_are_dealt(spark, tmp_path, monke
     assert sorted((r.query_id, r.id, r["rank"], round(r.score, 6)) for r in got) == _plain_lexical(texts, asked, 4)
 
 
+def test_grams_of_one_file_are_cut_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "shared_folder", lambda *x: f"file://{tmp_path}/names")
+    projects = spark.createDataFrame([(k, f"ring {k}", ["x"]) for k in range(200)], "id int, name string, aliases array<string>").coalesce(1)
+    asked = spark.createDataFrame([(1, "ring 7")], "query_id int, name string")
+    assert rows(registry.rank_projects(asked, projects, 2), "id", "match") == [(7, 0), (70, 2)]
+    assert len(list((tmp_path / "names" / "hits").glob("part-*"))) > 1
+
+
 def test_block_maxima_leave_blocks_out():
     """A block whose greatest weights can't reach the k-th score isn't scored."""
     import pyarrow as pa
