@@ -41,7 +41,7 @@ def joined_rows(spark, df):
     return made, n
 
 
-@pytest.mark.parametrize("query", ["gated_section"])
+@pytest.mark.parametrize("query", ["gated_section", "task_upsert"])
 def test_joins_grow_with_the_tables(spark, tmp_path, query):
     made = {}
     for n in (1500, 6000):
